@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import pyarrow as pa
@@ -45,6 +47,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_worker(key: tuple, make):
+    """``make()``, once per Python worker: caches outlive a task and warm the next one's."""
+    kept = sys.modules.setdefault("_topicflow_worker", types.ModuleType("_topicflow_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,4 +64,4 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-__all__ = ["table", "text_or_empty", "shared_dir", "materialize", "shuffle_partitions", "batch"]
+__all__ = ["table", "text_or_empty", "shared_dir", "materialize", "per_worker", "shuffle_partitions", "batch"]

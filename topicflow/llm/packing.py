@@ -15,7 +15,9 @@ ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,37 +26,74 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, text_or_empty
+from .common import batch, per_worker, text_or_empty
 
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 )
 
 
+#: A full stop or comma after a letter and before a blank is a pre-token of its own.
+PUNCTUATION = re.compile("(?<=[a-zA-Z])([.,])(?= )")
+
+
 class WordEncoder:
-    """Token ids of texts as little-endian bytes, by a word cache.
+    """Token ids of texts as little-endian bytes, by a word cache of two generations.
 
-    The tokenizer never joins across a blank or a line feed (its pre-tokenizer drops white
-    space), so a text's ids are those of its blank-separated parts in turn.
+    The tokenizer lower-cases, and never joins across a blank or a line feed (its pre-tokenizer
+    drops white space) or between a letter and punctuation, so a text's ids are those of its
+    parts in turn. Texts that may hold special tokens keep their case.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.cache = Tokenizer.from_file(path), keep, {"": b""}
-
-    def __call__(self, text: str) -> bytes:
-        parts, cache = text.replace("\n", " ").split(" "), self.cache
-        missing = [w for w in set(parts) if w not in cache]
-        if missing:
-            if len(cache) > self.keep:
-                cache.clear()
-                cache[""] = b""
-                missing = list(set(parts) - {""})
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                cache[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in parts])
+        self.tokenizer, self.keep, self.cache, self.older = Tokenizer.from_file(path), keep, {"": b""}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Words of letters alone are one pre-token each, so they are encoded in one go and cut at word ends."""
+        cache, older = self.cache, self.older
+        cache.update((w, older[w]) for w in words & older.keys())
+        new = [w for w in words if w not in cache]
+        plain = [w for w in new if w.isalpha()]
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
+            ids = np.array(self._encode([" ".join(part)])[0], "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                cache.update(zip(part, (raw[a:z] for a, z in zip([0, *cuts], cuts))))
+        odd = [w for w in new if w not in cache]
+        cache.update((w, array("I", ids).tobytes()) for w, ids in zip(odd, self._encode(odd)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        lines = [t if "<|" in t else t.encode().lower().decode() for t in texts]
+        parts = [PUNCTUATION.sub(r" \1", t.replace("\n", " ")).split(" ") for t in lines]
+        self._learn(set().union(*parts).difference(self.cache))
+        cache = self.cache
+        ids = [b"".join([cache[w] for w in p]) for p in parts]
+        if len(cache) > self.keep:
+            self.older, self.cache = cache, {"": b""}
+        return ids
+
+
+def chunks(texts: list[str], chars: int = 400_000) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) with about ``chars`` characters each."""
+    first, n = 0, 0
+    for k, t in enumerate(texts):
+        n += len(t)
+        if n >= chars:
+            yield first, texts[first : k + 1]
+            first, n = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 class SumOfSquares:
@@ -127,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, m
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, rule, count = WordEncoder(tokenizer), SumOfSquares(window), 0
+        encode, rule, count = per_worker(("words", tokenizer), lambda: WordEncoder(tokenizer)), SumOfSquares(window), 0
         base = TaskContext.get().partitionId() << 32
         opened: dict[int, list[list]] = {}
         out: list[tuple] = []
@@ -153,26 +192,28 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, m
 
         n_open = 0
         for b in batches:
-            for d, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                ids = encode(text) + end
-                n, s = len(ids) // 4, 0
-                while n - s >= window:
-                    close([(d, s, ids[4 * s : 4 * (s + window)], n)])
-                    s += window
-                if s == n:
-                    continue
-                h = rule.place(n - s)
-                pieces = opened[h].pop() if h else []
-                n_open += not h
-                pieces.append((d, s, ids[4 * s :], n))
-                if h + n - s == window:
-                    close(pieces)
-                    n_open -= 1
-                else:
-                    opened.setdefault(h + n - s, []).append(pieces)
-                if n_open > max_open:
-                    flush()
-                    n_open = 0
+            ids_of, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
+            for first, part in chunks(texts):
+                for d, ids in zip(ids_of[first:], encode(part)):
+                    ids += end
+                    n, s = len(ids) // 4, 0
+                    while n - s >= window:
+                        close([(d, s, ids[4 * s : 4 * (s + window)], n)])
+                        s += window
+                    if s == n:
+                        continue
+                    h = rule.place(n - s)
+                    pieces = opened[h].pop() if h else []
+                    n_open += not h
+                    pieces.append((d, s, ids[4 * s :], n))
+                    if h + n - s == window:
+                        close(pieces)
+                        n_open -= 1
+                    else:
+                        opened.setdefault(h + n - s, []).append(pieces)
+                    if n_open > max_open:
+                        flush()
+                        n_open = 0
                 if len(out) >= 20_000:
                     yield emit()
         flush()
