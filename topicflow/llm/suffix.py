@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, text_or_empty
+from .common import batch, materialize, shuffle_partitions, text_or_empty
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20
@@ -103,11 +103,11 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(6):
         key = (key << np.uint64(9)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key).astype(np.int32)  # equal keys may come in any order: their group is sorted below
     ks = key[order]
     new = np.concatenate([[True], ks[1:] != ks[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # rank: the first place of the group
-    rank = np.empty(n, np.int64)
+    first = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))  # rank: the first place of the group
+    rank = np.empty(n, np.int32)
     rank[order] = first
     h = 6
     while h < length:
@@ -117,18 +117,19 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
         sa = order[size_over_1]
         nxt = rank[np.minimum(sa + h, n - 1)]
         group = rank[sa]
-        o = np.lexsort((nxt, group))
+        o = np.argsort(group.astype(np.int64) * n + nxt)
         order[size_over_1] = sa[o]
         g, x = group[o], nxt[o]
         new[size_over_1] = np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
-        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[order] = first
+        # only these places change; a group's first place is among them
+        place = np.maximum.accumulate(np.where(new[size_over_1], size_over_1, 0)).astype(np.int32)
+        rank[sa[o]] = place
         h *= 2
 
     # backward extension: row r of the transform is the symbol before suffix order[r]
     bwt = text[order - 1]
-    step = np.empty(n, np.int64)  # the row of the suffix that is one symbol longer
-    step[np.argsort(bwt, kind="stable")] = np.arange(n)
+    step = np.empty(n, np.int32)  # the row of the suffix that is one symbol longer
+    step[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     divided = np.zeros(n + 1, bool)  # a common prefix below ``length`` is known above this row
     divided[[0, n]] = True
     low, end = np.array([0]), np.array([n])
@@ -164,12 +165,12 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def dedup(docs: DataFrame, length: int = 400, crowd: int = 256, chunk_bytes: int = 1 << 20) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, crowd: int = 256, chunk_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     return _kept(*_repeats(docs, length, crowd, chunk_bytes), length)
 
 
-def cleaned(docs: DataFrame, length: int = 400, crowd: int = 256, chunk_bytes: int = 1 << 20) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = 400, crowd: int = 256, chunk_bytes: int = 1 << 18) -> DataFrame:
     """doc_id and the bytes that stay."""
     return _kept(*_repeats(docs, length, crowd, chunk_bytes, keep=True), length, content=True).select("doc_id", "kept")
 
@@ -257,7 +258,7 @@ def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: b
             yield emit()
 
     few = fetched.filter(F.col("kinds") <= crowd).select("h", "doc_id", "th", "start", "bytes")
-    found = few.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(expand, "doc_id long, th long, start long, past long")
+    found = few.repartition(2 * shuffle_partitions(docs.sparkSession), "h").sortWithinPartitions("h").mapInArrow(expand, "doc_id long, th long, start long, past long")
 
     # crowded anchors: parts at fixed distances from the anchor, then single windows
     parts = materialize(fetched.filter(F.col("kinds") > crowd).select("h", "doc_id", "th", "start", "windows", "anchor", "bytes").mapInArrow(_parts(length), "key long, full long, doc_id long, th long, start long, hashes array<long>"))
