@@ -75,10 +75,10 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("cadence"), F.col("o_orderdate").cast("date").alias("issue_date"), F.col("o_custkey").alias("topic_id"), F.col("o_totalprice").alias("score"))
 
 
-def edges(spark: SparkSession, sf_dir: str, slice_: int = 50) -> DataFrame:
-    """A bounded RELATED graph: part to supplier (numbers moved by a million)."""
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % slice_ == 0)
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The RELATED graph: part to supplier (numbers moved by a million)."""
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst"), F.col("l_returnflag").alias("relation"), F.col("l_orderkey").alias("article_id"))
 
 
-EDGES = "ed AS (SELECT l_partkey AS src, l_suppkey + 1000000 AS dst, l_returnflag AS relation, l_orderkey AS article_id FROM lineitem WHERE l_orderkey % 50 = 0), pr AS (SELECT DISTINCT src AS a, dst AS b FROM ed), bo AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr), dg AS (SELECT a AS node, count(*) AS degree FROM bo GROUP BY a)"
+EDGES = "ed AS (SELECT l_partkey AS src, l_suppkey + 1000000 AS dst, l_returnflag AS relation, l_orderkey AS article_id FROM lineitem), pr AS (SELECT DISTINCT src AS a, dst AS b FROM ed), bo AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr), dg AS (SELECT a AS node, count(*) AS degree FROM bo GROUP BY a)"

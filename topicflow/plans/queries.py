@@ -90,11 +90,11 @@ HEAT_FROM = "2024-01-28 00:00:00"
 
 
 @query(f"""WITH e AS (SELECT user_id AS topic_id, event_id AS article_id, ts, json_extract_string(props, '$.k') AS entity FROM events WHERE ts >= TIMESTAMP '2024-01-20'),
-  own AS (SELECT DISTINCT topic_id, entity FROM e WHERE article_id % 11 = 0), w AS (SELECT DISTINCT topic_id AS other, article_id, entity FROM e WHERE article_id % 11 = 0 AND ts >= TIMESTAMP '{HEAT_FROM}'),
+  own AS (SELECT DISTINCT topic_id, entity FROM e), w AS (SELECT DISTINCT topic_id AS other, article_id, entity FROM e WHERE ts >= TIMESTAMP '{HEAT_FROM}'),
   h AS (SELECT own.topic_id, count(DISTINCT article_id) AS heat FROM own JOIN w USING (entity) WHERE other IS DISTINCT FROM own.topic_id GROUP BY own.topic_id)
 SELECT t.topic_id, CAST(coalesce(heat, 0) AS BIGINT) AS heat FROM (SELECT DISTINCT topic_id FROM own) t LEFT JOIN h USING (topic_id)""")
 def entity_heat(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")).filter(F.col("event_id") % 11 == 0)
+    e = table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"))
     rows = e.select(F.col("user_id").alias("topic_id"), F.col("event_id").alias("article_id"), F.col("ts"), F.get_json_object("props", "$.k").alias("entity"))
     return scoring.entity_heat(rows, F.col("ts") >= F.lit(HEAT_FROM).cast("timestamp_ntz"))
 
