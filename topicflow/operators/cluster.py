@@ -1,4 +1,4 @@
-"""Order-dependent greedy clustering: candidates in parallel, one ordered pass over them."""
+"""Order-dependent greedy clustering, as joins and rounds over all rows at once."""
 
 from __future__ import annotations
 
@@ -6,37 +6,86 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dedup import top_n
+from .graph import components
+from .lineage import cut
+
+
+def _first_topics(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, tree): the id that began the topic which ``id`` joins by its best link, by pointer jumping."""
+    best = links.groupBy("id").agg(F.max_by("near", F.struct("score", -F.col("near"))).alias("up"))
+    at = cut(ids.select("id").distinct().join(best, "id", "left").select("id", F.coalesce("up", "id").alias("tree")))
+    while True:
+        above = at.select(F.col("id").alias("tree"), F.col("tree").alias("next"))
+        new = cut(at.join(above, "tree", "left").select("id", F.col("tree").alias("old"), F.coalesce("next", "tree").alias("tree")))
+        at = new.select("id", "tree")
+        if new.filter("old != tree").isEmpty():
+            return at
+
 
 def incremental(ids: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """(id, topic): ids in order join the topic of their best earlier neighbour at ``threshold``, bridging topics merge.
 
-    ``candidates`` (id, near, score) holds each id's best earlier neighbours and is small beside the
-    pairs it came from. The pass keeps arrival order, so it is one group: use ``components`` of the
-    graph operators where order does not matter.
+    ``candidates`` (id, near, score) holds each id's best earlier neighbours. Best links alone make
+    trees, one for each topic ever begun. Other links that leave a tree merge topics into the one of
+    the best link; only the first merge of two trees counts. So what has to be done in order are the
+    merges between trees, and only within a component of them: members never meet in one task.
     """
+    links = cut(candidates.filter((F.col("score") >= threshold) & ~F.isnan("score")).select("id", "near", "score"))
+    tree = _first_topics(ids, links)
+    to = links.join(tree, "id").join(tree.select(F.col("id").alias("near"), F.col("tree").alias("other")), "near").filter("tree != other")
+    merges = cut(to.groupBy(F.least("tree", "other").alias("a"), F.greatest("tree", "other").alias("b")).agg(F.min("id").alias("time"), F.min_by("tree", "id").alias("winner")))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        topic: dict[int, int] = {}
+        parent: dict[int, int] = {}
 
         def root(t: int) -> int:
-            while parent[t] != t:
+            while parent.setdefault(t, t) != t:
                 parent[t] = parent[parent[t]]
                 t = parent[t]
             return t
 
-        parent: dict[int, int] = {}
-        for i, rows in pdf.sort_values(["id", "score", "near"], ascending=[True, False, True]).groupby("id", sort=True):
-            hits = [root(topic[int(n)]) for n, s in zip(rows["near"], rows["score"]) if s == s and s >= threshold]
-            if not hits:
-                topic[i] = parent[i] = int(i)
-            else:
-                topic[i] = hits[0]
-                for other in hits[1:]:
-                    parent[root(other)] = hits[0]
-        return pd.DataFrame({"id": list(topic), "topic": [root(t) for t in topic.values()]})
+        for m in pdf.sort_values(["time", "a", "b"]).itertuples():
+            parent[root(m.b if m.winner == m.a else m.a)] = root(m.winner)
+        return pd.DataFrame({"tree": list(parent), "topic": [root(t) for t in list(parent)]})
 
-    every = ids.select("id").join(candidates, "id", "left").withColumn("one", F.lit(1))
-    return every.groupBy("one").applyInPandas(replay, "id long, topic long")
+    grouped = merges.join(components(merges.select("a", "b")).withColumnRenamed("node", "a"), "a")
+    topics = grouped.groupBy("root").applyInPandas(replay, "tree long, topic long")
+    return tree.join(topics, "tree", "left").select("id", F.coalesce("topic", "tree").alias("topic"))
+
+
+def resolve(names: DataFrame, earlier: DataFrame, sure: float, low: float | None = None, most: int = 3) -> DataFrame:
+    """(name, canonical): names in order join a canonical name or become one.
+
+    ``earlier`` (name, other, score[, same]) holds similar pairs, ``other`` before ``name`` in the
+    order. The best canonical at ``sure`` is joined; if none, of the ``most`` best canonicals between
+    ``low`` and ``sure`` the first that an oracle calls the ``same``. Done in rounds over all names:
+    a name is decided when it has a sure canonical or all before it that it resembles are decided.
+    """
+    near = earlier.withColumn("sure", F.col("score") >= sure)
+    near = cut(near.filter("sure") if low is None else near.filter(F.col("score") > low))
+    asked = lambda canon: top_n(canon.filter("not sure"), ["name"], [F.desc("score"), F.asc("other")], most).filter("same")
+    state = cut(names.select("name").distinct().withColumn("role", F.lit(None).cast("string")))
+    while not (open_ := state.filter("role is null").select("name")).isEmpty():
+        seen = near.join(open_, "name", "left_semi").join(state.withColumnRenamed("name", "other"), "other")
+        canon = seen.filter("role = 'canonical'")
+        per = seen.groupBy("name").agg(F.max(F.col("sure") & F.col("role").eqNullSafe("canonical")).alias("hit"), F.count_if(F.col("role").isNull()).alias("waiting"))
+        now = open_.join(per, "name", "left")
+        if low is None:
+            now = now.withColumn("yes", F.lit(False))
+        else:
+            now = now.join(asked(canon).select("name", F.lit(True).alias("yes")).distinct(), "name", "left")
+        member = F.coalesce("hit", F.lit(False)) | ((F.coalesce("waiting", F.lit(0)) == 0) & F.coalesce("yes", F.lit(False)))
+        role = F.when(member, "member").when(F.coalesce("waiting", F.lit(0)) == 0, "canonical")
+        state = cut(state.filter("role is not null").unionByName(now.select("name", role.alias("role"))))
+    canon = near.join(state.filter("role = 'canonical'").select(F.col("name").alias("other")), "other")
+    best = canon.filter("sure").groupBy("name").agg(F.max(F.struct("score", "other"))["other"].alias("best"))
+    out = state.join(best, "name", "left")
+    said = F.lit(None).cast("string")
+    if low is not None:
+        first = asked(canon).groupBy("name").agg(F.min_by("other", F.struct(-F.col("score"), "other")).alias("said"))
+        out, said = out.join(first, "name", "left"), F.col("said")
+    return out.select("name", F.when(F.col("role") == "canonical", F.col("name")).otherwise(F.coalesce("best", said)).alias("canonical"))
 
 
 def canonical_names(names: DataFrame, pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -44,16 +93,6 @@ def canonical_names(names: DataFrame, pairs: DataFrame, threshold: float = 0.5)
 
     ``names`` (name, n) is a dictionary, ``pairs`` (name, other, score) its similar pairs, both ways.
     """
-
-    def assign(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list] = {}
-        for a, b, s in zip(right["name"], right["other"], right["score"]):
-            near.setdefault(a, []).append((s, b))
-        chosen: dict[str, str] = {}
-        for name in left.sort_values(["n", "name"], ascending=[False, True])["name"]:
-            best = max(((s, o) for s, o in near.get(name, []) if chosen.get(o) == o and s >= threshold), key=lambda x: (x[0], x[1]), default=None)
-            chosen[name] = best[1] if best else name
-        return pd.DataFrame({"name": list(chosen), "canonical": list(chosen.values())})
-
-    one = lambda df: df.withColumn("one", F.lit(1)).groupBy("one")
-    return one(names).cogroup(one(pairs)).applyInPandas(assign, "name string, canonical string")
+    place = names.select("name", F.struct(-F.col("n"), "name").alias("place"))
+    both = pairs.join(place, "name").join(place.select(F.col("name").alias("other"), F.col("place").alias("before")), "other")
+    return resolve(names, both.filter("before < place").select("name", "other", "score"), threshold)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import outermost_object
+from .lineage import cut
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each pair once, no loops: (a, b) with a < b."""
@@ -30,24 +33,18 @@ def within_two(pairs: DataFrame, start: int) -> DataFrame:
     return one.withColumn("hops", F.lit(1)).union(two.withColumn("hops", F.lit(2))).groupBy("node").agg(F.min("hops").cast("long").alias("hops"))
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, root): least node reachable, by minimum labels; lineage is cut every round."""
-    spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="topicflow-"))
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("near")).union(pairs.select("b", "a")).checkpoint()
-    labels = both.groupBy("node").agg(F.least("node", F.min("near")).alias("root")).checkpoint()
-    for _ in range(rounds):
+    both = cut(pairs.select(F.col("a").alias("node"), F.col("b").alias("near")).union(pairs.select("b", "a")))
+    labels = cut(both.groupBy("node").agg(F.least("node", F.min("near")).alias("root")))
+    while True:
         seen = both.join(labels.select(F.col("node").alias("near"), F.col("root").alias("r")), "near").groupBy("node").agg(F.min("r").alias("r"))
         low = labels.join(seen, "node").select("node", "root", F.least("root", "r").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("next"))
-        new = low.join(jump, "low", "left").select("node", F.col("root").alias("old"), F.least("low", F.coalesce("next", "low")).alias("root")).checkpoint()
+        new = cut(low.join(jump, "low", "left").select("node", F.col("root").alias("old"), F.least("low", F.coalesce("next", "low")).alias("root")))
         labels = new.select("node", "root")
         if new.filter("old != root").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def largest_component(pairs: DataFrame) -> DataFrame:
@@ -56,3 +53,24 @@ def largest_component(pairs: DataFrame) -> DataFrame:
     sizes = labels.groupBy("root").agg(F.count("*").alias("n"))
     best = sizes.orderBy(F.desc("n"), "root").limit(1).select("root")
     return labels.join(F.broadcast(best), "root", "left_semi").select("node", "root")
+
+
+def merged_entities(known: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(name, kind, aliases): entities after new mentions (name, alias, kind, arrival).
+
+    The kind is set when the entity is made and stays; aliases other than the name gather.
+    """
+    alias = F.when(F.col("alias") != F.col("name"), F.col("alias"))
+    new = mentions.groupBy("name").agg(F.min_by("kind", "arrival").alias("new_kind"), F.collect_set(alias).alias("more"))
+    none = F.array().cast("array<string>")
+    both = known.join(new, "name", "full_outer")
+    aliases = F.array_sort(F.array_union(F.coalesce("aliases", none), F.coalesce("more", none)))
+    return both.select("name", F.coalesce("kind", "new_kind").alias("kind"), aliases.alias("aliases"))
+
+
+def from_triples(articles: DataFrame, reply: str = "reply", most: int = 10) -> DataFrame:
+    """(article_id, subject, subject_type, relation, object, object_type): the first ``most`` triples of each model reply."""
+    one = "struct<subject:string,subject_type:string,relation:string,object:string,object_type:string>"
+    parsed = F.from_json(outermost_object(F.col(reply)), f"struct<triples:array<{one}>>")["triples"]
+    whole = articles.select("article_id", F.explode(F.slice(parsed, 1, most)).alias("t")).select("article_id", "t.*")
+    return whole.filter((F.trim("subject") != "") & (F.trim("object") != ""))

@@ -89,12 +89,12 @@ def weekly_potential(spark, sf_dir):
 HEAT_FROM = "2024-01-28 00:00:00"
 
 
-@query(f"""WITH e AS (SELECT user_id AS topic_id, event_id AS article_id, ts, json_extract_string(props, '$.k') AS entity FROM events WHERE ts >= TIMESTAMP '2024-01-20'),
+@query(f"""WITH e AS (SELECT user_id AS topic_id, event_id AS article_id, ts, json_extract_string(props, '$.k') AS entity FROM events),
   own AS (SELECT DISTINCT topic_id, entity FROM e), w AS (SELECT DISTINCT topic_id AS other, article_id, entity FROM e WHERE ts >= TIMESTAMP '{HEAT_FROM}'),
   h AS (SELECT own.topic_id, count(DISTINCT article_id) AS heat FROM own JOIN w USING (entity) WHERE other IS DISTINCT FROM own.topic_id GROUP BY own.topic_id)
 SELECT t.topic_id, CAST(coalesce(heat, 0) AS BIGINT) AS heat FROM (SELECT DISTINCT topic_id FROM own) t LEFT JOIN h USING (topic_id)""")
 def entity_heat(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"))
+    e = table(spark, sf_dir, "events")
     rows = e.select(F.col("user_id").alias("topic_id"), F.col("event_id").alias("article_id"), F.col("ts"), F.get_json_object("props", "$.k").alias("entity"))
     return scoring.entity_heat(rows, F.col("ts") >= F.lit(HEAT_FROM).cast("timestamp_ntz"))
 
@@ -141,7 +141,7 @@ def gate_tagged(spark, sf_dir):
     return flagged.select(F.col("doc_id").alias("id"), gates.tagged(F.col("ai"), F.col("source"), ("src1",)).alias("reason"))
 
 
-@query(f"""WITH {ARTICLES}, t AS (SELECT topic_id, count(*) FILTER (gate_status = 'included') AS n_substantive, count(DISTINCT CASE WHEN gate_status <> 'excluded' THEN source_id END) <= 1 AS single, bool_or(id % 3 = 0) AS scored FROM art WHERE id < 100000000 GROUP BY topic_id)
+@query(f"""WITH {ARTICLES}, t AS (SELECT topic_id, count(*) FILTER (gate_status = 'included') AS n_substantive, count(DISTINCT CASE WHEN gate_status <> 'excluded' THEN source_id END) <= 1 AS single, bool_or(id % 3 = 0) AS scored FROM art GROUP BY topic_id)
 SELECT topic_id, n_substantive, single, CASE WHEN n_substantive < 4 THEN 'no_substantive_article' WHEN single THEN 'single_source_not_allowed' WHEN NOT scored THEN 'not_scored' ELSE '' END AS reason FROM t""")
 def gate_topic_ready(spark, sf_dir):
     return gates.topic_ready(articles(spark, sf_dir), F.col("id") % 3 == 0, min_substantive=4)

@@ -21,7 +21,7 @@ def _items(df: DataFrame, source: str, external: Column, title: Column, url: Col
 
 def rss(df: DataFrame, source: str, cutoff: str, max_items: int = 15) -> DataFrame:
     """The feed's first entries, then the date limit; no date counts as the cutoff; blank ones out."""
-    head = top_n(df, [F.lit(1)], [F.asc("position")], max_items)
+    head = df.orderBy("position").limit(max_items)
     body = html_to_text(F.coalesce(F.nullif(F.trim("content"), F.lit("")), F.nullif(F.trim("summary"), F.lit("")), "description"))
     when = F.coalesce(F.col("published").cast("timestamp"), F.col("updated").cast("timestamp"), F.lit(cutoff).cast("timestamp"))
     out = _items(head, source, F.col("link"), F.col("title"), F.col("link"), body, when, F.lit(None))
