@@ -147,3 +147,73 @@ def test_stream_adds_each_address_once_and_marks_late_rows(spark, tmp_path):
     rows = {r["dedupe_key"]: r["gate"]["status"] for r in spark.read.parquet(pool).collect()}
     assert rows == {"http://a": "included", "http://b": "signal_only", "http://c": "excluded"}
     assert spark.read.parquet(pool).count() == 3
+
+
+def plain_incremental(n, pairs, threshold):
+    topic = {}
+    for i in range(n):
+        hits = [topic[near] for _, near, s in sorted((p for p in pairs if p[0] == i and p[2] >= threshold), key=lambda p: (-p[2], p[1]))]
+        topic[i] = hits[0] if hits else i
+        topic = {k: hits[0] if t in hits else t for k, t in topic.items()}
+    return topic
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_incremental_like_one_pass(spark, seed):
+    rnd = random.Random(seed)
+    pairs = [(i, near, rnd.randint(0, 20) / 20) for i in range(1, 120) for near in rnd.sample(range(i), min(i, 2))]
+    ids = spark.createDataFrame([(k,) for k in range(120)], "id long").repartition(4)
+    df = spark.createDataFrame([*pairs, (7, 3, float("nan"))], "id long, near long, score double").repartition(4)
+    got = {r["id"]: r["topic"] for r in cluster.incremental(ids, df, 0.7).collect()}
+    assert got == plain_incremental(120, pairs, 0.7)
+
+
+@pytest.mark.parametrize("low", [None, 0.4])
+def test_resolve_like_one_pass(spark, low):
+    rnd = random.Random(3)
+    pairs = [(f"{i:03}", f"{o:03}", rnd.randint(0, 20) / 20, rnd.random() < 0.3) for i in range(1, 60) for o in rnd.sample(range(i), min(i, 6))]
+    names = spark.createDataFrame([(f"{i:03}",) for i in range(60)], "name string")
+    df = spark.createDataFrame(pairs, "name string, other string, score double, same boolean")
+    want = {}
+    for i in range(60):
+        name = f"{i:03}"
+        canon = [(s, o, same) for n, o, s, same in pairs if n == name and want[o] == o]
+        sure = max(((s, o) for s, o, _ in canon if s >= 0.7), default=None)
+        asked = sorted(((-s, o, same) for s, o, same in canon if low is not None and low < s < 0.7))[:3]
+        want[name] = sure[1] if sure else next((o for _, o, same in asked if same), name)
+    assert {r["name"]: r["canonical"] for r in cluster.resolve(names, df, 0.7, low).collect()} == want
+
+
+def test_ledger_holds_every_candidate(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["rotation_ledger"](spark, "/root/testdata/sf0.001").collect()
+    assert len({(r["key"], r["id"]) for r in rows}) == len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert all(8 <= sum(r["decision"] == "selected" for r in rows if r["key"] == f"issue{k}") <= 10 for k in range(4))
+    assert {r["reason"] for r in rows if r["decision"] == "rejected"} <= {"below_module_threshold", "content_type_quota_full", "group_quota_full", "tier_cap_full", "slots_full"}
+
+
+def test_floor_rounds(spark):
+    rows = [("k", i, "a", s, "x", "p") for i, s in ((1, 9.0), (2, 8.0), (3, 2.0), (4, 1.0))]
+    df = spark.createDataFrame(rows, "key string, id long, module string, score double, content_type string, tier string")
+    got = selection.rotate(df, [("a", "g")], total_max=4, min_score=6.0, types={"x": 1}, total_min=3).orderBy("place").collect()
+    assert [(r["id"], r["via"]) for r in got] == [(1, "rotation"), (2, "floor"), (3, "below_threshold")]
+
+
+def test_heat_of_articles_with_several_entities(spark):
+    rnd = random.Random(5)
+    rows = [(a % 6, a, rnd.choice(["A", " b", "c ", "d"]), rnd.random() < 0.6) for a in range(40) for _ in range(3)]
+    window = {a: w for _, a, _, w in rows}
+    df = spark.createDataFrame([(t, a, e, window[a]) for t, a, e, _ in rows], "topic_id long, article_id long, entity string, near boolean")
+    from topicflow.operators.scoring import entity_heat
+
+    own = {t: {e.strip().lower() for u, _, e, _ in rows if u == t} for t in range(6)}
+    want = {t: len({a for u, a, e, _ in rows if u != t and window[a] and e.strip().lower() in own[t]}) for t in range(6)}
+    assert {r["topic_id"]: r["heat"] for r in entity_heat(df, F.col("near")).collect()} == want
+
+
+def test_templates(spark):
+    with pytest.raises(KeyError):
+        text.rendered("{{a}} {{b}}", {"a": F.lit(1)})
+    assert one(spark, text.rendered("{{a}}-{{a}}", {"a": F.lit(None).cast("string")})) == "-"
+    assert one(spark, text.tagged_part(F.lit("no tags"), "user")) == ""

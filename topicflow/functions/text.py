@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +57,31 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
 
 def truncated(c: Column, n: int) -> Column:
     return F.left(c, F.lit(n))
+
+
+def rendered(template: str, values: dict[str, Column]) -> Column:
+    """A template's {{names}} filled from columns (null: nothing); a name without a column raises."""
+    parts = re.split(r"\{\{\s*(\w+)\s*\}\}", template)
+    if missing := set(parts[1::2]) - set(values):
+        raise KeyError(f"template variables without a value: {sorted(missing)}")
+    return F.concat(*[F.coalesce(values[p].cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+
+def tagged_part(text: Column, tag: str) -> Column:
+    """What stands between <tag> and </tag>, stripped; empty if there is no such part."""
+    return strip(F.regexp_extract(text, f"(?s)<{tag}>(.*?)</{tag}>", 1))
+
+
+def without_echo(sections: Column, heading: Column, paragraphs: Column) -> Column:
+    """Sections (heading, paragraphs) other than those that repeat the insight's heading or paragraphs."""
+    return F.filter(sections, lambda s: ~(s["heading"].eqNullSafe(heading) | s["paragraphs"].eqNullSafe(paragraphs)))
+
+
+def one_of(value: Column, allowed: list[str], otherwise: str) -> Column:
+    return F.when(value.isin(*allowed), value).otherwise(otherwise)
+
+
+def mapped_characters(c: Column, table: dict[str, str], keep: str = "") -> Column:
+    """Characters exchanged one by one, those in ``keep`` left alone."""
+    pairs = [(a, b) for a, b in table.items() if a not in keep]
+    return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))

@@ -46,9 +46,11 @@ def pruned(scores: DataFrame, total_max: int) -> DataFrame:
     return top_n(scores, ["key", "module", "content_type", "tier"], [F.desc("score"), F.asc("id")], total_max).select("key", "id").distinct()
 
 
-def rotate(scores: DataFrame, modules: list[tuple[str, str]], total_max: int = 10, per_module: int = 1, min_score: float = 6.0, types: dict[str, int] | None = None, tiers: dict[str, int] | None = None, groups: dict[str, int] | None = None) -> DataFrame:
+def rotate(scores: DataFrame, modules: list[tuple[str, str]], total_max: int = 10, per_module: int = 1, min_score: float = 6.0, types: dict[str, int] | None = None, tiers: dict[str, int] | None = None, groups: dict[str, int] | None = None, total_min: int = 0) -> DataFrame:
     """(key, place, id, via): module rotation, then a fill by total, under all caps.
 
+    Up to ``total_min`` a floor round goes on without caps, and a last one without the least score.
+
     ``scores`` is long: key, id, module, score, content_type, tier. ``modules`` are (name, group)
     in rotation order. A pick counts for its own best module's group, whichever module picked it.
     """
@@ -87,7 +89,37 @@ def rotate(scores: DataFrame, modules: list[tuple[str, str]], total_max: int = 1
                 break
             if i not in picked and wide.loc[i].max() >= min_score and fits(i):
                 take(i, "fill")
+        for via, least in (("floor", min_score), ("below_threshold", float("-inf"))):
+            for i in total.sort_values(ascending=False, kind="stable").index:
+                if len(picked) >= min(total_min, total_max):
+                    break
+                if i not in picked and wide.loc[i].max() >= least:
+                    take(i, via)
         rows = sorted(picked, key=lambda i: (-total[i], i))
         return pd.DataFrame({"key": pdf["key"].iloc[0], "place": range(1, len(rows) + 1), "id": rows, "via": [picked[i] for i in rows]})
 
     return scores.groupBy("key").applyInPandas(greedy, "key string, place long, id long, via string")
+
+
+def ledger(candidates: DataFrame, picks: DataFrame, min_score: float = 6.0, types: dict[str, int] | None = None, tiers: dict[str, int] | None = None, groups: dict[str, int] | None = None) -> DataFrame:
+    """(key, id, decision, reason) for every candidate (key, id, content_type, tier, grp, top_score).
+
+    Selected ones carry the round that took them; the others are judged by the final counters.
+    """
+    chosen = picks.select("key", "id", "via")
+    marked = candidates.join(chosen, ["key", "id"], "left")
+    out = marked
+    for col, caps in (("content_type", types), ("tier", tiers), ("grp", groups)):
+        used = marked.filter("via is not null").groupBy("key", col).agg(F.count("*").alias("n_"))  # a row per key and value at most
+        cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col(col)) if caps else F.lit(None).cast("int")
+        out = out.join(used, ["key", col], "left").withColumn(f"{col}_full", F.coalesce(F.coalesce("n_", F.lit(0)) >= cap, F.lit(False))).drop("n_")
+    why = attribution(F.col("top_score"), F.col("content_type_full"), F.col("grp_full"), F.col("tier_full"), min_score)
+    return out.select("key", "id", F.when(F.col("via").isNull(), "rejected").otherwise("selected").alias("decision"), F.coalesce("via", why).alias("reason"))
+
+
+def outcome(n_sources: Column, error: Column, coherent: Column, confidence: Column, tries: Column, again: float = 0.6, review: float = 0.8, most: int = 2) -> Column:
+    """What becomes of a generated article: a refusal, another try, a review or publication."""
+    return (
+        F.when(n_sources == 0, "insufficient_sources").when(error.isNotNull(), "generation_error").when(coherent.eqNullSafe(F.lit(False)), "failed_selfcheck")
+        .when((confidence < again) & (tries < most), "regenerate").when(confidence < review, "needs_review").otherwise("ready")
+    )

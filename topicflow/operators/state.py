@@ -37,3 +37,29 @@ def attach_issue(ledger: DataFrame, issue_date: str, cadence: str, issue_id: int
     """Ledger rows of that date and cadence without an issue get one."""
     hit = F.col("issue_id").isNull() & (F.col("issue_date") == issue_date) & (F.col("cadence") == cadence)
     return ledger.withColumn("issue_id", F.when(hit, F.lit(issue_id)).otherwise(F.col("issue_id")))
+
+
+def mark_published(topics: DataFrame, published: DataFrame, cadence: str) -> DataFrame:
+    """The cadence's issue column of the topics in ``published`` (topic_id, issue_id); the other column stays."""
+    col = "published_issue_id" if cadence == "daily" else "weekly_issue_id"
+    hit = published.groupBy("topic_id").agg(F.max("issue_id").alias("hit_"))
+    return topics.join(hit, "topic_id", "left").withColumn(col, F.coalesce("hit_", col)).drop("hit_")
+
+
+def save_release(old: DataFrame, checked: DataFrame, now: Column, vendor: Column) -> DataFrame:
+    """Release columns of the checked rows (id, is_release, vendor, kind): descriptors only of releases."""
+    yes = F.coalesce("is_release", F.lit(False))
+    fresh = checked.select("id", yes.alias("is_release"), F.when(yes, vendor).alias("vendor"), F.when(yes, F.col("kind")).alias("kind"), now.alias("checked_at"))
+    return upsert(old, fresh, "id")
+
+
+def split_members(articles: DataFrame, evicted: DataFrame, new_topic: Column) -> tuple[DataFrame, DataFrame]:
+    """Articles after the ``evicted`` (id) got topics of their own, and the topics whose scores are void."""
+    out = articles.join(evicted.select("id", F.lit(True).alias("out_")), "id", "left")
+    void = out.filter("out_").select("topic_id").distinct()
+    return out.withColumn("topic_id", F.when(F.col("out_"), new_topic).otherwise(F.col("topic_id"))).drop("out_"), void
+
+
+def new_issues(issues: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Wanted (issue_date, cadence) that no issue has yet."""
+    return wanted.join(issues.select("issue_date", "cadence").distinct(), ["issue_date", "cadence"], "left_anti")
