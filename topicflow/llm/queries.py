@@ -63,15 +63,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": TOP_K}
+    return {"op5_shards": SHARDS, "op6_topk": TOP_K}
 
 
-#: Integer inner products of all pairs of a query and another row.
+#: Inner products of all pairs of a query and another row; whole numbers, which doubles hold exactly.
 TOP_K = """
-WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([a * b FOR a, b IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+def _crc32_sql() -> str:
+    """CRC-32 of a text's UTF-8 bytes, four bits at a step; the steps' table follows from the polynomial."""
+
+    def after_four_bits(n: int) -> int:
+        for _ in range(4):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        return n
+
+    steps = "[" + ", ".join(f"{after_four_bits(n)}::UINTEGER" for n in range(16)) + "]"
+    step = lambda c, n: f"xor(({steps})[CAST(xor({c}, {n}) & 15 AS INTEGER) + 1], {c} >> 4)"
+    both = step(f"({step('c', 'b')})", "(b >> 4)")
+    octets = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '[0-9A-F]{2}'), lambda h: CAST('0x' || h AS UINTEGER))"
+    return f"xor(list_reduce({octets}, lambda c, b: {both}, 4294967295::UINTEGER), 4294967295::UINTEGER)"
+
+
+#: One window over all rows: the line of bytes, cut where a row's middle byte passes a target.
+SHARDS = f"""
+WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, CAST({_crc32_sql()} AS BIGINT) AS text_crc32 FROM documents),
+p AS (SELECT *, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS whole, row_number() OVER o AS nth
+      FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)),
+s AS (SELECT *, CAST(least(23, ((2 * before + size) * 24) // (2 * whole)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(nth - min(nth) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
