@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicflow.llm import decontam, packing, secrets, simhash, toxicity
+from topicflow.llm import decontam, nearcopies, packing, secrets, toxicity
 from topicflow.llm.common import materialize, table
 
 
@@ -18,10 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; rows without an id stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    rest = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, that of the smallest id; rows without an id come last."""
+    keyed = materialize(docs.withColumn("nth", F.monotonically_increasing_id()))
+    return nearcopies.one_of_each(keyed).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
