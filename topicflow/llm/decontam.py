@@ -5,7 +5,9 @@ shingle with an item of that length gets a SimHash fingerprint. A multi-index ov
 fingerprints, one table for each of ``radius + 1`` blocks of bits, yields all items within
 ``radius`` (two fingerprints that differ in at most ``radius`` bits agree in a block). A
 candidate is accepted by the exact similarity of its weighted shingles, 2*sum(min)/sum(both),
-at ``threshold``; a shingle's weight is its number of occurrences.
+at ``threshold``; a shingle's weight is its number of occurrences. A document shorter than an
+item is one window as a whole, compared by exact similarity with every such item that shares a
+shingle with it.
 
 Windows that share no shingle have similarity 0, so leaving them out loses nothing. Items come
 to the driver as the query set, in blocks of at most ``block_words`` words; each block is
@@ -89,6 +91,15 @@ class Group:
                 table[int((p >> a) & mask)].append(k)
             self.tables.append(table)
         self.counts = [Counter(h.tolist()) for _, h in items]
+        self._holders: dict[int, list[int]] = {}
+
+    def holders(self) -> dict[int, list[int]]:
+        """The items that have a shingle, by shingle; made when a shorter document asks first."""
+        if not self._holders:
+            for k, have in enumerate(self.counts):
+                for h in have:
+                    self._holders.setdefault(h, []).append(k)
+        return self._holders
 
     def near(self, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window, item, differing bits) for all within the radius."""
@@ -141,6 +152,7 @@ class Index:
     def _windows(self, g: Group, hashes: np.ndarray, at: np.ndarray, threshold: float, best: dict) -> None:
         n, last = g.length, len(hashes) - g.length
         if last < 0:
+            self._whole(g, hashes, threshold, best)
             return
         # windows that hold a hit, in stretches that do not touch
         lo, hi = np.maximum(at - n + 1, 0), np.minimum(at, last)
@@ -164,6 +176,24 @@ class Index:
                             best[item, k, g] = found
 
 
+    def _whole(self, g: Group, hashes: np.ndarray, threshold: float, best: dict) -> None:
+        """A document shorter than the items is its one window."""
+        n = len(hashes)
+        if 2 * n / (n + g.length) < threshold:
+            return
+        alike = Counter()
+        for h, c in Counter(hashes.tolist()).items():
+            for k in g.holders().get(h, ()):
+                alike[k] += min(c, g.counts[k][h])
+        for k, both in alike.items():
+            if 2 * both / (n + g.length) >= threshold:
+                bits = int(np.bitwise_count(folded(signs(hashes).sum(0)[None]) ^ g.prints[k])[0])
+                found = (2 * both / (n + g.length), 0, n + g.size - 1, bits)
+                item = g.items[k][0]
+                if (item, k, g) not in best or found > best[item, k, g]:
+                    best[item, k, g] = found
+
+
 def _blocks(items: list[tuple[int, bytes]], block_words: int) -> Iterator[list[tuple[int, bytes]]]:
     block, n = [], 0
     for item, text in items:
