@@ -207,11 +207,14 @@ def _blocks(items: list[tuple[int, bytes]], block_words: int) -> Iterator[list[t
         yield block
 
 
+def _items(benchmark: DataFrame) -> Iterator[tuple[int, bytes]]:
+    ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).orderBy("item_id", "text")
+    return ((r["item_id"], r["text"].encode("utf-8", "surrogatepass")) for r in ordered.toLocalIterator())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 23, block_words: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, similarity, word_start, n_words, differing_bits: the best window of each item in each document."""
     spark = docs.sparkSession
-    ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).orderBy("item_id", "text")
-    items = ((r["item_id"], r["text"].encode("utf-8", "surrogatepass")) for r in ordered.toLocalIterator())
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("word_start", pa.int64()), ("n_words", pa.int64()), ("differing_bits", pa.int32())])
     ddl = "doc_id long, item_id long, similarity double, word_start long, n_words long, differing_bits int"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -232,8 +235,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
         return rows.mapInArrow(run, ddl)
 
     found = None
-    for block in _blocks(items, block_words):
+    for block in _blocks(_items(benchmark), block_words):
         found = scan(block) if found is None else found.union(scan(block))
     return spark.createDataFrame([], ddl) if found is None else found.dropDuplicates()
 
 
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 23, block_words: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows that match an item; each row is decided by its own text, all columns kept."""
+    spark = docs.sparkSession
+
+    def clean(rows: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)  # at most block_words words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, words = Index(sent.value, size, radius), Words()
+            for b in batches:
+                texts = b.column(b.schema.get_field_index("text")).to_pylist()
+                yield b.filter(pa.array([not index.search(words((t or "").encode("utf-8", "surrogatepass")), threshold) for t in texts], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for block in _blocks(_items(benchmark), block_words):
+        docs = clean(docs, block)
+    return docs
