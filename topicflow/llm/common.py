@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +23,14 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; only where unset (tests) a local one."""
+    """Folder named by spark.checkpoint.dir; where unset, a local one in local mode (tests), else an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     return conf or spark.conf.get("topicflow.test.checkpoint.dir", None) or _local_dir(spark)
 
 
 def _local_dir(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="topicflow-ckpt-")
     spark.conf.set("topicflow.test.checkpoint.dir", path)
     return path
@@ -55,6 +58,13 @@ def per_worker(key: tuple, make):
     return kept[key]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` at most, so that few texts are Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,4 +74,4 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-__all__ = ["table", "text_or_empty", "shared_dir", "materialize", "per_worker", "shuffle_partitions", "batch"]
+__all__ = ["table", "text_or_empty", "shared_dir", "materialize", "per_worker", "slices", "shuffle_partitions", "batch"]

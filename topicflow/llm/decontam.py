@@ -43,7 +43,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words, cached."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 150_000):
         self.keep, self.cache = keep, {}
 
     def __call__(self, text: bytes) -> np.ndarray:

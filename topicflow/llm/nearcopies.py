@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, text_or_empty
+from .common import batch, materialize, slices, text_or_empty
 from .components import components
 from .decontam import Words, shingles
 
@@ -82,7 +82,7 @@ def common_shingles(docs: DataFrame, size: int, one_in: int = 16, keep: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 s, times = np.unique(np.concatenate([shingle_set(words(_bytes(t)), size) for t in b["text"]]), return_counts=True)
                 yield batch(schema, [pa.array(s.view(np.int64)), pa.array(times.astype(np.int64))])
@@ -104,7 +104,7 @@ def _scanned(docs: DataFrame, size: int) -> DataFrame:
         from xxhash import xxh64_intdigest as h
 
         (common, times), words, given = sent.value, Words(), set()
-        for b in batches:
+        for b in slices(batches):
             nodes, sizes, sketches, prefixes = [], [], [], []
             for t in b["text"]:
                 w = words(_bytes(t))
@@ -181,7 +181,7 @@ def _alike(pairs: DataFrame, contents: DataFrame, docs: DataFrame, size: int) ->
         from xxhash import xxh64_intdigest as h
 
         words = Words()
-        for b in batches:
+        for b in slices(batches):
             found = [words(_bytes(t)) for t in b["text"].filter(pa.array(_among(wanted.value, b["nth"].to_numpy())))]
             nodes = np.array([h(w.tobytes()) for w in found], np.uint64).view(np.int64)
             yield batch(schema, [pa.array(nodes), _lists([shingle_set(w, size) for w in found])])

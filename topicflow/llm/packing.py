@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, per_worker, text_or_empty
+from .common import batch, per_worker, slices, text_or_empty
 
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -45,7 +45,7 @@ class WordEncoder:
     parts in turn. Texts that may hold special tokens keep their case.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, m
             return b
 
         n_open = 0
-        for b in batches:
+        for b in slices(batches):
             ids_of, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
             for first, part in chunks(texts):
                 for d, ids in zip(ids_of[first:], encode(part)):
