@@ -116,8 +116,8 @@ def tree_scores(rows, depth):
     n = defaultdict(lambda: [0, 0])
     kids = defaultdict(set)
 
-    def steps(word):
-        b = b" " * depth + word
+    def steps(text):
+        b = b" " * depth + text
         for i in range(depth, len(b)):
             node = 1
             for k in range(7, -1, -1):
@@ -125,17 +125,16 @@ def tree_scores(rows, depth):
                 yield b[i - depth : i], node, bit
                 node = node * 2 + bit
 
-    def codes(t):
-        return [w + b" " for w in (t or "").encode().lower().split()] + [b"\n"]
+    def line(t):
+        return b" ".join([*(t or "").encode().lower().split(), b"\n"])
 
     for d, t in rows:
         if not held(d):
-            for w in codes(t):
-                for c, node, bit in steps(w):
-                    for k in range(depth + 1):
-                        n[c[depth - k :], node][bit] += 1
-                        if k:
-                            kids[c[depth - k + 1 :], node].add(c[depth - k :])
+            for c, node, bit in steps(line(t)):
+                for k in range(depth + 1):
+                    n[c[depth - k :], node][bit] += 1
+                    if k:
+                        kids[c[depth - k + 1 :], node].add(c[depth - k :])
     lg = math.lgamma
     pe = lambda a, b: lg(a + 0.5) + lg(b + 0.5) - lg(a + b + 1) - math.log(math.pi) if a + b else 0.0
     memo = {}
@@ -158,39 +157,54 @@ def tree_scores(rows, depth):
     out, seen = Counter(), {}
     for d, t in rows:
         total = 0.0
-        for w in codes(t):
-            if w not in seen:
-                seen[w] = sum(math.log10(predict(c, node, bit)) for c, node, bit in steps(w))
-            total += seen[w]
+        for x in steps(line(t)):
+            if x not in seen:
+                seen[x] = math.log10(predict(*x))
+            total += seen[x]
         out[d, round(total, 4)] += 1
     return out
 
 
-def test_context_tree(spark, real):
-    rows = real[:25] + [(None if d is None else d + 10_000, t) for d, t in awkward()]
-    for hot in (1 << 16, 5):
-        got = ctw.score(docs_of(spark, rows), depth=3, hot_strings=max(hot, 50), hot_words=hot).collect()
-        assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == base_scores(rows)
-        want = tree_scores(rows, 3)
-        mine = Counter((r["doc_id"], round(r["score"], 4)) for r in got)
-        assert len(got) == len(rows)
-        key = lambda x: (x[0] is None, x[0] or 0, x[1])
-        for a, b in zip(sorted(mine.elements(), key=key), sorted(want.elements(), key=key)):
-            assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-3
+@pytest.mark.parametrize("depth, hot, n", [(3, 1 << 16, 25), (3, 5, 25), (2, 5, 5), (ctw.DEPTH, 2000, 5)])
+def test_context_tree(spark, real, depth, hot, n):
+    """Contexts run across words; frequent and rare strings and words give the same scores."""
+    rows = real[:n] + [(None if d is None else d + 10_000, t) for d, t in awkward()]
+    got = ctw.score(docs_of(spark, rows), depth=depth, hot_strings=10 * hot, hot_words=hot).collect()
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == base_scores(rows)
+    want = tree_scores(rows, depth)
+    mine = Counter((r["doc_id"], round(r["score"], 4)) for r in got)
+    assert len(got) == len(rows)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for a, b in zip(sorted(mine.elements(), key=key), sorted(want.elements(), key=key)):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-3
+
+
+def test_context_tree_sees_the_order_of_words(spark):
+    texts = [(k, "alpha beta gamma delta " * 30) for k in range(10) if zlib.crc32(str(k).encode()) % 5 != 1]
+    new = [(d, t) for d, t in ((1000 + k, t) for k, t in enumerate(["alpha beta gamma delta", "delta gamma beta alpha"]))]
+    got = {r["doc_id"]: r["score"] for r in ctw.score(docs_of(spark, texts + new)).collect()}
+    assert got[1000] > got[1001] + 3
 
 
 def test_context_tree_estimates_are_proper(spark):
     """Over all bytes that can follow a context, probabilities add up to one."""
     got = ctw.score(docs_of(spark, []), depth=2)
     assert got.count() == 0
-    words = spark.createDataFrame([(bytearray(b"abab"), 4), (bytearray(b"ba"), 2)], "word binary, n long")
-    every = spark.range(256).selectExpr("id + 2105376 * 256L as s", "0L as n", "1L as types")  # context of three blanks
-    counts = ctw.string_counts(words, 3)
-    both = counts.union(every).groupBy("s").agg({"n": "sum", "types": "sum"}).toDF("s", "n", "types")
-    scores = {r["s"]: r["lg"] for r in ctw.string_scores(both, 3).collect()}
+    rows = spark.createDataFrame([("abab ba abab", False), ("ba", True)], "text string, held_out boolean")
+    every = spark.range(256).selectExpr("id + 2105376 * 256L as s", "0L as n", "1L as every")  # context of three blanks
+    counts = ctw.string_counts(rows, 3)
+    both = counts.union(every).groupBy("s").agg({"n": "sum", "every": "sum"}).toDF("s", "n", "every")
+    scores = {r["s"]: r["lg"] for r in ctw.string_scores(both.select("s", "n"), 3).collect()}
     assert abs(sum(10 ** v for s, v in scores.items() if s >> 8 == 2105376) - 1) < 1e-9
 
 
+def test_long_texts_are_cut_into_parts_with_their_contexts():
+    lines = [b"abc def \n", bytes(range(33, 120)) * 9, b"x \n"]
+    whole = [(int(s), int(k)) for a, b in ctw.strings(lines, 4) for s, k in zip(a, b)]
+    parts = [(int(s), int(k)) for a, b in ctw.strings(lines, 4, most=50) for s, k in zip(a, b)]
+    assert whole == parts and len(whole) == sum(map(len, lines))
+
+
 def plain_leaks(docs, items, threshold=0.8):
     words = lambda t: (t or "").encode().lower().split()
     out = {}

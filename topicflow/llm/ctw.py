@@ -1,16 +1,19 @@
 """Context-tree weighting over bytes, with counts of the whole training corpus.
 
-A text is its words: each word's bytes (A-Z lower-cased) and a blank, then one end. A byte is
-eight binary decisions; each of the 255 decision nodes has a context tree over the last
-``depth`` bytes of the word (blanks before its beginning). A tree node mixes its own
+A text is its words (A-Z lower-cased), each followed by a blank, then one end. A byte is eight
+binary decisions; each of the 255 decision nodes has a context tree over the last ``depth`` bytes
+of the text, across blanks and words (blanks before the beginning). A tree node mixes its own
 Krichevsky-Trofimov estimate with what its children say: the block probability is
 ``Pw = 1/2 Pe + 1/2 prod Pw(child)``, and the prediction weighs the node's estimate by
-``Pe / (2 Pw)``, at every depth. Since contexts stop at the word's beginning, a word's code length
-is one number: trees are built from word counts and applied to each distinct word once.
+``Pe / (2 Pw)``, at every depth. The counts are those of all training rows, held fixed while texts
+are scored.
 
-All of it is Spark work: counts, tree levels (one aggregation each, upward, one join each,
-downward) and look-ups are DataFrames whose size follows the input. Broadcast are the
-``hot_strings`` and ``hot_words`` most frequent entries, to save shuffling; the rest is joined.
+Steps, all Spark work whose size follows the input: tasks count strings of ``depth + 1`` bytes
+(context and byte) and combine them before the shuffle; the tree goes up and down two levels of
+bytes at a time, dealt by the shorter context, so that a group has at most 65,536 contexts of 255
+nodes however large the corpus; texts look their strings up. Broadcast are the strings (and, for
+the base score, words) that are frequent enough for at most ``hot_strings`` (``hot_words``) of
+them to be so; the rest is joined.
 
 Defined results: null text counts as empty, which is an end alone; a null doc_id is trained
 on; repeated rows count and are scored each; without training rows all estimates are even;
@@ -28,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, text_or_empty
+from .common import batch, materialize, shuffle_partitions, slices, text_or_empty
 
-BLANK, END = 0x20, 0x0A
+BLANK = 0x20
 LN_HALF = math.log(0.5)
+DEPTH = 6  # a string of context and byte fits a long
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(folds: int = 5) -> Column:
@@ -64,181 +69,366 @@ def word_counts(rows: DataFrame, keep: int = 300_000) -> DataFrame:
     return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def strings(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context and byte as one number, index of the word) for every byte of every word and its blank."""
+def line_of(words: list[bytes]) -> bytes:
+    return b" ".join([*words, b"\n"])
+
+
+def strings(lines: list[bytes], depth: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(string, index of its line) for every byte of every line, in parts of about ``most`` bytes.
+
+    A string is a number: the nearest byte of the context is the most significant, the byte
+    itself the least, so that contexts with a common ending are neighbours.
+    """
+    if not 0 < depth <= DEPTH:
+        raise ValueError(f"depth must lie in 1..{DEPTH}")
     pad = bytes([BLANK]) * depth
-    line = np.frombuffer(pad + b"".join(w + pad for w in words), np.uint8).astype(np.uint64)
-    n = np.fromiter(map(len, words), np.int64, len(words))
+    line = np.frombuffer(pad + pad.join(lines), np.uint8)
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
     first = depth + np.cumsum(n + depth) - (n + depth)
-    owner = np.repeat(np.arange(len(words)), n + 1)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1) + np.repeat(first, n + 1)
-    key = np.zeros(len(at), np.uint64)
-    for k in range(depth, -1, -1):
-        key = (key << np.uint64(8)) | line[at - k]
-    return key.view(np.int64), owner
+    if n.sum() <= 2 * most:
+        owner = np.repeat(np.arange(len(lines)), n)
+        at = np.arange(len(owner)) + np.repeat(first - (np.cumsum(n) - n), n)
+        yield _strings_at(line, depth)[at - depth], owner
+        return
+    for k in range(len(lines)):  # long texts come alone, in parts
+        for s in range(0, int(n[k]), most):
+            z = min(int(n[k]), s + most)
+            part = _strings_at(line[first[k] + s - depth : first[k] + z], depth)
+            yield part, np.full(len(part), k)
+
+
+def _strings_at(line: np.ndarray, depth: int) -> np.ndarray:
+    """Strings of all places from ``depth`` on."""
+    wide = line.astype(np.uint64)
+    key = wide[depth:].copy()
+    for j in range(1, depth + 1):
+        key |= wide[depth - j : len(wide) - j] << np.uint64(8 * (depth + 1 - j))
+    return key.view(np.int64)
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(s, n, every) summed by s."""
+    s, n, every = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(s, kind="stable")
+    s = s[order]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+    return s[start], *(np.add.reduceat(x[order], start) if len(start) else x for x in (n, every))
+
+
+def string_counts(rows: DataFrame, depth: int, keep: int = 4_000_000) -> DataFrame:
+    """(s, n, every): strings of ``rows`` (text, held_out); n times in training rows, ``every`` times in all."""
+    schema = pa.schema([("s", pa.int64()), ("n", pa.int64()), ("every", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        lines: tuple[list[bytes], list[bytes]] = ([], [])
+        n_bytes = 0
+
+        def count() -> None:
+            for out in (0, 1):
+                for s, _ in strings(lines[out], depth) if lines[out] else ():
+                    u, c = np.unique(s, return_counts=True)
+                    held.append((u, c * (1 - out), c))
+                lines[out].clear()
+            if len(held) > 8 or sum(len(x[0]) for x in held) > keep:
+                held[:] = [_merged(held)]
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            s, n, every = _merged(held)
+            for k in range(0, len(s), 200_000):
+                yield batch(schema, [pa.array(x[k : k + 200_000]) for x in (s, n, every)])
+            held.clear()
+
+        for b in slices(batches):
+            for text, out in zip(b["text"], b["held_out"].to_pylist()):
+                line = line_of(_words(text))
+                lines[out].append(line)
+                n_bytes += len(line)
+                if n_bytes > 1 << 21:
+                    count()
+                    n_bytes = 0
+            if held and len(held[0][0]) > keep:
+                yield from emit()
+        count()
+        if held:
+            yield from emit()
+
+    return rows.mapInArrow(run, "s long, n long, every long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+
+
+def _ln_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series at x + 8, brought back by the product of x .. x + 7."""
+    y = x + 8.0
+    product = x.copy()
+    for k in range(1, 8):
+        product *= x + k
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
+
+
+def estimated(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """ln Pe by Krichevsky and Trofimov."""
+    le = _ln_gamma(zeros + 0.5) + _ln_gamma(ones + 0.5) - _ln_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    return np.where(zeros + ones == 0, 0.0, le)
+
+
+class Levels:
+    """The nodes of whole subtrees, from the longest context (level ``high``) to level ``low``.
+
+    A node's key is its context and its decision node, eight bits: dropping the farthest byte
+    of the context gives its parent.
+    """
+
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, le: np.ndarray, lw: np.ndarray, high: int, low: int):
+        self.high, self.low = high, low
+        self.nodes = [(key, zeros, ones, le, lw)]
+        self.parent: list[np.ndarray] = []
+        for _ in range(high - low):
+            key, zeros, ones, _, lw = self.nodes[-1]
+            up, to = np.unique(((key >> 16) << 8) | (key & 255), return_inverse=True)
+            z, o, below = (np.bincount(to, x, len(up)) for x in (zeros, ones, lw))
+            le = estimated(z, o)
+            self.parent.append(to)
+            self.nodes.append((up, z, o, le, np.logaddexp(le, below) + LN_HALF))
+
+    def predictions(self, depth: int, p0: np.ndarray | None, taken: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(p0, taken) of the nodes at ``high``: the estimates' shares down to there, and the share given away.
+
+        ``p0`` and ``taken`` are those of the nodes at ``low``; none at the root.
+        """
+        for d in range(self.low, self.high + 1):
+            _, z, o, le, lw = self.nodes[self.high - d]
+            share = np.ones(len(z)) if d == depth else np.exp(np.minimum(le - lw + LN_HALF, 0.0))
+            kt = (z + 0.5) / (z + o + 1.0)
+            if d == self.low:
+                if p0 is None:
+                    p0, taken = share * kt, share
+                continue
+            to = self.parent[self.high - d]
+            part = (1 - taken[to]) * share
+            p0, taken = p0[to] + part * kt, taken[to] + part
+        return p0, taken
 
-def string_counts(vocabulary: DataFrame, depth: int) -> DataFrame:
-    """(s, n, types): context-and-byte strings, weighted by word counts, and in how many words they are."""
-    schema = pa.schema([("s", pa.int64()), ("n", pa.int64()), ("types", pa.int64())])
 
-    def summed(words: list[bytes], weights: list[int]) -> pa.RecordBatch:
-        key, owner = strings(words, depth)
-        s, inverse, types = np.unique(key, return_inverse=True, return_counts=True)
-        n = np.zeros(len(s), np.int64)
-        np.add.at(n, inverse, np.array(weights, np.int64)[owner])
-        return batch(schema, [pa.array(s), pa.array(n), pa.array(types.astype(np.int64))])
+def leaves(s: np.ndarray, n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """Nodes (key, zeros, ones, le, lw) of the strings' contexts; per string and decision its node's place and bit."""
+    byte, context = s & 255, s >> 8
+    t = np.arange(8)[:, None]
+    node = (1 << t) | (byte >> (8 - t))
+    bit = (byte >> (7 - t)) & 1
+    key, to = np.unique(((context << 8) | node).ravel(), return_inverse=True)
+    to = to.reshape(8, -1)
+    weights = np.broadcast_to(n.astype(float), to.shape)
+    zeros, ones = (np.bincount(to.ravel(), (weights * (bit == b)).ravel(), len(key)) for b in (0, 1))
+    le = estimated(zeros, ones)
+    return (key, zeros, ones, le, le), to, bit
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
-        weights: list[int] = []
-        for b in batches:
-            words += b["word"].to_pylist()
-            weights += b["n"].to_pylist()
-            if len(words) > 100_000:
-                yield summed(words, weights)
-                words, weights = [], []
-        if words:
-            yield summed(words, weights)
 
-    return vocabulary.mapInArrow(run, "s long, n long, types long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("types").alias("types"))
+NODES = pa.schema([("key", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("le", pa.float64()), ("lw", pa.float64())])
+ABOVE = pa.schema([("key", pa.int64()), ("p0", pa.float64()), ("taken", pa.float64())])
+SCORES = pa.schema([("s", pa.int64()), ("lg", pa.float64())])
 
 
-def _ln_gamma(x: Column) -> Column:
-    """Stirling's series at x + 8, brought back by the product of x .. x + 7."""
-    y = x + 8.0
-    product = x
-    for k in range(1, 8):
-        product = product * (x + float(k))
-    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0))) - F.ln(product)
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'double'}" for f in schema)
 
 
-def _estimated() -> Column:
-    """ln Pe of (zeros, ones) by Krichevsky and Trofimov."""
-    a, b = F.col("zeros").cast("double"), F.col("ones").cast("double")
-    return F.when(F.col("zeros") + F.col("ones") == 0, F.lit(0.0)).otherwise(_ln_gamma(a + 0.5) + _ln_gamma(b + 0.5) - _ln_gamma(a + b + 1.0) - math.log(math.pi))
+def _dealt(rows: DataFrame, context: Column) -> DataFrame:
+    """Rows by group, the contexts that end alike."""
+    return rows.withColumn("g", context).repartition(shuffle_partitions(rows.sparkSession), "g").sortWithinPartitions("g")
 
 
-def _decisions(counts: DataFrame) -> DataFrame:
-    """s, n, context, node (1..255), bit for the eight decisions of every string's byte."""
-    byte = F.col("s").bitwiseAND(F.lit(255)).cast("int")
-    each = counts.select("s", "n", F.shiftright("s", 8).alias("context"), byte.alias("byte"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("t"))
-    node = F.expr("(shiftleft(1, t) | shiftrightunsigned(byte, 8 - t))")
-    return each.select("s", "n", "context", node.alias("node"), F.expr("shiftrightunsigned(byte, 7 - t) & 1").alias("bit"))
+def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[pa.Table]:
+    """Tables of ``least`` rows or more that end where a group does."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < least:
+            continue
+        g = b["g"].to_numpy()
+        cut = int(np.searchsorted(g, g[-1]))
+        if cut or len(held) > 1 and held[-2]["g"][-1].as_py() != g[0]:
+            yield pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
+            held = [b.slice(cut)]
+            n = held[0].num_rows
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def string_scores(counts: DataFrame, depth: int) -> DataFrame:
-    """(s, lg): log10 of the weighted probability of each string's byte after its context."""
-    decisions = _decisions(counts)
-    leaves = decisions.groupBy("context", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
-    levels = {depth: materialize(leaves.withColumn("le", _estimated()).withColumn("lw", F.col("le")))}
-    for d in range(depth - 1, -1, -1):  # upward: a node's block probability from its children's
-        shorter = F.col("context").bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        up = levels[d + 1].groupBy(shorter.alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("lw").alias("below"))
-        up = up.withColumn("le", _estimated())
-        both = F.greatest("le", "below") + F.log1p(F.exp(-F.abs(F.col("le") - F.col("below"))))
-        levels[d] = materialize(up.withColumn("lw", both + LN_HALF).drop("below"))
-
-    share = F.exp(F.col("le") - F.col("lw") + LN_HALF)  # of the node's own estimate
-    kt = (F.col("zeros") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
-    above = None
-    for d in range(depth + 1):  # downward: p0 gathers the estimates' shares, rest is still open
-        own = F.lit(1.0) if d == depth else share
-        here = levels[d].select("context", "node", own.alias("share"), kt.alias("kt"))
-        if above is None:
-            above = here.select("context", "node", (F.col("share") * F.col("kt")).alias("p0"), F.col("share").alias("taken"))
-        else:
-            here = here.withColumn("parent", F.col("context").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1)))
-            up = above.select(F.col("context").alias("parent"), "node", F.col("p0").alias("q0"), F.col("taken").alias("q"))
-            part = (1 - F.col("q")) * F.col("share")
-            above = here.join(up, ["parent", "node"]).select("context", "node", (F.col("q0") + part * F.col("kt")).alias("p0"), (F.col("q") + part).alias("taken"))
-    p = F.when(F.col("bit") == 0, F.col("p0")).otherwise(1 - F.col("p0"))
-    return decisions.join(above, ["context", "node"]).groupBy("s").agg(F.sum(F.log10(p)).alias("lg"))
-
-
-def word_scores(vocabulary: DataFrame, counts: DataFrame, scores: DataFrame, depth: int, hot_strings: int) -> DataFrame:
-    """(word, n, lg): the log10 probability of every word and its blank."""
-    spark = vocabulary.sparkSession
-    hot = counts.join(scores, "s").orderBy(F.desc("types"), "s").limit(hot_strings).select("s", "lg").toArrow()
-    s, lg = hot["s"].to_numpy(), hot["lg"].to_numpy()
-    order = np.argsort(s)
-    sent = spark.sparkContext.broadcast((s[order], lg[order]))  # at most hot_strings entries
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("lg", pa.float64()), ("rest", pa.list_(pa.int64()))])
+def _numbers(table: pa.Table, names: list[str]) -> list[np.ndarray]:
+    return [table[c].to_numpy() for c in names]
+
+
+def _parts(schema: pa.Schema, columns: list[np.ndarray], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), rows):
+        yield batch(schema, [pa.array(x[k : k + rows]) for x in columns])
+
+
+def _upward(rows: DataFrame, high: int, low: int, leaf: bool) -> DataFrame:
+    """Nodes at level ``low`` from strings (leaf) or from nodes at level ``high``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = sent.value
-        for b in batches:
-            words = b["word"].to_pylist()
-            if not words:
-                continue
-            key, owner = strings(words, depth)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            known = keys[at] == key
-            total = np.bincount(owner[known], values[at[known]], len(words))
-            cold, whose = key[~known], owner[~known]
-            offsets = np.searchsorted(whose, np.arange(len(words) + 1))
-            rest = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(cold))
-            yield batch(schema, [b["word"], b["n"], pa.array(total), rest])
+        for table in _whole_groups(batches):
+            nodes = leaves(*_numbers(table, ["s", "n"]))[0] if leaf else _numbers(table, NODES.names)
+            yield from _parts(NODES, list(Levels(*nodes, high, low).nodes[-1]))
+
+    column = F.col("s") if leaf else F.col("key")
+    return materialize(_dealt(rows, F.shiftright(column, 8 * (high - low + 1))).mapInArrow(run, _ddl(NODES)))
+
 
-    looked = materialize(vocabulary.mapInArrow(run, "word binary, n long, lg double, rest array<long>"))
-    cold = looked.filter(F.size("rest") > 0).select("word", F.explode("rest").alias("s")).join(scores, "s").select("word", F.lit(0).cast("long").alias("n"), "lg")
-    return looked.select("word", "n", "lg").union(cold).groupBy("word").agg(F.sum("n").alias("n"), F.sum("lg").alias("lg"))
+def _downward(rows: DataFrame, above: DataFrame | None, high: int, low: int, depth: int, leaf: bool) -> DataFrame:
+    """Predictions at level ``high``, or (leaf) the strings' scores, from those at level ``low``."""
+    names = ["s", "n"] if leaf else NODES.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            own = table["up"].to_numpy() == 0
+            key, p0, taken = (x[~own] for x in _numbers(table, ["up_key", "p0", "taken"]))
+            mine = [x[own] for x in _numbers(table, names)]
+            nodes, to, bit = leaves(*mine) if leaf else (mine, None, None)
+            levels = Levels(*nodes, high, low)
+            if len(key):
+                order = np.argsort(key)
+                at = order[np.searchsorted(key[order], levels.nodes[-1][0])]
+                p0, taken = levels.predictions(depth, p0[at], taken[at])
+            else:
+                p0, taken = levels.predictions(depth, None, None)
+            if leaf:
+                p = np.where(bit == 0, p0[to], 1 - p0[to])
+                yield from _parts(SCORES, [mine[0], np.log10(p).sum(0)])
+            else:
+                yield from _parts(ABOVE, [nodes[0], p0, taken])
+
+    column = F.col("s") if leaf else F.col("key")
+    blank = {"up_key": "long", "p0": "double", "taken": "double"}
+    own = rows.select(*names, F.shiftright(column, 8 * (high - low + 1)).alias("g"), F.lit(0).alias("up"), *[F.lit(0).cast(t).alias(c) for c, t in blank.items()])
+    if above is not None:
+        types = {f.name: f.dataType.simpleString() for f in rows.schema}
+        own = own.unionByName(above.select(*[F.lit(0).cast(types[c]).alias(c) for c in names], F.shiftright("key", 8).alias("g"), F.lit(1).alias("up"), F.col("key").alias("up_key"), "p0", "taken"))
+    return materialize(_dealt(own, F.col("g")).mapInArrow(run, _ddl(SCORES if leaf else ABOVE)))
 
 
-def score(docs: DataFrame, depth: int = 5, folds: int = 5, hot_strings: int = 1 << 19, hot_words: int = 1 << 16) -> DataFrame:
+def string_scores(counts: DataFrame, depth: int) -> DataFrame:
+    """(s, lg): log10 of the weighted probability of each string's byte after its context."""
+    cuts = [*range(depth, 0, -2), 0]  # two levels a step: at most 65,536 contexts in a group
+    nodes = [counts]
+    for high, low in zip(cuts[:-2], cuts[1:-1]):
+        nodes.append(_upward(nodes[-1], high, low, len(nodes) == 1))
+    above = None
+    for k in range(len(cuts) - 2, -1, -1):
+        above = _downward(nodes[k], above, cuts[k], cuts[k + 1], depth, k == 0)
+    return above
+
+
+def most_frequent(rows: DataFrame, count: str, limit: int) -> DataFrame:
+    """Rows of the highest counts, all those of a class of counts or none, ``limit`` at most; no row is sorted."""
+    c = F.col(count)
+    kind = F.when(c < 1024, c).otherwise(1024 + F.floor(F.log2(c.cast("double") / 1024) * 64)).cast("int")
+    sizes = rows.filter(c > 0).groupBy(kind.alias("kind")).count().collect()  # under 4,500 classes
+    left, least = limit, None
+    for r in sorted(sizes, key=lambda r: -r["kind"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["kind"]
+    return rows.filter(F.lit(False)) if least is None else rows.filter((c > 0) & (kind >= least))
+
+
+class Table:
+    """Look-up of strings: a slot for each by a multiplied hash, the more frequent first; a sorted list for the rest."""
+
+    def __init__(self, s: np.ndarray, lg: np.ndarray):
+        """``s`` by ascending frequency."""
+        self.bits = max(8, int(len(s)).bit_length() + 1)
+        self.slot_s, self.slot_lg = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        at = self._slots(s)
+        self.slot_s[at] = s  # of equal slots the last stays
+        won = self.slot_s[at] == s
+        self.slot_lg[at[won]] = lg[won]
+        order = np.argsort(s[~won])
+        self.rest_s, self.rest_lg = s[~won][order], lg[~won][order]
+
+    def _slots(self, s: np.ndarray) -> np.ndarray:
+        return ((s.view(np.uint64) * SPREAD) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, which are known)."""
+        at = self._slots(s)
+        known = self.slot_s[at] == s
+        lg = np.where(known, self.slot_lg[at], 0.0)
+        miss = np.flatnonzero(~known)
+        if len(miss) and len(self.rest_s):
+            x = s[miss]
+            p = np.minimum(np.searchsorted(self.rest_s, x), len(self.rest_s) - 1)
+            hit = self.rest_s[p] == x
+            lg[miss[hit]] = self.rest_lg[p[hit]]
+            known[miss[hit]] = True
+        return lg, known
+
+
+def score(docs: DataFrame, depth: int = DEPTH, folds: int = 5, hot_strings: int = 1 << 20, hot_words: int = 1 << 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(folds).alias("held_out"), text_or_empty().alias("text"))
     ends = rows.filter(~F.col("held_out")).count()
-    vocabulary = materialize(word_counts(rows.select("text", "held_out")))
-    seen = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    words = materialize(word_counts(rows.select("text", "held_out")))
+    seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, distinct = seen[0] + ends, seen[1] + (ends > 0)
     least = math.log10(1 / (tokens + 0.5 * (distinct + 1)))
     base = lambda n: math.log10(n + 0.5) + least
-
-    end_string = int.from_bytes(bytes([BLANK]) * depth + bytes([END]), "big")
-    end_row = spark.createDataFrame([(end_string, ends, 1)], "s long, n long, types long")
-    counts = materialize(string_counts(vocabulary, depth).union(end_row))
-    scores = materialize(string_scores(counts, depth))
-    end_lg = scores.filter(F.col("s") == end_string).first()["lg"]
-    words = materialize(word_scores(vocabulary, counts, scores, depth, hot_strings))
-    known = {bytes(r["word"]): (r["n"], r["lg"]) for r in words.filter("n > 0").orderBy(F.desc("n"), "word").limit(hot_words).collect()}
-    sent = spark.sparkContext.broadcast(known)  # at most hot_words entries
+    known = {bytes(r["word"]): r["n"] for r in most_frequent(words, "n", hot_words).collect()}
+    sent_words = spark.sparkContext.broadcast(known)  # at most hot_words entries
+
+    counts = materialize(string_counts(rows.select("text", "held_out"), depth))
+    scores = string_scores(counts.select("s", "n"), depth)
+    hot = scores.join(most_frequent(counts, "every", hot_strings).select("s", "every"), "s").toArrow()  # at most hot_strings rows
+    order = np.argsort(hot["every"].to_numpy(), kind="stable")
+    sent_strings = spark.sparkContext.broadcast((hot["s"].to_numpy()[order], hot["lg"].to_numpy()[order]))
     schema = pa.schema(
         [("nth", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lg", pa.float64())]
-        + [("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))]
+        + [("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("strings", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = {w: (n, base(n), lg) for w, (n, lg) in sent.value.items()}
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part, out = b.slice(k, 500), []
-                for nth, d, held, text in zip(part["nth"].to_pylist(), part["doc_id"].to_pylist(), part["held_out"].to_pylist(), part["text"]):
-                    own = _words(text)
-                    n_known, total, lg, cold = int(ends > 0), base(ends), end_lg, []
-                    for w, n in Counter(own).items():
-                        got = hot.get(w)
-                        if got is None:
-                            cold.append((w, n))
-                        else:
-                            n_known += n
-                            total += n * got[1]
-                            lg += n * got[2]
-                    out.append((nth, d, held, len(own) + 1, sum(map(len, own)) + len(own) + 1, n_known, total, lg, [w for w, _ in cold], [n for _, n in cold]))
-                yield batch(schema, [list(c) for c in zip(*out)])
-
-    ddl = "nth long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, lg double, words array<binary>, times array<int>"
+        hot, table = {w: (n, base(n)) for w, n in sent_words.value.items()}, Table(*sent_strings.value)
+        for part in slices(batches):
+            out, lines = [], []
+            for nth, d, held, text in zip(part["nth"].to_pylist(), part["doc_id"].to_pylist(), part["held_out"].to_pylist(), part["text"]):
+                own = _words(text)
+                n_known, total, cold = int(ends > 0), base(ends), []
+                for w, n in Counter(own).items():
+                    got = hot.get(w)
+                    if got is None:
+                        cold.append((w, n))
+                    else:
+                        n_known += n
+                        total += n * got[1]
+                lines.append(line_of(own))
+                out.append((nth, d, held, len(own) + 1, len(lines[-1]), n_known, total, [w for w, _ in cold], [n for _, n in cold]))
+            lg, rest, whose = np.zeros(len(out)), [], []
+            for s, owner in strings(lines, depth):
+                value, ok = table(s)
+                lg += np.bincount(owner, value, len(out))
+                rest.append(s[~ok])
+                whose.append(owner[~ok])
+            offsets = np.searchsorted(np.concatenate(whose), np.arange(len(out) + 1)).astype(np.int32)
+            columns = [list(c) for c in zip(*out)]
+            yield batch(schema, [*columns[:7], pa.array(lg), *columns[7:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rest)))])
+
+    ddl = "nth long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, lg double, words array<binary>, times array<int>, strings array<long>"
     looked = materialize(rows.withColumn("nth", F.monotonically_increasing_id()).mapInArrow(run, ddl))
-    cold = looked.select("nth", F.explode(F.arrays_zip("words", "times")).alias("x")).select("nth", F.col("x.words").alias("word"), F.col("x.times").alias("times")).join(words, "word")
     n = F.col("n").cast("double")
-    summed = cold.groupBy("nth").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).cast("long").alias("n_known"), F.sum(F.col("times") * (F.log10(n + 0.5) + least)).alias("base"), F.sum(F.col("times") * F.col("lg")).alias("lg")
-    )
-    fixed = ["doc_id", "held_out", "n_tokens", "n_bytes"]
-    types = {"doc_id": "long", "held_out": "boolean", "n_tokens": "long", "n_bytes": "long"}
-    both = looked.select("nth", *fixed, "n_known", "base", "lg").unionByName(summed.select("nth", *[F.lit(None).cast(types[c]).alias(c) for c in fixed], "n_known", "base", "lg"))
-    whole = both.groupBy("nth").agg(*[F.max(c).alias(c) for c in fixed], *[F.sum(c).alias(c) for c in ("n_known", "base", "lg")])
+    rare = looked.select("nth", F.explode(F.arrays_zip("words", "times")).alias("x")).select("nth", F.col("x.words").alias("word"), F.col("x.times").alias("times")).join(words, "word")
+    by_word = rare.groupBy("nth").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).cast("long").alias("n_known"), F.sum(F.col("times") * (F.log10(n + 0.5) + least)).alias("base"))
+    by_string = looked.select("nth", F.explode("strings").alias("s")).join(scores, "s").groupBy("nth").agg(F.sum("lg").alias("lg"))
+    fixed = {"doc_id": "long", "held_out": "boolean", "n_tokens": "long", "n_bytes": "long"}
+    summed = {"n_known": "long", "base": "double", "lg": "double"}
+    empty = lambda have: [F.lit(None).cast(t).alias(c) for c, t in (fixed | summed).items() if c not in have]
+    every = looked.select("nth", *fixed, *summed)
+    every = every.unionByName(by_word.select("nth", "n_known", "base", *empty(("n_known", "base")))).unionByName(by_string.select("nth", "lg", *empty(("lg",))))
+    whole = every.groupBy("nth").agg(*[F.max(c).alias(c) for c in fixed], *[F.sum(c).alias(c) for c in summed])
     return whole.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lg").alias("score"), (-F.col("lg") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte")
     )
