@@ -279,6 +279,42 @@ def test_toxicity_learns_words_beginnings_and_exceptions(spark):
     assert {r["predicted"] for r in toxicity.score(df, nothing).collect()} == {0}
 
 
+def plain_toxicity(text, model):
+    """Every term and phrase tried at every word."""
+    line = toxicity.folded(text or "")
+    starts = [k for k, c in enumerate(line[:-1]) if c == " "]
+    free = [(m.start(), m.start() + len(x) - 1) for x in model.exceptions for m in re.finditer(f"(?={x})", line)]
+    under = {s for a, z in free for s in range(a, z)}  # a phrase's last blank begins the next word
+    total = 0.0
+    for s in starts:
+        own = [t for t in model.terms if line.startswith(t, s)]
+        if own and s not in under:
+            total += model.terms[max(own, key=len)]
+    x = math.log1p(100 * total / (line.count(" ") - 1 + 20)) if total > 0 else 0.0
+    return 1 / (1 + math.exp(-max(-30, min(30, model.intercept + model.slope * x))))
+
+
+def test_toxicity_scores_are_those_of_plain_search(spark, rows):
+    terms = {" the ": 0.5, " the": 0.25, " w1": 1.0, " w12": 1.5, " one ": 2.0, " two ": 1.25, " and ": 0.75}
+    model = toxicity.Model(terms, frozenset({" one two ", " w7x w8x ", " w11x w12x ", " and the ", " the the "}), -3.0, 2.0)
+    docs = rows + [(50_000, "one two one one two three two one"), (50_001, "the the the and the the"), (50_001, "the the the and the the"), (50_002, "one " * 30_000 + "two")]
+    got = toxicity.score(docs_of(spark, docs), model).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = sorted(((d, plain_toxicity(t, model)) for d, t in docs), key=key)
+    mine = sorted(((r["doc_id"], r["score"]) for r in got), key=key)
+    assert [d for d, _ in mine] == [d for d, _ in want] and max(abs(a[1] - b[1]) for a, b in zip(mine, want)) < 1e-12
+    assert toxicity.score(docs_of(spark, []), model).count() == 0
+
+
+def test_toxicity_is_linear_in_the_text():
+    import time
+
+    lexicon = toxicity.Lexicon({" one ": 1.0, " two ": 1.0}, frozenset({" one two "}))
+    began = time.perf_counter()
+    lexicon.measure("one two two " * 100_000)
+    assert time.perf_counter() - began < 10
+
+
 def test_shards(spark, rows):
     got = sharding.shard_by_bytes(docs_of(spark, rows), shards=5).collect()
     size = lambda t: len((t or "").encode()) + 8
@@ -318,6 +354,23 @@ def test_top_k(spark):
     assert len(few) == 2
 
 
+def test_top_k_of_any_finite_vectors(spark):
+    """Large components, several dimensions, repeated rows and queries, other columns."""
+    rng = np.random.default_rng(6)
+    vectors = [(k, rng.normal(0, 0.2, 4).tolist()) for k in range(60)] + [(60, [2.0, -3.7, 0.0, 1e6]), (61, [-1e6, 5.0, 2.0, -2.0]), (80, [0.0] * 4), (81, [1e4, 1e4, 0.5, -0.5])]
+    vectors += [(100 + k, rng.normal(0, 0.2, 6).tolist()) for k in range(30)] + [(200, []), (201, []), (40, vectors[40][1]), (41, vectors[41][1])]
+    lost = [(220, [1e30, 0.0, 0.0, 0.0])]
+    rows = [(i, [float(np.float32(x)) for x in v], "q", 7, 8) for i, v in vectors + lost]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id string, score long, dim int").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, row_block=16, query_block=2).collect())
+    q = [(i, [math.floor(64 * x) for x in v]) for i, v, *_ in rows if i != 220]
+    want = []
+    for a, x in {(i, tuple(v)) for i, v in q if i % 20 == 0}:
+        best = sorted((-sum(s * t for s, t in zip(x, y)), b) for b, y in q if b != a and len(y) == len(x))[:20]
+        want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def plain_spans(t):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):

@@ -94,7 +94,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 512) -
     return both[moved], both[label[moved]]
 
 
-def links(distinct: DataFrame, radius: int = 3, tile_rows: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, tile_rows: int = 32768) -> DataFrame:
     """(a, b) edges between the fingerprints of ``distinct`` (fp) that connect all within ``radius``."""
     counts = distinct.groupBy(F.bit_count("fp").cast("int").alias("p")).count()
     tiles_of = {r["p"]: -(-r["count"] // tile_rows) for r in counts.collect()}  # 65 rows at most
@@ -125,7 +125,7 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = 4096) -> DataFr
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int = 3, tile_rows: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int = 3, tile_rows: int = 32768) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable)."""
     fps = materialize(fingerprints(docs, size, seed))
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))

@@ -9,9 +9,13 @@ rows tied at the boundary, which are resolved by id and scored exactly.
 Queries and rows meet in blocks: (query block, row block) pairs are joined by key, each pair is
 one task's work and gives at most k rows a query.
 
+A block has as many slices as its own values need, so a far value costs its block alone.
+
 Defined results: vectors that are null or hold null or non-finite components take no part, as
-queries or as rows; a null vec_id takes no part; rows that carry the query's id are its own and
-no candidates, repeated rows ask once, and different vectors under one id are asked and ranked
+queries or as rows; nor do those with a component so large that a long may not hold their
+scores (over sqrt(2**62 / dimension) or 2**30 after scaling), nor a null vec_id; vectors meet those of their own dimension
+(of an empty one, all scores are 0); rows that carry the query's id are its own and no
+candidates, repeated rows ask once, and different vectors under one id are asked and ranked
 apart; fewer than k candidates give all of them; ties go to the smaller id; further columns
 are ignored.
 """
@@ -27,16 +31,17 @@ from pyspark.sql import functions as F
 
 from .common import batch, materialize
 
-BITS = 8
 
 
-def bit_slices(values: np.ndarray) -> np.ndarray:
-    """uint64 bitmaps [complemented?, attribute, bit, word] of values 0..255 in [row, attribute]."""
+def bit_slices(values: np.ndarray, bits: int) -> np.ndarray:
+    """uint64 bitmaps [complemented?, attribute, bit, word] of values 0..2**bits-1 in [row, attribute]."""
     n, d = values.shape
-    padded = np.zeros((-(-n // 64) * 64, d), np.uint8)
+    kind = np.dtype("u1" if bits <= 8 else "<u4")
+    padded = np.zeros((-(-n // 64) * 64, d), kind)
     padded[:n] = values
-    bits = np.unpackbits(np.ascontiguousarray(padded.T)[:, :, None], axis=2, bitorder="little")
-    maps = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64)
+    octets = np.ascontiguousarray(padded.T).view(np.uint8).reshape(d, len(padded), kind.itemsize)
+    each = np.unpackbits(octets, axis=2, bitorder="little")[:, :, :bits]
+    maps = np.packbits(each.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64)
     return np.stack([maps, ~maps])
 
 
@@ -88,16 +93,17 @@ def best(slices: list[np.ndarray], alive: np.ndarray, k: int) -> tuple[np.ndarra
     return sure, tied
 
 
-def search_block(query: np.ndarray, ids: np.ndarray, rows: np.ndarray, maps: np.ndarray, alive: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best rows; ids ascend in the block. rows: signed values, maps of rows + 128."""
+def search_block(query: np.ndarray, ids: np.ndarray, rows: np.ndarray, maps: np.ndarray, alive: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k best rows; ids ascend in the block. rows: signed values, maps of them from the least one up."""
     size = np.abs(query)
+    width, slices = int(size.max(initial=0)).bit_length(), maps.shape[2]
     bits = (size[:, None] >> np.arange(width)) & 1
     d, b = np.nonzero(bits)
     neg = (query[d] < 0).astype(np.int64)
     columns = []
-    for j in range(width + BITS - 1):
+    for j in range(width + slices - 1):
         bit = j - b
-        ok = (bit >= 0) & (bit < BITS)
+        ok = (bit >= 0) & (bit < slices)
         columns.append(maps[neg[ok], d[ok], bit[ok]])
     sure, tied = best(add_up(columns), alive, k)
     to_rows = lambda x: np.flatnonzero(np.unpackbits(x.view(np.uint8), bitorder="little"))
@@ -109,46 +115,46 @@ def search_block(query: np.ndarray, ids: np.ndarray, rows: np.ndarray, maps: np.
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, row_block: int = 32768, query_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows for each vec_id divisible by ``every``."""
     spark = vectors.sparkSession
-    whole = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole)
-    quantised = clean.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"), F.monotonically_increasing_id().alias("nth"))
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))  # null, NaN and infinity fail the test below
+    largest = F.least(F.lit(2.0**30), F.sqrt(2.0**62 / F.greatest(F.size("embedding"), F.lit(1))))
+    fit = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double") * scale) <= largest - 1, F.lit(False)))
+    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fit)
+    quantised = clean.select("vec_id", scaled.cast("array<int>").alias("v"), F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("nth"))
     quantised = materialize(quantised)
-    n, n_q, low, high, least, most = quantised.agg(
-        F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.min(F.array_min("v")), F.max(F.array_max("v")), F.min(F.size("v")), F.max(F.size("v"))
-    ).first()
+    n, n_q, low, high = quantised.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     if not n_q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if least != most:
-        raise ValueError("vectors differ in dimension")
-    if low < -128 or high > 127:
-        raise ValueError(f"components must lie in [-128, 127] after scaling: {low}..{high}")
-    width = max(1, int(max(-low, high)).bit_length())
+    low, high = low or 0, high or 0  # null where all vectors are empty
+    kind = next(k for k, size in (("tinyint", 7), ("smallint", 15), ("int", 31)) if max(-low, high + 1) <= 1 << size)
     tasks = max(1, 2 * spark.sparkContext.defaultParallelism)
     row_blocks = -(-n // row_block)
     query_blocks = max(-(-n_q // query_block), min(-(-tasks // row_blocks), -(-n_q // 64)))
 
     def packed(df: DataFrame, blocks: int, key: str) -> DataFrame:
-        """One row a block: ids and int8 values, ascending by id."""
-        rows = df.select(F.pmod("nth", F.lit(blocks)).cast("int").alias(key), "vec_id", F.col("v").cast("array<tinyint>").alias("v"))
-        return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("rows")).select(key, F.col("rows.vec_id").alias(f"{key}_ids"), F.flatten("rows.v").alias(f"{key}_values"))
+        """One row a block of one dimension: ids and values, ascending by id."""
+        rows = df.select(F.pmod("nth", F.lit(blocks)).cast("int").alias(key), "dim", "vec_id", F.col("v").cast(f"array<{kind}>").alias("v"))
+        return rows.groupBy(key, "dim").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("rows")).select(key, "dim", F.col("rows.vec_id").alias(f"{key}_ids"), F.flatten("rows.v").alias(f"{key}_values"))
 
     rows = packed(quantised, row_blocks, "r").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     # queries are numbered anew: nth of a query may share its remainder with others
-    asked = quantised.filter(F.col("vec_id") % every == 0).select("vec_id", "v").distinct().withColumn("nth", F.xxhash64("vec_id", "v"))
+    asked = quantised.filter(F.col("vec_id") % every == 0).select("vec_id", "dim", "v").distinct().withColumn("nth", F.xxhash64("vec_id", "v"))
     queries = packed(asked, query_blocks, "q")
-    pairs = rows.join(queries, "q").repartition(row_blocks * query_blocks, "q", "r")
+    pairs = rows.join(queries, ["q", "dim"]).repartition(row_blocks * query_blocks, "q", "r")
     schema = pa.schema([("query_id", pa.int64()), ("no", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    dim = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for i in range(rb.num_rows):
                 flat = lambda c: rb[c][i].values.to_numpy(zero_copy_only=False)
-                ids, values = flat("r_ids"), flat("r_values").reshape(-1, dim).astype(np.int64)
-                maps = bit_slices((values + 128).astype(np.uint8))
+                dim = rb["dim"][i].as_py()
+                ids = flat("r_ids")
+                values = flat("r_values").astype(np.int64).reshape(len(ids), dim)
+                least = int(values.min(initial=0))
+                maps = bit_slices(values - least, max(1, int(values.max(initial=0) - least).bit_length()))
                 words = maps.shape[3]
                 every_row = np.packbits(np.arange(64 * words) < len(ids), bitorder="little").view(np.uint64)
-                q_ids, q_values = flat("q_ids"), flat("q_values").reshape(-1, dim).astype(np.int64)
+                q_ids = flat("q_ids")
+                q_values = flat("q_values").astype(np.int64).reshape(len(q_ids), dim)
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for no, (qid, q) in enumerate(zip(q_ids.tolist(), q_values)):
                     alive = every_row
@@ -156,7 +162,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, row
                     if hi > lo:
                         nth = np.arange(64 * words)
                         alive = np.packbits((nth < len(ids)) & ~((nth >= lo) & (nth < hi)), bitorder="little").view(np.uint64)
-                    got, scores = search_block(q, ids, values, maps, alive, k, width)
+                    got, scores = search_block(q, ids, values, maps, alive, k)
                     out.append((np.full(len(got), qid), np.full(len(got), (rb["q"][i].as_py() << 32) + no), got, scores))
                 yield batch(schema, [pa.array(np.concatenate(c)) for c in zip(*out)])
 

@@ -7,8 +7,9 @@ exception phrases (a term with a neighbouring word that is no likelier in toxic
 in others); terms inside an exception phrase do not count, and of several at one word the longest
 does. The sum of weights over the length goes through a logistic curve fitted to the training rows.
 
-Training uses at most ``max_rows`` labelled rows (those of least hash of doc_id), which bounds
-the lexicon's cost at any size; scoring covers every row and text. Labels, lang, source and
+Training uses at most ``max_rows`` labelled rows (those of least hash of doc_id) and keeps at most
+``max_terms`` terms and as many phrases, those of most weight, which bounds the lexicon's cost at any
+size; scoring covers every row and text. Labels, lang, source and
 doc_id are no inputs of a score.
 
 Defined results: null and empty texts have no terms and get the score of a text without terms;
@@ -70,7 +71,15 @@ class Lexicon:
                     free.append((start, end))
                 elif start not in best or size > best[start][0]:
                     best[start] = (size, weight)
-        return {s: w for s, (_, w) in best.items() if not any(a <= s < z for a, z in free)}
+        kept: dict[int, float] = {}
+        free.sort()
+        k = reach = 0  # both by start: an exception that begins no later covers a word if it ends after its start
+        for s in sorted(best):
+            while k < len(free) and free[k][0] <= s:
+                reach, k = max(reach, free[k][1]), k + 1
+            if s >= reach:
+                kept[s] = best[s][1]
+        return kept
 
     def measure(self, text: str) -> float:
         """log1p of the weights per hundred words (20 more, so that one word is no sentence)."""
