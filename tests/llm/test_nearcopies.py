@@ -56,13 +56,27 @@ def test_near_copies_are_those_of_brute_force(spark):
     assert Counter(r["doc_id"] for r in kept_of(spark, rows).collect()) == Counter(least.values())
 
 
-def test_prefixes_share_a_shingle_at_the_bound():
+def test_radius_reaches_the_similarity():
+    """Of pairs just at similarity 4/5, next to all are within the radius; of unrelated ones, none."""
     rng = np.random.default_rng(3)
-    common = np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64))
-    times = rng.integers(3, 9, 50)
-    for n in range(1, 80):
-        own = np.unique(np.concatenate([rng.integers(0, 1 << 63, n).astype(np.uint64), common[: n // 2]]))
-        other = np.unique(np.concatenate([rng.permutation(own)[: -(-8 * len(own) // 9)], rng.integers(0, 1 << 63, len(own) // 9).astype(np.uint64)]))
-        both = len(np.intersect1d(own, other))
-        if 5 * both >= 4 * (len(own) + len(other) - both):
-            assert set(nearcopies.prefix(own, common, times).tolist()) & set(nearcopies.prefix(other, common, times).tolist())
+    fresh = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    pairs, met, far = 0, 0, 0
+    for n in [*range(4, 80), 200, 500] * 12:
+        both = fresh(n)
+        new = 2 * n // 8  # shared / (shared + new) is 4/5 or more
+        k = int(rng.integers(0, new + 1))
+        x, y = np.concatenate([both, fresh(k)]), np.concatenate([both, fresh(new - k)])
+        if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+            continue
+        a, b, c = ({"n": np.array([len(s)])} | {f"f{i}": f[None] for i, f in enumerate(nearcopies.wide_print(np.unique(s)))} for s in (x, y, fresh(len(x))))
+        pairs += 1
+        met += any(True for _ in nearcopies.proposed(a, b))
+        far += any(True for _ in nearcopies.proposed(a, c)) and n > 8
+    assert pairs > 800 and met >= 0.995 * pairs and far == 0
+
+
+def test_rows_are_picked_by_bitmaps_or_by_a_join(spark):
+    df = spark.range(100_000).selectExpr("id * 3 as nth", "cast(id as string) as text")
+    wanted = df.filter("nth % 7 = 0").select("nth")
+    got = [sorted(r["nth"] for r in nearcopies._only(df, wanted, most).collect()) for most in (1 << 25, 0)]
+    assert got[0] == got[1] == [n for n in range(0, 300_000, 3) if n % 7 == 0]

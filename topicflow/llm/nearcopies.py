@@ -1,20 +1,22 @@
-"""Near copies by exact similarity of word shingles.
-
-Two contents are linked if the sets of their shingles of ``size`` words have Jaccard similarity
-4/5 or more. Candidates come from prefixes: under one order of all shingles, two such sets share
-one among the first n - ceil(4n/5) + 1 shingles of either, so no link is missed. The order puts
-shingles that a sample has often last; it decides the cost, never the result. Shingles are
-64-bit hashes; a content is its sequence of words, by a 64-bit hash.
-
-Contents that share a prefix shingle are first compared with the least and the greatest of
-those that have it; what is linked then needs no further comparison. All other pairs that share
-a prefix shingle and are not connected yet are compared one by one. Before sets are compared,
-their shingles' numbers in 256 hash buckets bound what they can share; only pairs whose bound
-reaches the similarity need their sets. Rows are picked by bitmaps, a bit a row, so that texts
-are not shuffled.
+"""Near copies: SimHash with tiled exact comparison proposes, exact shingle similarity decides.
+
+Two contents are linked if the sets of their shingles of five words have Jaccard similarity 4/5
+or more. A content (its sequence of words, by a 64-bit hash) has a fingerprint of 256 bits over
+its set. At similarity 4/5 the angle of two sets is at most acos(8/9), so a bit differs with
+probability 0.152, 39 of 256 bits on average with a deviation of 5.7: the radius of 62 lies four
+deviations further on (recall 0.9999), that of sets under 32 shingles, whose bits are less even, at
+80. Unrelated contents differ in 128 bits, eight deviations of 8, so next to none is proposed.
+
+Fingerprints meet in tiles (``simhash.tile_pairs``), whose classes are sizes of sets: sets of that
+similarity differ by a fourth in size at most. Within a pair of tiles, blocks are skipped whose
+population counts differ beyond the radius, and the rest is compared by exclusive-or and bit
+counts. First a spanning forest of the proposals is verified, so that a group of n copies costs n
+verifications. Where proposed groups are not yet connected by verified links, all their further
+proposals between unconnected parts are verified one by one.
 
 Defined results: A-Z is lower-cased, words are split at white space; texts of fewer words than a
-shingle are one shingle; null, empty and blank texts are copies of each other.
+shingle are one shingle; null, empty and blank texts are copies of each other; repeated rows are
+copies; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -29,186 +31,189 @@ from pyspark.sql import functions as F
 from .common import batch, materialize, slices, text_or_empty
 from .components import components
 from .decontam import Words, shingles
+from .simhash import tile_pairs
+
+WORDS = 4  # of 64 bits
+SEEDS = np.array([pow(0xD1B54A32D192ED03, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
+RADIUS, SMALL, SMALL_RADIUS = 62, 32, 80
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(shingles(words, min(size, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
-def prefix(own: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, one of which any set of similarity 4/5 shares with it."""
-    n = len(own)
-    if n and len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        own = own[np.lexsort((own, np.where(common[at] == own, times[at], 0)))]
-    return own[: n - (4 * n + 4) // 5 + 1]
-
-
-def sketch(own: np.ndarray) -> bytes:
-    """How many shingles fall into each of 256 buckets; empty where a byte cannot hold it."""
-    counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
-
-
-def _picked(spark, rows: DataFrame):
-    """A broadcast of the bitmaps of ``rows`` (nth): by its bucket of 32768 rows, 4 KB each."""
-    bits = rows.groupBy(F.bitmap_bucket_number(F.col("nth") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("nth") + 1)).alias("bits"))
-    return spark.sparkContext.broadcast({r["k"]: bytes(r["bits"]) for r in bits.collect()})
-
-
-def _among(maps: dict[int, bytes], nth: np.ndarray) -> np.ndarray:
-    """Which of ``nth`` are in the bitmaps."""
-    out, bucket = np.zeros(len(nth), bool), nth // 32768 + 1
-    for k in np.unique(bucket):
-        if (bits := maps.get(int(k))) is not None:
-            here = bucket == k
-            at = nth[here] % 32768
-            out[here] = (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-    return out
+def wide_print(own: np.ndarray) -> np.ndarray:
+    """256 bits, each set if it is set in over half the set's hashes."""
+    each = (own[:, None] ^ SEEDS) * np.uint64(0x9E3779B97F4A7C15)
+    each = (each ^ (each >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    each ^= each >> np.uint64(29)
+    total = np.zeros(64 * WORDS, np.int64)
+    for k in range(0, len(own), 255):  # so many ones fit a byte
+        total += np.unpackbits(each[k : k + 255].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(own), bitorder="little").view(np.uint64)
 
 
 def _bytes(text: pa.Scalar) -> bytes:
     return text.as_py().encode("utf-8", "surrogatepass")
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
-
-
-def common_shingles(docs: DataFrame, size: int, one_in: int = 16, keep: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three or more rows of a sample have, and how many: at most ``keep``."""
-    schema = pa.schema([("s", pa.int64()), ("times", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in slices(batches):
-            if b.num_rows:
-                s, times = np.unique(np.concatenate([shingle_set(words(_bytes(t)), size) for t in b["text"]]), return_counts=True)
-                yield batch(schema, [pa.array(s.view(np.int64)), pa.array(times.astype(np.int64))])
-
-    sample = docs.filter(F.col("nth") % one_in == 0).select(text_or_empty().alias("text"))
-    times = sample.mapInArrow(run, "s long, times long").groupBy("s").agg(F.sum("times").alias("times")).filter("times >= 3")
-    found = times.orderBy(F.desc("times"), "s").limit(keep).toArrow()
-    s, n = found["s"].to_numpy().astype(np.int64).view(np.uint64), found["times"].to_numpy()
-    order = np.argsort(s)
-    return s[order], n[order]
-
-
 def _scanned(docs: DataFrame, size: int) -> DataFrame:
-    """(nth, doc_id, node, n, sketch, prefix): node names the content; a task gives a content's prefix once."""
-    schema = pa.schema([("nth", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
+    """(nth, doc_id, node, n, f0..f3): node names the content, n is the size of its set."""
+    names = [f"f{k}" for k in range(WORDS)]
+    schema = pa.schema([("nth", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), *[(c, pa.int64()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as h
 
-        (common, times), words, given = sent.value, Words(), set()
+        words = Words()
         for b in slices(batches):
-            nodes, sizes, sketches, prefixes = [], [], [], []
+            nodes, sizes, prints = [], [], []
             for t in b["text"]:
                 w = words(_bytes(t))
-                node = h(w.tobytes())
-                nodes.append(node)
-                if node in given:
-                    sizes.append(0)
-                    sketches.append(None)
-                    prefixes.append(np.empty(0, np.uint64))
-                    continue
-                given.add(node)
                 own = shingle_set(w, size)
+                nodes.append(h(w.tobytes()))
                 sizes.append(len(own))
-                sketches.append(sketch(own))
-                prefixes.append(prefix(own, common, times) if len(own) else own)
-            yield batch(schema, [b["nth"], b["doc_id"], pa.array(np.array(nodes, np.uint64).view(np.int64)), sizes, sketches, _lists(prefixes)])
+                prints.append(wide_print(own))
+            yield batch(schema, [b["nth"], b["doc_id"], pa.array(np.array(nodes, np.uint64).view(np.int64)), sizes, *[pa.array(x) for x in np.ascontiguousarray(np.stack(prints).T).view(np.int64)]])
 
     rows = docs.select("nth", F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialize(rows.mapInArrow(run, "nth long, doc_id long, node long, n int, sketch binary, prefix array<long>"))
-
+    return materialize(rows.mapInArrow(run, "nth long, doc_id long, node long, n int, " + ", ".join(f"{c} long" for c in names)))
+
+
+def proposed(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows of ``a`` and ``b`` (none: of a, each pair once) within the radius and near in size, by blocks."""
+    own, b = b is None, a if b is None else b
+    one = lambda x: sum(np.bitwise_count(x[f"f{k}"]).astype(np.int16) for k in range(WORDS))
+    order = [np.argsort(one(x), kind="stable") for x in (a, b)]
+    ones = [one(x)[o] for x, o in zip((a, b), order)]
+    for i in range(0, len(order[0]), block):
+        for j in range(i if own else 0, len(order[1]), block):
+            if max(ones[1][j] - ones[0][i : i + block][-1], ones[0][i] - ones[1][j : j + block][-1]) > SMALL_RADIUS:
+                continue
+            x, y = order[0][i : i + block], order[1][j : j + block]
+            bits = np.zeros((len(x), len(y)), np.uint16)
+            for k in range(WORDS):
+                bits += np.bitwise_count(a[f"f{k}"][x, None] ^ b[f"f{k}"][None, y])
+            p, q = np.nonzero(bits <= SMALL_RADIUS)
+            n, m = a["n"][x[p]].astype(np.int64), b["n"][y[q]].astype(np.int64)
+            ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & ((bits[p, q] <= RADIUS) | (np.minimum(n, m) < SMALL))
+            p, q = x[p[ok]], y[q[ok]]
+            if own:
+                once = (p < q) if i == j else p != q
+                p, q = p[once], q[once]
+            if len(p):
+                yield p, q
+
+
+def _hang(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Join the trees of p and q; every node points to its root, the lowest."""
+    while True:
+        lp, lq = label[p], label[q]
+        open_ = lp != lq
+        if not open_.any():
+            return
+        p, q, lp, lq = p[open_], q[open_], lp[open_], lq[open_]
+        np.minimum.at(label, np.maximum(lp, lq), np.minimum(lp, lq))
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+
+
+def _proposals(contents: DataFrame, tile_rows: int, forest: bool) -> DataFrame:
+    """(a, b): pairs within the radius; a spanning forest of each pair of tiles, or all between different labels."""
+    names = ["node", "n", *[f"f{k}" for k in range(WORDS)], *([] if forest else ["label"])]
+    # sizes a fourth apart are three classes apart at most
+    pairs = tile_pairs(contents.select(*names), F.floor(F.log(F.col("n").cast("double")) * (2 / np.log(1.25).item())), 3, "node", tile_rows)
+    if pairs is None:
+        return contents.sparkSession.createDataFrame([], "a long, b long")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def _shared(scanned: DataFrame) -> DataFrame:
-    """(s, node, n, low, low_n, high, high_n): prefix shingles of two or more contents, with the least and greatest of these."""
-    names = ("s", "node", "n", "low", "low_n", "high", "high_n")
-    schema = pa.schema([(c, pa.int32() if c.endswith("n") else pa.int64()) for c in names])
+    def columns(x: pa.ListScalar) -> dict[str, np.ndarray]:
+        got = {c: x.values.field(c).to_numpy(zero_copy_only=False) for c in names}
+        return got | {c: got[c].view(np.uint64) for c in names if c[0] == "f"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b[c].to_numpy() for c in ("s", "node", "n")] for b in batches if b.num_rows]
-        if not parts:
-            return
-        s, node, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((node, s))
-        s, node, n = s[order], node[order], n[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])])
-        s, node, n = s[new], node[new], n[new]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        counts = np.diff(np.concatenate([first, [len(s)]]))
-        low, high, many = (np.repeat(x, counts) for x in (first, first + counts - 1, counts > 1))
-        columns = [x[many] for x in (s, node, n, node[low], n[low], node[high], n[high])]
-        for k in range(0, len(columns[0]), 100_000):
-            yield batch(schema, [pa.array(x[k : k + 100_000]) for x in columns])
-
-    rows = scanned.select(F.explode("prefix").alias("s"), "node", "n").repartition("s")
-    return materialize(rows.mapInArrow(run, ", ".join(f"{c} {'int' if c.endswith('n') else 'long'}" for c in names)))
-
-
-def _near(a: str, b: str):
-    """Sizes that allow similarity 4/5."""
-    return 5 * F.least(a, b).cast("long") >= 4 * F.greatest(a, b).cast("long")
-
-
-def _possible(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches allow similarity 4/5."""
-    left, right = (contents.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_k")) for c in "ab")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for rb in batches:
+            for k, own in enumerate(rb["same"].to_pylist()):
+                a = columns(rb["items"][k])
+                b = None if own else columns(rb["others"][k])
+                if forest:
+                    both = a["node"] if own else np.concatenate([a["node"], b["node"]])
+                    label, shift = np.arange(len(both)), 0 if own else len(a["node"])
+                    for p, q in proposed(a, b):
+                        _hang(label, p, q + shift)
+                    moved = np.flatnonzero(label != np.arange(len(both)))
+                    if len(moved):
+                        yield batch(schema, [pa.array(both[moved]), pa.array(both[label[moved]])])
+                else:
+                    other = a if own else b
+                    for p, q in proposed(a, b):
+                        apart = a["label"][p] != other["label"][q]
+                        yield batch(schema, [pa.array(a["node"][p[apart]]), pa.array(other["node"][q[apart]])])
+
+    found = pairs.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _only(docs: DataFrame, wanted: DataFrame, most: int = 1 << 25) -> DataFrame:
+    """The rows of ``docs`` whose nth is in ``wanted``: by bitmaps of ``most`` bytes at most, a bit a row, so that texts stay where they are; beyond, by a join."""
+    bits = materialize(wanted.groupBy(F.bitmap_bucket_number(F.col("nth") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("nth") + 1)).alias("bits")))
+    if bits.count() * 4096 > most:
+        return docs.join(wanted, "nth", "left_semi")
+    maps = docs.sparkSession.sparkContext.broadcast({r["k"]: bytes(r["bits"]) for r in bits.collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = [int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum()) if x and y else None for x, y in zip(b["a_k"].to_pylist(), b["b_k"].to_pylist())]
-            may = pa.array([m is None or 9 * m >= 4 * n for m, n in zip(both, (b["a_n"].to_numpy().astype(np.int64) + b["b_n"].to_numpy()).tolist())], pa.bool_())
-            yield batch(schema, [b["a"].filter(may), b["b"].filter(may)])
+            nth = b.column(b.schema.get_field_index("nth")).to_numpy()
+            out, bucket = np.zeros(len(nth), bool), nth // 32768 + 1
+            for k in np.unique(bucket):
+                if (found := maps.value.get(int(k))) is not None:
+                    here = bucket == k
+                    at = nth[here] % 32768
+                    out[here] = (np.frombuffer(found, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield b.filter(pa.array(out))
 
-    return materialize(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _alike(pairs: DataFrame, contents: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of similarity 4/5 or more."""
-    possible = _possible(pairs, contents)
-    ends = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
-    wanted = _picked(docs.sparkSession, contents.join(ends, "node", "left_semi").select("nth"))
-    schema = pa.schema([("node", pa.int64()), ("s", pa.list_(pa.int64()))])
+    """The pairs (a, b) of similarity 4/5 or more, by their whole sets."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    rows = _only(docs.select("nth", text_or_empty().alias("text")), contents.join(ends, "node", "left_semi").select("nth"))
+    schema = pa.schema([("node", pa.int64()), ("s", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as h
 
         words = Words()
-        for b in slices(batches):
-            found = [words(_bytes(t)) for t in b["text"].filter(pa.array(_among(wanted.value, b["nth"].to_numpy())))]
-            nodes = np.array([h(w.tobytes()) for w in found], np.uint64).view(np.int64)
-            yield batch(schema, [pa.array(nodes), _lists([shingle_set(w, size) for w in found])])
-
-    sets = materialize(docs.select("nth", text_or_empty().alias("text")).mapInArrow(run, "node long, s array<long>"))
-    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"{c}_s")) for c in "ab")
-    both = F.size(F.array_intersect("a_s", "b_s")).cast("long")
-    return materialize(possible.join(left, "a").join(right, "b").filter(9 * both >= 4 * (F.size("a_s") + F.size("b_s"))).select("a", "b"))
-
-
-def links(docs: DataFrame, scanned: DataFrame, size: int) -> DataFrame:
-    """(a, b) edges between contents, all of similarity 4/5 or more, that connect all such pairs."""
-    shared = _shared(scanned)
-    contents = scanned.filter("n > 0").join(shared.select("node").distinct(), "node", "left_semi")
-    contents = materialize(contents.groupBy("node").agg(F.min("nth").alias("nth"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    ends = F.explode(F.array(*[F.struct(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"), _near("n", f"{c}_n").alias("near")) for c in ("low", "high")]))
-    tested = materialize(shared.select(ends.alias("x")).select("x.*").filter("near and a != b").select("a", "b").distinct())
-    found = _alike(tested, contents, docs, size)
-    labels = components(found).withColumnRenamed("root", "label")
-    named = shared.select("s", "node", "n").join(labels, "node", "left").select("s", "node", "n", F.coalesce("label", "node").alias("label"))
-    named = materialize(named)
-    mixed = named.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("s")
-    mine = materialize(named.join(mixed, "s"))
-    other = mine.select("s", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "label")])
-    across = mine.join(other, "s").filter((F.col("label") < F.col("other_label")) & _near("n", "other_n"))
-    open_ = across.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return found.union(_alike(materialize(open_), contents, docs, size))
+        for b in slices(batches, 200):
+            found = [words(_bytes(t)) for t in b["text"]]
+            yield batch(schema, [pa.array(np.array([h(w.tobytes()) for w in found], np.uint64).view(np.int64)), [shingle_set(w, size).tobytes() for w in found]])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            x, y = ([np.frombuffer(s, np.uint64) for s in b[c].to_pylist()] for c in ("a_s", "b_s"))
+            both = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)]
+            ok = pa.array([9 * m >= 4 * (len(s) + len(t)) for m, s, t in zip(both, x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["a"].filter(ok), b["b"].filter(ok)], ["a", "b"])
+
+    known = materialize(rows.mapInArrow(sets, "node long, s binary"))
+    left, right = (known.select(F.col("node").alias(c), F.col("s").alias(f"{c}_s")) for c in "ab")
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "a_s", "b_s").mapInArrow(test, "a long, b long"))
+
+
+def links(docs: DataFrame, scanned: DataFrame, size: int, tile_rows: int = 8192) -> DataFrame:
+    """(a, b) edges between contents, all of similarity 4/5 or more, that connect all proposed pairs of that similarity."""
+    prints = [F.first(f"f{k}").alias(f"f{k}") for k in range(WORDS)]
+    contents = materialize(scanned.filter("n > 0").groupBy("node").agg(F.min("nth").alias("nth"), F.first("n").alias("n"), *prints))
+    first = materialize(_proposals(contents, tile_rows, forest=True))
+    found = _alike(first, contents, docs, size)
+    # proposed groups that verified links do not connect
+    group, label = components(first).withColumnRenamed("root", "group"), components(found).withColumnRenamed("root", "label")
+    named = materialize(group.join(label, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label")))
+    mixed = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("group")
+    open_ = named.join(mixed, "group").select("node", "label")
+    again = _proposals(materialize(contents.join(open_, "node")), tile_rows, forest=False).join(first, ["a", "b"], "left_anti")
+    return found.union(_alike(materialize(again), contents, docs, size))
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -217,10 +222,4 @@ def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     nodes = scanned.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "nth")).alias("least"))
     groups = components(links(docs, scanned, size))
     whole = nodes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    kept = _picked(docs.sparkSession, whole.select(F.col("least.nth").alias("nth")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_among(kept.value, b.column(b.schema.get_field_index("nth")).to_numpy())))
-
-    return docs.mapInArrow(run, docs.schema)
+    return _only(docs, whole.select(F.col("least.nth").alias("nth")))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, materialize, text_or_empty
@@ -94,30 +94,40 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 512) -
     return both[moved], both[label[moved]]
 
 
-def links(distinct: DataFrame, radius: int = 3, tile_rows: int = 32768) -> DataFrame:
-    """(a, b) edges between the fingerprints of ``distinct`` (fp) that connect all within ``radius``."""
-    counts = distinct.groupBy(F.bit_count("fp").cast("int").alias("p")).count()
-    tiles_of = {r["p"]: -(-r["count"] // tile_rows) for r in counts.collect()}  # 65 rows at most
+def tile_pairs(rows: DataFrame, klass: Column, reach: int, key: str, tile_rows: int) -> DataFrame | None:
+    """Every pair of tiles once whose classes differ by ``reach`` at most: same, items, others (lists of rows).
+
+    A tile holds about ``tile_rows`` rows of one class; there are few classes.
+    """
+    classed = rows.select(klass.cast("int").alias("p"), F.struct(*rows.columns).alias("item"))
+    counts = classed.groupBy("p").count().collect()  # a row per class
+    tiles_of = {r["p"]: -(-r["count"] // tile_rows) for r in counts}
     if not tiles_of:
-        return distinct.sparkSession.createDataFrame([], "a long, b long")
+        return None
     n = F.create_map(*[F.lit(x) for kv in tiles_of.items() for x in kv])
-    p = F.bit_count("fp").cast("int")
-    cells = distinct.select("fp", p.alias("p"), F.pmod(F.xxhash64("fp"), n[p]).cast("int").alias("slot"))
-    tiles = materialize(cells.groupBy("p", "slot").agg(F.collect_list("fp").alias("fps")))  # tile_rows each, about
-    # every pair of tiles once: the lower tile goes to those of its own and the next counts
-    ahead = F.filter(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(m).alias("m")) for q, m in sorted(tiles_of.items())]), lambda x: (x["q"] >= F.col("p")) & (x["q"] <= F.col("p") + radius))
-    sent = tiles.select("p", "slot", "fps", F.explode(ahead).alias("t")).select("p", "slot", "fps", F.col("t.q").alias("q"), F.explode(F.sequence(F.lit(0), F.col("t.m") - 1)).alias("to"))
+    cells = classed.select("p", F.pmod(F.xxhash64(F.col("item")[key]), n[F.col("p")]).cast("int").alias("slot"), "item")
+    tiles = materialize(cells.groupBy("p", "slot").agg(F.collect_list("item").alias("items")))
+    # the lower tile goes to those of its own and the next classes
+    ahead = F.filter(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(m).alias("m")) for q, m in sorted(tiles_of.items())]), lambda x: (x["q"] >= F.col("p")) & (x["q"] <= F.col("p") + reach))
+    sent = tiles.select("p", "slot", "items", F.explode(ahead).alias("t")).select("p", "slot", "items", F.col("t.q").alias("q"), F.explode(F.sequence(F.lit(0), F.col("t.m") - 1)).alias("to"))
     sent = sent.filter((F.col("q") > F.col("p")) | (F.col("to") >= F.col("slot")))
-    there = tiles.select(F.col("p").alias("q"), F.col("slot").alias("to"), F.col("fps").alias("others"))
-    # dealt by the pair, not by the tile, so that crowded counts do not meet in one task
+    there = tiles.select(F.col("p").alias("q"), F.col("slot").alias("to"), F.col("items").alias("others"))
+    # dealt by the pair, not by the tile, so that crowded classes do not meet in one task
     pairs = sent.join(there, ["q", "to"]).repartition(F.xxhash64("p", "slot", "q", "to"))
+    return pairs.select(((F.col("p") == F.col("q")) & (F.col("slot") == F.col("to"))).alias("same"), "items", "others")
+
+
+def links(distinct: DataFrame, radius: int = 3, tile_rows: int = 32768) -> DataFrame:
+    """(a, b) edges between the fingerprints of ``distinct`` (fp) that connect all within ``radius``."""
+    pairs = tile_pairs(distinct.select("fp"), F.bit_count("fp"), radius, "fp", tile_rows)
+    if pairs is None:
+        return distinct.sparkSession.createDataFrame([], "a long, b long")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            same = [x == y and s == t for x, y, s, t in zip(*(rb[c].to_pylist() for c in ("p", "q", "slot", "to")))]
-            for k, own in enumerate(same):
-                left, right = (rb[c][k].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fps", "others"))
+            for k, own in enumerate(rb["same"].to_pylist()):
+                left, right = (rb[c][k].values.field("fp").to_numpy(zero_copy_only=False).view(np.uint64) for c in ("items", "others"))
                 a, b = forest(left, None if own else right, radius)
                 if len(a):
                     yield batch(schema, [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))])
