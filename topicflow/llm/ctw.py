@@ -108,52 +108,59 @@ def _strings_at(line: np.ndarray, depth: int) -> np.ndarray:
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """(s, n, every) summed by s."""
-    s, n, every = (np.concatenate(x) for x in zip(*parts))
+    s = np.concatenate([x[0] for x in parts])
     order = np.argsort(s, kind="stable")
     s = s[order]
     start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
-    return s[start], *(np.add.reduceat(x[order], start) if len(start) else x for x in (n, every))
+    sums = [np.add.reduceat(np.concatenate([x[k] for x in parts])[order], start) if len(start) else parts[0][k] for k in (1, 2)]
+    return s[start], *sums
 
 
-def string_counts(rows: DataFrame, depth: int, keep: int = 4_000_000) -> DataFrame:
+def string_counts(rows: DataFrame, depth: int, keep: int = 3_000_000) -> DataFrame:
     """(s, n, every): strings of ``rows`` (text, held_out); n times in training rows, ``every`` times in all."""
-    schema = pa.schema([("s", pa.int64()), ("n", pa.int64()), ("every", pa.int64())])
+    schema = pa.schema([("s", pa.int64()), ("n", pa.int32()), ("every", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, ...]] = []  # the first is merged, parts of one line up behind it
         lines: tuple[list[bytes], list[bytes]] = ([], [])
-        n_bytes = 0
+        n_bytes = waiting = 0
 
-        def count() -> None:
+        def count() -> int:
+            new = 0
             for out in (0, 1):
                 for s, _ in strings(lines[out], depth) if lines[out] else ():
                     u, c = np.unique(s, return_counts=True)
-                    held.append((u, c * (1 - out), c))
+                    c = c.astype(np.int32)
+                    held.append((u, c * np.int32(1 - out), c))
+                    new += len(u)
                 lines[out].clear()
-            if len(held) > 8 or sum(len(x[0]) for x in held) > keep:
-                held[:] = [_merged(held)]
+            return new
 
         def emit() -> Iterator[pa.RecordBatch]:
             s, n, every = _merged(held)
-            for k in range(0, len(s), 200_000):
-                yield batch(schema, [pa.array(x[k : k + 200_000]) for x in (s, n, every)])
             held.clear()
+            for k in range(0, len(s), 100_000):
+                yield batch(schema, [pa.array(x[k : k + 100_000]) for x in (s, n, every)])
 
         for b in slices(batches):
             for text, out in zip(b["text"], b["held_out"].to_pylist()):
                 line = line_of(_words(text))
                 lines[out].append(line)
                 n_bytes += len(line)
-                if n_bytes > 1 << 21:
-                    count()
+                if n_bytes > 1 << 20:
+                    waiting += count()
                     n_bytes = 0
+                if waiting > 600_000:
+                    held[:] = [_merged(held)]
+                    waiting = 0
             if held and len(held[0][0]) > keep:
                 yield from emit()
+                waiting = 0
         count()
         if held:
             yield from emit()
 
-    return rows.mapInArrow(run, "s long, n long, every long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+    return rows.mapInArrow(run, "s long, n int, every int").groupBy("s").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
 def _ln_gamma(x: np.ndarray) -> np.ndarray:
@@ -237,7 +244,7 @@ def _dealt(rows: DataFrame, context: Column) -> DataFrame:
     return rows.withColumn("g", context).repartition(shuffle_partitions(rows.sparkSession), "g").sortWithinPartitions("g")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[pa.Table]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[pa.Table]:
     """Tables of ``least`` rows or more that end where a group does."""
     held, n = [], 0
     for b in batches:
@@ -341,7 +348,7 @@ class Table:
 
     def __init__(self, s: np.ndarray, lg: np.ndarray):
         """``s`` by ascending frequency."""
-        self.bits = max(8, int(len(s)).bit_length() + 1)
+        self.bits = max(8, int(len(s)).bit_length())
         self.slot_s, self.slot_lg = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
         at = self._slots(s)
         self.slot_s[at] = s  # of equal slots the last stays
@@ -368,7 +375,7 @@ class Table:
         return lg, known
 
 
-def score(docs: DataFrame, depth: int = DEPTH, folds: int = 5, hot_strings: int = 1 << 20, hot_words: int = 1 << 16) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, folds: int = 5, hot_strings: int = 1 << 21, hot_words: int = 1 << 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(folds).alias("held_out"), text_or_empty().alias("text"))
