@@ -50,6 +50,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most ``rows`` rows go to Python at a time in this session: whole texts may be long, and a batch is held twice by the JVM and once by Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000") or 10000)
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def per_worker(key: tuple, make):
     """``make()``, once per Python worker: caches outlive a task and warm the next one's."""
     kept = sys.modules.setdefault("_topicflow_worker", types.ModuleType("_topicflow_worker")).__dict__
@@ -74,4 +82,4 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-__all__ = ["table", "text_or_empty", "shared_dir", "materialize", "per_worker", "slices", "shuffle_partitions", "batch"]
+__all__ = ["table", "text_or_empty", "shared_dir", "materialize", "text_batches", "per_worker", "slices", "shuffle_partitions", "batch"]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, text_or_empty
+from .common import batch, slices, text_batches, text_or_empty
 
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(5)], np.uint64)
 FILTER_BITS = 20
@@ -215,6 +215,7 @@ def _items(benchmark: DataFrame) -> Iterator[tuple[int, bytes]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 23, block_words: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, similarity, word_start, n_words, differing_bits: the best window of each item in each document."""
     spark = docs.sparkSession
+    text_batches(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("word_start", pa.int64()), ("n_words", pa.int64()), ("differing_bits", pa.int32())])
     ddl = "doc_id long, item_id long, similarity double, word_start long, n_words long, differing_bits int"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -224,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, words = Index(sent.value, size, radius), Words()
-            for b in batches:
+            for b in slices(batches):
                 out = []
                 for d, t in zip(b["doc_id"].to_pylist(), b["text"]):
                     for (item, _, _), (alike, at, n, bits) in index.search(words(t.as_py().encode("utf-8", "surrogatepass")), threshold).items():
@@ -245,13 +246,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 23, block_words: int = 1_000_000) -> DataFrame:
     """``docs`` without the rows that match an item; each row is decided by its own text, all columns kept."""
     spark = docs.sparkSession
+    text_batches(spark)
 
     def clean(rows: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)  # at most block_words words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, words = Index(sent.value, size, radius), Words()
-            for b in batches:
+            for b in slices(batches):
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
                 yield b.filter(pa.array([not index.search(words((t or "").encode("utf-8", "surrogatepass")), threshold) for t in texts], pa.bool_()))
 

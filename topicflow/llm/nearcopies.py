@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, slices, text_or_empty
+from .common import batch, materialize, slices, text_batches, text_or_empty
 from .components import components
 from .decontam import Words, shingles
 from .simhash import tile_pairs
@@ -218,6 +218,7 @@ def links(docs: DataFrame, scanned: DataFrame, size: int, tile_rows: int = 8192)
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """``docs`` (nth, doc_id, text, ...) less all but the first row, by doc_id (nulls last), content and nth, of each group of near copies."""
+    text_batches(docs.sparkSession)
     scanned = _scanned(docs, size)
     nodes = scanned.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "nth")).alias("least"))
     groups = components(links(docs, scanned, size))

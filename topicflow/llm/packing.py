@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, per_worker, slices, text_or_empty
+from .common import batch, per_worker, slices, text_batches, text_or_empty
 
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -163,6 +163,7 @@ def complete(windows: list[list], window: int) -> Iterator[list]:
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, max_open: int = 1024) -> DataFrame:
     """One row per piece: PIECES. A window or a document never crosses a task."""
+    text_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

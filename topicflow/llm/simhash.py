@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, text_or_empty
+from .common import batch, materialize, slices, text_batches, text_or_empty
 from .components import components
 
 
@@ -47,10 +47,11 @@ def fingerprint(text: bytes, size: int, seed: int) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): whole texts, A-Z lower-cased, fp as a signed long."""
+    text_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(t.as_py().encode("utf-8", "surrogatepass"), size, seed) for t in b["text"]]
             yield batch(schema, [b["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64))])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, text_or_empty
+from .common import batch, slices, text_batches, text_or_empty
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -100,11 +100,12 @@ class Counter:
 
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, n_chars, best_score for every row."""
+    text_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_chars", pa.int64()), ("best_score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary(model))
-        for b in batches:
+        for b in slices(batches):
             texts = b["text"].to_pylist()
             found = [counter(t) for t in texts]
             yield batch(schema, [b["doc_id"], [c for _, c in found], [len(t) for t in texts], [s for s, _ in found]])

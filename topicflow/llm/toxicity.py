@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, text_or_empty
+from .common import batch, materialize, slices, text_batches, text_or_empty
 
 # Letters that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "ν": "v", "υ": "u", "τ": "t", "κ": "k", "ı": "i", "ɑ": "a", "ɡ": "g"}
@@ -119,10 +119,10 @@ def _counted(rows: DataFrame, features) -> DataFrame:
                 c.clear()
             return b
 
-        for b in batches:
+        for b in slices(batches):
             for text, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
                 counts[y].update(features(folded(text)))
-                if len(counts[0]) + len(counts[1]) > 300_000:
+                if len(counts[0]) + len(counts[1]) > 120_000:
                     yield emit()
         if counts[0] or counts[1]:
             yield emit()
@@ -168,6 +168,7 @@ def held_out(folds: int = 3):
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: int = 4096, min_support: int = 5, min_weight: float = 1.5, min_z: float = 5.0, folds: int = 3) -> Model:
     """A model of the rows outside the held-out fold. The driver gets at most ``max_terms`` terms and phrases."""
+    text_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded, so it may be broadcast
     rows = materialize(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic"))
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: i
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms, exceptions)
-        for b in batches:
+        for b in slices(batches):
             yield batch(schema, [[min(999, int(100 * lexicon.measure(t))) for t in b["text"].to_pylist()], b["toxic"]])
 
     table = rows.mapInArrow(cells, "cell int, toxic int").groupBy("cell").agg(F.count("*").alias("n"), F.sum("toxic").alias("y")).collect()  # 1,000 rows at most
@@ -205,12 +206,13 @@ def _cached(lexicon: Lexicon, terms: dict[str, float]) -> Lexicon:
 
 def score(docs: DataFrame, model: Model, at: float = 0.7, folds: int = 3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
+    text_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
     terms, exceptions, a, s = model.terms, model.exceptions, model.intercept, model.slope
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms, exceptions)
-        for b in batches:
+        for b in slices(batches):
             x = np.array([lexicon.measure(t) for t in b["text"].to_pylist()])
             y = 1 / (1 + np.exp(-np.clip(a + s * x, -30, 30)))
             yield batch(schema, [b["doc_id"], b["held_out"], pa.array(y), pa.array((y >= at).astype(np.int32))])
@@ -221,10 +223,11 @@ def score(docs: DataFrame, model: Model, at: float = 0.7, folds: int = 3) -> Dat
 
 def without_toxic(docs: DataFrame, model: Model, at: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score ``at`` or more, all columns kept."""
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, limit = Lexicon(terms, exceptions), math.log(at / (1 - at))
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([a + s * lexicon.measure(t or "") < limit for t in texts]))
 
