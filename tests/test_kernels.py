@@ -190,7 +190,7 @@ def test_ledger_holds_every_candidate(spark):
     rows = entry.queries()["rotation_ledger"](spark, "/root/testdata/sf0.001").collect()
     assert len({(r["key"], r["id"]) for r in rows}) == len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert all(8 <= sum(r["decision"] == "selected" for r in rows if r["key"] == f"issue{k}") <= 10 for k in range(4))
-    assert {r["reason"] for r in rows if r["decision"] == "rejected"} <= {"below_module_threshold", "content_type_quota_full", "group_quota_full", "tier_cap_full", "slots_full"}
+    assert {r["reason"] for r in rows if r["decision"] == "rejected"} <= {"below_module_threshold", "content_type_quota_full", "module_group_quota_full", "tier_quota_full", "slots_full"}
 
 
 def test_floor_rounds(spark):

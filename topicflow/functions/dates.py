@@ -29,3 +29,8 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 def half_life(days: Column, life: float) -> Column:
     return F.pow(F.lit(0.5), F.greatest(days, F.lit(0.0)) / life)
+
+
+def carry_over(day: Column, days: int = 7) -> tuple[Column, Column]:
+    """First and last day from which a daily issue may still take articles."""
+    return F.date_sub(day, days), day

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def strip(c: Column) -> Column:
@@ -32,14 +35,27 @@ def outermost_object(reply: Column) -> Column:
     return F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
 
 
+#: What a JSON value may begin with, and what may follow a backslash.
+JSON_BEGINNINGS = '"[{-0123456789tfn'
+JSON_ESCAPES = r'"\\/bfnrtu'
+
+
 def with_opening_quotes(json: Column) -> Column:
-    """A line's value that lost its opening quote gets it back."""
-    return F.regexp_replace(json, r'(?m)^(\s*"\w+"\s*:\s*)([^\s"\[{\d\-tfn][^"\n]*)("\s*,?\s*)$', '$1"$2$3')
+    """A line's value that lost its opening quote gets it back: it begins like no JSON value and ends in the line's one further quote."""
+
+    def mended(line: Column) -> Column:
+        at = F.instr(line, '":') + 1  # the colon after the name
+        name, value = F.trim(F.substring(line, F.lit(1), at - 1)), F.ltrim(F.substring(line, at + 1, F.length(line)))
+        quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+        bare = ~F.lit(JSON_BEGINNINGS).contains(F.left(value, F.lit(1))) & (quotes == 1) & F.rtrim(F.regexp_replace(F.rtrim(value), ",$", "")).endswith('"')
+        return F.when((at > 1) & name.rlike('^"\\w+"$') & (value != "") & bare, F.concat(F.substring(line, F.lit(1), F.length(line) - F.length(value)), F.lit('"'), value)).otherwise(line)
+
+    return F.array_join(F.transform(F.split(json, "\n"), mended), "\n")
 
 
 def without_bad_escapes(json: Column) -> Column:
-    """Backslashes that begin no JSON escape are dropped."""
-    return F.regexp_replace(json, r'\\(?!["\\/bfnrtu])', "")
+    """Pairs of a backslash and what may follow it stay, pair by pair; other backslashes go."""
+    return F.regexp_replace(json, rf"(\\[{JSON_ESCAPES}])|\\", "$1")
 
 
 def canonical(name: Column, aliases: dict[str, str]) -> Column:
@@ -55,10 +71,6 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
     return sum((F.when(low.contains(k), 1).otherwise(0) for k in keywords), F.lit(0)).cast("long")
 
 
-def truncated(c: Column, n: int) -> Column:
-    return F.left(c, F.lit(n))
-
-
 def rendered(template: str, values: dict[str, Column]) -> Column:
     """A template's {{names}} filled from columns (null: nothing); a name without a column raises."""
     parts = re.split(r"\{\{\s*(\w+)\s*\}\}", template)
@@ -85,3 +97,37 @@ def mapped_characters(c: Column, table: dict[str, str], keep: str = "") -> Colum
     """Characters exchanged one by one, those in ``keep`` left alone."""
     pairs = [(a, b) for a, b in table.items() if a not in keep]
     return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
+def retry_seconds(message: Column) -> Column:
+    """Seconds that a refusal asks to wait ("try again in 6m26.2s"); null if it names none."""
+    pattern = r"(?i)try again in (?:(\d+)m)?(\d+(?:\.\d+)?)s"
+    minutes = F.coalesce(F.nullif(F.regexp_extract(message, pattern, 1), F.lit("")).cast("double"), F.lit(0.0))
+    return 60 * minutes + F.nullif(F.regexp_extract(message, pattern, 2), F.lit("")).cast("double")
+
+
+@F.pandas_udf(StringType())
+def flattened(value: pd.Series) -> pd.Series:
+    """All texts inside a JSON value in document order, blank-joined; numbers and flags have none, broken JSON gives null."""
+
+    def texts(v) -> str:
+        if isinstance(v, str):
+            return v
+        return " ".join(texts(x) for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()))
+
+    def read(s: str | None) -> str | None:
+        try:
+            return None if s is None else texts(json.loads(s))
+        except ValueError:
+            return None
+
+    return value.map(read)
+
+
+def bag_vector(content: Column, dims: int = 64, chars: int = 2000) -> Column:
+    """A stand-in embedding without a model: words hashed to signed places, of length one (zeros for no words)."""
+    words = F.filter(F.split(F.lower(F.left(content, F.lit(chars))), r"\s+"), lambda w: w != "")
+    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(hashed, lambda h: F.pmod(F.shiftright(h, 1), F.lit(dims)) == d), F.lit(0), lambda a, h: a + 1 - 2 * F.pmod(h, F.lit(2))))
+    unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: F.when(unit(v) == 0, 0.0).otherwise(x / unit(v))))[0]

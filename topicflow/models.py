@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def call(df: DataFrame, key: str, prompt: str, make: Callable[[], Callable[[str], str]], attempts: int = 3) -> DataFrame:
-    """(key, reply, error): ``make`` builds the caller once a partition; an error never fails the task."""
+def call(df: DataFrame, key: str, prompt: str, make: Callable[[], Callable[[str], str]], attempts: int = 3, pauses: tuple[float, ...] = (2.0, 8.0), limit: int | None = None) -> DataFrame:
+    """(key, reply, error): ``make`` builds the caller once a partition; an error never fails the task.
+
+    Between attempts the task waits, the last pause again if there are more; ``limit`` bounds the
+    queue by key before anything is asked. As many calls run at once as there are partitions.
+    """
+    if limit is not None:
+        df = df.orderBy(key).limit(limit)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make()
@@ -17,7 +24,9 @@ def call(df: DataFrame, key: str, prompt: str, make: Callable[[], Callable[[str]
             out = []
             for k, p in zip(part[key], part[prompt]):
                 reply = error = None
-                for _ in range(attempts):
+                for n in range(attempts):
+                    if n and pauses:
+                        time.sleep(pauses[min(n, len(pauses)) - 1])
                     try:
                         reply, error = ask(p), None
                         break
@@ -30,7 +39,7 @@ def call(df: DataFrame, key: str, prompt: str, make: Callable[[], Callable[[str]
     return df.select(key, prompt).mapInPandas(run, f"key {kind}, reply string, error string").withColumnRenamed("key", key)
 
 
-def with_cache(df: DataFrame, cache: DataFrame, key: str, prompt: str, make) -> DataFrame:
+def with_cache(df: DataFrame, cache: DataFrame, key: str, prompt: str, make, **how) -> DataFrame:
     """Replies from the cache where it has the key, calls for the rest."""
     known = df.join(cache.select(key, "reply"), key).selectExpr(key, "reply", "cast(null as string) as error")
-    return known.unionByName(call(df.join(cache.select(key), key, "left_anti"), key, prompt, make))
+    return known.unionByName(call(df.join(cache.select(key), key, "left_anti"), key, prompt, make, **how))

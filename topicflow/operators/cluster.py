@@ -23,10 +23,42 @@ def _first_topics(ids: DataFrame, links: DataFrame) -> DataFrame:
             return at
 
 
-def incremental(ids: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+def matched(candidates: DataFrame, status: DataFrame, answers: DataFrame | None = None, same: float = 0.72, low: float = 0.65, high: float = 0.85, title_only: float = 0.80) -> DataFrame:
+    """The candidate pairs (id, near, score) that speak of one event.
+
+    Two substantive articles match at ``same``. Where one is a title only, ``high`` matches, from
+    ``low`` on the ``answers`` (id, near, same) of an oracle decide, no answer being no; without an
+    oracle ``title_only`` is the limit. ``status`` is (id, gate_status).
+    """
+    plain = lambda c: F.coalesce(F.col(c), F.lit("included")) == "included"
+    near = status.select(F.col("id").alias("near"), F.col("gate_status").alias("near_status"))
+    both = candidates.join(status.select("id", "gate_status"), "id").join(near, "near")
+    if answers is None:
+        loose = F.col("score") >= title_only
+    else:
+        both = both.join(answers.select("id", "near", F.col("same").alias("said")), ["id", "near"], "left")
+        loose = (F.col("score") >= high) | ((F.col("score") >= low) & F.coalesce("said", F.lit(False)))
+    fit = F.when(plain("gate_status") & plain("near_status"), F.col("score") >= same).otherwise(loose)
+    return both.filter(fit & ~F.isnan("score")).select("id", "near", "score")
+
+
+def statistics(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (processed, new_topics, merged, topics_merged) from each id's first topic and its last one (id, topic)."""
+    first = before.agg(F.count("*").alias("processed"), F.count_if(F.col("id") == F.col("topic")).alias("new_topics"))
+    last = after.agg(F.count_distinct("topic").alias("left_"))
+    return first.join(last).select("processed", "new_topics", (F.col("processed") - F.col("new_topics")).alias("merged"), (F.col("new_topics") - F.col("left_")).alias("topics_merged"))
+
+
+def first_topics(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, topic): the topic that each id joined when it came, before any merge."""
+    return _first_topics(ids, links).withColumnRenamed("tree", "topic")
+
+
+def incremental(ids: DataFrame, candidates: DataFrame, threshold: float, published: DataFrame | None = None) -> DataFrame:
     """(id, topic): ids in order join the topic of their best earlier neighbour at ``threshold``, bridging topics merge.
 
-    ``candidates`` (id, near, score) holds each id's best earlier neighbours. Best links alone make
+    ``candidates`` (id, near, score) holds each id's best earlier neighbours (``matched`` decides
+    which count). Topics in ``published`` (topic) take members but never merge, in either direction. Best links alone make
     trees, one for each topic ever begun. Other links that leave a tree merge topics into the one of
     the best link; only the first merge of two trees counts. So what has to be done in order are the
     merges between trees, and only within a component of them: members never meet in one task.
@@ -34,6 +66,9 @@ def incremental(ids: DataFrame, candidates: DataFrame, threshold: float) -> Data
     links = cut(candidates.filter((F.col("score") >= threshold) & ~F.isnan("score")).select("id", "near", "score"))
     tree = _first_topics(ids, links)
     to = links.join(tree, "id").join(tree.select(F.col("id").alias("near"), F.col("tree").alias("other")), "near").filter("tree != other")
+    if published is not None:
+        locked = published.select("topic")
+        to = to.join(locked.withColumnRenamed("topic", "tree"), "tree", "left_anti").join(locked.withColumnRenamed("topic", "other"), "other", "left_anti")
     merges = cut(to.groupBy(F.least("tree", "other").alias("a"), F.greatest("tree", "other").alias("b")).agg(F.min("id").alias("time"), F.min_by("tree", "id").alias("winner")))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:

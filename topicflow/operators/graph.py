@@ -74,3 +74,24 @@ def from_triples(articles: DataFrame, reply: str = "reply", most: int = 10) -> D
     parsed = F.from_json(outermost_object(F.col(reply)), f"struct<triples:array<{one}>>")["triples"]
     whole = articles.select("article_id", F.explode(F.slice(parsed, 1, most)).alias("t")).select("article_id", "t.*")
     return whole.filter((F.trim("subject") != "") & (F.trim("object") != ""))
+
+
+def add_articles(nodes: DataFrame, links: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (label, name) and links (kind, src, dst, relation, article_id) after articles' triples.
+
+    ``triples`` has source_id, article_id, subject, relation, object. Sources, articles, entities,
+    PUBLISHED and MENTIONS are merged, RELATED is added once per triple.
+    """
+    article = F.col("article_id").cast("string")
+    ends = triples.select("article_id", F.explode(F.array("subject", "object")).alias("name"))
+    made = triples.select(F.lit("Source").alias("label"), F.col("source_id").alias("name")).union(triples.select(F.lit("Article"), article)).union(ends.select(F.lit("Entity"), "name")).distinct()
+    none = F.lit(None).cast("string")
+    merged = triples.select(F.lit("PUBLISHED").alias("kind"), F.col("source_id").alias("src"), article.alias("dst"), none.alias("relation"), "article_id")
+    merged = merged.union(ends.select(F.lit("MENTIONS"), article, "name", none, "article_id")).distinct().join(links.select("kind", "src", "dst"), ["kind", "src", "dst"], "left_anti")
+    related = triples.select(F.lit("RELATED").alias("kind"), F.col("subject").alias("src"), F.col("object").alias("dst"), "relation", "article_id")
+    return nodes.union(made.join(nodes, ["label", "name"], "left_anti")), links.unionByName(merged).unionByName(related)
+
+
+def provenance(links: DataFrame, articles: DataFrame) -> DataFrame:
+    """Links with the article that each was read from."""
+    return links.join(articles, "article_id")

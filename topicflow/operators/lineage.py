@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; where none is set, a local one in local mode (tests), else an error."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="topicflow-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the session; only where none is set (tests) a local one."""
+    """``df`` written to the shared folder and read back, so that plans in loops stay short."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="topicflow-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_between, half_life
+from .ranks import dense_ranks
 
 
 def hotness(articles: DataFrame, as_of: Column, life: float = 3.5, by: str = "topic_id") -> DataFrame:
@@ -24,20 +25,16 @@ def top_entry(scores: Column) -> Column:
     return F.array_max(entries)
 
 
-def mode_by_first(df: DataFrame, key: str, value: Column, order: list[Column]) -> DataFrame:
-    """The most frequent value of each key; of equals the one seen first in ``order``."""
-    seen = df.select(key, value.alias("value"), F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("pos"))
-    each = seen.groupBy(key, "value").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return each.groupBy(key).agg(F.max_by("value", F.struct("n", (-F.col("first")).alias("neg"))).alias("value"))
+def mode_by_first(df: DataFrame, key: str, value: Column, order: list[str]) -> DataFrame:
+    """The most frequent value of each key; of equals the one seen first in ascending ``order``. Aggregates only, so hot keys combine before the shuffle."""
+    each = df.groupBy(key, value.alias("value")).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
+    best = each.groupBy(key).agg(F.max("n").alias("n"))
+    return each.join(best, [key, "n"]).groupBy(key).agg(F.min_by("value", "first").alias("value"))
 
 
 def dense_share(df: DataFrame, col: str, out: str) -> DataFrame:
-    """(dense rank - 1) / (distinct values - 1), 0 for one value.
-
-    Ranks come from the distinct values joined back, so no window holds all rows.
-    """
-    values = df.select(col).distinct()
-    ranked = values.select(col, F.dense_rank().over(Window.orderBy(col)).alias("d_"))
+    """(dense rank - 1) / (distinct values - 1), 0 for one value; ranks come from ranges of the distinct values."""
+    ranked = dense_ranks(df, col, "d_")
     top = ranked.agg(F.max("d_").alias("m_"))
     share = F.when(F.col("m_") == 1, 0.0).otherwise((F.col("d_") - 1) / (F.col("m_") - 1))
     return df.join(ranked.join(F.broadcast(top)).select(col, share.alias(out)), col)
@@ -64,9 +61,3 @@ def entity_heat(entities: DataFrame, window: Column) -> DataFrame:
 def trend(counts: Column, base: Column, recent_days: int = 14, base_days: int = 60, smoothing: float = 0.01) -> Column:
     """Recent count x recent rate over base rate."""
     return counts * (counts / recent_days) / (base / base_days + smoothing)
-
-
-def average_rank(col: str, by: list[str] | None = None) -> Column:
-    """Rank with ties at their mean place."""
-    w = Window.partitionBy(*(by or []))
-    return F.rank().over(w.orderBy(col)) + (F.count("*").over(Window.partitionBy(*(by or []), col)) - 1) / 2

@@ -2,7 +2,8 @@
 
 Scores, ranks and the ledger are DataFrames of any size. The rotation under shared quotas is
 sequential by nature: it runs per issue key in ``applyInPandas`` on candidates first pruned to
-the best ``total_max`` of each (module, type, tier) cell, which the quotas cannot look beyond.
+the best ``total_max`` of each (module, type, tier, dominant group) cell, which the quotas cannot
+look beyond: rows of a cell fit or fail together.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import top_n
+from .lineage import cut
+from .ranks import row_numbers
 
 
 def all_qualified(candidates: DataFrame, min_score: float = 6.0) -> DataFrame:
@@ -20,6 +23,12 @@ def all_qualified(candidates: DataFrame, min_score: float = 6.0) -> DataFrame:
     return candidates.withColumn("decision", F.when(ok, "selected").otherwise("rejected")).withColumn("reason", F.when(ok, "all_qualified").otherwise("below_module_threshold"))
 
 
+def displayed(selected: DataFrame, total: str = "total", hotness: str = "hotness") -> DataFrame:
+    """Selected topics with their place: by total, then hotness, then id."""
+    ordered = selected.select("*", (-F.col(total)).alias("neg_total_"), (-F.col(hotness)).alias("neg_hot_"))
+    return row_numbers(ordered, [], ["neg_total_", "neg_hot_", "id"], "place").drop("neg_total_", "neg_hot_")
+
+
 def area_quota(candidates: DataFrame, quotas: dict[str, int], total_min: int, total_max: int, boost: float = 0.3) -> DataFrame:
     """Best of each area up to its quota, filled up to ``total_min``, cut at ``total_max``."""
     final = F.col("base_score") * (1 + boost * F.tanh(F.col("tag_boost") / 10))
@@ -38,37 +47,54 @@ def area_quota(candidates: DataFrame, quotas: dict[str, int], total_min: int, to
 
 def attribution(top_score: Column, type_full: Column, group_full: Column, tier_full: Column, min_score: float = 6.0) -> Column:
     """Why a candidate was left out, from the final counters."""
-    return F.when(top_score < min_score, "below_module_threshold").when(type_full, "content_type_quota_full").when(group_full, "group_quota_full").when(tier_full, "tier_cap_full").otherwise("slots_full")
+    return F.when(top_score < min_score, "below_module_threshold").when(type_full, "content_type_quota_full").when(group_full, "module_group_quota_full").when(tier_full, "tier_quota_full").otherwise("slots_full")
 
 
 def pruned(scores: DataFrame, total_max: int) -> DataFrame:
-    """Candidates among the best ``total_max`` of a (module, type, tier) cell; scores is long: id, module, score, ..."""
-    return top_n(scores, ["key", "module", "content_type", "tier"], [F.desc("score"), F.asc("id")], total_max).select("key", "id").distinct()
+    """Candidates among the best ``total_max`` of a cell, by a module's score or by ``rank`` where given.
+
+    ``scores`` is long: key, id, module, score, content_type, tier[, grp][, rank].
+    """
+    cell = [c for c in ("key", "module", "content_type", "tier", "grp") if c in scores.columns]
+    best = [F.desc("score"), *([F.desc("rank")] if "rank" in scores.columns else []), F.asc("id")]
+    return top_n(scores, cell, best, total_max).select("key", "id").distinct()
+
+
+def rotation_order(modules: list[tuple], groups: tuple[str, ...] = ("domain", "functional")) -> list[tuple]:
+    """(name, group) by group, in configured order within one."""
+    return [m for g in groups for m in modules if m[1] == g]
 
 
-def rotate(scores: DataFrame, modules: list[tuple[str, str]], total_max: int = 10, per_module: int = 1, min_score: float = 6.0, types: dict[str, int] | None = None, tiers: dict[str, int] | None = None, groups: dict[str, int] | None = None, total_min: int = 0) -> DataFrame:
-    """(key, place, id, via): module rotation, then a fill by total, under all caps.
+def rotate(scores: DataFrame, modules: list[tuple[str, str]], total_max: int = 10, per_module: int = 1, min_score: float = 6.0, types: dict[str, int] | None = None, tiers: dict[str, int] | None = None, groups: dict[str, int] | None = None, total_min: int = 0, order: list[str] | None = None) -> DataFrame:
+    """(key, place, id, via): module rotation, then a fill by rank, under all caps.
 
-    Up to ``total_min`` a floor round goes on without caps, and a last one without the least score.
+    The rotation skips on content type and tier and ends a module where its own group is full; a
+    pick counts for the group of its own best module, whichever module picked it, and the fill
+    looks at that group. Up to ``total_min`` a floor round goes on without caps, and a last one
+    without the least score.
 
-    ``scores`` is long: key, id, module, score, content_type, tier. ``modules`` are (name, group)
-    in rotation order. A pick counts for its own best module's group, whichever module picked it.
+    ``scores`` is long: key, id, module, score, content_type, tier[, rank]. ``modules`` are (name,
+    group) in rotation order, domain before functional (``rotation_order``). ``rank`` (weekly
+    potential; without it the total of all modules) breaks a module's ties and orders the fill and
+    the result. ``order`` is the modules' own order, in which a topic's best is the first of equals.
     """
     types, tiers, groups = types or {}, tiers or {}, groups or {}
     names = [m for m, _ in modules]
     group_of = dict(modules)
+    own_order = (order or names).index
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="id", columns="module", values="score", aggfunc="max").reindex(columns=names).fillna(0.0)
         info = pdf.drop_duplicates("id").set_index("id").sort_index()
         wide = wide.loc[info.index]
-        best = wide.idxmax(axis=1)
-        total = wide.sum(axis=1)
+        best = wide[sorted(names, key=own_order)].idxmax(axis=1)  # of equal modules the first of the configuration
+        total = info["rank"] if "rank" in info else wide.sum(axis=1).round(9)
         picked: dict = {}
         used: dict = {"type": {}, "tier": {}, "group": {}}
 
-        def fits(i) -> bool:
-            return all(used[k].get(v, 0) < cap.get(v, 10**9) for k, v, cap in (("type", info.content_type[i], types), ("tier", info.tier[i], tiers), ("group", group_of[best[i]], groups)))
+        def fits(i, group: bool = True) -> bool:
+            caps = (("type", info.content_type[i], types), ("tier", info.tier[i], tiers), *([("group", group_of[best[i]], groups)] if group else []))
+            return all(used[k].get(v, 0) < cap.get(v, 10**9) for k, v, cap in caps)
 
         def take(i, via: str) -> None:
             picked[i] = via
@@ -77,20 +103,21 @@ def rotate(scores: DataFrame, modules: list[tuple[str, str]], total_max: int = 1
 
         for m in names:
             n = 0
-            for i in wide[m].sort_values(ascending=False, kind="stable").index:
+            for i in sorted(wide.index, key=lambda i: (-wide[m][i], -total[i], i) if "rank" in info else (-wide[m][i], i)):
                 full = used["group"].get(group_of[m], 0) >= groups.get(group_of[m], 10**9)
                 if n >= per_module or len(picked) >= total_max or full or wide[m][i] < min_score:
                     break
-                if i not in picked and fits(i):
+                if i not in picked and fits(i, group=False):
                     take(i, "rotation")
                     n += 1
-        for i in total.sort_values(ascending=False, kind="stable").index:
+        by_rank = sorted(wide.index, key=lambda i: (-total[i], i))
+        for i in by_rank:
             if len(picked) >= total_max:
                 break
             if i not in picked and wide.loc[i].max() >= min_score and fits(i):
                 take(i, "fill")
         for via, least in (("floor", min_score), ("below_threshold", float("-inf"))):
-            for i in total.sort_values(ascending=False, kind="stable").index:
+            for i in by_rank:
                 if len(picked) >= min(total_min, total_max):
                     break
                 if i not in picked and wide.loc[i].max() >= least:
@@ -123,3 +150,38 @@ def outcome(n_sources: Column, error: Column, coherent: Column, confidence: Colu
         F.when(n_sources == 0, "insufficient_sources").when(error.isNotNull(), "generation_error").when(coherent.eqNullSafe(F.lit(False)), "failed_selfcheck")
         .when((confidence < again) & (tries < most), "regenerate").when(confidence < review, "needs_review").otherwise("ready")
     )
+
+
+def split_reusable(selected: DataFrame, generated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Selected topics that have an article already (the newest is reused), and those to be written."""
+    newest = generated.groupBy("topic_id").agg(F.max_by(F.struct(F.col("id").alias("article_id"), F.col("issue_id").alias("reused_from_issue")), F.struct("created_at", "id")).alias("g_"))
+    return selected.join(newest, "topic_id").select(*selected.columns, "g_.*"), selected.join(newest, "topic_id", "left_anti")
+
+
+def filled_up(select, write, total_min: int, rounds: int = 3) -> DataFrame:
+    """(topic_id, place): what could be written, in first-seen order, after further rounds for what failed.
+
+    ``select(tried)`` gives (topic_id, place) without the topics ``tried`` (None at first); ``write``
+    gives the topic_ids that succeed. Later rounds take only what is missing; an issue is a few rows.
+    """
+    done = tried = None
+    for n in range(rounds):
+        have = 0 if done is None else done.count()
+        if have >= total_min:
+            break
+        chosen = select(tried)
+        if n:
+            chosen = chosen.orderBy("place").limit(total_min - have)
+        chosen = cut(chosen.select("topic_id", (F.col("place") + F.lit(n * 1_000_000)).alias("place")))
+        if chosen.isEmpty():
+            break
+        tried = chosen.select("topic_id") if tried is None else tried.union(chosen.select("topic_id"))
+        new = chosen.join(write(chosen), "topic_id", "left_semi")
+        done = cut(new if done is None else done.union(new))
+    return row_numbers(done.withColumnRenamed("place", "seen_"), [], ["seen_"], "place").drop("seen_")
+
+
+def writing_sources(articles: DataFrame, most: int = 5) -> DataFrame:
+    """(topic_id, id, relevance): a topic's own substantive articles, the most relevant ``most`` if there are more."""
+    own = articles.filter(F.coalesce("gate_status", F.lit("included")) == "included")
+    return top_n(own.select("topic_id", "id", "relevance"), ["topic_id"], [F.desc("relevance"), F.asc("id")], most)

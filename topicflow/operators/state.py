@@ -63,3 +63,39 @@ def split_members(articles: DataFrame, evicted: DataFrame, new_topic: Column) ->
 def new_issues(issues: DataFrame, wanted: DataFrame) -> DataFrame:
     """Wanted (issue_date, cadence) that no issue has yet."""
     return wanted.join(issues.select("issue_date", "cadence").distinct(), ["issue_date", "cadence"], "left_anti")
+
+
+def assign(articles: DataFrame, topics: DataFrame, given: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Articles and topics after (id, topic_id): members move, their topics were last seen ``now``; scores stay."""
+    to = given.select("id", F.col("topic_id").alias("to_"))
+    moved = articles.join(to, "id", "left").withColumn("topic_id", F.coalesce("to_", "topic_id")).drop("to_")
+    seen = given.select("topic_id", F.lit(True).alias("seen_")).distinct()
+    return moved, topics.join(seen, "topic_id", "left").withColumn("last_seen", F.when(F.col("seen_"), now).otherwise(F.col("last_seen"))).drop("seen_")
+
+
+def repointed(table: DataFrame, losers: DataFrame, col: str = "topic_id") -> DataFrame:
+    """Any table that names topics (ledger, generated articles, vectors) after (loser, winner)."""
+    to = losers.select(F.col("loser").alias(col), "winner")
+    return table.join(to, col, "left").withColumn(col, F.coalesce("winner", col)).drop("winner").select(*table.columns)
+
+
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A table rebuilt from scratch in the old one's columns and types."""
+    return new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in old.schema])
+
+
+def evolved(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """``df`` with the columns (name: type) that a newer schema has and it lacks, as nulls."""
+    return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in wanted.items() if c not in df.columns])
+
+
+def in_order(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``ids`` (pos, key) in their order; unknown ids have none, no ids give no rows."""
+    return ids.join(df, key).orderBy("pos")
+
+
+def trimmed_sources(generated: DataFrame, kept: DataFrame) -> DataFrame:
+    """Generated articles (id, topic_id, source_ids) whose source lists lose ids that left the topic, unless nothing would be left."""
+    members = kept.groupBy("topic_id").agg(F.collect_set("id").alias("kept_"))
+    left = F.filter("source_ids", lambda x: F.array_contains("kept_", x))
+    return generated.join(members, "topic_id", "left").withColumn("source_ids", F.when(F.size(left) > 0, left).otherwise(F.col("source_ids"))).drop("kept_")

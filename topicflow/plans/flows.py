@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cluster, gates, graph, scoring, selection, similarity, state
+from ..operators import cluster, gates, graph, ranks, selection, similarity, state
 from ..operators.dedup import top_n
+from ..operators.lineage import shared_folder
 from ..sources import landed
 from ..streaming import ingest
-from .catalog import ARTICLES, MODULES, SCORES, articles, issues, module_scores, score_maps, table
-from .queries import query, r6
+from .catalog import ARTICLES, SCORES, articles, issues, module_scores, score_maps, table
+from .queries import GROUP_CAPS, ROTATION, TIER_CAPS, TYPE_CAPS, html_sql, query, r6, rotation_input, rotation_picks
 
 # feeds ------------------------------------------------------------------------------------------
 
@@ -62,7 +62,8 @@ def source_search(spark, sf_dir):
     return _shown(landed.searched(e, "search", "hit", "2024-01-05", 20, fallback="https://x/"))
 
 
-@query()
+@query(f"""SELECT url AS external_id, trim(url) AS title, url, CAST(length({html_sql('html')}) AS BIGINT) AS chars, '2024-01-20' AS day, NULL::DOUBLE AS engagement
+  FROM (SELECT * FROM pages ORDER BY page_id LIMIT 15) p WHERE {html_sql('html')} <> '' AND url <> ''""")
 def source_rss(spark, sf_dir):
     """A feed of web pages, their mark-up as content."""
     p = table(spark, sf_dir, "pages")
@@ -75,8 +76,7 @@ def source_rss(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="topicflow-")
-    return f"{shared.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/flow-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -178,21 +178,20 @@ def entity_resolution(spark, sf_dir):
 
 # selection --------------------------------------------------------------------------------------
 
-TYPES, TIERS = {"type0": 3, "type1": 4, "type2": 3}, {"tier0": 4, "tier1": 2}
 
 
-@query()
+def _full_sql(kind: str, caps: dict) -> str:
+    return f"(SELECT count(*) FROM pk JOIN ca p USING (id) WHERE p.key = ca.key AND p.{kind} = ca.{kind}) >= coalesce(CASE ca.{kind} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in caps.items()) + " END, 1000000)"
+
+
+@query(f"""WITH RECURSIVE {ROTATION} SELECT ca.key, ca.id, CASE WHEN via IS NULL THEN 'rejected' ELSE 'selected' END AS decision,
+  coalesce(via, CASE WHEN top < 6 THEN 'below_module_threshold' WHEN {_full_sql('type', TYPE_CAPS)} THEN 'content_type_quota_full' WHEN {_full_sql('grp', GROUP_CAPS)} THEN 'module_group_quota_full' WHEN {_full_sql('tier', TIER_CAPS)} THEN 'tier_quota_full' ELSE 'slots_full' END) AS reason
+FROM ca LEFT JOIN pk ON pk.id = ca.id""")
 def rotation_ledger(spark, sf_dir):
     """Every candidate of four issues with its decision and reason."""
-    kind = lambda name, n: F.concat(F.lit(name), (F.col("id") % n).cast("string")).alias(name if name != "type" else "content_type")
-    s = module_scores(spark, sf_dir).select(F.concat(F.lit("issue"), (F.col("id") % 4).cast("string")).alias("key"), "id", F.col("module").cast("string").alias("module"), "score", kind("type", 3), kind("tier", 5))
-    totals = s.groupBy("key", "id", "content_type", "tier").agg(F.sum("score").alias("score")).withColumn("module", F.lit("total"))
-    keep = selection.pruned(s.unionByName(totals), 10)
-    picks = selection.rotate(s.join(keep, ["key", "id"]), [(str(m), g) for m, g in MODULES], types=TYPES, tiers=TIERS, total_min=8)
-    top = scoring.top_entry(F.col("scores"))
-    grp = F.when(F.col("t.key") < 10, "functional").otherwise("domain").alias("grp")
-    best = score_maps(spark, sf_dir).select("id", top.alias("t")).select(F.concat(F.lit("issue"), (F.col("id") % 4).cast("string")).alias("key"), "id", kind("type", 3), kind("tier", 5), grp, F.col("t.score").alias("top_score"))
-    return selection.ledger(best, picks, types=TYPES, tiers=TIERS)
+    s = rotation_input(spark, sf_dir)
+    every = s.groupBy("key", "id", "content_type", "tier", "grp").agg(F.max("score").alias("top_score"))
+    return selection.ledger(every, rotation_picks(s), types=TYPE_CAPS, tiers=TIER_CAPS, groups=GROUP_CAPS)
 
 
 @query("""SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_returnflag = 'R' AND l_quantity < 5 THEN 'insufficient_sources' WHEN l_tax > 0.07 THEN 'generation_error' WHEN l_discount > 0.09 THEN 'failed_selfcheck'
@@ -203,12 +202,11 @@ def generation_outcome(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), o.alias("outcome"))
 
 
-@query("""SELECT o_orderkey AS id, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) % 5 AS INTEGER) AS technique FROM orders""")
+@query("""SELECT o_orderkey AS id, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey || '-7'), o_orderkey) - 1) % 5 AS INTEGER) AS technique FROM orders""")
 def technique_round_robin(spark, sf_dir):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("cadence").orderBy("id"))
-    return issues(spark, sf_dir).select("id", F.pmod(n - 1, F.lit(5)).cast("int").alias("technique"))
+    """A seeded permutation of each cadence's issues, dealt to five techniques in turn."""
+    o = issues(spark, sf_dir).select("id", "cadence", F.md5(F.concat(F.col("id").cast("string"), F.lit("-7"))).alias("shuffled"))
+    return ranks.row_numbers(o, ["cadence"], ["shuffled", "id"], "n").select("id", F.pmod(F.col("n") - 1, F.lit(5)).cast("int").alias("technique"))
 
 
 # evaluation -------------------------------------------------------------------------------------
@@ -237,10 +235,11 @@ def backfill_summary(spark, sf_dir):
     return issues(spark, sf_dir).groupBy(F.col("issue_date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("score") < 100000).alias("needs_review"), r6(F.avg("score")).alias("confidence"))
 
 
-@query()
+@query("SELECT topic_id FROM (SELECT DISTINCT o_custkey AS topic_id FROM orders) ORDER BY md5(topic_id || '-42'), topic_id LIMIT 50")
 def seeded_sample(spark, sf_dir):
     """Fifty topics by a seeded order."""
-    return issues(spark, sf_dir).select("topic_id").distinct().orderBy(F.xxhash64("topic_id", F.lit(42)), "topic_id").limit(50)
+    seeded = F.md5(F.concat(F.col("topic_id").cast("string"), F.lit("-42")))
+    return issues(spark, sf_dir).select("topic_id").distinct().orderBy(seeded, "topic_id").limit(50)
 
 
 @query(f"""WITH {ARTICLES} SELECT count(*) AS n FROM art WHERE gate_reason IS DISTINCT FROM CASE WHEN age_days > 20 THEN 'published_out_of_window' WHEN chars < 300 THEN 'title_only' ELSE '' END""")

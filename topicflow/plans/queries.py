@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import cluster, gates, graph, scoring, selection, similarity, state
+from ..operators import cluster, gates, graph, ranks, scoring, selection, similarity, state
 from ..operators.dedup import insert_if_new, one_per_key, top_n
 from .catalog import ARTICLES, AS_OF, EDGES, MODULES, SCORES, WINDOW_FROM, articles, edges, hot_input, issues, module_scores, score_maps, table
 
@@ -60,7 +60,7 @@ def dominant_module(spark, sf_dir):
 SELECT topic_id, tier FROM r WHERE k = 1""")
 def dominant_tier_mode(spark, sf_dir):
     a = articles(spark, sf_dir).select("topic_id", "tier", "age_days", "id")
-    return scoring.mode_by_first(a, "topic_id", F.coalesce("tier", F.lit("case")), [F.asc("age_days"), F.asc("id")]).withColumnRenamed("value", "tier")
+    return scoring.mode_by_first(a, "topic_id", F.coalesce("tier", F.lit("case")), ["age_days", "id"]).withColumnRenamed("value", "tier")
 
 
 @query("""WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), d AS (SELECT user_id, n, dense_rank() OVER (ORDER BY n) AS d FROM n)
@@ -147,16 +147,16 @@ def gate_topic_ready(spark, sf_dir):
     return gates.topic_ready(articles(spark, sf_dir), F.col("id") % 3 == 0, min_substantive=4)
 
 
-@query(f"WITH {ARTICLES} SELECT topic_id FROM art GROUP BY topic_id HAVING count(DISTINCT CASE WHEN gate_status <> 'excluded' THEN source_id END) <= 3")
+@query(f"WITH {ARTICLES} SELECT topic_id FROM art GROUP BY topic_id HAVING count(DISTINCT CASE WHEN gate_status <> 'excluded' THEN source_id END) <= 5")
 def few_source_topics(spark, sf_dir):
     n = F.count_distinct(F.when(F.col("gate_status") != "excluded", F.col("source_id")))
-    return articles(spark, sf_dir).groupBy("topic_id").agg(n.alias("n")).filter("n <= 3").select("topic_id")
+    return articles(spark, sf_dir).groupBy("topic_id").agg(n.alias("n")).filter("n <= 5").select("topic_id")
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_quota FROM orders")
 def quota_reasons(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    reason = F.when(F.col("o_orderpriority") == "1-URGENT", "slots_full").when(F.col("o_orderpriority") == "2-HIGH", "tier_cap_full").otherwise("not_scored")
+    reason = F.when(F.col("o_orderpriority") == "1-URGENT", "slots_full").when(F.col("o_orderpriority") == "2-HIGH", "tier_quota_full").otherwise("not_scored")
     return o.select(F.col("o_orderkey").alias("id"), gates.is_quota_reason(reason).alias("is_quota"))
 
 
@@ -212,8 +212,9 @@ def latest_k_snapshots(spark, sf_dir):
 
 @query("""SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS number FROM orders""")
 def issue_display_no(spark, sf_dir):
-    w = Window.partitionBy("cadence").orderBy("issue_date", "id")
-    return issues(spark, sf_dir).select("id", F.row_number().over(w).cast("long").alias("number"))
+    """Predecessors within the cadence and itself; an issue without a cadence has no number."""
+    n = ranks.row_numbers(issues(spark, sf_dir).select("id", "cadence", "issue_date"), ["cadence"], ["issue_date", "id"], "number")
+    return n.select("id", F.when(F.col("cadence").isNull(), 0).otherwise(F.col("number")).cast("long").alias("number"))
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, event_id, value, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value DESC, event_id) AS k FROM events) SELECT CAST(day AS VARCHAR) AS day, event_id, value FROM d WHERE k <= 2""")
@@ -345,9 +346,9 @@ def module_overview(spark, sf_dir):
     return s.groupBy("module").agg(F.count_distinct("id").alias("topics"), F.max_by("id", F.struct(F.col("id") % 30, F.col("id"))).alias("latest"))
 
 
-@query(f"WITH {SCORES} SELECT module, id, score FROM sc WHERE score >= 9.5 AND module = 7")
+@query(f"WITH {SCORES} SELECT module, id, score FROM sc WHERE score >= 4")
 def module_timeline(spark, sf_dir):
-    return module_scores(spark, sf_dir).filter("score >= 9.5 and module = 7").select("module", "id", "score")
+    return module_scores(spark, sf_dir).filter("score >= 4").select("module", "id", "score")
 
 
 @query(f"""WITH {SCORES}, h AS (SELECT id, module, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, module) AS k FROM sc WHERE module < 9),
@@ -390,7 +391,7 @@ def select_all_qualified(spark, sf_dir):
     return selection.all_qualified(c, 9.9)
 
 
-@query(f"""WITH {SCORES}, t AS (SELECT id, max(score) AS top FROM sc GROUP BY id), d AS (SELECT CASE WHEN top < 9.9 THEN 'below_module_threshold' WHEN id % 4 = 1 THEN 'content_type_quota_full' WHEN id % 4 = 2 THEN 'group_quota_full' WHEN id % 4 = 3 THEN 'tier_cap_full' ELSE 'slots_full' END AS reason FROM t)
+@query(f"""WITH {SCORES}, t AS (SELECT id, max(score) AS top FROM sc GROUP BY id), d AS (SELECT CASE WHEN top < 9.9 THEN 'below_module_threshold' WHEN id % 4 = 1 THEN 'content_type_quota_full' WHEN id % 4 = 2 THEN 'module_group_quota_full' WHEN id % 4 = 3 THEN 'tier_quota_full' ELSE 'slots_full' END AS reason FROM t)
 SELECT reason, reason <> 'below_module_threshold' AS is_quota, count(*) AS n FROM d GROUP BY reason""")
 def ledger_summary(spark, sf_dir):
     t = score_maps(spark, sf_dir).select("id", F.array_max(F.map_values("scores")).alias("top"))
@@ -408,13 +409,49 @@ def legacy_area_quota(spark, sf_dir):
     return selection.area_quota(c, {"a0": 1, "a1": 1, "a2": 2}, 5, 7).select("id", "area", r6("final_score").alias("final_score"))
 
 
-@query()
+TYPE_CAPS, TIER_CAPS, GROUP_CAPS = {"type0": 3, "type1": 4, "type2": 3}, {"tier0": 4, "tier1": 2}, {"domain": 5, "functional": 6}
+
+
+def rotation_input(spark, sf_dir):
+    """Long scores of four independent issues: key, id, content_type, tier, grp (of the best module), module, score."""
+    named = lambda name, n: F.concat(F.lit(name), (F.col("id") % n).cast("string"))
+    best = score_maps(spark, sf_dir).select("id", scoring.top_entry(F.col("scores")).alias("t")).select("id", F.when(F.col("t.key") < 10, "functional").otherwise("domain").alias("grp"))
+    s = module_scores(spark, sf_dir).join(best, "id")
+    return s.select(named("issue", 4).alias("key"), "id", named("type", 3).alias("content_type"), named("tier", 5).alias("tier"), "grp", F.col("module").cast("string").alias("module"), "score")
+
+
+def rotation_picks(s):
+    totals = s.groupBy("key", "id", "content_type", "tier", "grp").agg(F.sum("score").alias("score")).withColumn("module", F.lit("total"))
+    keep = selection.pruned(s.unionByName(totals), 10)
+    own = [(str(m), g) for m, g in MODULES]
+    return selection.rotate(s.join(keep, ["key", "id"]), selection.rotation_order(own), types=TYPE_CAPS, tiers=TIER_CAPS, groups=GROUP_CAPS, total_min=8, order=[m for m, _ in own])
+
+
+def _cap_sql(col: str, caps: dict) -> str:
+    return f"coalesce(CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in caps.items()) + " END, 1000000)"
+
+
+_used = "len(list_filter(r.{0}s, lambda x: x = a.{1}))".format
+_CAPS = f"{_used('type', 'type')} < {_cap_sql('a.type', TYPE_CAPS)} AND {_used('tier', 'tier')} < {_cap_sql('a.tier', TIER_CAPS)}"
+_NEW = "NOT list_contains(r.ids, a.id)"
+#: Every attempt of every round in order, one a step, with the picks so far as lists.
+ROTATION = f"""{SCORES}, ca AS (SELECT 'issue' || id % 4 AS key, id, 'type' || id % 3 AS type, 'tier' || id % 5 AS tier, CASE WHEN arg_min(module, (-score, module)) < 10 THEN 'functional' ELSE 'domain' END AS grp, max(score) AS top, round(sum(score), 6) AS total FROM sc GROUP BY id),
+  tr AS (SELECT 0 AS round, CASE WHEN module < 10 THEN module + 100 ELSE module END AS step, CASE WHEN module < 10 THEN 'functional' ELSE 'domain' END AS mgrp, id, score AS pts FROM sc UNION ALL SELECT r, 0, '', id, total FROM ca, range(1, 4) x(r)),
+  att AS (SELECT ca.*, round, step, mgrp, pts, row_number() OVER (PARTITION BY key ORDER BY round, step, pts DESC, id) AS i FROM tr JOIN ca USING (id)),
+  st AS (SELECT DISTINCT key, 0::BIGINT AS i, []::BIGINT[] AS ids, []::VARCHAR[] AS types, []::VARCHAR[] AS tiers, []::VARCHAR[] AS grps, []::VARCHAR[] AS vias, -1 AS step, 0 AS n FROM ca UNION ALL
+    SELECT key, i, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(types, type) ELSE types END, CASE WHEN ok THEN list_append(tiers, tier) ELSE tiers END, CASE WHEN ok THEN list_append(grps, grp) ELSE grps END,
+      CASE WHEN ok THEN list_append(vias, CASE round WHEN 0 THEN 'rotation' WHEN 1 THEN 'fill' WHEN 2 THEN 'floor' ELSE 'below_threshold' END) ELSE vias END, step, n + CAST(ok AS INTEGER)
+    FROM (SELECT a.key, a.i, r.ids, r.types, r.tiers, r.grps, r.vias, a.id, a.type, a.tier, a.grp, a.round, a.step, CASE WHEN a.round = 0 AND a.step = r.step THEN r.n ELSE 0 END AS n,
+        {_NEW} AND CASE a.round WHEN 0 THEN (a.step <> r.step OR r.n < 1) AND len(r.ids) < 10 AND {_used('grp', 'mgrp')} < {_cap_sql('a.mgrp', GROUP_CAPS)} AND a.pts >= 6 AND {_CAPS}
+          WHEN 1 THEN len(r.ids) < 10 AND a.top >= 6 AND {_CAPS} AND {_used('grp', 'grp')} < {_cap_sql('a.grp', GROUP_CAPS)} WHEN 2 THEN len(r.ids) < 8 AND a.top >= 6 ELSE len(r.ids) < 8 END AS ok
+      FROM st r JOIN att a ON a.key = r.key AND a.i = r.i + 1) t),
+  fi AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1), pk AS (SELECT key, unnest(ids) AS id, unnest(vias) AS via FROM fi)"""
+
+
+@query(f"WITH RECURSIVE {ROTATION} SELECT pk.key, row_number() OVER (PARTITION BY pk.key ORDER BY total DESC, pk.id) AS place, pk.id, via FROM pk JOIN ca USING (id)")
 def select_rotation(spark, sf_dir):
     """Rotation under quotas for four independent issues, after exact pruning."""
-    s = module_scores(spark, sf_dir).select(F.concat(F.lit("issue"), (F.col("id") % 4).cast("string")).alias("key"), "id", F.col("module").cast("string").alias("module"), "score", F.concat(F.lit("type"), (F.col("id") % 3).cast("string")).alias("content_type"), F.concat(F.lit("tier"), (F.col("id") % 5).cast("string")).alias("tier"))
-    totals = s.groupBy("key", "id", "content_type", "tier").agg(F.sum("score").alias("score")).withColumn("module", F.lit("total"))
-    keep = selection.pruned(s.unionByName(totals), 10)
-    return selection.rotate(s.join(keep, ["key", "id"]), [(str(m), g) for m, g in MODULES], types={"type0": 3, "type1": 4, "type2": 3}, tiers={"tier0": 4, "tier1": 2})
+    return rotation_picks(rotation_input(spark, sf_dir))
 
 
 # similarity and clusters ------------------------------------------------------------------------
@@ -432,19 +469,29 @@ def knn_top5_cosine(spark, sf_dir):
     return similarity.pairs_above(_vectors(spark, sf_dir), -2.0, 5).withColumn("score", r6("score"))
 
 
-@query(f"WITH {PAIRS} SELECT CASE WHEN score >= 0.40 THEN 'match' WHEN score >= 0.30 THEN 'ask' ELSE 'no' END AS zone, count(*) AS n FROM p WHERE score >= 0.25 GROUP BY 1")
+def _all_pairs(n):
+    """How many pairs ``n`` rows have: those below a limit need not be made to be counted."""
+    return F.expr(f"{n} * ({n} - 1) div 2")
+
+
+@query(f"WITH {PAIRS} SELECT CASE WHEN score >= 0.40 THEN 'match' WHEN score >= 0.30 THEN 'ask' ELSE 'no' END AS zone, count(*) AS n FROM p GROUP BY 1")
 def grey_zone_pairs(spark, sf_dir):
-    p = similarity.pairs_above(_vectors(spark, sf_dir).drop("label"), 0.25)
-    return p.groupBy(similarity.grey_zone(F.col("score"), 0.30, 0.40).alias("zone")).agg(F.count("*").alias("n"))
+    v = _vectors(spark, sf_dir).drop("label")
+    p = similarity.pairs_above(v, 0.30)
+    found = p.groupBy(similarity.grey_zone(F.col("score"), 0.30, 0.40).alias("zone")).agg(F.count("*").alias("n"))
+    rest = v.agg(F.count("*").alias("v")).join(p.agg(F.count("*").alias("p"))).select(F.lit("no").alias("zone"), (_all_pairs("v") - F.col("p")).alias("n"))
+    return found.union(rest)
 
 
-@query(f"""WITH {PAIRS} SELECT count(*) FILTER (same AND score >= 0.35) AS tp, count(*) FILTER (NOT same AND score >= 0.35) AS fp, count(*) FILTER (same AND score < 0.35) AS fn, count(*) FILTER (NOT same AND score < 0.35) AS tn FROM p WHERE score >= 0.25""")
+@query(f"""WITH {PAIRS} SELECT count(*) FILTER (same AND score >= 0.35) AS tp, count(*) FILTER (NOT same AND score >= 0.35) AS fp, count(*) FILTER (same AND score < 0.35) AS fn, count(*) FILTER (NOT same AND score < 0.35) AS tn FROM p""")
 def confusion_pairs(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     lab = v.select("id", "label")
-    p = similarity.pairs_above(v.drop("label"), 0.25).join(lab, "id").join(lab.select(F.col("id").alias("near"), F.col("label").alias("other")), "near")
-    same, hit = F.col("label") == F.col("other"), F.col("score") >= 0.35
-    return p.agg(F.count_if(same & hit).alias("tp"), F.count_if(~same & hit).alias("fp"), F.count_if(same & ~hit).alias("fn"), F.count_if(~same & ~hit).alias("tn"))
+    p = similarity.pairs_above(v.drop("label"), 0.35).join(lab, "id").join(lab.select(F.col("id").alias("near"), F.col("label").alias("other")), "near")
+    hit = p.agg(F.count_if(F.col("label") == F.col("other")).alias("tp"), F.count_if(F.col("label") != F.col("other")).alias("fp"))
+    per = lab.groupBy("label").agg(F.count("*").alias("n"))
+    every = per.agg(F.sum(_all_pairs("n")).alias("same"), _all_pairs("sum(n)").alias("pairs"))
+    return hit.join(every).select("tp", "fp", (F.col("same") - F.col("tp")).alias("fn"), (F.col("pairs") - F.col("same") - F.col("fp")).alias("tn"))
 
 
 @query("""WITH s AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) SELECT query_id, doc_id, score FROM s WHERE k <= 3 AND score >= 200000""")
@@ -505,7 +552,10 @@ def graph_search_regex(spark, sf_dir):
     return table(spark, sf_dir, "part").filter(F.lower("p_name").rlike("^(cold|blue) .*t")).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
 
 
-@query()
+#: A component with over half of the nodes is the largest, so reaching out from the busiest node settles it.
+@query(f"""WITH RECURSIVE {EDGES}, co AS (SELECT a, b FROM pr JOIN dg x ON x.node = a JOIN dg y ON y.node = b WHERE x.degree >= 3 AND y.degree >= 3),
+  cb AS (SELECT a, b FROM co UNION ALL SELECT b, a FROM co), re AS (SELECT (SELECT a FROM cb GROUP BY a ORDER BY count(*) DESC, a LIMIT 1) AS node UNION SELECT cb.b FROM re JOIN cb ON cb.a = re.node)
+SELECT node, (SELECT min(node) FROM re) AS root FROM re WHERE (SELECT count(*) FROM re) * 2 > (SELECT count(DISTINCT a) FROM cb)""")
 def largest_component(spark, sf_dir):
     return graph.largest_component(graph.core(graph.undirected(edges(spark, sf_dir))))
 
@@ -520,8 +570,11 @@ AVG_RANK = "r AS (SELECT o_custkey, o_totalprice, n, rank() OVER (ORDER BY o_tot
 SELECT o_orderpriority AS model, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY 1""")
 def spearman(spark, sf_dir):
     x = issues(spark, sf_dir).groupBy(F.col("cadence").alias("model"), "topic_id").agg(F.max("score").alias("a"), F.count("*").alias("n"))
-    r = x.select("model", scoring.average_rank("a", ["model"]).alias("ra"), scoring.average_rank("n", ["model"]).alias("rb"))
-    return r.groupBy("model").agg(r6(F.corr("ra", "rb")).alias("spearman"))
+    r = x
+    for c in ("a", "n"):
+        rank = ranks.average_ranks(x.select("model", F.col(c).alias("v")), ["model"], "v", f"r{c}").select("model", F.col("v").alias(c), f"r{c}")
+        r = r.join(rank, ["model", c])
+    return r.groupBy("model").agg(r6(F.corr("ra", "rn")).alias("spearman"))
 
 
 @query(f"""WITH {SCORES}, p AS (SELECT a.id, avg(sign(a.module - b.module) * sign(a.score - b.score)) AS tau FROM sc a JOIN sc b ON a.id = b.id AND a.module < b.module GROUP BY a.id) SELECT id, round(-tau, 6) AS tau FROM (SELECT id, -tau AS tau FROM p)""")
@@ -556,7 +609,16 @@ def keyword_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.keyword_hits(F.col("text"), ["tion", "que", "zzz"]).alias("hits"))
 
 
-@query()
+def html_sql(c: str) -> str:
+    """The visible text of a column, for DuckDB."""
+    t = f"regexp_replace({c}, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g')"
+    t = f"regexp_replace({t}, '(?s)<[^>]*>', chr(10), 'g')"
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        t = f"replace({t}, '{entity}', '{sign}')"
+    return f"regexp_replace(regexp_replace({t}, '[ \\t]*\\n\\s*', chr(10), 'g'), '^\\n|\\n$', '', 'g')"
+
+
+@query(f"SELECT page_id, {html_sql('html')} AS text FROM pages")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
@@ -568,9 +630,9 @@ def json_repair(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json(text.outermost_object(reply), "k long")["k"].alias("k"))
 
 
-@query("SELECT conv_id, string_agg(role || ':' || left(text, 40), ' | ' ORDER BY turn) AS line, count(*) AS turns FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role || ':' || text, ' | ' ORDER BY turn) AS line, count(*) AS turns FROM conversations GROUP BY conv_id")
 def conversation_listagg(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), F.left("text", F.lit(40))).alias("part"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), "text").alias("part"))
     rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "part"))).alias("r"))
     return rows.select("conv_id", F.array_join(F.col("r.part"), " | ").alias("line"), F.size("r").cast("long").alias("turns"))
 

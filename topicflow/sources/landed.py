@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import html_to_text, keyword_hits, strip
 from ..operators.dedup import top_n
@@ -47,7 +51,59 @@ def listing(df: DataFrame, source: str, least: float = 20, chars: int = 1000) ->
     return _items(kept, source, F.col("id"), F.col("title"), F.col("url"), F.left("selftext", F.lit(chars)), F.col("created"), F.col("score"))
 
 
-KINDS: dict[str, Callable[..., DataFrame]] = {"rss": rss, "arxiv": arxiv, "search": searched, "listing": listing}
+def daily_papers(df: DataFrame, source: str, cutoff: str, least: float = 0, limit: int = 20, date: str | None = None) -> DataFrame:
+    """Voted papers, addressed as arXiv abstracts so that they meet the arXiv source's rows; one day's list with ``date``."""
+    day = df if date is None else df.filter(F.col("list_date") == date)
+    url = F.concat(F.lit("https://arxiv.org/abs/"), F.col("paper_id").cast("string"))
+    out = _items(day, source, F.col("paper_id"), F.col("title"), url, F.col("summary"), F.col("published"), F.col("upvotes"))
+    return out.filter((F.col("engagement") >= least) & (F.col("published_at") >= F.lit(cutoff).cast("timestamp"))).orderBy(F.desc("engagement"), "external_id").limit(limit)
+
+
+def questions(df: DataFrame, source: str, cutoff: str, least: float = 1, limit: int = 20, chars: int = 1500) -> DataFrame:
+    """Questions of several tags: one row per id before any filter, mark-up to text, text cut."""
+    once = top_n(df, ["question_id"], [F.asc("query_no"), F.asc("position")])
+    out = _items(once, source, F.col("question_id"), F.col("title"), F.col("link"), F.left(html_to_text(F.col("body")), F.lit(chars)), F.col("created"), F.col("score"))
+    return out.filter((F.col("published_at") >= F.lit(cutoff).cast("timestamp")) & (F.col("engagement") >= least)).orderBy("published_at", "external_id").limit(limit)
+
+
+def starred(df: DataFrame, source: str, cutoff: str, least: float = 20, limit: int = 20) -> DataFrame:
+    """Repositories of several searches: created after the cutoff, starred enough, one row per id, then the cap."""
+    named = df.select("query_no", "position", F.col("repo_id").alias("id"), F.col("full_name").alias("title"), F.col("html_url").alias("url"), F.col("description").alias("body"), "created", F.col("stars").alias("points"))
+    return searched(named, source, "id", cutoff, least, limit)
+
+
+@F.pandas_udf(StringType())
+def _embedded_entries(html: pd.Series) -> pd.Series:
+    """The first array of entries after the board's name, by bracket depth, unescaped; null where there is none."""
+
+    def cut(page: str | None) -> str | None:
+        at = page.find('\\"leaderboard\\":{') if page else -1
+        at = page.find('\\"entries\\":[', at) if at >= 0 else -1
+        if at < 0:
+            return None
+        depth, begin = 0, page.index("[", at)
+        for m in re.finditer(r"[\[\]]", page[begin:]):
+            depth += 1 if m[0] == "[" else -1
+            if not depth:
+                try:
+                    return json.loads(f'"{page[begin : begin + m.end()]}"')
+                except ValueError:
+                    return None
+        return None
+
+    return html.map(cut)
+
+
+def boards(pages: DataFrame, most: int = 15) -> DataFrame:
+    """(page_id, rank, model, org, score, votes): the first places of the board embedded in each page."""
+    entry = "array<struct<modelDisplayName:string,modelKey:string,rank:int,modelOrganization:string,rating:double,votes:long>>"
+    rows = pages.select("page_id", F.inline(F.from_json(_embedded_entries("html"), entry)))
+    model = F.coalesce(F.nullif("modelDisplayName", F.lit("")), F.nullif("modelKey", F.lit("")))
+    kept = rows.select("page_id", "rank", model.alias("model"), F.col("modelOrganization").alias("org"), F.round("rating", 1).alias("score"), "votes").filter("rank is not null and model is not null")
+    return top_n(kept, ["page_id"], [F.asc("rank"), F.asc("model")], most)
+
+
+KINDS: dict[str, Callable[..., DataFrame]] = {"rss": rss, "arxiv": arxiv, "search": searched, "listing": listing, "papers": daily_papers, "questions": questions, "repositories": starred}
 
 
 def read(spark: SparkSession, source: dict) -> DataFrame:
@@ -58,12 +114,16 @@ def read(spark: SparkSession, source: dict) -> DataFrame:
     return KINDS[source["kind"]](landed, source["id"], **source.get("args", {}))
 
 
+def unknown_sources(sources: list[dict], only: list[str] | None) -> list[str]:
+    """Ids asked for that no source has."""
+    return sorted(set(only or []) - {s["id"] for s in sources})
+
+
 def read_all(spark: SparkSession, sources: list[dict], only: list[str] | None = None) -> DataFrame:
-    """All sources, or those in ``only``; unknown ids in ``only`` raise."""
-    if only and (missing := set(only) - {s["id"] for s in sources}):
-        raise ValueError(f"unknown sources: {sorted(missing)}")
+    """All sources, or those in ``only``, with each source's name and weight; unknown ids are reported by ``unknown_sources``, not raised."""
     chosen = [s for s in sources if not only or s["id"] in only]
-    out = read(spark, chosen[0])
-    for s in chosen[1:]:
-        out = out.unionByName(read(spark, s), allowMissingColumns=True)
+    out = spark.createDataFrame([], "source_id string, external_id string, title string, url string, content string, published_at timestamp, engagement double, source_name string, source_weight double")
+    for s in chosen:
+        named = read(spark, s).withColumn("source_name", F.lit(s.get("name", s["id"]))).withColumn("source_weight", F.lit(float(s.get("weight", 1.0))))
+        out = out.unionByName(named, allowMissingColumns=True)
     return out

@@ -37,3 +37,21 @@ def start(arrivals: DataFrame, pool: str, checkpoint: str, as_of: str) -> Stream
 def windowed_counts(events: DataFrame, late: str = "1 day", width: str = "7 days", step: str = "1 day") -> DataFrame:
     """Events per type and sliding window, late rows up to ``late``."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def daily_counts(events: DataFrame, tag: str, ts: str = "ts") -> DataFrame:
+    """(tag, day, n): a row per tag and day, so that rates of any window are sums of few rows."""
+    return events.groupBy(tag, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
+
+
+def recent_and_base(days: DataFrame, as_of: str, recent: int = 14, base: int = 60) -> DataFrame:
+    """(tag, recent, base): counts of the days before ``as_of``."""
+    tag = [c for c in days.columns if c not in ("day", "n")]
+    end = F.lit(as_of).cast("date")
+    within = days.filter((F.col("day") >= F.date_sub(end, base)) & (F.col("day") < end))
+    return within.groupBy(*tag).agg(F.sum(F.when(F.col("day") >= F.date_sub(end, recent), F.col("n")).otherwise(0)).alias("recent"), F.sum("n").alias("base"))
+
+
+def hourly_latest(events: DataFrame, source: str, row: str, ts: str = "ts") -> DataFrame:
+    """(source, hour, row): the latest row of each source and hour."""
+    return events.groupBy(source, F.date_trunc("hour", ts).alias("hour")).agg(F.max_by(row, F.struct(ts, row)).alias(row))
