@@ -241,10 +241,24 @@ def test_decontamination(spark, rows):
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(0)
     items = [(k, rng.integers(0, 1 << 63, 20).astype(np.uint64)) for k in range(40)]
-    g = decontam.Group(5, 20, items, 23)
-    prints = np.concatenate([g.prints ^ np.uint64(1 << 5), rng.integers(0, 1 << 63, 200).astype(np.uint64)])
-    want = {(w, k) for w in range(len(prints)) for k in range(40) if int(prints[w] ^ g.prints[k]).bit_count() <= 23}
-    assert {(w, k) for w, k, _ in g.near(prints)} == want
+    g = decontam.Group(5, 20, items, 0.8)
+    prints = np.concatenate([g.prints ^ np.uint64(1 << 5), g.prints ^ rng.integers(0, 1 << 63, (40, 2)).astype(np.uint64) & rng.integers(0, 1 << 63, (40, 2)).astype(np.uint64), rng.integers(0, 1 << 63, (200, 2)).astype(np.uint64)])
+    apart = lambda a, b: sum((int(x) ^ int(y)).bit_count() for x, y in zip(a, b))
+    want = {(w, k) for w in range(len(prints)) for k in range(40) if apart(prints[w], g.prints[k]) <= g.radius}
+    assert {(w, k) for w, k, _ in g.near(prints)} == want and len(want) > 50
+    assert {(w, k) for w, k, _ in g.near(prints, block=7)} == want
+
+
+@pytest.mark.parametrize("n", [5, 10, 25, 60, 200])
+def test_radius_holds_pairs_at_the_threshold(n):
+    """Measured recall of the fingerprints at similarity 0.8, item by length."""
+    rng, lost = np.random.default_rng(n), 0
+    shared, radius = math.ceil(0.8 * n), decontam.radius_of(n, 0.8)
+    for _ in range(2000):
+        both, a, b = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (shared, n - shared, n - shared))
+        x, y = (decontam.folded(decontam.signs(np.concatenate([both, o])).sum(0)[None])[0] for o in (a, b))
+        lost += int(np.bitwise_count(x ^ y).sum()) > radius
+    assert lost <= 1 and radius < 52
 
 
 def test_toxicity_learns_words_beginnings_and_exceptions(spark):
@@ -526,6 +540,16 @@ def test_suffix_dedup(spark, rows):
     assert kept[52_003] == "" and kept[52_001] == passage[:399]
 
 
+def test_redaction_keeps_columns_whatever_their_names(spark):
+    t = "x password = hunter2hunter2 y"
+    df = spark.createDataFrame([(1, t, 5, "a", "b", "c", "d", 1)], "doc_id long, text string, n_chars long, text_ string, base_ string, spans_ string, clean_ string, doc int")
+    row = secrets.redact(df).first()
+    assert row.asDict() == {"doc_id": 1, "text": "x [SECRET] y", "n_chars": 12, "text_": "a", "base_": "b", "spans_": "c", "clean_": "d", "doc": 1}
+    many = spark.createDataFrame([(1, " ".join(f"token={k:010d}x" for k in range(1500)))], "doc_id long, text string")
+    assert secrets.report(many).first()["n_assign"] == 1500
+    assert [r.asDict() for r in secrets.report(many).select("spans").collect()] == [{"spans": ",".join(f"assign:{18 * k}:{18 * k + 17}" for k in range(1500))}]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_backward_expansion_finds_all_long_repeats(seed):
     rng = np.random.default_rng(seed)

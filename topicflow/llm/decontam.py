@@ -1,9 +1,12 @@
 """Benchmark passages in documents.
 
 Every window of a document as long as a benchmark item (in word shingles) that shares a
-shingle with an item of that length gets a SimHash fingerprint. A multi-index over the items'
-fingerprints, one table for each of ``radius + 1`` blocks of bits, yields all items within
-``radius`` (two fingerprints that differ in at most ``radius`` bits agree in a block). A
+shingle with an item of that length gets a SimHash fingerprint of 128 bits. The radius follows from
+the threshold and the length: a bit differs with a probability that the shared shingles give, and
+no more than ``miss`` of the pairs at the threshold lie beyond. A multi-index of two blocks of 64
+bits yields all items within it: of two fingerprints that differ in ``r`` bits, one block differs in
+at most ``r // 2``. (At 0.8 the radius is about 46; narrower blocks would have to let more bits
+differ in proportion and select less: of unrelated items two blocks pass 3 in 100, four 20.) A
 candidate is accepted by the exact similarity of its weighted shingles, 2*sum(min)/sum(both),
 at ``threshold``; a shingle's weight is its number of occurrences. A document shorter than an
 item is one window as a whole, compared by exact similarity with every such item that shares a
@@ -20,6 +23,7 @@ items are reported each, repeated rows once; A-Z is lower-cased; further columns
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -68,28 +72,41 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
-    """+1 and -1 for the 64 bits of each hash."""
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+    """+1 and -1 for the 128 bits of each hash, two words of it."""
+    both = np.stack([hashes, _mixed(hashes ^ np.uint64(0xA0761D6478BD642F))], axis=1)
+    return np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
 
 
 def folded(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+    """Fingerprints [row, block] of sums of signs."""
+    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)
+
+
+def _coin_sums(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and probabilities of the sum of ``n`` signs."""
+    k = np.arange(n + 1)
+    lg = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in k]) - n * math.log(2)
+    return 2 * k - n, np.exp(lg)
+
+
+def radius_of(length: int, threshold: float, miss: float = 1e-5) -> int:
+    """Differing bits of 128 beyond which at most ``miss`` of the pairs of ``length`` shingles lie that share ``threshold`` of them."""
+    shared = math.ceil(threshold * length - 1e-9)
+    common, p_common = _coin_sums(shared)
+    own, p_own = _coin_sums(length - shared)
+    up = np.array([p_own[own > -c].sum() for c in common])  # the rest carries the sum above 0
+    p = float((p_common * 2 * up * (1 - up)).sum())
+    k = np.arange(129)
+    tail = np.array([math.comb(128, int(i)) * p**i * (1 - p) ** (128 - i) for i in k])[::-1].cumsum()[::-1]
+    return int(np.flatnonzero(np.append(tail[1:], 0.0) <= miss)[0])
 
 
 class Group:
     """Items of one shingle size and one length in shingles."""
 
-    def __init__(self, size: int, length: int, items: list[tuple[int, np.ndarray]], radius: int):
-        self.size, self.length, self.items, self.radius = size, length, items, radius
+    def __init__(self, size: int, length: int, items: list[tuple[int, np.ndarray]], threshold: float):
+        self.size, self.length, self.items, self.radius = size, length, items, radius_of(length, threshold)
         self.prints = folded(np.stack([signs(h).sum(0) for _, h in items]))
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(z - a)) - 1)) for a, z in zip(edges, edges[1:]) if z > a]
-        self.tables: list[dict[int, list[int]]] = []
-        for a, mask in self.blocks:
-            table = defaultdict(list)
-            for k, p in enumerate(self.prints):
-                table[int((p >> a) & mask)].append(k)
-            self.tables.append(table)
         self.counts = [Counter(h.tolist()) for _, h in items]
         self._holders: dict[int, list[int]] = {}
 
@@ -101,29 +118,27 @@ class Group:
                     self._holders.setdefault(h, []).append(k)
         return self._holders
 
-    def near(self, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def near(self, prints: np.ndarray, block: int = 4096) -> Iterator[tuple[int, int, int]]:
         """(window, item, differing bits) for all within the radius."""
-        values = [((prints >> a) & m).tolist() for a, m in self.blocks]
-        for w in range(len(prints)):
-            ids = {k for v, t in zip(values, self.tables) for k in t.get(v[w], ())}
-            if ids:
-                ids = np.fromiter(ids, np.int64)
-                bits = np.bitwise_count(self.prints[ids] ^ prints[w])
-                for k in np.flatnonzero(bits <= self.radius):
-                    yield w, int(ids[k]), int(bits[k])
+        for first in range(0, len(self.prints), block):
+            bits = [np.bitwise_count(prints[:, None, b] ^ self.prints[None, first : first + block, b]) for b in (0, 1)]
+            w, k = np.nonzero((bits[0] <= self.radius // 2) | (bits[1] <= self.radius // 2))
+            total = bits[0][w, k].astype(int) + bits[1][w, k]
+            for i in np.flatnonzero(total <= self.radius):
+                yield int(w[i]), first + int(k[i]), int(total[i])
 
 
 class Index:
     """The items of one block by shingle size and length, and a bitmap of their shingles."""
 
-    def __init__(self, items: list[tuple[int, bytes]], size: int, radius: int):
+    def __init__(self, items: list[tuple[int, bytes]], size: int, threshold: float):
         words, by = Words(), defaultdict(list)
         for item, text in items:
             w = words(text)
             if len(w):
                 h = shingles(w, min(size, len(w)))
                 by[min(size, len(w)), len(h)].append((item, h))
-        self.groups = [Group(s, n, x, radius) for (s, n), x in sorted(by.items())]
+        self.groups = [Group(s, n, x, threshold) for (s, n), x in sorted(by.items())]
         self.known = {}
         for s in {g.size for g in self.groups}:
             pairs = sorted({(int(h), k) for k, g in enumerate(self.groups) if g.size == s for _, hs in g.items for h in hs})
@@ -162,10 +177,10 @@ class Index:
             return
         cut = np.flatnonzero(lo[1:] > hi[:-1] + 1) + 1
         for a, z in zip(lo[np.concatenate([[0], cut])], hi[np.concatenate([cut, [len(hi)]]) - 1]):
-            for s in range(int(a), int(z) + 1, 4096):
-                e = min(int(z), s + 4095)
+            for s in range(int(a), int(z) + 1, 1024):
+                e = min(int(z), s + 1023)
                 own = hashes[s : e + n]
-                total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(own), 0, dtype=np.int32)])
+                total = np.concatenate([np.zeros((1, 128), np.int32), np.cumsum(signs(own), 0, dtype=np.int32)])
                 for w, k, bits in g.near(folded(total[n:] - total[:-n])):
                     item, have = g.items[k][0], g.counts[k]
                     mine = Counter(own[w : w + n].tolist())
@@ -187,7 +202,7 @@ class Index:
                 alike[k] += min(c, g.counts[k][h])
         for k, both in alike.items():
             if 2 * both / (n + g.length) >= threshold:
-                bits = int(np.bitwise_count(folded(signs(hashes).sum(0)[None]) ^ g.prints[k])[0])
+                bits = int(np.bitwise_count(folded(signs(hashes).sum(0)[None])[0] ^ g.prints[k]).sum())
                 found = (2 * both / (n + g.length), 0, n + g.size - 1, bits)
                 item = g.items[k][0]
                 if (item, k, g) not in best or found > best[item, k, g]:
@@ -212,7 +227,7 @@ def _items(benchmark: DataFrame) -> Iterator[tuple[int, bytes]]:
     return ((r["item_id"], r["text"].encode("utf-8", "surrogatepass")) for r in ordered.toLocalIterator())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 23, block_words: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, block_words: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, similarity, word_start, n_words, differing_bits: the best window of each item in each document."""
     spark = docs.sparkSession
     text_batches(spark)
@@ -224,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
         sent = spark.sparkContext.broadcast(block)  # at most block_words words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, words = Index(sent.value, size, radius), Words()
+            index, words = Index(sent.value, size, threshold), Words()
             for b in slices(batches):
                 out = []
                 for d, t in zip(b["doc_id"].to_pylist(), b["text"]):
@@ -243,7 +258,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
 
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 23, block_words: int = 1_000_000) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, block_words: int = 1_000_000) -> DataFrame:
     """``docs`` without the rows that match an item; each row is decided by its own text, all columns kept."""
     spark = docs.sparkSession
     text_batches(spark)
@@ -252,7 +267,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, t
         sent = spark.sparkContext.broadcast(block)  # at most block_words words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, words = Index(sent.value, size, radius), Words()
+            index, words = Index(sent.value, size, threshold), Words()
             for b in slices(batches):
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
                 yield b.filter(pa.array([not index.search(words((t or "").encode("utf-8", "surrogatepass")), threshold) for t in texts], pa.bool_()))

@@ -40,17 +40,29 @@ def _lengths(parts: Column) -> Column:
     return F.transform(parts, lambda x: F.length(x))
 
 
-def _places(pieces: Column, matches: Column) -> Column:
-    """Array of (s, e) per match from the lengths of what lies between and of the matches."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+def _places(pieces: Column, matches: Column, part: int = 64) -> Column:
+    """Array of (s, e) per match from the lengths of what lies between and of the matches.
+
+    An array that grows is copied at every step, so matches are placed by parts of ``part``, whose
+    beginnings are summed first.
+    """
+    pair = lambda p, m: F.struct(p.alias("p"), m.alias("m"))
+    none = F.array().cast("array<array<struct<p:int,m:int>>>")
+    parts = lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(1), F.size(x), F.lit(part)), lambda k: F.slice(x, k, F.lit(part)))).otherwise(none)
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v["p"] + v["m"])
+
+    def begun(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + total(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("x")))).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["p"]
         e = s + x["m"]
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,x:array<struct<p:int,m:int>>>>").alias("out"))
+    placed = F.aggregate(parts(F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, pair)), start, begun, lambda acc: acc["out"])
+    empty = F.array().cast("array<struct<s:int,e:int>>")
+    return F.flatten(F.transform(placed, lambda g: F.aggregate(g["x"], F.struct(g["at"].alias("at"), empty.alias("out")), step, lambda acc: acc["out"])))
 
 
 def _entropy_sum(s: Column, window: int) -> Column:
@@ -81,11 +93,11 @@ def _entropy_sum(s: Column, window: int) -> Column:
 
 
 def find(docs: DataFrame, window: int = 20, hex_bits: float = 3.0, base64_bits: float = 3.6, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """``docs`` with ``text_`` (null: empty) and ``spans_``: (s, e, k) by start, then kind (index in KINDS)."""
+    """``doc`` (a row of ``docs`` whole, so that no name of its columns matters), ``text_`` (null: empty), ``base_`` and ``spans_``: (s, e, k) by start, then kind (index in KINDS)."""
     candidate = rf"[A-Za-z0-9+/_=-]{{{window},}}"
     both = rf"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{window}}}"
     none = F.array().cast("array<int>")
-    df = docs.withColumn("text_", text_or_empty())
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_or_empty().alias("text_"))
     for name, pattern, probe in (("assign", ASSIGN, ASSIGN), ("access", ACCESS, "AKIA"), ("hex", HEX, HEX), ("entropy", candidate, both)):
         hit = F.col("text_").contains(probe) if name == "access" else F.col("text_").rlike(probe)
         df = df.withColumn(f"hit_{name}", hit)
@@ -114,7 +126,7 @@ def find(docs: DataFrame, window: int = 20, hex_bits: float = 3.0, base64_bits:
     found = F.filter(F.zip_with("m_entropy", "t_entropy", lambda m, t: F.struct(m.alias("m"), t.alias("t"))), random_enough)
     df = df.withColumn("added_", kind(3, F.transform(found, lambda x: x["m"])))
     df = df.withColumn("spans_", F.array_sort(F.concat("base_", "added_"), _by_start))
-    return df.select(*docs.columns, "text_", "base_", "spans_")
+    return df.select("doc", "text_", "base_", "spans_")
 
 
 def _by_start(a: Column, b: Column) -> Column:
@@ -131,7 +143,7 @@ def report(docs: DataFrame, **params) -> DataFrame:
     """The spans of every document in the contract's columns."""
     df = find(docs.select("doc_id", "text"), **params)
     count = lambda k: F.size(F.filter("base_", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return df.select("doc_id", count(0), count(1), count(2), F.sha2(written(F.col("base_")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans_")).alias("spans"))
+    return df.select("doc.doc_id", count(0), count(1), count(2), F.sha2(written(F.col("base_")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans_")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **params) -> DataFrame:
@@ -145,6 +157,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **params) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
     tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text_"), acc["at"] + 1, F.length("text_")))
-    clean = F.when(F.size("spans_") > 0, F.aggregate("spans_", start, step, tail)).otherwise(F.col("text"))
-    new = df.withColumn("clean_", clean)
-    return new.select(*[F.col("clean_").alias("text") if c == "text" else F.when(F.size("spans_") > 0, F.length("clean_").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    own = lambda c: F.col("doc").getField(c)
+    found = F.size("spans_") > 0
+    clean = df.select("doc", "spans_", F.when(found, F.aggregate("spans_", start, step, tail)).otherwise(own("text")).alias("clean_"))
+    new = {"text": F.col("clean_"), "n_chars": F.when(found, F.length("clean_").cast("long")).otherwise(own("n_chars")) if "n_chars" in docs.columns else None}
+    return clean.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])

@@ -3,14 +3,20 @@
 1. Anchors. Every window of ``length`` bytes has an anchor: the first place of the least hash
    among its strings of ``length // 2`` bytes. Consecutive windows with one anchor form a run.
    Equal windows have equal anchors, so only runs with equal anchor hashes hold equal windows.
-2. Equal runs (same anchor and same content hash, 128 bits in all) are repeated as they stand.
+2. Equal runs (same anchor hash and same XXH64 of the content, two unrelated hashes of 64 bits) are
+   repeated as they stand.
 3. Runs that share an anchor but differ are the ends of repeats. One of each content is fetched;
    all with one anchor go to one task, which builds the Burrows-Wheeler transform of their
    bytes and expands intervals backward, breadth first: common prefixes appear by increasing
    length and the search stops at ``length``. What is then undivided is repeated.
-4. Anchors with more than ``crowd`` different runs are not gathered: their runs are cut at
-   fixed distances from the anchor into parts, compared by the hash of what all their windows
-   share; only parts that still differ are compared window by window, as rows.
+4. Anchors with more than ``crowd`` different runs are not gathered in one task: their runs are cut
+   at fixed distances from the anchor into parts, and parts that share the bytes common to all
+   their windows go to the transform together. Parts of a crowd are cut again, down to single
+   windows, whose equality is that of their hashes. So a task never holds more than ``crowd``
+   contents of a group, and every content is compared at some step.
+
+A key that holds more rows than a quarter of an even partition is joined by a broadcast of such keys,
+of which there can be four a partition at most; the other keys are shuffled.
 
 Defined results: null text counts as empty; a null doc_id is kept; repeated rows are
 occurrences of their own (so each is removed if long enough) and give a row each; texts under
@@ -31,7 +37,7 @@ from .common import batch, materialize, shuffle_partitions, text_or_empty
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20
-PART = 25
+PARTS = (25, 5, 1)
 _powers: list[np.ndarray] = []
 
 
@@ -66,6 +72,8 @@ class Hashes:
 
 def runs(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(start, windows, anchor's distance from the start, anchor hash, content hash) arrays, by chunks."""
+    from xxhash import xxh64_intdigest as xxh64
+
     half = length // 2
     w = length - half + 1
     for at in range(0, max(0, len(data) - length + 1), CHUNK):
@@ -91,7 +99,9 @@ def runs(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
             anchor[todo[hit]] = p[hit]
             todo = todo[~hit]
             place[todo] += 1
-        yield start + at, windows, anchor - start, least[start].view(np.int64), h.at(start, windows + length - 1).view(np.int64)
+        content = memoryview(data)[at : at + CHUNK + length - 1]
+        f = np.fromiter((xxh64(content[s:e]) for s, e in zip(start.tolist(), (start + windows + length - 1).tolist())), np.uint64, len(start))
+        yield start + at, windows, anchor - start, least[start].view(np.int64), f.view(np.int64)
 
 
 def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
@@ -175,6 +185,14 @@ def cleaned(docs: DataFrame, length: int = 400, crowd: int = 256, chunk_bytes: i
     return _kept(*_repeats(docs, length, crowd, chunk_bytes, keep=True), length, content=True).select("doc_id", "kept")
 
 
+def _spread_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, most: int) -> DataFrame:
+    """``rows`` joined with ``keys`` (one row a key; ``weight``: how many of ``rows``, ``most`` at most in all, have it)."""
+    limit = most / (4 * shuffle_partitions(rows.sparkSession))
+    heavy, light = keys.filter(F.col(weight) > limit), keys.filter(F.col(weight) <= limit)  # heavy: four a partition at most
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(heavy.drop(weight)), on).unionByName(rest.join(light.drop(weight), on))
+
+
 def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, their text only where something may repeat; intervals of repeated windows)."""
     text = text_or_empty()
@@ -204,9 +222,10 @@ def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: b
 
     every = materialize(long_.select("doc_id", "th", "text").mapInArrow(scan, "doc_id long, th long, start long, windows int, anchor int, h long, f long"))
     contents = materialize(every.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows", "anchor")).alias("one")))
-    per_anchor = contents.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("n_all")).filter("n_all > 1").select("h", "kinds")
-    members = materialize(contents.join(per_anchor, "h").select("h", "f", "n", "kinds", "one.*"))
-    same = every.join(members.filter("n > 1").select("h", "f"), ["h", "f"]).select("doc_id", "th", "start", (F.col("start") + F.col("windows")).alias("past"))
+    n_runs = every.count()
+    per_anchor = contents.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("n_all")).filter("n_all > 1").select("h", "kinds", F.col("kinds").alias("weight"))
+    members = materialize(_spread_join(contents, per_anchor, ["h"], "weight", n_runs).select("h", "f", "n", "kinds", "one.*"))
+    same = _spread_join(every, members.filter("n > 1").select("h", "f", "n"), ["h", "f"], "n", n_runs).select("doc_id", "th", "start", (F.col("start") + F.col("windows")).alias("past"))
     unlike = members.filter("kinds > 1")
 
     # texts are moved once: kept only where something may repeat, else their digest
@@ -257,42 +276,58 @@ def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: b
         if held:
             yield emit()
 
-    few = fetched.filter(F.col("kinds") <= crowd).select("h", "doc_id", "th", "start", "bytes")
-    found = few.repartition(2 * shuffle_partitions(docs.sparkSession), "h").sortWithinPartitions("h").mapInArrow(expand, "doc_id long, th long, start long, past long")
+    def compared(groups: DataFrame) -> DataFrame:
+        """Repeated windows of each group ``h`` of contents, by the transform."""
+        dealt = groups.repartition(2 * shuffle_partitions(docs.sparkSession), "h").sortWithinPartitions("h")
+        return dealt.mapInArrow(expand, "doc_id long, th long, start long, past long")
+
+    few = compared(fetched.filter(F.col("kinds") <= crowd).select("h", "doc_id", "th", "start", "bytes"))
+
+    # crowded anchors: parts at fixed distances from the anchor, smaller ones where a part is crowded
+    left = fetched.filter(F.col("kinds") > crowd).select("h", "doc_id", "th", "start", "windows", "anchor", "bytes")
+    found = few
+    for size in PARTS:
+        parts = materialize(left.mapInArrow(_parts(length, size), PART_DDL))
+        n = max(1, parts.count())
+        kinds = materialize(parts.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows", "anchor", "h", "bytes")).alias("one")))
+        alike = _spread_join(parts.select("key", "full", "doc_id", "th", "start", "windows"), kinds.filter("n > 1").select("key", "full", "n"), ["key", "full"], "n", n)
+        found = found.unionByName(alike.select("doc_id", "th", "start", (F.col("start") + F.col("windows")).alias("past")))
+        if size == 1:
+            break
+        per = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").withColumn("weight", F.col("kinds"))
+        mixed = materialize(_spread_join(kinds.select("key", "one"), per, ["key"], "weight", n).select("key", "kinds", "one.*"))
+        found = found.unionByName(compared(mixed.filter(F.col("kinds") <= crowd).select(F.col("key").alias("h"), "doc_id", "th", "start", "bytes")))
+        left = mixed.filter(F.col("kinds") > crowd).select("h", "doc_id", "th", "start", "windows", "anchor", "bytes")
+    return base, same.unionByName(found)
+
 
-    # crowded anchors: parts at fixed distances from the anchor, then single windows
-    parts = materialize(fetched.filter(F.col("kinds") > crowd).select("h", "doc_id", "th", "start", "windows", "anchor", "bytes").mapInArrow(_parts(length), "key long, full long, doc_id long, th long, start long, hashes array<long>"))
-    kinds = parts.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "hashes")).alias("one"))
-    alike = parts.join(kinds.filter("n > 1").select("key", "full"), ["key", "full"]).select("doc_id", "th", "start", (F.col("start") + F.size("hashes")).alias("past"))
-    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key")
-    windows = kinds.join(mixed, "key").select("one.doc_id", "one.th", "one.start", F.posexplode("one.hashes").alias("at", "w")).select("doc_id", "th", (F.col("start") + F.col("at")).alias("start"), "w")
-    twice = windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
-    single = windows.join(twice, "w").select("doc_id", "th", "start", (F.col("start") + 1).alias("past"))
-    return base, same.unionByName(found).unionByName(alike).unionByName(single)
+PART_DDL = "key long, full long, doc_id long, th long, start long, windows int, anchor int, h long, bytes binary"
 
 
-def _parts(length: int):
-    """Runs cut where a window's distance from its anchor passes a multiple of PART.
+def _parts(length: int, size: int):
+    """Runs cut where a window's distance from its anchor passes a multiple of ``size``.
 
     Equal windows have equal distances, so they fall in equal parts; what all windows of a part
     share is hashed into the part's key.
     """
-    schema = pa.schema([("key", pa.int64()), ("full", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("hashes", pa.list_(pa.int64()))])
-    factor = np.uint64(BASE)
+    types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
+    schema = pa.schema([(c.split()[0], t) for c, t in zip(PART_DDL.split(", "), types)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as xxh64
+
         for b in batches:
             out = []
             for h, d, th, start, windows, anchor, data in zip(*(b[c].to_pylist() for c in ("h", "doc_id", "th", "start", "windows", "anchor", "bytes"))):
-                sums = Hashes(data)
-                each = sums.all(length).view(np.int64)
-                part = (anchor - np.arange(windows)) // PART
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [windows]])
-                first, past, p = cuts[:-1], cuts[1:], part[cuts[:-1]]
-                core = sums.at(anchor - PART * p, length - PART + 1)
-                key = _mixed(core * factor + np.array(h, np.int64).view(np.uint64) + p.astype(np.uint64)).view(np.int64)
-                full = _mixed(sums.at(first, past - first + length - 1) * factor + (anchor - first).astype(np.uint64)).view(np.int64)
-                out += [(k, f, d, th, start + int(s), each[s:e].tolist()) for k, f, s, e in zip(key.tolist(), full.tolist(), first, past)]
+                part = (anchor - np.arange(windows)) // size
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), windows]
+                for s, e in zip(cuts, cuts[1:]):
+                    p = int(part[s])
+                    core = anchor - size * p  # where a whole part's last window begins
+                    key = xxh64(data[core : core + length - size + 1], (h ^ (p * BASE)) & (2**64 - 1))
+                    full = xxh64(data[s : e + length - 1], anchor - s)
+                    signed = [x - (1 << 64) if x >> 63 else x for x in (key, full)]
+                    out.append((*signed, d, th, start + s, e - s, anchor - s, h, data[s : e + length - 1] if size > 1 else b""))
             yield batch(schema, [list(c) for c in zip(*out)] if out else [[] for _ in schema])
 
     return run
