@@ -149,12 +149,13 @@ def test_stream_adds_each_address_once_and_marks_late_rows(spark, tmp_path):
     assert spark.read.parquet(pool).count() == 3
 
 
-def plain_incremental(n, pairs, threshold):
+def plain_incremental(n, pairs, threshold, published=()):
     topic = {}
     for i in range(n):
         hits = [topic[near] for _, near, s in sorted((p for p in pairs if p[0] == i and p[2] >= threshold), key=lambda p: (-p[2], p[1]))]
         topic[i] = hits[0] if hits else i
-        topic = {k: hits[0] if t in hits else t for k, t in topic.items()}
+        if hits and hits[0] not in published:
+            topic = {k: hits[0] if t in hits and t not in published else t for k, t in topic.items()}
     return topic
 
 
@@ -168,6 +169,67 @@ def test_incremental_like_one_pass(spark, seed):
     assert got == plain_incremental(120, pairs, 0.7)
 
 
+@pytest.mark.parametrize("oracle", [True, False])
+def test_clusters_with_statuses_oracle_and_published_topics(spark, oracle):
+    """Pairs are decided by status, score and oracle before topics join; published topics never merge."""
+    rnd = random.Random(11)
+    pairs = [(i, near, rnd.randint(10, 20) / 20) for i in range(1, 120) for near in rnd.sample(range(i), min(i, 3))]
+    status = {k: rnd.choice(["included", "signal_only", None]) for k in range(120)}
+    said = {(i, near): rnd.random() < 0.5 for i, near, _ in pairs if rnd.random() < 0.8}
+    published = set(range(0, 120, 7))
+
+    def match(i, near, s):
+        if all(status[k] in (None, "included") for k in (i, near)):
+            return s >= 0.72
+        return (s >= 0.85 or (s >= 0.65 and said.get((i, near), False))) if oracle else s >= 0.80
+
+    df = spark.createDataFrame(pairs, "id long, near long, score double")
+    st = spark.createDataFrame(list(status.items()), "id long, gate_status string")
+    answers = spark.createDataFrame([(a, b, y) for (a, b), y in said.items()], "id long, near long, same boolean") if oracle else None
+    links = cluster.matched(df, st, answers)
+    kept = [p for p in pairs if match(*p)]
+    assert {(r["id"], r["near"]) for r in links.collect()} == {p[:2] for p in kept}
+    ids = st.select("id")
+    after = cluster.incremental(ids, links, 0.0, spark.createDataFrame([(k,) for k in published], "topic long"))
+    want = plain_incremental(120, kept, 0.0, published)
+    assert {r["id"]: r["topic"] for r in after.collect()} == want
+    first = {i for i in range(120) if not any(p[0] == i for p in kept)}
+    got = cluster.statistics(cluster.first_topics(ids, links), after).first().asDict()
+    assert got == {"processed": 120, "new_topics": len(first), "merged": 120 - len(first), "topics_merged": len(first) - len(set(want.values()))}
+
+
+def test_row_numbers_and_ranks_over_ranges(spark):
+    from topicflow.operators import ranks
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.randint(0, 9), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, v int, id long")
+    got = {r["id"]: r["n"] for r in ranks.row_numbers(df, ["g"], ["v", "id"], "n").collect()}
+    by = {g: sorted((v, i) for h, v, i in rows if h == g) for g in ("a", "b", None)}
+    assert got == {i: k + 1 for g in by for k, (_, i) in enumerate(by[g])}
+    mean = {(r["g"], r["v"]): r["r"] for r in ranks.average_ranks(df, ["g"], "v", "r").collect()}
+    for g in by:
+        vs = [v for v, _ in by[g]]
+        assert all(mean[g, v] == sum(k + 1 for k, x in enumerate(vs) if x == v) / vs.count(v) for v in set(vs))
+    assert ranks.row_numbers(df.limit(0), ["g"], ["id"], "n").count() == 0
+
+
+def test_replies_are_mended_or_named(spark):
+    from topicflow.operators import replies
+
+    rows = [(1, '{"same": true, "reason": "a\\qb"}'), (2, "no"), (3, "{x}"), (4, '{"reason": "x"}'), (5, 'so: {"same": false} done'), (6, None), (7, '{\n"same": true,\n"reason": odd one"\n}')]
+    got = {r["id"]: (r["error"], r["value"] and r["value"]["same"]) for r in replies.read(spark.createDataFrame(rows, "id int, reply string"), "same").collect()}
+    assert got == {1: (None, True), 2: ("no_object", None), 3: ("bad_json", None), 4: ("missing_fields", None), 5: (None, False), 6: ("no_object", None), 7: (None, True)}
+
+
+def test_sources_are_named_and_unknown_ones_reported(spark, tmp_path):
+    spark.createDataFrame([("a", "T", "u", "x", "2026-01-02", 30, False)], "id string, title string, url string, selftext string, created string, score int, stickied boolean").write.json(str(tmp_path / "r"))
+    sources = [{"id": "r", "kind": "listing", "path": str(tmp_path / "r"), "name": "R", "weight": 0.5}]
+    row = landed.read_all(spark, sources, ["r", "zz"]).first()
+    assert (row["source_id"], row["source_name"], row["source_weight"]) == ("r", "R", 0.5)
+    assert landed.unknown_sources(sources, ["r", "zz"]) == ["zz"] and landed.read_all(spark, sources, ["zz"]).count() == 0
+
+
 @pytest.mark.parametrize("low", [None, 0.4])
 def test_resolve_like_one_pass(spark, low):
     rnd = random.Random(3)
