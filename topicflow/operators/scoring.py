@@ -40,19 +40,22 @@ def dense_share(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(ranked.join(F.broadcast(top)).select(col, share.alias(out)), col)
 
 
-def entity_heat(entities: DataFrame, window: Column) -> DataFrame:
+def entity_heat(entities: DataFrame, window: Column, salts: int = 8) -> DataFrame:
     """(topic_id, heat): other topics' articles in the window that share an entity with the topic.
 
     ``entities`` has topic_id, article_id, entity; keys compare stripped and lower-cased, and a topic's
     own come from all its articles. Articles with the same set of entities count as one row with a
-    number, so topics meet kinds of articles instead of articles; the topic's own are taken off.
+    number, so topics meet kinds of articles instead of articles; the topic's own are taken off. At
+    an entity that many topics and articles have, they meet in ``salts`` tasks.
     """
     keyed = entities.withColumn("key_", F.lower(F.trim("entity"))).filter(F.col("key_") != "")
     own = keyed.select("topic_id", "key_").distinct()
     sets = keyed.filter(window).groupBy("topic_id", "article_id").agg(F.array_sort(F.collect_set("key_")).alias("set_"))
     by_topic = sets.groupBy("topic_id", "set_").agg(F.count("*").alias("n"))
     kinds = by_topic.groupBy("set_").agg(F.sum("n").alias("n"))
-    met = own.join(kinds.withColumn("key_", F.explode("set_")), "key_").select("topic_id", "set_", "n").distinct()
+    salted = kinds.withColumn("key_", F.explode("set_")).withColumn("salt_", F.pmod(F.xxhash64("set_"), F.lit(salts)))
+    copies = own.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    met = copies.join(salted, ["key_", "salt_"]).select("topic_id", "set_", "n").distinct()
     mine = by_topic.select("topic_id", "set_", (-F.col("n")).alias("n"))
     heat = met.union(mine).groupBy("topic_id").agg(F.sum("n").alias("heat"))
     return own.select("topic_id").distinct().join(heat.withColumnRenamed("topic_id", "t_"), F.col("topic_id").eqNullSafe(F.col("t_")), "left").select("topic_id", F.coalesce("heat", F.lit(0)).alias("heat"))
