@@ -53,8 +53,8 @@ def entity_heat(entities: DataFrame, window: Column, salts: int = 8) -> DataFram
     sets = keyed.filter(window).groupBy("topic_id", "article_id").agg(F.array_sort(F.collect_set("key_")).alias("set_"))
     by_topic = sets.groupBy("topic_id", "set_").agg(F.count("*").alias("n"))
     kinds = by_topic.groupBy("set_").agg(F.sum("n").alias("n"))
-    salted = kinds.withColumn("key_", F.explode("set_")).withColumn("salt_", F.pmod(F.xxhash64("set_"), F.lit(salts)))
-    copies = own.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    salted = kinds.withColumn("key_", F.explode("set_")).withColumn("salt_", F.pmod(F.xxhash64("set_"), F.lit(salts)).cast("int"))
+    copies = own.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = copies.join(salted, ["key_", "salt_"]).select("topic_id", "set_", "n").distinct()
     mine = by_topic.select("topic_id", "set_", (-F.col("n")).alias("n"))
     heat = met.union(mine).groupBy("topic_id").agg(F.sum("n").alias("heat"))
