@@ -230,6 +230,22 @@ def test_sources_are_named_and_unknown_ones_reported(spark, tmp_path):
     assert landed.unknown_sources(sources, ["r", "zz"]) == ["zz"] and landed.read_all(spark, sources, ["zz"]).count() == 0
 
 
+def test_sinks_append_once_and_number_on(spark, tmp_path):
+    from topicflow.sources import sinks
+
+    issue = spark.createDataFrame([(1, "2026-01-02", "daily")], "id long, issue_date string, cadence string")
+    article = spark.createDataFrame([(1, ["a", "b"])], "id long, tags array<string>")
+    folder = str(tmp_path / "out")
+    assert sinks.save_issue(issue, article, folder) and not sinks.save_issue(issue, article, folder)
+    assert spark.read.parquet(f"{folder}/generated").first()["tags_json"] == '["a","b"]' and spark.read.parquet(f"{folder}/issues").count() == 1
+    for taken in ("2026-01-01", "2026-01-02", "2026-01-03"):
+        sinks.append_snapshot(article, "board", taken, f"{folder}/boards")
+    assert {r["taken"] for r in sinks.recent_snapshots(spark, f"{folder}/boards").collect()} == {"2026-01-02", "2026-01-03"}
+    for at in ((3, 1), (2,)):
+        sinks.append_log(spark.createDataFrame([("d", "tag", k) for k in at], "day string, stage string, at int"), f"{folder}/log")
+    assert {(r["at"], r["number"]) for r in spark.read.json(f"{folder}/log").collect()} == {(1, 1), (3, 2), (2, 3)}
+
+
 @pytest.mark.parametrize("low", [None, 0.4])
 def test_resolve_like_one_pass(spark, low):
     rnd = random.Random(3)

@@ -217,6 +217,14 @@ def reason_labels(spark, sf_dir):
     return r.groupBy("reason", gates.label(F.col("reason")).alias("words")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {ARTICLES} SELECT topic_id FROM art GROUP BY topic_id HAVING bool_or(id % 3 = 0) AND topic_id % 4 <> 1 AND bool_or(age_days BETWEEN 2 AND 9)""")
+def available_topics(spark, sf_dir):
+    """Scored topics that the cadence has not published, with an article in the range."""
+    a = articles(spark, sf_dir).select("topic_id", "id", "age_days")
+    t = a.groupBy("topic_id").agg(F.max(F.col("id") % 3 == 0).alias("scored")).withColumn("issue", F.when(F.col("topic_id") % 4 == 1, 7))
+    return t.filter("scored and issue is null").select("topic_id").join(a.filter("age_days between 2 and 9"), "topic_id", "left_semi")
+
+
 # joins and views of issues ----------------------------------------------------------------------
 
 
@@ -338,6 +346,48 @@ def thinktank_timeline(spark, sf_dir):
     return issues(spark, sf_dir).select(F.col("id").alias("issue_id"), F.col("issue_date").cast("string").alias("issue_date"), F.inline(cells))
 
 
+@query("""WITH d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1996-01-28', TIMESTAMP '1996-03-02', INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT CAST(datediff('day', DATE '1996-01-28', day) // 7 AS BIGINT) AS week, CAST(dayofweek(day) + 1 AS BIGINT) AS weekday, CAST(day AS VARCHAR) AS day, month(day) = 2 AS inside, count(o_orderkey) AS issues FROM d LEFT JOIN orders ON CAST(o_orderdate AS DATE) = day GROUP BY ALL""")
+def calendar_weeks(spark, sf_dir):
+    """A month as whole weeks from Sunday, each day with its issues."""
+    first, last = F.lit("1996-02-01").cast("date"), F.last_day(F.lit("1996-02-01").cast("date"))
+    begin, end = F.date_sub(first, F.dayofweek(first) - 1), F.date_add(last, 7 - F.dayofweek(last))
+    days = spark.range(1).select(F.explode(F.sequence(begin, end)).alias("day"), begin.alias("begin"))
+    n = days.join(issues(spark, sf_dir).select(F.col("issue_date").alias("day"), "id"), "day", "left").groupBy("begin", "day").agg(F.count("id").alias("issues"))
+    return n.select(F.floor(F.datediff("day", "begin") / 7).alias("week"), F.dayofweek("day").cast("long").alias("weekday"), F.col("day").cast("string").alias("day"), (F.month("day") == 2).alias("inside"), "issues")
+
+
+@query("""WITH s AS (SELECT event_type AS source, CAST(CAST(ts AS DATE) AS VARCHAR) AS taken, user_id, value FROM events), l AS (SELECT source, max(taken) AS taken FROM s GROUP BY 1), r AS (SELECT s.*, row_number() OVER (PARTITION BY source ORDER BY value DESC, user_id) AS place FROM s JOIN l USING (source, taken))
+SELECT source, taken, place, user_id, value FROM r WHERE place <= 10""")
+def latest_board(spark, sf_dir):
+    """The first ten places of each source's latest snapshot."""
+    s = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.to_date("ts").cast("string").alias("taken"), "user_id", "value")
+    now = s.join(s.groupBy("source").agg(F.max("taken").alias("taken")), ["source", "taken"], "left_semi")
+    placed = ranks.row_numbers(now.withColumn("neg", -F.col("value")), ["source"], ["neg", "user_id"], "place")
+    return placed.filter("place <= 10").select("source", "taken", F.col("place").cast("long").alias("place"), "user_id", "value")
+
+
+@query(f"""WITH {SCORES}, b AS (SELECT id % 97 AS topic, id, arg_min(module, (-score, module)) AS top FROM sc GROUP BY id), g AS (SELECT topic, top, top < 10 AS functional, count(*) AS n FROM b GROUP BY 1, 2, 3),
+  t AS (SELECT topic, max(n) AS same, sum(n) AS runs FROM g GROUP BY 1), f AS (SELECT topic, max(n) AS same FROM (SELECT topic, functional, sum(n) AS n FROM g GROUP BY 1, 2) GROUP BY 1)
+SELECT topic, round(t.same / runs, 6) AS top1, round(f.same / runs, 6) AS grp FROM t JOIN f USING (topic)""")
+def eval_stability(spark, sf_dir):
+    """How often a topic's runs agree on their best module, and on its group."""
+    top = F.array_sort(F.transform(F.map_entries("scores"), lambda e: F.struct((-e["value"]).alias("neg"), e["key"].alias("key"))))[0]["key"]
+    g = score_maps(spark, sf_dir).select((F.col("id") % 97).alias("topic"), top.alias("top")).groupBy("topic", "top").agg(F.count("*").alias("n"))
+    one = g.groupBy("topic").agg(F.max("n").alias("same"), F.sum("n").alias("runs"))
+    two = g.groupBy("topic", (F.col("top") < 10).alias("f")).agg(F.sum("n").alias("n")).groupBy("topic").agg(F.max("n").alias("same_group"))
+    return one.join(two, "topic").select("topic", r6(F.col("same") / F.col("runs")).alias("top1"), r6(F.col("same_group") / F.col("runs")).alias("grp"))
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS vendor, CASE o_orderstatus WHEN 'P' THEN NULL ELSE o_orderstatus END AS kind FROM orders), k AS (SELECT coalesce(kind, 'other') AS kind FROM o WHERE vendor = '2-HIGH')
+SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM (SELECT kind, count(*) AS n FROM k GROUP BY 1 UNION ALL SELECT 'demo', 0) GROUP BY 1""")
+def release_kinds(spark, sf_dir):
+    """Kinds under a vendor; rows without one are others, and the kind in view is there even with none."""
+    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '2-HIGH'").select(F.coalesce(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")), F.lit("other")).alias("kind"))
+    active = spark.createDataFrame([("demo", 0)], "kind string, n long")
+    return o.groupBy("kind").agg(F.count("*").alias("n")).union(active).groupBy("kind").agg(F.sum("n").alias("n"))
+
+
 # selection --------------------------------------------------------------------------------------
 
 

@@ -14,12 +14,14 @@ from pyspark.sql.types import StringType
 from ..functions.text import html_to_text, keyword_hits, strip
 from ..operators.dedup import top_n
 
-ITEM = ["source_id", "external_id", "title", "url", "content", "published_at", "engagement"]
+ITEM = ["source_id", "external_id", "title", "url", "content", "published_at", "engagement", "summary", "subdomain_id"]
 
 
 def _items(df: DataFrame, source: str, external: Column, title: Column, url: Column, content: Column, published: Column, engagement: Column) -> DataFrame:
+    """Rows of ``ITEM``; a summary or subdomain of their own are kept where the feed has them."""
+    own = lambda c: (F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c)
     return df.select(
-        F.lit(source).alias("source_id"), external.cast("string").alias("external_id"), strip(title).alias("title"), url.alias("url"), content.alias("content"), published.cast("timestamp").alias("published_at"), engagement.cast("double").alias("engagement")
+        F.lit(source).alias("source_id"), external.cast("string").alias("external_id"), strip(title).alias("title"), url.alias("url"), content.alias("content"), published.cast("timestamp").alias("published_at"), engagement.cast("double").alias("engagement"), own("summary"), own("subdomain_id")
     )
 
 
@@ -122,7 +124,7 @@ def unknown_sources(sources: list[dict], only: list[str] | None) -> list[str]:
 def read_all(spark: SparkSession, sources: list[dict], only: list[str] | None = None) -> DataFrame:
     """All sources, or those in ``only``, with each source's name and weight; unknown ids are reported by ``unknown_sources``, not raised."""
     chosen = [s for s in sources if not only or s["id"] in only]
-    out = spark.createDataFrame([], "source_id string, external_id string, title string, url string, content string, published_at timestamp, engagement double, source_name string, source_weight double")
+    out = spark.createDataFrame([], "source_id string, external_id string, title string, url string, content string, published_at timestamp, engagement double, summary string, subdomain_id string, source_name string, source_weight double")
     for s in chosen:
         named = read(spark, s).withColumn("source_name", F.lit(s.get("name", s["id"]))).withColumn("source_weight", F.lit(float(s.get("weight", 1.0))))
         out = out.unionByName(named, allowMissingColumns=True)
