@@ -1,6 +1,8 @@
 """A corpus pipeline: toxicity, near duplicates, benchmark passages, secrets, packing.
 
-Each stage gets what the one before kept and decides on all of it.
+Each stage gets what the one before kept and decides on all of it, row by row: rows that share an id, or
+have none, are decided by their own texts. Near duplicates are SimHash's proposals that exact
+similarity confirms.
 """
 
 from __future__ import annotations
