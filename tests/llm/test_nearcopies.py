@@ -80,3 +80,23 @@ def test_rows_are_picked_by_bitmaps_or_by_a_join(spark):
     wanted = df.filter("nth % 7 = 0").select("nth")
     got = [sorted(r["nth"] for r in nearcopies._only(df, wanted, most).collect()) for most in (1 << 25, 0)]
     assert got[0] == got[1] == [n for n in range(0, 300_000, 3) if n % 7 == 0]
+
+
+def test_crowds_near_the_threshold(spark):
+    """Copies with one word changed each: linked through their base, not to each other; without the base, apart."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g, n in ((0, 70), (1, 70)):
+        base = [word() for _ in range(64)]
+        for k in range(n):
+            text = base.copy()
+            text[rnd.randrange(5, 59)] = word()
+            rows.append((1000 * g + k + 1, " ".join(text)))
+        if g == 0:
+            rows.append((1000 * g + 500, " ".join(base)))
+    least = {}
+    for (d, _), g in zip(rows, plain_groups(rows)):
+        least[g] = min(d, least.get(g, d))
+    assert sum(d < 1000 for d in least.values()) == 1 and sum(d >= 1000 for d in least.values()) > 1
+    assert Counter(r["doc_id"] for r in kept_of(spark, rows).collect()) == Counter(least.values())

@@ -11,8 +11,10 @@ Fingerprints meet in tiles (``simhash.tile_pairs``), whose classes are sizes of
 similarity differ by a fourth in size at most. Within a pair of tiles, blocks are skipped whose
 population counts differ beyond the radius, and the rest is compared by exclusive-or and bit
 counts. First a spanning forest of the proposals is verified, so that a group of n copies costs n
-verifications. Where proposed groups are not yet connected by verified links, all their further
-proposals between unconnected parts are verified one by one.
+verifications. Where proposed groups are not yet connected by verified links, their sets go into
+tiles with the fingerprints, and every proposal between parts that are still apart is decided there,
+nearest first: by the sets' numbers of shingles in 256 buckets, which bound what they share, then by
+the sets. A pair of tiles gives the links that connect parts, never a row a proposal.
 
 Defined results: A-Z is lower-cased, words are split at white space; texts of fewer words than a
 shingle are one shingle; null, empty and blank texts are copies of each other; repeated rows are
@@ -21,11 +23,12 @@ copies; further columns stay as they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, materialize, slices, text_batches, text_or_empty
@@ -80,8 +83,8 @@ def _scanned(docs: DataFrame, size: int) -> DataFrame:
     return materialize(rows.mapInArrow(run, "nth long, doc_id long, node long, n int, " + ", ".join(f"{c} long" for c in names)))
 
 
-def proposed(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of rows of ``a`` and ``b`` (none: of a, each pair once) within the radius and near in size, by blocks."""
+def proposed(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows of ``a`` and ``b`` (none: of a, each pair once) within the radius and near in size, and their differing bits, by blocks."""
     own, b = b is None, a if b is None else b
     one = lambda x: sum(np.bitwise_count(x[f"f{k}"]).astype(np.int16) for k in range(WORDS))
     order = [np.argsort(one(x), kind="stable") for x in (a, b)]
@@ -97,12 +100,12 @@ def proposed(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, block: i
             p, q = np.nonzero(bits <= SMALL_RADIUS)
             n, m = a["n"][x[p]].astype(np.int64), b["n"][y[q]].astype(np.int64)
             ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & ((bits[p, q] <= RADIUS) | (np.minimum(n, m) < SMALL))
-            p, q = x[p[ok]], y[q[ok]]
+            far, p, q = bits[p[ok], q[ok]], x[p[ok]], y[q[ok]]
             if own:
                 once = (p < q) if i == j else p != q
-                p, q = p[once], q[once]
+                p, q, far = p[once], q[once], far[once]
             if len(p):
-                yield p, q
+                yield p, q, far
 
 
 def _hang(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
@@ -118,42 +121,99 @@ def _hang(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
             label[:] = up
 
 
-def _proposals(contents: DataFrame, tile_rows: int, forest: bool) -> DataFrame:
-    """(a, b): pairs within the radius; a spanning forest of each pair of tiles, or all between different labels."""
-    names = ["node", "n", *[f"f{k}" for k in range(WORDS)], *([] if forest else ["label"])]
-    # sizes a fourth apart are three classes apart at most
-    pairs = tile_pairs(contents.select(*names), F.floor(F.log(F.col("n").cast("double")) * (2 / np.log(1.25).item())), 3, "node", tile_rows)
+def _class(n: str) -> Column:
+    """Size classes; sizes a fourth apart are three classes apart at most."""
+    return F.floor(F.log(F.col(n).cast("double")) * (2 / math.log(1.25)))
+
+
+def _columns(x: pa.ListScalar, names: list[str]) -> dict[str, np.ndarray]:
+    got = {c: x.values.field(c).to_numpy(zero_copy_only=False) for c in names}
+    return got | {c: got[c].view(np.uint64) for c in names if c[0] == "f"}
+
+
+PRINT = ["node", "n", *[f"f{k}" for k in range(WORDS)]]
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _proposals(contents: DataFrame, tile_rows: int) -> DataFrame:
+    """(a, b): a spanning forest of the pairs within the radius in each pair of tiles."""
+    pairs = tile_pairs(contents.select(*PRINT), _class("n"), 3, "node", tile_rows)
     if pairs is None:
         return contents.sparkSession.createDataFrame([], "a long, b long")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def columns(x: pa.ListScalar) -> dict[str, np.ndarray]:
-        got = {c: x.values.field(c).to_numpy(zero_copy_only=False) for c in names}
-        return got | {c: got[c].view(np.uint64) for c in names if c[0] == "f"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for k, own in enumerate(rb["same"].to_pylist()):
-                a = columns(rb["items"][k])
-                b = None if own else columns(rb["others"][k])
-                if forest:
-                    both = a["node"] if own else np.concatenate([a["node"], b["node"]])
-                    label, shift = np.arange(len(both)), 0 if own else len(a["node"])
-                    for p, q in proposed(a, b):
-                        _hang(label, p, q + shift)
-                    moved = np.flatnonzero(label != np.arange(len(both)))
-                    if len(moved):
-                        yield batch(schema, [pa.array(both[moved]), pa.array(both[label[moved]])])
-                else:
-                    other = a if own else b
-                    for p, q in proposed(a, b):
-                        apart = a["label"][p] != other["label"][q]
-                        yield batch(schema, [pa.array(a["node"][p[apart]]), pa.array(other["node"][q[apart]])])
+                a = _columns(rb["items"][k], PRINT)
+                b = None if own else _columns(rb["others"][k], PRINT)
+                both = a["node"] if own else np.concatenate([a["node"], b["node"]])
+                label, shift = np.arange(len(both)), 0 if own else len(a["node"])
+                for p, q, _ in proposed(a, b):
+                    _hang(label, p, q + shift)
+                moved = np.flatnonzero(label != np.arange(len(both)))
+                if len(moved):
+                    yield batch(EDGES, [pa.array(both[moved]), pa.array(both[label[moved]])])
 
     found = pairs.mapInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of 256 buckets."""
+    return np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint16)
+
+
+def connect(a: dict, b: dict | None) -> Iterator[tuple[int, int]]:
+    """(node, node) of similarity 4/5 or more that connect all proposed pairs of it between different labels; rows have sets ``s``."""
+    other = a if b is None else b
+    sets = [[np.frombuffer(s, np.uint64) for s in x["s"]] for x in (a, other)]
+    bounds = [np.stack([sketch(s) for s in x]) for x in sets]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for p, q, bits in proposed(a, b):
+        apart = a["label"][p] != other["label"][q]
+        p, q, bits = p[apart], q[apart], bits[apart]
+        for k in range(0, len(p), 16384):
+            order = np.argsort(bits[k : k + 16384], kind="stable") + k
+            x, y = p[order], q[order]
+            most = np.minimum(bounds[0][x], bounds[1][y]).sum(1, dtype=np.int64)
+            may = 9 * most >= 4 * (a["n"][x].astype(np.int64) + other["n"][y])
+            for i, j in zip(x[may].tolist(), y[may].tolist()):
+                r, t = root(int(a["label"][i])), root(int(other["label"][j]))
+                if r != t and similar(sets[0][i], sets[1][j]):
+                    up[max(r, t)] = min(r, t)
+                    yield int(a["node"][i]), int(other["node"][j])
+
+
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    return 9 * len(np.intersect1d(s, t, assume_unique=True)) >= 4 * (len(s) + len(t))
+
+
+def _connected(rows: DataFrame, tile_bytes: int = 1 << 22) -> DataFrame:
+    """(a, b): verified links that connect the labels of ``rows`` (PRINT, label, s) as far as all their proposals do."""
+    names = [*PRINT, "label"]
+    # a class bounds the size of its sets, so a tile's sets have ``tile_bytes``, about
+    pairs = tile_pairs(rows.select(*names, "s"), _class("n"), 3, "node", lambda c: max(8, min(8192, int(tile_bytes / (8 * 1.25 ** ((c + 1) / 2))))))
+    if pairs is None:
+        return rows.sparkSession.createDataFrame([], "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for k, own in enumerate(rb["same"].to_pylist()):
+                a, b = (_columns(rb[c][k], names) | {"s": rb[c][k].values.field("s").to_pylist()} for c in ("items", "others"))
+                edges = list(connect(a, None if own else b))
+                if edges:
+                    yield batch(EDGES, [list(c) for c in zip(*edges)])
+
+    return materialize(pairs.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def _only(docs: DataFrame, wanted: DataFrame, most: int = 1 << 25) -> DataFrame:
     """The rows of ``docs`` whose nth is in ``wanted``: by bitmaps of ``most`` bytes at most, a bit a row, so that texts stay where they are; beyond, by a join."""
     bits = materialize(wanted.groupBy(F.bitmap_bucket_number(F.col("nth") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("nth") + 1)).alias("bits")))
@@ -175,10 +235,9 @@ def _only(docs: DataFrame, wanted: DataFrame, most: int = 1 << 25) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _alike(pairs: DataFrame, contents: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of similarity 4/5 or more, by their whole sets."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = _only(docs.select("nth", text_or_empty().alias("text")), contents.join(ends, "node", "left_semi").select("nth"))
+def _sets(docs: DataFrame, contents: DataFrame, size: int) -> DataFrame:
+    """(node, s): the whole sets of ``contents`` (node, nth)."""
+    rows = _only(docs.select("nth", text_or_empty().alias("text")), contents.select("nth"))
     schema = pa.schema([("node", pa.int64()), ("s", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,14 +248,20 @@ def _alike(pairs: DataFrame, contents: DataFrame, docs: DataFrame, size: int) ->
             found = [words(_bytes(t)) for t in b["text"]]
             yield batch(schema, [pa.array(np.array([h(w.tobytes()) for w in found], np.uint64).view(np.int64)), [shingle_set(w, size).tobytes() for w in found]])
 
+    return materialize(rows.mapInArrow(sets, "node long, s binary"))
+
+
+def _alike(pairs: DataFrame, contents: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of similarity 4/5 or more, by their whole sets."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    known = _sets(docs, contents.join(ends, "node", "left_semi"), size)
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):
             x, y = ([np.frombuffer(s, np.uint64) for s in b[c].to_pylist()] for c in ("a_s", "b_s"))
-            both = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)]
-            ok = pa.array([9 * m >= 4 * (len(s) + len(t)) for m, s, t in zip(both, x, y)], pa.bool_())
+            ok = pa.array([similar(s, t) for s, t in zip(x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b["a"].filter(ok), b["b"].filter(ok)], ["a", "b"])
 
-    known = materialize(rows.mapInArrow(sets, "node long, s binary"))
     left, right = (known.select(F.col("node").alias(c), F.col("s").alias(f"{c}_s")) for c in "ab")
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "a_s", "b_s").mapInArrow(test, "a long, b long"))
 
@@ -205,15 +270,14 @@ def links(docs: DataFrame, scanned: DataFrame, size: int, tile_rows: int = 8192)
     """(a, b) edges between contents, all of similarity 4/5 or more, that connect all proposed pairs of that similarity."""
     prints = [F.first(f"f{k}").alias(f"f{k}") for k in range(WORDS)]
     contents = materialize(scanned.filter("n > 0").groupBy("node").agg(F.min("nth").alias("nth"), F.first("n").alias("n"), *prints))
-    first = materialize(_proposals(contents, tile_rows, forest=True))
+    first = materialize(_proposals(contents, tile_rows))
     found = _alike(first, contents, docs, size)
     # proposed groups that verified links do not connect
     group, label = components(first).withColumnRenamed("root", "group"), components(found).withColumnRenamed("root", "label")
     named = materialize(group.join(label, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label")))
     mixed = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("group")
-    open_ = named.join(mixed, "group").select("node", "label")
-    again = _proposals(materialize(contents.join(open_, "node")), tile_rows, forest=False).join(first, ["a", "b"], "left_anti")
-    return found.union(_alike(materialize(again), contents, docs, size))
+    open_ = materialize(contents.join(named.join(mixed, "group").select("node", "label"), "node"))
+    return found.union(_connected(open_.join(_sets(docs, open_, size), "node")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:

@@ -15,7 +15,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,14 +95,15 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 512) -
     return both[moved], both[label[moved]]
 
 
-def tile_pairs(rows: DataFrame, klass: Column, reach: int, key: str, tile_rows: int) -> DataFrame | None:
+def tile_pairs(rows: DataFrame, klass: Column, reach: int, key: str, tile_rows: int | Callable[[int], int]) -> DataFrame | None:
     """Every pair of tiles once whose classes differ by ``reach`` at most: same, items, others (lists of rows).
 
-    A tile holds about ``tile_rows`` rows of one class; there are few classes.
+    A tile holds about ``tile_rows`` rows (a number, or one by class) of one class; there are few classes.
     """
     classed = rows.select(klass.cast("int").alias("p"), F.struct(*rows.columns).alias("item"))
     counts = classed.groupBy("p").count().collect()  # a row per class
-    tiles_of = {r["p"]: -(-r["count"] // tile_rows) for r in counts}
+    most = tile_rows if callable(tile_rows) else lambda p: tile_rows
+    tiles_of = {r["p"]: -(-r["count"] // most(r["p"])) for r in counts}
     if not tiles_of:
         return None
     n = F.create_map(*[F.lit(x) for kv in tiles_of.items() for x in kv])
