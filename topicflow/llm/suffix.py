@@ -175,12 +175,12 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def dedup(docs: DataFrame, length: int = 400, crowd: int = 256, chunk_bytes: int = 1 << 18) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, crowd: int = 1024, chunk_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     return _kept(*_repeats(docs, length, crowd, chunk_bytes), length)
 
 
-def cleaned(docs: DataFrame, length: int = 400, crowd: int = 256, chunk_bytes: int = 1 << 18) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = 400, crowd: int = 1024, chunk_bytes: int = 1 << 18) -> DataFrame:
     """doc_id and the bytes that stay."""
     return _kept(*_repeats(docs, length, crowd, chunk_bytes, keep=True), length, content=True).select("doc_id", "kept")
 
