@@ -101,9 +101,9 @@ def mapped_characters(c: Column, table: dict[str, str], keep: str = "") -> Colum
 
 def retry_seconds(message: Column) -> Column:
     """Seconds that a refusal asks to wait ("try again in 6m26.2s"); null if it names none."""
-    pattern = r"(?i)try again in (?:(\d+)m)?(\d+(?:\.\d+)?)s"
-    minutes = F.coalesce(F.nullif(F.regexp_extract(message, pattern, 1), F.lit("")).cast("double"), F.lit(0.0))
-    return 60 * minutes + F.nullif(F.regexp_extract(message, pattern, 2), F.lit("")).cast("double")
+    wait = F.regexp_extract(F.lower(message), "try again in ([0-9ms.]+)", 1)
+    minutes = F.when(wait.contains("m"), F.substring_index(wait, "m", 1).cast("double")).otherwise(0.0)
+    return 60 * minutes + F.nullif(F.regexp_extract(wait, "([0-9.]+)s", 1), F.lit("")).cast("double")
 
 
 @F.pandas_udf(StringType())
