@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, packing, secrets, sharding, simhash, suffix, tokencount, topk, toxicity
+from . import ctw, decontam, dialogue, packing, secrets, sharding, simhash, suffix, tokencount, topk, toxicity
 from .common import table
+from .sql import crc32_sql, repair_sql
 
 
 def _tokenizer(name: str) -> str:
@@ -57,13 +58,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return dialogue.report(conversations, dialogue.damage(conversations))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pack, op2_context_tree, op3_decontaminate, op4_toxicity, op5_shards, op6_topk, op7_secrets, op8_token_counts, op9_simhash, op10_suffix_dedup)
+    own = (op1_pack, op2_context_tree, op3_decontaminate, op4_toxicity, op5_shards, op6_topk, op7_secrets, op8_token_counts, op9_simhash, op10_suffix_dedup, op11_repair)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_shards": SHARDS, "op6_topk": TOP_K}
+    return {"op5_shards": SHARDS, "op6_topk": TOP_K, "op11_repair": repair_sql()}
 
 
 #: Inner products of all pairs of a query and another row; whole numbers, which doubles hold exactly.
@@ -77,24 +83,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
-def _crc32_sql() -> str:
-    """CRC-32 of a text's UTF-8 bytes, four bits at a step; the steps' table follows from the polynomial."""
-
-    def after_four_bits(n: int) -> int:
-        for _ in range(4):
-            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
-        return n
-
-    steps = "[" + ", ".join(f"{after_four_bits(n)}::UINTEGER" for n in range(16)) + "]"
-    step = lambda c, n: f"xor(({steps})[CAST(xor({c}, {n}) & 15 AS INTEGER) + 1], {c} >> 4)"
-    both = step(f"({step('c', 'b')})", "(b >> 4)")
-    octets = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '[0-9A-F]{2}'), lambda h: CAST('0x' || h AS UINTEGER))"
-    return f"xor(list_reduce({octets}, lambda c, b: {both}, 4294967295::UINTEGER), 4294967295::UINTEGER)"
-
-
 #: One window over all rows: the line of bytes, cut where a row's middle byte passes a target.
 SHARDS = f"""
-WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, CAST({_crc32_sql()} AS BIGINT) AS text_crc32 FROM documents),
+WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, CAST({crc32_sql("coalesce(text, '')")} AS BIGINT) AS text_crc32 FROM documents),
 p AS (SELECT *, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS whole, row_number() OVER o AS nth
       FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)),
 s AS (SELECT *, CAST(least(23, ((2 * before + size) * 24) // (2 * whole)) AS INTEGER) AS shard FROM p)
