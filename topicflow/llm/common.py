@@ -41,13 +41,28 @@ def materialize(df: DataFrame) -> DataFrame:
 
     A lost executor costs only the tasks it ran; the files go when the session's JVM ends.
     """
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """:func:`materialize`, and the folder, for :func:`removed`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/topicflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    hadoop, system = _folder(spark, path)
+    system.deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of :func:`written` that nothing reads any more."""
+    hadoop, system = _folder(spark, path)
+    system.delete(hadoop, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -82,4 +97,4 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-__all__ = ["table", "text_or_empty", "shared_dir", "materialize", "text_batches", "per_worker", "slices", "shuffle_partitions", "batch"]
+__all__ = ["table", "text_or_empty", "shared_dir", "materialize", "written", "removed", "text_batches", "per_worker", "slices", "shuffle_partitions", "batch"]

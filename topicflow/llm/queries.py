@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, dialogue, packing, secrets, sharding, simhash, suffix, tokencount, topk, toxicity
+from . import ctw, decontam, dialogue, licenses, packing, secrets, sharding, simhash, suffix, tokencount, topk, toxicity, vectorcodes
 from .common import table
-from .sql import crc32_sql, repair_sql
+from .sql import codes_sql, crc32_sql, repair_sql
 
 
 def _tokenizer(name: str) -> str:
@@ -63,13 +63,21 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.report(conversations, dialogue.damage(conversations))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pack, op2_context_tree, op3_decontaminate, op4_toxicity, op5_shards, op6_topk, op7_secrets, op8_token_counts, op9_simhash, op10_suffix_dedup, op11_repair)
+    own = (op1_pack, op2_context_tree, op3_decontaminate, op4_toxicity, op5_shards, op6_topk, op7_secrets, op8_token_counts, op9_simhash, op10_suffix_dedup, op11_repair, op12_licenses, op13_vector_codes)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_shards": SHARDS, "op6_topk": TOP_K, "op11_repair": repair_sql()}
+    return {"op5_shards": SHARDS, "op6_topk": TOP_K, "op11_repair": repair_sql(), "op13_vector_codes": codes_sql()}
 
 
 #: Inner products of all pairs of a query and another row; whole numbers, which doubles hold exactly.
