@@ -15,7 +15,7 @@ SCHEMAS = {
     "same": "same boolean, reason string",
     "triples": "triples array<struct<subject:string,subject_type:string,relation:string,object:string,object_type:string>>",
     "article": "headline_candidates array<string>, chosen_headline string, sections array<struct<heading:string,paragraphs:array<string>>>, delta_insight struct<paragraphs:array<string>>, card_summary struct<text:string>",
-    "review": "fact_claims array<struct<claim:string,verdict:string,evidence:string>>, style_violations array<string>, sensitivity_flags array<string>, coherent boolean, tone_score double, revision_instructions string",
+    "review": "fact_claims array<struct<claim:string,verdict:string,evidence:string>>, style_violations array<string>, sensitivity_flags array<string>, coherence_check struct<headline_matches_body:boolean,single_subject:boolean,unrelated_sources:array<string>>, tone_score double, revision_instructions string",
     "comment": "comment string, delta_insight string",
     "headline": "headline string",
 }
@@ -56,10 +56,17 @@ def _fields(kind: str) -> list[str]:
     return out
 
 
+def coherent(review: Column) -> Column:
+    """False where the check finds a headline beside the body, several subjects or sources that do not belong; without a check, true."""
+    check = review["coherence_check"]
+    against = check["headline_matches_body"].eqNullSafe(F.lit(False)) | check["single_subject"].eqNullSafe(F.lit(False)) | (F.coalesce(F.size(check["unrelated_sources"]), F.lit(0)) > 0)
+    return ~against
+
+
 def confidence(review: Column) -> Column:
     """0.6 of the supported claims' share (1 without claims), 0.2 for style (half if violated), 0.2 without sensitive flags; 0.4 at most if incoherent."""
     claims = F.coalesce(review["fact_claims"], F.array().cast("array<struct<claim:string,verdict:string,evidence:string>>"))
     share = F.when(F.size(claims) == 0, 1.0).otherwise(F.size(F.filter(claims, lambda c: c["verdict"] == "supported")) / F.size(claims))
     none = lambda c: F.coalesce(F.size(review[c]), F.lit(0)) <= 0
     score = 0.6 * share + 0.2 * F.when(none("style_violations"), 1.0).otherwise(0.5) + 0.2 * F.when(none("sensitivity_flags"), 1.0).otherwise(0.0)
-    return F.when(review["coherent"].eqNullSafe(F.lit(False)), F.least(score, F.lit(0.4))).otherwise(score)
+    return F.when(coherent(review), score).otherwise(F.least(score, F.lit(0.4)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cluster, gates, graph, ranks, selection, similarity, state
+from ..operators import cluster, gates, graph, ranks, replies, selection, similarity, state
 from ..operators.dedup import top_n
 from ..operators.lineage import shared_folder
 from ..sources import landed
@@ -62,14 +62,14 @@ def source_search(spark, sf_dir):
     return _shown(landed.searched(e, "search", "hit", "2024-01-05", 20, fallback="https://x/"))
 
 
-@query(f"""SELECT url AS external_id, trim(url) AS title, url, CAST(length({html_sql('html')}) AS BIGINT) AS chars, '2024-01-20' AS day, NULL::DOUBLE AS engagement
+@query(f"""SELECT url AS external_id, trim(url) AS title, url, CAST(length({html_sql('html')}) AS BIGINT) AS chars, CASE WHEN page_id % 4 = 0 THEN '2024-01-31' ELSE '2024-01-20' END AS day, NULL::DOUBLE AS engagement
   FROM (SELECT * FROM pages ORDER BY page_id LIMIT 15) p WHERE {html_sql('html')} <> '' AND url <> ''""")
 def source_rss(spark, sf_dir):
-    """A feed of web pages, their mark-up as content."""
+    """A feed of web pages, their mark-up as content; one in four has no date."""
     p = table(spark, sf_dir, "pages")
     none = F.lit(None).cast("string")
-    f = p.select(F.col("page_id").alias("position"), F.col("url").alias("title"), F.col("url").alias("link"), F.col("html").alias("content"), none.alias("summary"), none.alias("description"), F.lit("2024-01-20").alias("published"), none.alias("updated"))
-    return _shown(landed.rss(f, "rss", "2024-01-01"))
+    f = p.select(F.col("page_id").alias("position"), F.col("url").alias("title"), F.col("url").alias("link"), F.col("html").alias("content"), none.alias("summary"), none.alias("description"), F.when(F.col("page_id") % 4 != 0, "2024-01-20").alias("published"), none.alias("updated"))
+    return _shown(landed.rss(f, "rss", "2024-01-01", fetched="2024-01-31"))
 
 
 # streams ----------------------------------------------------------------------------------------
@@ -198,7 +198,8 @@ def rotation_ledger(spark, sf_dir):
     WHEN l_quantity / 50 < 0.6 AND l_linenumber < 2 THEN 'regenerate' WHEN l_quantity / 50 < 0.8 THEN 'needs_review' ELSE 'ready' END AS outcome FROM lineitem""")
 def generation_outcome(spark, sf_dir):
     none = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 5), 0).otherwise(1)
-    o = selection.outcome(none, F.when(F.col("l_tax") > 0.07, "boom"), ~(F.col("l_discount") > 0.09), F.col("l_quantity") / 50, F.col("l_linenumber"))
+    review = F.struct(F.struct(F.lit(True).alias("headline_matches_body"), (~(F.col("l_discount") > 0.09)).alias("single_subject"), F.array().cast("array<string>").alias("unrelated_sources")).alias("coherence_check"))
+    o = selection.outcome(none, F.when(F.col("l_tax") > 0.07, "boom"), replies.coherent(review), F.col("l_quantity") / 50, F.col("l_linenumber"))
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), o.alias("outcome"))
 
 

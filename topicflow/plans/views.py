@@ -63,16 +63,16 @@ def source_repositories(spark, sf_dir):
 SELECT page_id, rank, 'm[' || event_id || ']' AS model, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'org' END AS org, round(value, 1) AS score, event_id AS votes FROM r WHERE rank <= 20 AND event_id % 7 <> 0
   QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank) <= 15""")
 def board_entries(spark, sf_dir):
-    """Boards embedded in pages as escaped JSON with brackets inside; some rows lack a rank."""
+    """Boards embedded in pages as escaped JSON with brackets, also lone ones, inside; some rows lack a rank."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), "event_id", "value")
     best = top_n(e, ["page_id"], [F.desc("value"), F.asc("event_id")], 20)
     ordered = best.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("neg"), "event_id"))).alias("r"))
     entry = lambda x, i: F.struct(
         F.concat(F.lit("m["), x["event_id"].cast("string"), F.lit("]")).alias("modelDisplayName"), F.when(x["event_id"] % 7 != 0, i + 1).alias("rank"), F.when(x["event_id"] % 4 != 0, "org").alias("modelOrganization"), (-x["neg"]).alias("rating"), x["event_id"].alias("votes"), F.array(F.lit("[")).alias("more")
     )
-    plain = F.replace(F.to_json(F.transform("r", entry)), F.lit('"["'), F.lit('"x"'))
+    plain = F.to_json(F.transform("r", entry))
     escaped = F.replace(F.concat(F.lit('{"leaderboard":{"entries":'), plain, F.lit(',"z":[1]}}')), F.lit('"'), F.lit('\\"'))
-    return landed.boards(ordered.select("page_id", F.concat(F.lit("<script>push([1,"), escaped, F.lit("])</script>")).alias("html")))
+    return landed.boards(ordered.select("page_id", F.concat(F.lit('<script>push([1,"'), escaped, F.lit('"])</script>')).alias("html")))
 
 
 # lookups, schema, log ---------------------------------------------------------------------------
@@ -533,14 +533,15 @@ def replies_scores(spark, sf_dir):
     return r.select("id", "error", r6(total).alias("total"))
 
 
-@query("""SELECT o_orderkey AS id, round(CASE WHEN o_orderkey % 5 = 0 THEN least(c, 0.4) ELSE c END, 6) AS confidence FROM (SELECT o_orderkey, 0.6 * CASE o_orderkey % 3 WHEN 0 THEN 1 ELSE (o_orderkey % 3 - 1) / 1.0 END + 0.2 * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0.5 END + 0.2 * CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS c FROM orders)""")
+@query("""SELECT o_orderkey AS id, round(CASE WHEN o_orderkey % 10 IN (1, 4, 5) THEN least(c, 0.4) ELSE c END, 6) AS confidence FROM (SELECT o_orderkey, 0.6 * CASE o_orderkey % 3 WHEN 0 THEN 1 ELSE (o_orderkey % 3 - 1) / 1.0 END + 0.2 * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0.5 END + 0.2 * CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS c FROM orders)""")
 def replies_review(spark, sf_dir):
-    """Self-check replies to confidences: no claims, an unsupported one, a supported one."""
+    """Self-check replies to confidences: no claims, an unsupported one, a supported one; checks of coherence that fail in three ways, pass, or are missing."""
     i = F.col("id")
     claim = lambda v: F.array(F.struct(F.lit("c").alias("claim"), F.lit(v).alias("verdict"), F.lit("e").alias("evidence")))
     flags = lambda p: F.when(p, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
     claims = F.when(i % 3 == 0, F.slice(claim("supported"), 1, 0)).when(i % 3 == 1, claim("unsupported")).otherwise(claim("supported"))
-    body = F.struct(claims.alias("fact_claims"), flags(i % 2 != 0).alias("style_violations"), flags(i % 7 == 0).alias("sensitivity_flags"), (i % 5 != 0).alias("coherent"))
+    check = F.struct((i % 10 != 1).alias("headline_matches_body"), F.when(i % 10 != 2, i % 10 != 4).alias("single_subject"), flags(i % 10 == 5).alias("unrelated_sources"))
+    body = F.struct(claims.alias("fact_claims"), flags(i % 2 != 0).alias("style_violations"), flags(i % 7 == 0).alias("sensitivity_flags"), F.when(i % 10 != 0, check).alias("coherence_check"))
     r = replies.read(issues(spark, sf_dir).select("id", F.to_json(body).alias("reply")), "review")
     return r.select("id", r6(replies.confidence(F.col("value"))).alias("confidence"))
 

@@ -9,7 +9,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.text import html_to_text, keyword_hits, strip
 from ..operators.dedup import top_n
@@ -25,13 +24,15 @@ def _items(df: DataFrame, source: str, external: Column, title: Column, url: Col
     )
 
 
-def rss(df: DataFrame, source: str, cutoff: str, max_items: int = 15) -> DataFrame:
-    """The feed's first entries, then the date limit; no date counts as the cutoff; blank ones out."""
+def rss(df: DataFrame, source: str, cutoff: str, max_items: int = 15, fetched: str | None = None) -> DataFrame:
+    """The feed's first entries, then the date limit; an entry without a date is as new as the fetch (now, if not given) and stays; blank ones out."""
     head = df.orderBy("position").limit(max_items)
     body = html_to_text(F.coalesce(F.nullif(F.trim("content"), F.lit("")), F.nullif(F.trim("summary"), F.lit("")), "description"))
-    when = F.coalesce(F.col("published").cast("timestamp"), F.col("updated").cast("timestamp"), F.lit(cutoff).cast("timestamp"))
-    out = _items(head, source, F.col("link"), F.col("title"), F.col("link"), body, when, F.lit(None))
-    return out.filter((F.col("published_at") >= F.lit(cutoff).cast("timestamp")) & (F.coalesce("content", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
+    now = F.current_timestamp() if fetched is None else F.lit(fetched).cast("timestamp")
+    dated = F.coalesce(F.col("published").cast("timestamp"), F.col("updated").cast("timestamp"))
+    fresh = F.coalesce(dated >= F.lit(cutoff).cast("timestamp"), F.lit(True))
+    out = _items(head.filter(fresh), source, F.col("link"), F.col("title"), F.col("link"), body, F.coalesce(dated, now), F.lit(None))
+    return out.filter((F.coalesce("content", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
 
 
 def arxiv(df: DataFrame, source: str, cutoff: str, keywords: list[str], limit: int = 20) -> DataFrame:
@@ -74,32 +75,45 @@ def starred(df: DataFrame, source: str, cutoff: str, least: float = 20, limit: i
     return searched(named, source, "id", cutoff, least, limit)
 
 
-@F.pandas_udf(StringType())
-def _embedded_entries(html: pd.Series) -> pd.Series:
-    """The first array of entries after the board's name, by bracket depth, unescaped; null where there is none."""
+@F.pandas_udf("struct<entries:string,fault:string>")
+def _embedded(html: pd.Series) -> pd.DataFrame:
+    """A page's board as JSON, or what is wrong with it.
 
-    def cut(page: str | None) -> str | None:
-        at = page.find('\\"leaderboard\\":{') if page else -1
-        at = page.find('\\"entries\\":[', at) if at >= 0 else -1
-        if at < 0:
-            return None
-        depth, begin = 0, page.index("[", at)
-        for m in re.finditer(r"[\[\]]", page[begin:]):
-            depth += 1 if m[0] == "[" else -1
-            if not depth:
-                try:
-                    return json.loads(f'"{page[begin : begin + m.end()]}"')
-                except ValueError:
-                    return None
-        return None
+    A page's scripts push their data as string literals; those are decoded and read as one text, in
+    which a JSON decoder takes the value that follows the board's name, so brackets inside names are
+    only characters.
+    """
+    decoder = json.JSONDecoder(strict=False)
 
-    return html.map(cut)
+    def found(page: str | None) -> tuple[str | None, str | None]:
+        text = ""
+        for push in re.finditer(r"push\(\[\d+,\s*(?=\")", page or ""):
+            try:
+                text += decoder.raw_decode(page, push.end())[0]
+            except ValueError:
+                return None, "broken_script"
+        board = text.find('"leaderboard":{')
+        entries = re.compile(r'"entries":\s*').search(text, board) if board >= 0 else None
+        if entries is None:
+            return None, "no_board"
+        try:
+            value, _ = decoder.raw_decode(text, entries.end())
+        except ValueError:
+            return None, "broken_entries"
+        return (json.dumps(value), None) if isinstance(value, list) else (None, "broken_entries")
+
+    return pd.DataFrame([found(page) for page in html], columns=["entries", "fault"])
+
+
+def board_faults(pages: DataFrame) -> DataFrame:
+    """(page_id, fault): pages of which no board can be read."""
+    return pages.select("page_id", _embedded("html")["fault"].alias("fault")).filter("fault is not null")
 
 
 def boards(pages: DataFrame, most: int = 15) -> DataFrame:
-    """(page_id, rank, model, org, score, votes): the first places of the board embedded in each page."""
+    """(page_id, rank, model, org, score, votes): the first places of the board embedded in each page; pages without are in :func:`board_faults`."""
     entry = "array<struct<modelDisplayName:string,modelKey:string,rank:int,modelOrganization:string,rating:double,votes:long>>"
-    rows = pages.select("page_id", F.inline(F.from_json(_embedded_entries("html"), entry)))
+    rows = pages.select("page_id", F.inline(F.from_json(_embedded("html")["entries"], entry)))
     model = F.coalesce(F.nullif("modelDisplayName", F.lit("")), F.nullif("modelKey", F.lit("")))
     kept = rows.select("page_id", "rank", model.alias("model"), F.col("modelOrganization").alias("org"), F.round("rating", 1).alias("score"), "votes").filter("rank is not null and model is not null")
     return top_n(kept, ["page_id"], [F.asc("rank"), F.asc("model")], most)
