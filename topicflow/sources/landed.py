@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import html_to_text, keyword_hits, strip
 from ..operators.dedup import top_n
@@ -75,7 +76,7 @@ def starred(df: DataFrame, source: str, cutoff: str, least: float = 20, limit: i
     return searched(named, source, "id", cutoff, least, limit)
 
 
-@F.pandas_udf("struct<entries:string,fault:string>")
+@F.pandas_udf(StructType([StructField("entries", StringType()), StructField("fault", StringType())]))
 def _embedded(html: pd.Series) -> pd.DataFrame:
     """A page's board as JSON, or what is wrong with it.
 
