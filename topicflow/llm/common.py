@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +90,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(k, rows)
 
 
+def integers(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of doubles, exactly: int64, or Python's integers where those are too short."""
+    if float(np.abs(values).max(initial=0)) * scale < 2.0**62:
+        return np.floor(values * scale).astype(np.int64)
+    flat = [int(x) * scale if abs(x) >= 2.0**53 else math.floor(x * scale) for x in values.ravel().tolist()]
+    out = np.empty(len(flat), object)
+    out[:] = flat
+    return out.reshape(values.shape)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -97,4 +109,4 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-__all__ = ["table", "text_or_empty", "shared_dir", "materialize", "written", "removed", "text_batches", "per_worker", "slices", "shuffle_partitions", "batch"]
+__all__ = ["table", "text_or_empty", "shared_dir", "materialize", "written", "removed", "text_batches", "per_worker", "slices", "integers", "shuffle_partitions", "batch"]

@@ -9,11 +9,13 @@ rows tied at the boundary, which are resolved by id and scored exactly.
 Queries and rows meet in blocks: (query block, row block) pairs are joined by key, each pair is
 one task's work and gives at most k rows a query.
 
-A block has as many slices as its own values need, so a far value costs its block alone.
+A block has as many slices as its own values need. Vectors with a component of 2**30 or more after scaling are in
+small blocks of their own, as the numbers they came as; their slices, of as many bits as there are, come from Python's
+integers, so every finite vector takes part.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as
-queries or as rows; nor do those with a component so large that a long may not hold their
-scores (over sqrt(2**62 / dimension) or 2**30 after scaling), nor a null vec_id; vectors meet those of their own dimension
+queries or as rows, nor does a null vec_id; a pair whose score no long holds is no result, and the
+query's next best row takes its place; vectors meet those of their own dimension
 (of an empty one, all scores are 0); rows that carry the query's id are its own and no
 candidates, repeated rows ask once, and different vectors under one id are asked and ranked
 apart; fewer than k candidates give all of them; ties go to the smaller id; further columns
@@ -29,13 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, materialize
-
+from .common import batch, integers, materialize
 
 
 def bit_slices(values: np.ndarray, bits: int) -> np.ndarray:
     """uint64 bitmaps [complemented?, attribute, bit, word] of values 0..2**bits-1 in [row, attribute]."""
     n, d = values.shape
+    if bits > 32:
+        one = np.zeros((d, bits, -(-n // 64) * 64), bool)
+        for b in range(bits):
+            one[:, b, :n] = ((values >> b) & 1).T.astype(bool)
+        maps = np.packbits(one, axis=2, bitorder="little").view(np.uint64)
+        return np.stack([maps, ~maps])
     kind = np.dtype("u1" if bits <= 8 else "<u4")
     padded = np.zeros((-(-n // 64) * 64, d), kind)
     padded[:n] = values
@@ -93,53 +100,74 @@ def best(slices: list[np.ndarray], alive: np.ndarray, k: int) -> tuple[np.ndarra
     return sure, tied
 
 
+def width(values: np.ndarray) -> int:
+    """Bits of the largest of some numbers from 0 up."""
+    return int(values.max(initial=0)).bit_length()
+
+
 def search_block(query: np.ndarray, ids: np.ndarray, rows: np.ndarray, maps: np.ndarray, alive: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best rows; ids ascend in the block. rows: signed values, maps of them from the least one up."""
+    """(ids, scores) of the k best rows whose scores a long holds; ids ascend in the block. rows: signed values, maps of them from the least one up."""
     size = np.abs(query)
-    width, slices = int(size.max(initial=0)).bit_length(), maps.shape[2]
-    bits = (size[:, None] >> np.arange(width)) & 1
+    wide, slices = width(size), maps.shape[2]
+    bits = ((size[:, None] >> np.arange(wide).astype(size.dtype)) & 1).astype(bool)
     d, b = np.nonzero(bits)
     neg = (query[d] < 0).astype(np.int64)
     columns = []
-    for j in range(width + slices - 1):
+    for j in range(wide + slices - 1):
         bit = j - b
         ok = (bit >= 0) & (bit < slices)
         columns.append(maps[neg[ok], d[ok], bit[ok]])
-    sure, tied = best(add_up(columns), alive, k)
+    sums = add_up(columns)
     to_rows = lambda x: np.flatnonzero(np.unpackbits(x.view(np.uint8), bitorder="little"))
-    sure, tied = to_rows(sure), to_rows(tied)
-    at = np.concatenate([sure, tied[: k - len(sure)]])  # the boundary: smaller ids first
-    return ids[at], rows[at] @ query
-
-
-def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, row_block: int = 32768, query_block: int = 4096) -> DataFrame:
+    short = rows.dtype != object and query.dtype != object and len(query) * int(size.max(initial=0)) * int(np.abs(rows).max(initial=0)) < 2**62
+    while True:
+        sure, tied = best(sums, alive, k)
+        sure, tied = to_rows(sure), to_rows(tied)
+        at = np.concatenate([sure, tied[: k - len(sure)]])  # the boundary: smaller ids first
+        if short:
+            return ids[at], rows[at] @ query
+        scores = rows[at].astype(object) @ query.astype(object) if len(query) else np.zeros(len(at), object)
+        held = np.array([-(2**63) <= s < 2**63 for s in scores], bool)
+        if held.all():
+            return ids[at], scores.astype(np.int64)
+        gone = np.zeros(64 * len(alive), bool)
+        gone[at[~held]] = True
+        alive = alive & ~np.packbits(gone, bitorder="little").view(np.uint64)
+
+
+def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, row_block: int = 32768, query_block: int = 4096, far_block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows for each vec_id divisible by ``every``."""
     spark = vectors.sparkSession
-    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))  # null, NaN and infinity fail the test below
-    largest = F.least(F.lit(2.0**30), F.sqrt(2.0**62 / F.greatest(F.size("embedding"), F.lit(1))))
-    fit = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double") * scale) <= largest - 1, F.lit(False)))
-    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fit)
-    quantised = clean.select("vec_id", scaled.cast("array<int>").alias("v"), F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("nth"))
+    finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))  # a NaN is above infinity
+    near = F.forall("embedding", lambda x: F.abs(x.cast("double") * scale) <= 2.0**30 - 1)
+    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).cast("array<int>")
+    quantised = clean.select("vec_id", F.when(near, whole).alias("v"), F.when(~near, F.col("embedding").cast("array<double>")).alias("far"), F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("nth"))
     quantised = materialize(quantised)
-    n, n_q, low, high = quantised.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
-    if not n_q:
+    asks = F.col("vec_id") % every == 0
+    counts = [F.count("v"), F.count_if(asks & F.col("v").isNotNull()), F.count("far"), F.count_if(asks & F.col("far").isNotNull())]
+    n, n_q, n_far, q_far, low, high = quantised.agg(*counts, F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    if not n_q + q_far:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     low, high = low or 0, high or 0  # null where all vectors are empty
     kind = next(k for k, size in (("tinyint", 7), ("smallint", 15), ("int", 31)) if max(-low, high + 1) <= 1 << size)
     tasks = max(1, 2 * spark.sparkContext.defaultParallelism)
-    row_blocks = -(-n // row_block)
-    query_blocks = max(-(-n_q // query_block), min(-(-tasks // row_blocks), -(-n_q // 64)))
-
-    def packed(df: DataFrame, blocks: int, key: str) -> DataFrame:
-        """One row a block of one dimension: ids and values, ascending by id."""
-        rows = df.select(F.pmod("nth", F.lit(blocks)).cast("int").alias(key), "dim", "vec_id", F.col("v").cast(f"array<{kind}>").alias("v"))
-        return rows.groupBy(key, "dim").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("rows")).select(key, "dim", F.col("rows.vec_id").alias(f"{key}_ids"), F.flatten("rows.v").alias(f"{key}_values"))
-
-    rows = packed(quantised, row_blocks, "r").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    row_blocks, far_row_blocks = -(-n // row_block), -(-n_far // far_block)
+    query_blocks = max(-(-n_q // query_block), min(-(-tasks // max(1, row_blocks)), -(-n_q // 64)))
+    far_query_blocks = -(-q_far // far_block)
+
+    def packed(df: DataFrame, blocks: int, far_blocks: int, key: str) -> DataFrame:
+        """One row a block of one dimension: ids and values, ascending by id; far vectors in blocks behind the others."""
+        block = F.when(F.col("far").isNull(), F.pmod("nth", F.lit(max(1, blocks)))).otherwise(blocks + F.pmod("nth", F.lit(max(1, far_blocks))))
+        rows = df.select(block.cast("int").alias(key), "dim", "vec_id", F.col("v").cast(f"array<{kind}>").alias("v"), "far")
+        lists = rows.groupBy(key, "dim").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v", "far"))).alias("rows"))
+        return lists.select(key, "dim", F.col("rows.vec_id").alias(f"{key}_ids"), F.flatten("rows.v").alias(f"{key}_values"), F.flatten("rows.far").alias(f"{key}_far"))
+
+    rows = packed(quantised, row_blocks, far_row_blocks, "r").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks + far_query_blocks - 1))))
     # queries are numbered anew: nth of a query may share its remainder with others
-    asked = quantised.filter(F.col("vec_id") % every == 0).select("vec_id", "dim", "v").distinct().withColumn("nth", F.xxhash64("vec_id", "v"))
-    queries = packed(asked, query_blocks, "q")
-    pairs = rows.join(queries, ["q", "dim"]).repartition(row_blocks * query_blocks, "q", "r")
+    asked = quantised.filter(asks).select("vec_id", "dim", "v", "far").distinct().withColumn("nth", F.xxhash64("vec_id", "v", "far"))
+    queries = packed(asked, query_blocks, far_query_blocks, "q")
+    pairs = rows.join(queries, ["q", "dim"]).repartition((row_blocks + far_row_blocks) * (query_blocks + far_query_blocks), "q", "r")
     schema = pa.schema([("query_id", pa.int64()), ("no", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +175,19 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, row
             for i in range(rb.num_rows):
                 flat = lambda c: rb[c][i].values.to_numpy(zero_copy_only=False)
                 dim = rb["dim"][i].as_py()
-                ids = flat("r_ids")
-                values = flat("r_values").astype(np.int64).reshape(len(ids), dim)
+
+                def matrix(key: str, n: int, i: int = i, dim: int = dim, flat=flat) -> np.ndarray:
+                    if rb[f"{key}_far"][i].is_valid:
+                        return integers(flat(f"{key}_far").reshape(n, dim), scale)
+                    return flat(f"{key}_values").astype(np.int64).reshape(n, dim)
+
+                ids, q_ids = flat("r_ids"), flat("q_ids")
+                values, q_values = matrix("r", len(ids)), matrix("q", len(q_ids))
                 least = int(values.min(initial=0))
-                maps = bit_slices(values - least, max(1, int(values.max(initial=0) - least).bit_length()))
+                lifted = values.astype(object) - least if values.dtype == object or int(values.max(initial=0)) - least >= 2**62 else values - least
+                maps = bit_slices(lifted, max(1, width(lifted)))
                 words = maps.shape[3]
                 every_row = np.packbits(np.arange(64 * words) < len(ids), bitorder="little").view(np.uint64)
-                q_ids = flat("q_ids")
-                q_values = flat("q_values").astype(np.int64).reshape(len(q_ids), dim)
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for no, (qid, q) in enumerate(zip(q_ids.tolist(), q_values)):
                     alive = every_row

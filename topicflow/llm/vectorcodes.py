@@ -23,7 +23,6 @@ dimension: more than ``MOST_COMPONENTS`` numbers in all of them raise.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, removed, text_batches, written
+from .common import integers, materialize, removed, text_batches, written
 
 MOST_COMPONENTS = 1 << 25
 #: Sums leave a task in digits of so many bits, so that tables of them can be summed as longs.
@@ -40,16 +39,6 @@ DIGIT_BITS = 40
 UP, DOWN = 1 + 1e-14, 1 - 1e-14
 
 
-def integers(values: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x) of doubles, exactly: int64, or Python's integers where those are too short."""
-    if float(np.abs(values).max(initial=0)) * scale < 2.0**62:
-        return np.floor(values * scale).astype(np.int64)
-    flat = [int(x) * scale if abs(x) >= 2.0**53 else math.floor(x * scale) for x in values.ravel().tolist()]
-    out = np.empty(len(flat), object)
-    out[:] = flat
-    return out.reshape(values.shape)
-
-
 def largest(values: np.ndarray) -> int:
     return int(np.abs(values).max(initial=0)) if values.size else 0
 
