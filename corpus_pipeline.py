@@ -21,8 +21,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, that of the smallest id; rows without an id come last."""
-    keyed = materialize(docs.withColumn("nth", F.monotonically_increasing_id()))
-    return nearcopies.one_of_each(keyed).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # apart, so that no name of theirs meets one of the operator's
+    held = [F.struct(*rest).alias("rest")] if rest else []
+    keyed = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("nth"), *held))
+    return nearcopies.one_of_each(keyed).select(*[F.col("rest").getField(c).alias(c) if c in rest else c for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
