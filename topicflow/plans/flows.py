@@ -12,7 +12,7 @@ from ..operators import cluster, gates, graph, ranks, replies, selection, simila
 from ..operators.dedup import top_n
 from ..operators.lineage import shared_folder
 from ..sources import landed
-from ..streaming import ingest
+from ..streaming import assign, ingest
 from .catalog import ARTICLES, SCORES, articles, issues, module_scores, score_maps, table
 from .queries import GROUP_CAPS, ROTATION, TIER_CAPS, TYPE_CAPS, html_sql, query, r6, rotation_input, rotation_picks
 
@@ -84,6 +84,15 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, their times as instants: days and hours are those of UTC, whatever the session's zone."""
+    return _stream(spark, sf_dir, "events").withColumn("ts", F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)"))
+
+
+def _utc(instant: str):
+    return F.expr(f"convert_timezone(current_timezone(), 'UTC', cast({instant} as timestamp_ntz))")
+
+
 def _finish(q) -> None:
     q.awaitTermination()
     if q.exception() is not None:
@@ -93,14 +102,11 @@ def _finish(q) -> None:
 @query("""SELECT CAST(CAST(ts AS DATE) - CAST(k AS INTEGER) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(7) r(k) GROUP BY 1, 2""")
 def stream_windowed_counts(spark, sf_dir):
     """Sliding weeks, one a day, over the events as a stream."""
-    # days are those of UTC, whatever the session's zone
-    events = _stream(spark, sf_dir, "events").withColumn("ts", F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)"))
-    counts = ingest.windowed_counts(events)
     out = _scratch(spark)
-    write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows")  # noqa: E731  complete mode: the last batch has all windows
-    _finish(counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
-    rows = spark.read.parquet(f"{out}/rows")
-    return rows.select(F.expr("cast(to_date(convert_timezone(current_timezone(), 'UTC', cast(window.start as timestamp_ntz))) as string)").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    counts = ingest.windowed_counts(_events(spark, sf_dir))
+    _finish(ingest.keep_changes(counts, f"{out}/rows", f"{out}/state"))
+    rows = ingest.last_changes(spark, f"{out}/rows", ["window", "event_type"], counts)
+    return rows.select(F.to_date(_utc("window.start")).cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH k AS (SELECT url, lower(rtrim(trim(url), '/')) AS dedupe_key FROM pages) SELECT dedupe_key, min(url) AS url FROM k GROUP BY dedupe_key""")
@@ -112,6 +118,15 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{out}/pool").select("dedupe_key", "url")
 
 
+@query()
+def stream_topics(spark, sf_dir):
+    """Vectors as a stream, each label a bucket of the stateful assignment."""
+    v = _stream(spark, sf_dir, "embeddings").select(F.col("label").alias("bucket"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    out = _scratch(spark)
+    _finish(assign.start(v, f"{out}/changes", f"{out}/state", 0.35))
+    return assign.topics(spark, f"{out}/changes")
+
+
 # state ------------------------------------------------------------------------------------------
 
 

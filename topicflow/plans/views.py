@@ -14,7 +14,7 @@ from ..operators.dedup import one_per_key, top_n
 from ..sources import landed
 from ..streaming import ingest
 from .catalog import ARTICLES, SCORES, articles, edges, issues, module_scores, score_maps, table
-from .flows import FEED_COLUMNS, FEED_DAY, _feed, _finish, _scratch, _shown, _stream
+from .flows import FEED_COLUMNS, FEED_DAY, _events, _feed, _finish, _scratch, _shown, _utc
 from .queries import PAIRS, _vectors, html_sql, query, r6
 
 GEN = "gen AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS issue_id, l_partkey AS topic_id, l_quantity AS score, l_shipdate AS created_at, l_returnflag AS flag FROM lineitem)"
@@ -554,9 +554,9 @@ SELECT tag, CAST(recent AS BIGINT) AS recent, CAST(base AS BIGINT) AS base FROM
 def stream_trend_rates(spark, sf_dir):
     """Counts of the last 14 and 60 days from daily counts that a stream keeps."""
     out = _scratch(spark)
-    days = ingest.daily_counts(_stream(spark, sf_dir, "events"), "event_type")
-    _finish(days.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/ck").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows")).start())
-    rows = spark.read.parquet(f"{out}/rows")
+    days = ingest.daily_counts(_events(spark, sf_dir), "event_type")
+    _finish(ingest.keep_changes(days, f"{out}/rows", f"{out}/ck"))
+    rows = ingest.last_changes(spark, f"{out}/rows", ["window", "event_type"], days).select("event_type", F.to_date(_utc("window.start")).alias("day"), "n")
     return ingest.recent_and_base(rows, "2024-01-31").select(F.col("event_type").alias("tag"), "recent", "base").filter("recent > 0")
 
 
@@ -564,6 +564,7 @@ def stream_trend_rates(spark, sf_dir):
 def stream_hourly_snapshots(spark, sf_dir):
     """The latest row of every source and hour, kept by a stream."""
     out = _scratch(spark)
-    snaps = ingest.hourly_latest(_stream(spark, sf_dir, "events"), "event_type", "event_id")
-    _finish(snaps.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/ck").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows")).start())
-    return spark.read.parquet(f"{out}/rows").select(F.col("event_type").alias("source"), F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), F.col("event_id").alias("snapshot"))
+    snaps = ingest.hourly_latest(_events(spark, sf_dir), "event_type", "event_id")
+    _finish(ingest.keep_changes(snaps, f"{out}/rows", f"{out}/ck"))
+    rows = ingest.last_changes(spark, f"{out}/rows", ["window", "event_type"], snaps)
+    return rows.select(F.col("event_type").alias("source"), F.date_format(_utc("window.start"), "yyyy-MM-dd HH:mm:ss").alias("hour"), F.col("event_id").alias("snapshot"))

@@ -10,7 +10,8 @@ from ..operators.ranks import row_numbers
 from ..operators.state import new_issues
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, in any store that Spark knows."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
@@ -18,7 +19,7 @@ def _there(spark: SparkSession, path: str) -> bool:
 def save_issue(issue: DataFrame, articles: DataFrame, folder: str) -> bool:
     """Append an issue (id, issue_date, cadence, ...) and its articles, their nested columns as JSON; False if that date and cadence has one."""
     spark = issue.sparkSession
-    if _there(spark, f"{folder}/issues") and new_issues(spark.read.parquet(f"{folder}/issues"), issue.select("issue_date", "cadence")).isEmpty():
+    if there(spark, f"{folder}/issues") and new_issues(spark.read.parquet(f"{folder}/issues"), issue.select("issue_date", "cadence")).isEmpty():
         return False
     flat = [F.to_json(c).alias(f"{c}_json") if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in articles.dtypes]
     articles.select(*flat).write.mode("append").parquet(f"{folder}/generated")  # before the issue: a reader never sees an issue without them
@@ -42,7 +43,7 @@ def append_log(calls: DataFrame, path: str) -> None:
     """Log rows (day, stage, at, ...) with numbers that go on where the day's and stage's stopped."""
     spark = calls.sparkSession
     new = row_numbers(calls, ["day", "stage"], ["at"], "number")
-    if _there(spark, path):
+    if there(spark, path):
         most = spark.read.json(path).groupBy("day", "stage").agg(F.max("number").alias("most_"))
         new = new.join(most, ["day", "stage"], "left").withColumn("number", F.col("number") + F.coalesce("most_", F.lit(0))).drop("most_")
     new.write.mode("append").json(path)
