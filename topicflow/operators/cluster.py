@@ -89,18 +89,10 @@ def incremental(ids: DataFrame, candidates: DataFrame, threshold: float, publish
     return tree.join(topics, "tree", "left").select("id", F.coalesce("topic", "tree").alias("topic"))
 
 
-def resolve(names: DataFrame, earlier: DataFrame, sure: float, low: float | None = None, most: int = 3) -> DataFrame:
-    """(name, canonical): names in order join a canonical name or become one.
-
-    ``earlier`` (name, other, score[, same]) holds similar pairs, ``other`` before ``name`` in the
-    order. The best canonical at ``sure`` is joined; if none, of the ``most`` best canonicals between
-    ``low`` and ``sure`` the first that an oracle calls the ``same``. Done in rounds over all names:
-    a name is decided when it has a sure canonical or all before it that it resembles are decided.
-    """
-    near = earlier.withColumn("sure", F.col("score") >= sure)
-    near = cut(near.filter("sure") if low is None else near.filter(F.col("score") > low))
+def _in_rounds(names: DataFrame, near: DataFrame, low: float | None, most: int) -> DataFrame:
+    """:func:`resolve` in rounds over all names: a name is decided when it has a sure canonical or all before it that it resembles are decided."""
     asked = lambda canon: top_n(canon.filter("not sure"), ["name"], [F.desc("score"), F.asc("other")], most).filter("same")
-    state = cut(names.select("name").distinct().withColumn("role", F.lit(None).cast("string")))
+    state = cut(names.withColumn("role", F.lit(None).cast("string")))
     while not (open_ := state.filter("role is null").select("name")).isEmpty():
         seen = near.join(open_, "name", "left_semi").join(state.withColumnRenamed("name", "other"), "other")
         canon = seen.filter("role = 'canonical'")
@@ -123,6 +115,62 @@ def resolve(names: DataFrame, earlier: DataFrame, sure: float, low: float | None
     return out.select("name", F.when(F.col("role") == "canonical", F.col("name")).otherwise(F.coalesce("best", said)).alias("canonical"))
 
 
+def _replayed(low: float | None, most: int):
+    """:func:`resolve` over the pairs of one component, every name after all that it resembles before it."""
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list[tuple[float, str, bool, bool]]] = {}
+        later: dict[str, list[str]] = {}
+        for name, other, score, sure, same in zip(pdf["name"], pdf["other"], pdf["score"], pdf["sure"], pdf["same"]):
+            near.setdefault(name, []).append((score, other, sure, bool(same)))
+            near.setdefault(other, [])
+            later.setdefault(other, []).append(name)
+        waiting = {n: len(x) for n, x in near.items()}
+        ready, found = [n for n, k in waiting.items() if not k], {}
+        while ready:
+            name = ready.pop()
+            canon = [x for x in near[name] if found[x[1]] == x[1]]
+            best = max(((s, o) for s, o, sure, _ in canon if sure), default=None)
+            if best is None and low is not None:
+                asked = sorted((-s, o, same) for s, o, sure, same in canon if not sure)[:most]
+                best = next(((-s, o) for s, o, same in asked if same), None)
+            found[name] = name if best is None else best[1]
+            for n in later.get(name, []):
+                waiting[n] -= 1
+                if not waiting[n]:
+                    ready.append(n)
+        return pd.DataFrame({"name": list(found), "canonical": list(found.values())})
+
+    return replay
+
+
+def resolve(names: DataFrame, earlier: DataFrame, sure: float, low: float | None = None, most: int = 3, replay_rows: int = 200_000) -> DataFrame:
+    """(name, canonical): names in order join a canonical name or become one.
+
+    ``earlier`` (name, other, score[, same]) holds similar pairs, ``other`` before ``name`` in the
+    order. The best canonical at ``sure`` is joined; if none, of the ``most`` best canonicals between
+    ``low`` and ``sure`` the first that an oracle calls the ``same``. Names that resemble none of a component have no say in it,
+    so components of the pairs are replayed in order, each inside one task; only those of more than ``replay_rows`` pairs,
+    which no task should hold, go in rounds over all their names, with the same result.
+    """
+    known = names.select("name").distinct()
+    near = earlier.withColumn("sure", F.col("score") >= sure)
+    near = near.filter("sure") if low is None else near.filter(F.col("score") > low)
+    near = near.join(known, "name", "left_semi").join(known.withColumnRenamed("name", "other"), "other", "left_semi")
+    near = cut(near.select("name", "other", "score", "sure", F.col("same") if "same" in earlier.columns else F.lit(False).alias("same")))
+    groups = components(near.select(F.col("name").alias("a"), F.col("other").alias("b")))
+    rows = cut(near.join(groups.withColumnRenamed("node", "name"), "name"))
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n"))
+    small = rows.join(sizes.filter(F.col("n") <= replay_rows), "root").groupBy("root").applyInPandas(_replayed(low, most), "name string, canonical string")
+    done = small
+    large = rows.join(sizes.filter(F.col("n") > replay_rows), "root").drop("root", "n")
+    if not large.isEmpty():
+        large = cut(large)
+        own = large.select(F.explode(F.array("name", "other")).alias("name")).distinct()
+        done = small.union(_in_rounds(own, large, low, most))
+    return known.join(done, "name", "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
+
+
 def canonical_names(names: DataFrame, pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(name, canonical): names by falling count join their best canonical at ``threshold`` or become one.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +35,38 @@ def within_two(pairs: DataFrame, start: int) -> DataFrame:
     return one.withColumn("hops", F.lit(1)).union(two.withColumn("hops", F.lit(2))).groupBy("node").agg(F.min("hops").cast("long").alias("hops"))
 
 
+def contractions(pairs: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """(edges, hops) round by round: edges (a, b) that are left, and the node (rep) that each of their nodes (node) is contracted to.
+
+    A node goes to whichever of itself and its neighbours has the least hash of the round, so about half
+    the nodes or more are gone after a round whatever the shape, long paths and stars included; edges inside one node
+    and repeated ones go with them.
+    """
+    edges = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a is not null and b is not null and a <> b").distinct())
+    n = 0
+    while not edges.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(n)).alias("hash"), F.col(c).alias("node"))  # noqa: B023, E731
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
+        hops = cut(both.groupBy("node").agg(F.min(rank("near")).alias("least")).select("node", F.least(rank("node"), "least")["node"].alias("rep")))
+        yield edges, hops
+        at = lambda c: hops.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_rep"))  # noqa: B023, E731
+        moved = edges.join(at("a"), "a").join(at("b"), "b").filter("a_rep <> b_rep")
+        edges, n = cut(moved.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()), n + 1
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): least node reachable, by minimum labels; lineage is cut every round."""
-    both = cut(pairs.select(F.col("a").alias("node"), F.col("b").alias("near")).union(pairs.select("b", "a")))
-    labels = cut(both.groupBy("node").agg(F.least("node", F.min("near")).alias("root")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("near"), F.col("root").alias("r")), "near").groupBy("node").agg(F.min("r").alias("r"))
-        low = labels.join(seen, "node").select("node", "root", F.least("root", "r").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("next"))
-        new = cut(low.join(jump, "low", "left").select("node", F.col("root").alias("old"), F.least("low", F.coalesce("next", "low")).alias("root")))
-        labels = new.select("node", "root")
-        if new.filter("old != root").isEmpty():
-            return labels
+    """(node, root): the least node reachable, by contraction: edges shrink every round, and the rounds' hops are followed back."""
+    rounds = [hops for _, hops in contractions(pairs)]
+    loops = pairs.filter("a is not null and b is not null").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if not rounds:
+        return loops.select("node", F.col("node").alias("root"))
+    ends = rounds.pop()
+    while rounds:
+        later = ends.select(F.col("node").alias("rep"), F.col("rep").alias("end"))
+        ends = rounds.pop().join(later, "rep", "left").select("node", F.coalesce("end", "rep").alias("rep"))
+    ends = cut(ends)
+    named = ends.join(ends.groupBy("rep").agg(F.min("node").alias("root")), "rep").select("node", "root")
+    return loops.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def largest_component(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_between, half_life
+from .lineage import cut
 from .ranks import dense_ranks
 
 
@@ -40,23 +41,27 @@ def dense_share(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(ranked.join(F.broadcast(top)).select(col, share.alias(out)), col)
 
 
-def entity_heat(entities: DataFrame, window: Column, salts: int = 8) -> DataFrame:
+def entity_heat(entities: DataFrame, window: Column) -> DataFrame:
     """(topic_id, heat): other topics' articles in the window that share an entity with the topic.
 
     ``entities`` has topic_id, article_id, entity; keys compare stripped and lower-cased, and a topic's
-    own come from all its articles. Articles with the same set of entities count as one row with a
-    number, so topics meet kinds of articles instead of articles; the topic's own are taken off. At
-    an entity that many topics and articles have, they meet in ``salts`` tasks.
+    own come from all its articles. Articles in the window are numbered by topic and an entity is bitmaps of its articles, one for
+    each stretch of 32,768 numbers that has some; a topic unites its entities' bitmaps stretch by stretch and
+    counts the bits, its own articles taken off. So an entity in very many articles costs a topic a bit an
+    article, and no row is made for a pair of topic and article.
     """
     keyed = entities.withColumn("key_", F.lower(F.trim("entity"))).filter(F.col("key_") != "")
     own = keyed.select("topic_id", "key_").distinct()
-    sets = keyed.filter(window).groupBy("topic_id", "article_id").agg(F.array_sort(F.collect_set("key_")).alias("set_"))
-    by_topic = sets.groupBy("topic_id", "set_").agg(F.count("*").alias("n"))
-    kinds = by_topic.groupBy("set_").agg(F.sum("n").alias("n"))
-    salted = kinds.withColumn("key_", F.explode("set_")).withColumn("salt_", F.pmod(F.xxhash64("set_"), F.lit(salts)).cast("int"))
-    copies = own.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = copies.join(salted, ["key_", "salt_"]).select("topic_id", "set_", "n").distinct()
-    mine = by_topic.select("topic_id", "set_", (-F.col("n")).alias("n"))
+    seen = keyed.filter(window).select("topic_id", "article_id", "key_").distinct()
+    articles = seen.select("topic_id", "article_id").distinct()
+    # numbers need to be close together only inside a range
+    numbered = cut(articles.repartitionByRange("topic_id", "article_id").sortWithinPartitions("topic_id", "article_id").withColumn("no_", F.monotonically_increasing_id()))
+    at = numbered.select(F.col("topic_id").alias("t_"), F.col("article_id").alias("a_"), "no_")
+    placed = seen.join(at, F.col("topic_id").eqNullSafe(F.col("t_")) & F.col("article_id").eqNullSafe(F.col("a_")))
+    bits = placed.groupBy("key_", F.bitmap_bucket_number("no_").alias("stretch")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("no_")).alias("bits"))
+    united = own.join(bits, "key_").groupBy("topic_id", "stretch").agg(F.bitmap_or_agg("bits").alias("bits"))
+    met = united.select("topic_id", F.bitmap_count("bits").alias("n"))
+    mine = numbered.select("topic_id", F.lit(-1).cast("long").alias("n"))
     heat = met.union(mine).groupBy("topic_id").agg(F.sum("n").alias("heat"))
     return own.select("topic_id").distinct().join(heat.withColumnRenamed("topic_id", "t_"), F.col("topic_id").eqNullSafe(F.col("t_")), "left").select("topic_id", F.coalesce("heat", F.lit(0)).alias("heat"))
 
