@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def upsert(old: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     """Columns of ``delta`` replace those of rows with its key; other rows stay, new keys are added."""
@@ -99,3 +104,49 @@ def trimmed_sources(generated: DataFrame, kept: DataFrame) -> DataFrame:
     members = kept.groupBy("topic_id").agg(F.collect_set("id").alias("kept_"))
     left = F.filter("source_ids", lambda x: F.array_contains("kept_", x))
     return generated.join(members, "topic_id", "left").withColumn("source_ids", F.when(F.size(left) > 0, left).otherwise(F.col("source_ids"))).drop("kept_")
+
+
+def anchors(members: DataFrame, generated: DataFrame, same: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(topic_id, anchor): the article that a topic of several is about.
+
+    ``members`` (topic_id, id, title, content, published_at) are articles in use, ``generated`` (topic_id, id,
+    title, content, created_at) written ones. ``same`` takes pairs (id, title, content, other, other_title, other_content)
+    and gives (id, other, same), all pairs asked in one batch. The anchor is the first member, by published_at and
+    id, that speaks of the event of the topic's newest written article, else the first member; no answer is no.
+    """
+    crowded = members.groupBy("topic_id").agg(F.count("*").alias("n_")).filter("n_ > 1").select("topic_id")
+    own = members.filter("topic_id is not null").join(crowded, "topic_id")
+    newest = generated.groupBy("topic_id").agg(F.max_by(F.struct(F.col("id").alias("other"), F.col("title").alias("other_title"), F.col("content").alias("other_content")), F.struct("created_at", "id")).alias("g_"))
+    pairs = own.join(newest, "topic_id").select("id", "title", "content", "g_.*")
+    yes = same(pairs).filter("same").select("id", F.lit(True).alias("yes_")).distinct()
+    place = F.struct(F.col("yes_").isNull().alias("no"), "published_at", "id")
+    return own.join(yes, "id", "left").groupBy("topic_id").agg(F.min_by("id", place).alias("anchor"))
+
+
+@dataclass
+class Repaired:
+    """``articles``: id, topic_id; ``evicted``: id, topic_id (the new one), title; ``topics``: topic_id, representative_title of topics whose scores are void; ``generated``: with trimmed source_ids."""
+
+    articles: DataFrame
+    evicted: DataFrame
+    topics: DataFrame
+    generated: DataFrame
+
+
+def repair_false_merges(members: DataFrame, generated: DataFrame, same: Callable[[DataFrame], DataFrame], new_topic: Column) -> Repaired:
+    """Members that do not speak of their anchor's event get topics of their own (``new_topic``, of the member's row).
+
+    A topic that lost members takes its anchor's title, and its scores are void; written articles lose sources that
+    left their topic. A member about whom there is no answer stays.
+    """
+    chosen = cut(anchors(members, generated, same))
+    told = members.select("id", F.col("title").alias("other_title"), F.col("content").alias("other_content"))
+    of = chosen.join(told.withColumnRenamed("id", "anchor"), "anchor")
+    pairs = members.join(of, "topic_id").filter("id <> anchor").select("id", "title", "content", F.col("anchor").alias("other"), "other_title", "other_content")
+    out = cut(same(pairs).filter("not same").select("id").distinct())
+    articles, void = split_members(members, out, new_topic)
+    articles = cut(articles.select("id", "topic_id", "title"))
+    topics = void.join(of, "topic_id").select("topic_id", F.col("other_title").alias("representative_title"))
+    trimmed = trimmed_sources(generated.join(void, "topic_id", "left_semi"), articles)
+    rest = generated.join(void, "topic_id", "left_anti")
+    return Repaired(articles.select("id", "topic_id"), articles.join(out, "id", "left_semi"), topics, trimmed.select(*rest.columns).union(rest))

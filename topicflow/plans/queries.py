@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import models
 from ..functions import dates, text
 from ..operators import cluster, gates, graph, ranks, scoring, selection, similarity, state, vector_index
 from ..operators.dedup import insert_if_new, one_per_key, top_n
@@ -514,7 +515,19 @@ def confusion_pairs(spark, sf_dir):
 
 @query("""WITH s AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) SELECT query_id, doc_id, score FROM s WHERE k <= 3 AND score >= 200000""")
 def rerank_topk_min(spark, sf_dir):
-    return similarity.rerank(issues(spark, sf_dir).select(F.col("topic_id").alias("query_id"), F.col("id").alias("doc_id"), "score"), 3, 200000)
+    """Orders as a customer's documents, their prices as scores of a remote model that refuses one customer in three."""
+
+    def remote():
+        def ask(query, documents):
+            if int(query) % 3 == 0:
+                raise ConnectionError("no gateway")
+            return sorted(enumerate(map(float, documents)), key=lambda x: -x[1])
+
+        return ask
+
+    o = issues(spark, sf_dir).select(F.col("topic_id").alias("query_id"), F.col("topic_id").cast("string").alias("query"), F.col("id").alias("doc_id"), F.col("score").cast("string").alias("document"))
+    scored = models.rerank(o, remote, lambda: lambda query, documents: list(map(float, documents)))
+    return similarity.rerank(scored.select("query_id", "doc_id", "score"), 3, 200000)
 
 
 @query()
