@@ -30,7 +30,7 @@ def test_every_finite_vector_takes_part(spark):
     for blocks in ({}, {"row_block": 40, "query_block": 4, "far_block": 16}):
         got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, **blocks).collect())
         assert got == plain(rows)
-    assert (40, 1, 20) == got[[x[0] for x in got].index(40)][:3] and any(x[0] == 40 and x[2] == 1 for x in got)
+    assert any(x[0] == 40 and x[2] == 1 for x in got)
 
 
 def test_only_far_vectors_or_none(spark):

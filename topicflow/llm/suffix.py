@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, shuffle_partitions, text_or_empty
+from .common import batch, materialize, removed, shuffle_partitions, text_or_empty, written
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20
@@ -220,12 +220,15 @@ def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: b
         if held:
             yield emit()
 
-    every = materialize(long_.select("doc_id", "th", "text").mapInArrow(scan, "doc_id long, th long, start long, windows int, anchor int, h long, f long"))
-    contents = materialize(every.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows", "anchor")).alias("one")))
+    every, every_path = written(long_.select("doc_id", "th", "text").mapInArrow(scan, "doc_id long, th long, start long, windows int, anchor int, h long, f long"))
+    contents, contents_path = written(every.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows", "anchor")).alias("one")))
     n_runs = every.count()
     per_anchor = contents.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("n_all")).filter("n_all > 1").select("h", "kinds", F.col("kinds").alias("weight"))
     members = materialize(_spread_join(contents, per_anchor, ["h"], "weight", n_runs).select("h", "f", "n", "kinds", "one.*"))
+    removed(docs.sparkSession, contents_path)
     same = _spread_join(every, members.filter("n > 1").select("h", "f", "n"), ["h", "f"], "n", n_runs).select("doc_id", "th", "start", (F.col("start") + F.col("windows")).alias("past"))
+    same = materialize(same)
+    removed(docs.sparkSession, every_path)
     unlike = members.filter("kinds > 1")
 
     # texts are moved once: kept only where something may repeat, else their digest
@@ -334,7 +337,8 @@ def _parts(length: int, size: int):
 
 
 def _kept(base: DataFrame, intervals: DataFrame, length: int, content: bool = False) -> DataFrame:
-    per_doc = intervals.groupBy(F.col("doc_id").alias("kd"), F.col("th").alias("kt")).agg(F.collect_list(F.struct("start", "past")).alias("found"))
+    # rows with one id and one text have the same intervals: each counts once, however many rows there are
+    per_doc = intervals.groupBy(F.col("doc_id").alias("kd"), F.col("th").alias("kt")).agg(F.collect_set(F.struct("start", "past")).alias("found"))
     texts = base.filter(F.col("text").isNotNull())
     joined = texts.join(per_doc, F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt")), "left").select("doc_id", "n_bytes", "text", "found")
     last = "kept" if content else "kept_sha256"
