@@ -21,3 +21,14 @@ def one_per_key(df: DataFrame, key: str, *best: Column) -> DataFrame:
     """The row of each key with the greatest ``best``: an aggregate, so hot keys combine before the shuffle."""
     rest = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*best)).alias("row_")).select(key, "row_.*")
+
+
+def backfilled(boards: DataFrame, pool: DataFrame, first: str, last: str, per_day: int, key: Column) -> DataFrame:
+    """Rows to insert from the daily lists (day, id, score, ...) of a range: of each day the best ``per_day``, then each address once, on its first day, unless the ``pool`` (dedupe_key) has it.
+
+    A list may be shown again on later days; days without one give nothing.
+    """
+    days = boards.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day_"))
+    listed = boards.join(F.broadcast(days), F.col("day").cast("date") == F.col("day_")).drop("day_")  # a row a day of the range
+    best = top_n(listed, ["day"], [F.desc("score"), F.asc("id")], per_day).withColumn("dedupe_key", key)
+    return insert_if_new(pool, best, "dedupe_key", [F.asc("day"), F.desc("score"), F.asc("id")])

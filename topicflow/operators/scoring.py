@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_between, half_life
+from .gates import is_quota_reason
 from .lineage import cut
 from .ranks import dense_ranks
 
@@ -69,3 +70,13 @@ def entity_heat(entities: DataFrame, window: Column) -> DataFrame:
 def trend(counts: Column, base: Column, recent_days: int = 14, base_days: int = 60, smoothing: float = 0.01) -> Column:
     """Recent count x recent rate over base rate."""
     return counts * (counts / recent_days) / (base / base_days + smoothing)
+
+
+def qualified_days(trace: DataFrame, cadence: str, first: str, last: str) -> DataFrame:
+    """(topic_id, days): on how many issue dates of a range a topic was chosen, or refused only for want of a place.
+
+    ``trace`` is the selection ledger (topic_id, decision, reason, issue_date, cadence).
+    """
+    fit = (F.col("decision") == "selected") | is_quota_reason(F.col("reason"))
+    inside = trace.filter((F.col("cadence") == cadence) & F.col("issue_date").between(first, last) & F.coalesce(fit, F.lit(False)))
+    return inside.groupBy("topic_id").agg(F.count_distinct("issue_date").alias("days"))

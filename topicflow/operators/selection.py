@@ -30,18 +30,20 @@ def displayed(selected: DataFrame, total: str = "total", hotness: str = "hotness
 
 
 def area_quota(candidates: DataFrame, quotas: dict[str, int], total_min: int, total_max: int, boost: float = 0.3) -> DataFrame:
-    """Best of each area up to its quota, filled up to ``total_min``, cut at ``total_max``."""
+    """Best of each area up to its quota, filled up to ``total_min``, cut at ``total_max``.
+
+    Areas are cut to their best rows before the shuffle; what is ordered as a whole is ``total_min`` rows of the rest.
+    """
     final = F.col("base_score") * (1 + boost * F.tanh(F.col("tag_boost") / 10))
-    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    scored = candidates.withColumn("final_score", final)
-    ranked = scored.withColumn("in_area", F.row_number().over(Window.partitionBy("area").orderBy(F.desc("final_score"), "id")))
-    # no more than total_max of an area and total_min of the rest can matter, so the global window is small
-    most = total_max + total_min
-    small = ranked.withColumn("first", F.col("in_area") <= F.coalesce(quota[F.col("area")], F.lit(0))).filter(F.col("in_area") <= most)
-    rest = F.row_number().over(Window.orderBy(F.desc("first"), F.desc("final_score"), "id"))
-    n_first = F.sum(F.col("first").cast("int")).over(Window.partitionBy())
-    placed = small.withColumn("place", rest).withColumn("n_first", n_first)
-    kept = placed.filter(F.col("first") | (F.col("place") <= F.greatest(F.lit(total_min), F.col("n_first"))))
+    quota = F.coalesce(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col("area")], F.lit(0))
+    most = max([total_min, *quotas.values()])
+    in_area = F.row_number().over(Window.partitionBy("area").orderBy(F.desc("final_score"), "id"))
+    best = candidates.withColumn("final_score", final).withColumn("in_area", in_area).filter(F.col("in_area") <= most)
+    chosen = best.filter(F.col("in_area") <= quota).select("id", "area", "final_score")  # the quotas' sum at most
+    rest = best.filter(F.col("in_area") > quota).orderBy(F.desc("final_score"), "id").limit(total_min)
+    placed = rest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("final_score"), "id")))  # of total_min rows
+    filled = placed.join(chosen.agg(F.count("*").alias("have"))).filter(F.col("place") + F.col("have") <= total_min)
+    kept = chosen.union(filled.select("id", "area", "final_score"))
     return kept.orderBy(F.desc("final_score"), "id").limit(total_max).select("id", "area", "final_score")
 
 
@@ -185,3 +187,12 @@ def writing_sources(articles: DataFrame, most: int = 5) -> DataFrame:
     """(topic_id, id, relevance): a topic's own substantive articles, the most relevant ``most`` if there are more."""
     own = articles.filter(F.coalesce("gate_status", F.lit("included")) == "included")
     return top_n(own.select("topic_id", "id", "relevance"), ["topic_id"], [F.desc("relevance"), F.asc("id")], most)
+
+
+def digest_prompts(items: DataFrame, group: list[str], per_group: int = 3) -> DataFrame:
+    """(key, prompt) for a summary of each group's best items (url, title, score, ...), repeated addresses once."""
+    once = items.groupBy("url").agg(F.max_by(F.struct(*items.columns), F.struct("score", "title")).alias("r")).select("r.*")
+    best = top_n(once, group, [F.desc("score"), F.asc("url")], per_group)
+    lines = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "url", "title")))
+    told = F.transform(lines, lambda x: F.concat(F.lit("- "), x["title"], F.lit(" "), x["url"]))
+    return best.groupBy(*group).agg(F.array_join(told, "\n").alias("prompt")).select(F.concat_ws("/", *group).alias("key"), "prompt")

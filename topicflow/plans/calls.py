@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import models
-from ..operators import state
+from ..functions.text import dedupe_key
+from ..operators import gates, selection, state
+from ..operators.dedup import backfilled
 from .catalog import ARTICLES, AS_OF, articles, issues, table
 from .flows import _scratch
 from .queries import query, r6
@@ -68,3 +70,27 @@ def repair_false_merges(spark, sf_dir):
     written = issues(spark, sf_dir).select((F.col("topic_id") % 97).alias("topic_id"), "id", F.col("cadence").alias("title"), F.col("cadence").alias("content"), F.col("issue_date").alias("created_at"), F.array("id").alias("source_ids"))
     done = state.repair_false_merges(members, written, _same_event, F.col("id") + 1_000_000)
     return done.articles.join(done.topics.select("topic_id", F.lit(True).alias("void")), "topic_id", "left").select("id", "topic_id", F.coalesce("void", F.lit(False)).alias("void"))
+
+
+@query("""WITH p AS (SELECT doc_id AS id, CAST(DATE '2024-01-01' + CAST(doc_id % 12 AS INTEGER) AS VARCHAR) AS day, 'http://p/' || doc_id % 150 AS url, n_chars AS score, CAST(length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS BIGINT) AS chars, doc_id % 12 AS k FROM documents),
+  b AS (SELECT * FROM p WHERE day BETWEEN '2024-01-03' AND '2024-01-10' QUALIFY row_number() OVER (PARTITION BY day ORDER BY score DESC, id) <= 20),
+  o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY url ORDER BY day, score DESC, id) = 1)
+SELECT id, day, url, CASE WHEN 35 - k > 30 THEN 'excluded' WHEN chars < 200 THEN 'signal_only' ELSE 'included' END AS gate FROM o WHERE CAST(substr(url, 10) AS INTEGER) % 7 <> 0""")
+def backfill_days(spark, sf_dir):
+    """Twenty papers a day of eight days into a pool that has some of their addresses, gated."""
+    k = (F.col("doc_id") % 12).cast("int")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), k).cast("string").alias("day"), F.concat(F.lit("http://p/"), (F.col("doc_id") % 150).cast("string")).alias("url"), F.col("n_chars").alias("score"), "text")
+    pool = d.select("url").distinct().filter(F.substring("url", 10, 9).cast("int") % 7 == 0).select(dedupe_key(F.col("url")).alias("dedupe_key"))
+    new = backfilled(d, pool, "2024-01-03", "2024-01-10", 20, dedupe_key(F.col("url")))
+    age = F.date_diff(F.lit("2024-02-05").cast("date"), F.col("day").cast("date"))
+    return new.select("id", "day", "url", gates.intake(F.col("text"), age)["status"].alias("gate"))
+
+
+@query("""WITH i AS (SELECT source, lang, url, title, n_chars AS score FROM (SELECT *, 'u' || doc_id % 300 AS url, 'd' || doc_id AS title FROM documents) QUALIFY row_number() OVER (PARTITION BY url ORDER BY n_chars DESC, title DESC) = 1),
+  b AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, url) <= 3)
+SELECT source || '/' || lang AS key, 'digest of ' || count(*) || ': ' || string_agg('- ' || title || ' ' || url, ' ' ORDER BY score DESC, url) AS reply FROM b GROUP BY source, lang""")
+def legacy_digest(spark, sf_dir):
+    """A summary of the three best items of every source and language, written by a model (here one that counts and joins)."""
+    items = table(spark, sf_dir, "documents").select("source", "lang", F.concat(F.lit("u"), (F.col("doc_id") % 300).cast("string")).alias("url"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.col("n_chars").alias("score"))
+    prompts = selection.digest_prompts(items, ["source", "lang"])
+    return models.call(prompts, "key", "prompt", lambda: lambda p: f"digest of {len(p.splitlines())}: {' '.join(p.splitlines())}").select("key", "reply")

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cluster, gates, graph, ranks, replies, selection, similarity, state
+from ..operators import cluster, gates, graph, ranks, replies, scoring, selection, similarity, state
 from ..operators.dedup import top_n
 from ..operators.lineage import shared_folder
 from ..sources import landed
 from ..streaming import assign, ingest
 from .catalog import ARTICLES, SCORES, articles, issues, module_scores, score_maps, table
-from .queries import GROUP_CAPS, ROTATION, TIER_CAPS, TYPE_CAPS, html_sql, query, r6, rotation_input, rotation_picks
+from .queries import GROUP_CAPS, ROTATION, SQL, TIER_CAPS, TYPE_CAPS, html_sql, query, r6, rotation_input, rotation_picks
 
 # feeds ------------------------------------------------------------------------------------------
 
@@ -209,6 +209,15 @@ def rotation_ledger(spark, sf_dir):
     return selection.ledger(every, rotation_picks(s), types=TYPE_CAPS, tiers=TIER_CAPS, groups=GROUP_CAPS)
 
 
+@query(f"""SELECT id % 97 AS topic_id, count(DISTINCT key) AS days FROM ({SQL['rotation_ledger']}) l WHERE key IN ('issue0', 'issue1', 'issue2') AND (decision = 'selected' OR reason LIKE '%_full') GROUP BY 1""")
+def qualified_days_of_ledger(spark, sf_dir):
+    """Days on which a topic was chosen or only lacked a place, from the ledger of three daily issues; the fourth is a weekly one."""
+    k = F.substring("key", 6, 1).cast("int")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), k).cast("string")
+    trace = rotation_ledger(spark, sf_dir).select((F.col("id") % 97).alias("topic_id"), "decision", "reason", day.alias("issue_date"), F.when(k == 3, "weekly").otherwise("daily").alias("cadence"))
+    return scoring.qualified_days(trace, "daily", "2024-01-01", "2024-01-04")
+
+
 @query("""SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_returnflag = 'R' AND l_quantity < 5 THEN 'insufficient_sources' WHEN l_tax > 0.07 THEN 'generation_error' WHEN l_discount > 0.09 THEN 'failed_selfcheck'
     WHEN l_quantity / 50 < 0.6 AND l_linenumber < 2 THEN 'regenerate' WHEN l_quantity / 50 < 0.8 THEN 'needs_review' ELSE 'ready' END AS outcome FROM lineitem""")
 def generation_outcome(spark, sf_dir):

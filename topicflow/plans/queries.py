@@ -245,11 +245,11 @@ def upsert_columns(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT o_custkey AS topic_id, min(o_orderkey) AS first_seen, max(o_orderkey) AS last_seen, max(o_totalprice) AS score FROM orders GROUP BY 1),
-  m AS (SELECT *, topic_id - topic_id % 4 AS into_ FROM t WHERE topic_id % 8 <> 3), keep AS (SELECT topic_id FROM m),
+  m AS (SELECT *, topic_id - topic_id % 4 AS into_ FROM t ), keep AS (SELECT topic_id FROM m),
   x AS (SELECT CASE WHEN topic_id % 4 <> 0 AND into_ IN (SELECT topic_id FROM keep) THEN into_ ELSE topic_id END AS topic_id, topic_id AS was, first_seen, last_seen, score FROM m)
 SELECT topic_id, min(first_seen) AS first_seen, max(last_seen) AS last_seen, CASE WHEN count(*) = 1 THEN max(score) END AS score FROM x GROUP BY topic_id""")
 def topic_merge(spark, sf_dir):
-    t = issues(spark, sf_dir).groupBy("topic_id").agg(F.min("id").alias("first_seen"), F.max("id").alias("last_seen"), F.max("score").alias("score")).filter("topic_id % 8 <> 3")
+    t = issues(spark, sf_dir).groupBy("topic_id").agg(F.min("id").alias("first_seen"), F.max("id").alias("last_seen"), F.max("score").alias("score"))
     into = (F.col("topic_id") - F.col("topic_id") % 4).alias("winner")
     losers = t.filter("topic_id % 4 <> 0").select(F.col("topic_id").alias("loser"), into).join(t.select(F.col("topic_id").alias("winner")), "winner", "left_semi").select("loser", "winner")
     return state.merge_topics(t, t.select("topic_id"), losers)[0]
@@ -347,11 +347,6 @@ def module_overview(spark, sf_dir):
     return s.groupBy("module").agg(F.count_distinct("id").alias("topics"), F.max_by("id", F.struct(F.col("id") % 30, F.col("id"))).alias("latest"))
 
 
-@query(f"WITH {SCORES} SELECT module, id, score FROM sc WHERE score >= 4")
-def module_timeline(spark, sf_dir):
-    return module_scores(spark, sf_dir).filter("score >= 4").select("module", "id", "score")
-
-
 @query(f"""WITH {SCORES}, h AS (SELECT id, module, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, module) AS k FROM sc WHERE module < 9),
   b AS (SELECT module, id, score, row_number() OVER (PARTITION BY module ORDER BY score DESC, id) AS k FROM h WHERE k = 1)
 SELECT module, id, score, CASE WHEN score >= 6 THEN 'featured' ELSE 'minor' END AS slot FROM b WHERE k = 1 AND score >= 4""")

@@ -313,6 +313,28 @@ def first_occurrence(spark, sf_dir):
     return one_per_key(g.select("topic_id", "id", "issue_id", "issue_date"), "topic_id", F.col("issue_date"), -F.col("id")).select("topic_id", "id", "issue_id")
 
 
+@query(f"""WITH {SCORES}, {GEN}, r AS (SELECT g.topic_id, g.id, g.issue_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS issue_date, row_number() OVER (PARTITION BY g.topic_id ORDER BY o_orderdate DESC, g.id) AS k FROM gen g JOIN orders ON issue_id = o_orderkey),
+  t AS (SELECT s.id, s.module, o.module AS tag, row_number() OVER (PARTITION BY s.id, s.module ORDER BY o.score DESC, o.module) AS k FROM sc s JOIN sc o ON o.id = s.id AND o.module <> s.module WHERE s.score >= 4 AND o.score >= 6),
+  g AS (SELECT id, module, string_agg(CAST(tag AS VARCHAR), ',' ORDER BY k) AS other_tags FROM t WHERE k <= 4 GROUP BY 1, 2)
+SELECT s.module, r.topic_id, r.id, r.issue_id, r.issue_date, s.score, coalesce(g.other_tags, '') AS other_tags FROM r JOIN sc s ON s.id = r.topic_id AND s.score >= 4 LEFT JOIN g ON g.id = s.id AND g.module = s.module WHERE r.k = 1""")
+def module_timeline(spark, sf_dir):
+    """The articles of every module from its lowest score for listing on: a topic once, in its newest issue, with that date and up to four other modules as tags."""
+    g = generated(spark, sf_dir).join(issues(spark, sf_dir).select(F.col("id").alias("issue_id"), "issue_date"), "issue_id")
+    once = one_per_key(g.select("topic_id", "id", "issue_id", "issue_date"), "topic_id", F.col("issue_date"), -F.col("id"))
+    best = F.array_sort(F.transform(F.filter(F.map_entries("scores"), lambda e: e["value"] >= 6), lambda e: F.struct((-e["value"]).alias("neg"), e["key"].alias("key"))))
+    s = score_maps(spark, sf_dir).select(F.col("id").alias("topic_id"), best.alias("best"), F.explode("scores").alias("module", "score")).filter("score >= 4")
+    others = F.slice(F.filter("best", lambda e: e["key"] != F.col("module")), 1, 4)
+    tags = F.array_join(F.transform(others, lambda e: e["key"].cast("string")), ",")
+    return once.join(s.select("topic_id", "module", "score", tags.alias("other_tags")), "topic_id").select("module", "topic_id", "id", "issue_id", F.col("issue_date").cast("string").alias("issue_date"), "score", "other_tags")
+
+
+@query(f"""WITH {GEN} SELECT g.id, p_name AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS issue_date, o_orderpriority AS cadence FROM gen g JOIN orders ON g.issue_id = o_orderkey JOIN part ON g.topic_id = p_partkey WHERE flag = 'R'""")
+def generated_star(spark, sf_dir):
+    """Generated articles with the title of their topic and the date and cadence of their issue."""
+    i = issues(spark, sf_dir).select(F.col("id").alias("issue_id"), F.col("issue_date").cast("string").alias("issue_date"), "cadence")
+    return generated(spark, sf_dir).filter("flag = 'R'").join(i, "issue_id").join(topics(spark, sf_dir), "topic_id").select("id", "title", "issue_date", "cadence")
+
+
 @query("SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS issue_date FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
 def latest_issue(spark, sf_dir):
     return issues(spark, sf_dir).orderBy(F.desc("issue_date"), F.desc("id")).limit(1).select("id", F.col("issue_date").cast("string").alias("issue_date"))
@@ -477,13 +499,24 @@ def cluster_with_rules(spark, sf_dir):
     return cluster.incremental(v.select("id"), links, 0.0, v.filter("id % 5 = 0").select(F.col("id").alias("topic")))
 
 
-@query(f"WITH {PAIRS}, b AS (SELECT DISTINCT id FROM p WHERE score >= 0.35) SELECT (SELECT count(*) FROM v) AS processed, (SELECT count(*) FROM v) - (SELECT count(*) FROM b) AS new_topics, (SELECT count(*) FROM b) AS merged")
+LINKS = f"{PAIRS}, li AS (SELECT id, near, score FROM p WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, near) <= 5), re AS (SELECT id AS a, id AS b FROM v UNION SELECT re.a, x.b FROM re JOIN (SELECT id AS a, near AS b FROM li UNION ALL SELECT near, id FROM li) x ON x.a = re.b), co AS (SELECT a AS id, min(b) AS least FROM re GROUP BY a)"
+
+
+@query(f"WITH RECURSIVE {LINKS}, b AS (SELECT DISTINCT id FROM li) SELECT (SELECT count(*) FROM v) AS processed, (SELECT count(*) FROM v) - (SELECT count(*) FROM b) AS new_topics, (SELECT count(*) FROM b) AS merged, (SELECT count(*) FROM v) - (SELECT count(*) FROM b) - (SELECT count(DISTINCT least) FROM co) AS topics_merged")
 def cluster_statistics(spark, sf_dir):
-    """How many ids came, began a topic or joined one; how many topics merged is checked by a plain pass in the tests."""
+    """How many ids came, began a topic or joined one, and how many topics merged into others."""
     v = _vectors(spark, sf_dir).select("id", "vector")
     p = similarity.pairs_above(v, 0.35, 5)
     first = cluster.first_topics(v.select("id"), p)
-    return cluster.statistics(first, cluster.incremental(v.select("id"), p, 0.35)).select("processed", "new_topics", "merged")
+    return cluster.statistics(first, cluster.incremental(v.select("id"), p, 0.35))
+
+
+@query(f"WITH RECURSIVE {LINKS} SELECT id, least FROM co")
+def cluster_members(spark, sf_dir):
+    """Topics as sets: every id with the least id of its topic (which id names a topic depends on the order; its members do not, while none is locked)."""
+    v = _vectors(spark, sf_dir).select("id", "vector")
+    topics = cluster.incremental(v.select("id"), similarity.pairs_above(v, 0.35, 5), 0.35)
+    return topics.join(topics.groupBy("topic").agg(F.min("id").alias("least")), "topic").select("id", "least")
 
 
 GRAPH = "tr AS (SELECT 's' || l_suppkey % 5 AS source_id, l_orderkey AS article_id, 'p' || l_partkey AS subject, l_returnflag AS relation, 'n' || l_suppkey AS object FROM lineitem)"
