@@ -11,14 +11,22 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session; where none is set, a local one in local mode (tests), else an error."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None and not context.master.startswith("local["):
+    if folder is None and context.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return folder or tempfile.mkdtemp(prefix="topicflow-")
 
 
+_own: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that plans in loops stay short."""
+    """``df`` written to the shared folder and read back, so that plans in loops stay short; the session's folder goes when its JVM ends."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
+    folder = context.getCheckpointDir()  # Spark gives every session one of its own below the shared one
+    if folder not in _own:
+        _own.add(folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.checkpoint()

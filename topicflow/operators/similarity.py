@@ -22,33 +22,34 @@ def blocked(vectors: DataFrame, blocks: int) -> DataFrame:
 def pairs_above(vectors: DataFrame, least: float, k: int | None = None, rows_per_block: int = 4096) -> DataFrame:
     """(id, near, score): earlier ids with a dot product of ``least`` or more, the best ``k`` of each id.
 
-    Two blocks meet once, one matrix product for both directions; only rows that pass leave a task,
-    at most ``k`` of an id if given.
+    Two blocks meet once, for both directions, a few hundred rows of one against the other at a time;
+    only rows that pass leave a task, at most ``k`` of an id (and what ties with the last) if given.
     """
     n = max(1, -(-vectors.count() // rows_per_block))
     left = blocked(vectors, n)
     right = left.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
     met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).join(right, "other")
 
-    def best(score: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of what passes, row by row."""
-        score = np.where(allowed & (score >= least), score, -np.inf)
-        if k is not None and score.shape[1] > k:
-            score[score < -np.sort(-score, axis=1)[:, k - 1 : k]] = -np.inf
-        return np.nonzero(score > -np.inf)
+    def best(ids: np.ndarray, rows: np.ndarray, others: np.ndarray, columns: np.ndarray) -> Iterator[pd.DataFrame]:
+        """What passes for each of ``rows``."""
+        for at in range(0, len(ids), 512):
+            own = ids[at : at + 512]
+            score = np.round(rows[at : at + 512] @ columns.T, 9)
+            score[(others[None, :] >= own[:, None]) | ~(score >= least)] = -np.inf
+            if k is not None and score.shape[1] > k:
+                score[score < np.partition(score, score.shape[1] - k, axis=1)[:, -k, None]] = -np.inf
+            i, j = np.nonzero(score > -np.inf)
+            yield pd.DataFrame({"id": own[i], "near": others[j], "score": score[i, j]})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for block, other, ids, flat, ids2, flat2 in zip(part["block"], part["other"], part["ids"], part["flat"], part["ids2"], part["flat2"]):
                 a = np.asarray(flat, np.float64).reshape(len(ids), -1)
                 b = np.asarray(flat2, np.float64).reshape(len(ids2), -1)
-                score = np.round(a @ b.T, 9)
                 ids, ids2 = np.asarray(ids), np.asarray(ids2)
-                i, j = best(score, ids2[None, :] < ids[:, None])
-                yield pd.DataFrame({"id": ids[i], "near": ids2[j], "score": score[i, j]})
+                yield from best(ids, a, ids2, b)
                 if block != other:
-                    j, i = best(score.T, ids[None, :] < ids2[:, None])
-                    yield pd.DataFrame({"id": ids2[j], "near": ids[i], "score": score[i, j]})
+                    yield from best(ids2, b, ids, a)
 
     found = met.select("block", "other", "ids", "flat", "ids2", "flat2").mapInPandas(run, "id long, near long, score double")
     return found if k is None else top_n(found, ["id"], [F.desc("score"), F.asc("near")], k)
