@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _local_dir(spark: SparkSession) -> str:
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="topicflow-ckpt-")
     spark.conf.set("topicflow.test.checkpoint.dir", path)
