@@ -3,7 +3,7 @@
 Every vector is in the list of its nearest centroid. A search reads, for each query, the lists of its ``probes``
 nearest centroids, so it costs that share of all pairs; :func:`recall` measures what it misses
 against :func:`similarity.pairs_above`, which stays the exact way. Centroids are fitted to a sample of at most
-``SAMPLE_ROWS`` vectors (those with the least hashes of their ids); every row is indexed. There are about twice the
+``SAMPLE_ROWS`` vectors (those with the least hashes of their ids); every row is indexed. There are about a quarter of the
 root of the rows lists, ``MOST_LISTS`` at most, and a list of any size is dealt to slots of a few
 thousand rows, so that a crowded list is many tasks.
 """
@@ -33,10 +33,14 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
 
+def _matrix(rows: pd.DataFrame) -> np.ndarray:
+    return np.array(rows["vector"].tolist(), np.float64)
+
+
 def fit(vectors: DataFrame, lists: int | None = None, sample_rows: int = SAMPLE_ROWS, rounds: int = 6) -> np.ndarray:
     """Centroids (unit rows): spherical means of a bounded sample, from its first vectors on."""
     if lists is None:
-        lists = min(MOST_LISTS, sample_rows // 4, max(1, round(2 * vectors.count() ** 0.5)))
+        lists = min(MOST_LISTS, sample_rows // 4, max(1, round(vectors.count() ** 0.5 / 4)))
     sample = vectors.select("vector").orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
     if not sample:
         return np.zeros((0, 0))
@@ -54,16 +58,17 @@ def fit(vectors: DataFrame, lists: int | None = None, sample_rows: int = SAMPLE_
 def _listed(vectors: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     """(id, vector, list): each vector once for each of its ``probes`` nearest centroids."""
     probes = min(probes, len(centroids))
+    kind = vectors.schema["vector"].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for k in range(0, len(part), 1024):
                 some = part.iloc[k : k + 1024]
-                score = _unit(np.array(some["vector"].tolist(), np.float64)) @ centroids.T
+                score = _unit(_matrix(some)) @ centroids.T
                 best = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(some), 1))
                 yield pd.DataFrame({"id": np.repeat(some["id"].to_numpy(), probes), "vector": some["vector"].repeat(probes).to_numpy(), "list": best.ravel().astype(np.int32)})
 
-    return vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(run, "id long, vector array<double>, list int")
+    return vectors.select("id", "vector").mapInPandas(run, f"id long, vector {kind}, list int")
 
 
 def _slots(listed: DataFrame, rows: int, name: str) -> DataFrame:
@@ -86,7 +91,7 @@ def build(vectors: DataFrame, centroids: np.ndarray | None = None, rows_per_slot
     clean = vectors.filter("id is not null and vector is not null")
     centroids = fit(clean) if centroids is None else centroids
     if not len(centroids):
-        none = vectors.sparkSession.createDataFrame([], "id long, vector array<double>, list int, slot int")
+        none = vectors.sparkSession.createDataFrame([], f"id long, vector {vectors.schema['vector'].dataType.simpleString()}, list int, slot int")
         return Index(centroids, none, _slots(none, rows_per_slot, "row_slots"), rows_per_slot)
     listed = cut(_listed(clean, centroids, 1))
     slots = cut(_slots(listed, rows_per_slot, "row_slots"))
@@ -114,11 +119,11 @@ def search(index: Index, queries: DataFrame, k: int, least: float = -np.inf, pro
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(rows) and len(asks):
             rows = rows.sort_values("id")
-            ids, matrix = rows["id"].to_numpy(), np.array(rows["vector"].tolist(), np.float64).T
+            ids, matrix = rows["id"].to_numpy(), _matrix(rows).T
             for n in range(0, len(asks), 512):
                 some = asks.iloc[n : n + 512]
                 own = some["id"].to_numpy()
-                score = np.round(np.array(some["vector"].tolist(), np.float64) @ matrix, 9)
+                score = np.round(_matrix(some) @ matrix, 9)
                 allowed = ids[None, :] < own[:, None] if earlier else ids[None, :] != own[:, None]
                 score = np.where(allowed & (score >= least), score, -np.inf)
                 if score.shape[1] > k:  # what ties with the k-th stays until all lists are in
@@ -148,14 +153,14 @@ def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def tuned(index: Index, vectors: DataFrame, k: int, least: float = -np.inf, target: float = 0.95, one_in: int = 50) -> int:
-    """The fewest probes (a power of two, or all lists) whose recall over the queries with ids divisible by ``one_in`` reaches ``target``."""
+    """Probes (growing by half, or all lists) whose recall over the queries with ids divisible by ``one_in`` reaches ``target``."""
     asked = cut(vectors.filter(F.col("id") % one_in == 0))
     exact = cut(exact_for(asked, vectors, k, least))
     probes = 1
     while probes < len(index.centroids):
         if recall(exact, search(index, asked, k, least, probes)).first()["recall"] >= target:
             return probes
-        probes *= 2
+        probes += max(1, probes // 2)
     return max(1, len(index.centroids))
 
 
