@@ -80,8 +80,9 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them: a glob takes either."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ def stream_ingest(spark, sf_dir):
     pages = _stream(spark, sf_dir, "pages").select("url", F.col("html").alias("content"), F.lit("2024-01-20").cast("timestamp").alias("published_at"))
     out = _scratch(spark)
     _finish(ingest.start(pages, f"{out}/pool", f"{out}/state", "2024-01-31"))
-    return spark.read.parquet(f"{out}/pool").select("dedupe_key", "url")
+    return ingest.pooled(spark, f"{out}/pool", pages).select("dedupe_key", "url")
 
 
 @query()

@@ -42,6 +42,13 @@ def pool_writer(pool: str, as_of: str, buckets: int = 64):
     return write
 
 
+def pooled(spark: SparkSession, pool: str, arrivals: DataFrame) -> DataFrame:
+    """The pool's rows; none, with the columns that ``arrivals`` would have there, where nothing came yet."""
+    if there(spark, pool):
+        return spark.read.parquet(pool)
+    return spark.createDataFrame([], arrivals.schema.add("dedupe_key", "string").add("bucket", "int").add("batch_id", "int"))
+
+
 def once(arrivals: DataFrame, within: str = "30 days") -> DataFrame:
     """Arrivals whose key did not arrive ``within`` that time before; by the time of arrival (arrived_at), so age drops nothing, and keys leave the state when it is over."""
     keyed = arrivals.withColumn("once_key", dedupe_key(F.col("url"))).withWatermark("arrived_at", within)
