@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage: each operator on its whole table."""
+"""The registered queries of this subpackage: each operator on its whole table.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and further columns have the results that the
+operator's module states in its first lines; the queries add none of their own.
+"""
 
 from __future__ import annotations
 
