@@ -3,8 +3,7 @@
 1. Anchors. Every window of ``length`` bytes has an anchor: the first place of the least hash
    among its strings of ``length // 2`` bytes. Consecutive windows with one anchor form a run.
    Equal windows have equal anchors, so only runs with equal anchor hashes hold equal windows.
-2. Equal runs (same anchor hash and same XXH64 of the content, two unrelated hashes of 64 bits) are
-   repeated as they stand.
+2. Equal runs (same anchor hash and same 128 bits of the content's SHA-256) are repeated as they stand.
 3. Runs that share an anchor but differ are the ends of repeats. One of each content is fetched;
    all with one anchor go to one task, which builds the Burrows-Wheeler transform of their
    bytes and expands intervals backward, breadth first: common prefixes appear by increasing
@@ -12,7 +11,7 @@
 4. Anchors with more than ``crowd`` different runs are not gathered in one task: their runs are cut
    at fixed distances from the anchor into parts, and parts that share the bytes common to all
    their windows go to the transform together. Parts of a crowd are cut again, down to single
-   windows, whose equality is that of their hashes. So a task never holds more than ``crowd``
+   windows, whose equality is that of their digests. So a task never holds more than ``crowd``
    contents of a group, and every content is compared at some step.
 
 A key that holds more rows than a quarter of an even partition is joined by a broadcast of such keys,
@@ -70,10 +69,14 @@ class Hashes:
         return _mixed((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
 
 
-def runs(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(start, windows, anchor's distance from the start, anchor hash, content hash) arrays, by chunks."""
-    from xxhash import xxh64_intdigest as xxh64
+def digests(contents: Iterator) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each content's SHA-256, as two longs."""
+    both = np.frombuffer(b"".join(hashlib.sha256(c).digest()[:16] for c in contents), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
 
+def runs(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(start, windows, anchor's distance from the start, anchor hash, two halves of the content hash) arrays, by chunks."""
     half = length // 2
     w = length - half + 1
     for at in range(0, max(0, len(data) - length + 1), CHUNK):
@@ -100,8 +103,8 @@ def runs(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
             todo = todo[~hit]
             place[todo] += 1
         content = memoryview(data)[at : at + CHUNK + length - 1]
-        f = np.fromiter((xxh64(content[s:e]) for s, e in zip(start.tolist(), (start + windows + length - 1).tolist())), np.uint64, len(start))
-        yield start + at, windows, anchor - start, least[start].view(np.int64), f.view(np.int64)
+        f, g = digests(content[s:e] for s, e in zip(start.tolist(), (start + windows + length - 1).tolist()))
+        yield start + at, windows, anchor - start, least[start].view(np.int64), f, g
 
 
 def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
@@ -198,7 +201,7 @@ def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: b
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     long_ = rows.filter(F.col("n_bytes") >= length)
-    run_schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int32()), ("h", pa.int64()), ("f", pa.int64())])
+    run_schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int32()), ("h", pa.int64()), ("f", pa.int64()), ("g", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -211,8 +214,8 @@ def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: b
 
         for b in batches:
             for d, th, t in zip(b["doc_id"].to_pylist(), b["th"].to_pylist(), b["text"]):
-                for start, windows, anchor, h, f in runs(t.as_py().encode("utf-8", "surrogatepass"), length):
-                    held.append(([d] * len(start), np.full(len(start), th), start, windows, anchor, h, f))
+                for start, windows, anchor, h, f, g in runs(t.as_py().encode("utf-8", "surrogatepass"), length):
+                    held.append(([d] * len(start), np.full(len(start), th), start, windows, anchor, h, f, g))
                     n += len(start)
                 if n > 100_000:
                     yield emit()
@@ -220,13 +223,13 @@ def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: b
         if held:
             yield emit()
 
-    every, every_path = written(long_.select("doc_id", "th", "text").mapInArrow(scan, "doc_id long, th long, start long, windows int, anchor int, h long, f long"))
-    contents, contents_path = written(every.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows", "anchor")).alias("one")))
+    every, every_path = written(long_.select("doc_id", "th", "text").mapInArrow(scan, "doc_id long, th long, start long, windows int, anchor int, h long, f long, g long"))
+    contents, contents_path = written(every.groupBy("h", "f", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows", "anchor")).alias("one")))
     n_runs = every.count()
     per_anchor = contents.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("n_all")).filter("n_all > 1").select("h", "kinds", F.col("kinds").alias("weight"))
-    members = materialize(_spread_join(contents, per_anchor, ["h"], "weight", n_runs).select("h", "f", "n", "kinds", "one.*"))
+    members = materialize(_spread_join(contents, per_anchor, ["h"], "weight", n_runs).select("h", "f", "g", "n", "kinds", "one.*"))
     removed(docs.sparkSession, contents_path)
-    same = _spread_join(every, members.filter("n > 1").select("h", "f", "n"), ["h", "f"], "n", n_runs).select("doc_id", "th", "start", (F.col("start") + F.col("windows")).alias("past"))
+    same = _spread_join(every, members.filter("n > 1").select("h", "f", "g", "n"), ["h", "f", "g"], "n", n_runs).select("doc_id", "th", "start", (F.col("start") + F.col("windows")).alias("past"))
     same = materialize(same)
     removed(docs.sparkSession, every_path)
     unlike = members.filter("kinds > 1")
@@ -240,7 +243,7 @@ def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: b
     )
 
     # one content of each kind under an anchor, with its bytes
-    wanted = unlike.groupBy(F.col("doc_id").alias("kd"), F.col("th").alias("kt")).agg(F.collect_list(F.struct("h", "f", "n", "kinds", "start", "windows", "anchor")).alias("runs"))
+    wanted = unlike.groupBy(F.col("doc_id").alias("kd"), F.col("th").alias("kt")).agg(F.collect_list(F.struct("h", "n", "kinds", "start", "windows", "anchor")).alias("runs"))
     texts = base.filter(F.col("text").isNotNull()).dropDuplicates(["doc_id", "th"])
     member_schema = "h long, n long, kinds long, doc_id long, th long, start long, windows int, anchor int, bytes binary"
     to_arrow = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())])
@@ -292,8 +295,8 @@ def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: b
     for size in PARTS:
         parts = materialize(left.mapInArrow(_parts(length, size), PART_DDL))
         n = max(1, parts.count())
-        kinds = materialize(parts.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows", "anchor", "h", "bytes")).alias("one")))
-        alike = _spread_join(parts.select("key", "full", "doc_id", "th", "start", "windows"), kinds.filter("n > 1").select("key", "full", "n"), ["key", "full"], "n", n)
+        kinds = materialize(parts.groupBy("key", "full", "more").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows", "anchor", "h", "bytes")).alias("one")))
+        alike = _spread_join(parts.select("key", "full", "more", "doc_id", "th", "start", "windows"), kinds.filter("n > 1").select("key", "full", "more", "n"), ["key", "full", "more"], "n", n)
         found = found.unionByName(alike.select("doc_id", "th", "start", (F.col("start") + F.col("windows")).alias("past")))
         if size == 1:
             break
@@ -304,7 +307,7 @@ def _repeats(docs: DataFrame, length: int, crowd: int, chunk_bytes: int, keep: b
     return base, same.unionByName(found)
 
 
-PART_DDL = "key long, full long, doc_id long, th long, start long, windows int, anchor int, h long, bytes binary"
+PART_DDL = "key long, full long, more long, doc_id long, th long, start long, windows int, anchor int, h long, bytes binary"
 
 
 def _parts(length: int, size: int):
@@ -313,7 +316,7 @@ def _parts(length: int, size: int):
     Equal windows have equal distances, so they fall in equal parts; what all windows of a part
     share is hashed into the part's key.
     """
-    types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
+    types = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
     schema = pa.schema([(c.split()[0], t) for c, t in zip(PART_DDL.split(", "), types)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,9 +331,8 @@ def _parts(length: int, size: int):
                     p = int(part[s])
                     core = anchor - size * p  # where a whole part's last window begins
                     key = xxh64(data[core : core + length - size + 1], (h ^ (p * BASE)) & (2**64 - 1))
-                    full = xxh64(data[s : e + length - 1], anchor - s)
-                    signed = [x - (1 << 64) if x >> 63 else x for x in (key, full)]
-                    out.append((*signed, d, th, start + s, e - s, anchor - s, h, data[s : e + length - 1] if size > 1 else b""))
+                    ((full,), (more,)) = digests([b"%d:" % (anchor - s) + data[s : e + length - 1]])
+                    out.append((key - (1 << 64) if key >> 63 else key, int(full), int(more), d, th, start + s, e - s, anchor - s, h, data[s : e + length - 1] if size > 1 else b""))
             yield batch(schema, [list(c) for c in zip(*out)] if out else [[] for _ in schema])
 
     return run
