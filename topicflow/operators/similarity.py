@@ -2,59 +2,180 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dedup import top_n
 
+#: Blocks are at least so many where they keep some rows each, and have at most so many rows.
+BLOCKS, MOST_ROWS = 24, 32768
+
 
 def blocked(vectors: DataFrame, blocks: int) -> DataFrame:
-    """One row a block: ids and their vectors end to end."""
-    rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "vector")
-    packed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias("r"))
-    return packed.select("block", F.col("r.id").alias("ids"), F.flatten("r.vector").alias("flat"))
+    """One row a block: ids in order, their vectors end to end, and their kinds if they have any."""
+    names = ["id", "vector", *[c for c in vectors.columns if c == "kind"]]
+    rows = vectors.filter("id is not null and vector is not null").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), *names)
+    packed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("r"))
+    return packed.select("block", F.col("r.id").alias("ids"), F.flatten("r.vector").alias("flat"), *[F.col("r.kind").alias("kinds")][: len(names) - 2])
+
+
+class Side:
+    """Vectors of a block as rows of a matrix, by rising id."""
 
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray | None = None):
+        self.ids, self.rows, self.codes = ids, rows, codes
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.size = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))
+        self.plain = bool((self.size < 1e15).all())  # neither infinite nor beyond what a short float holds
 
-def pairs_above(vectors: DataFrame, least: float, k: int | None = None, rows_per_block: int = 4096) -> DataFrame:
-    """(id, near, score): earlier ids with a dot product of ``least`` or more, the best ``k`` of each id.
 
-    Two blocks meet once, for both directions, a few hundred rows of one against the other at a time;
-    only rows that pass leave a task, at most ``k`` of an id (and what ties with the last) if given.
+def near_misses(a: Side, b: Side, least: float, k: int | None = None, earlier: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score, error) of rows of ``a`` and earlier (else all other) ones of ``b``, some hundred rows at a time: all whose exact score may reach ``least`` and be of the best ``k``.
+
+    Scores are computed in short floats where those hold them; ``error`` bounds how far they are off.
+    """
+    plain = a.plain and b.plain
+    kind = np.float32 if plain else np.float64
+    left, right = a.rows.astype(kind, copy=False), b.rows.astype(kind, copy=False)
+    greatest = b.size[np.isfinite(b.size)].max(initial=0.0)
+    error = (a.rows.shape[1] + 8) * (2.0**-24 if plain else 2.0**-53) * np.where(np.isfinite(a.size), a.size, 0.0) * greatest + 2e-9
+    step = max(16, min(512, 8_000_000 // max(1, len(b.ids))))
+    for at in range(0, len(a.ids), step):
+        own = a.ids[at : at + step]
+        upto = np.searchsorted(b.ids, own) if earlier else np.full(len(own), len(b.ids))
+        width = int(upto[-1])
+        if not width:
+            continue
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = left[at : at + step] @ right[:width].T
+        if not plain:
+            score[np.isnan(score)] = -np.inf
+        first = int(upto[0])
+        if first < width:
+            score[:, first:][np.arange(first, width) >= upto[:, None]] = -np.inf
+        if not earlier:
+            score[own[:, None] == b.ids] = -np.inf
+        off = error[at : at + step]
+        limit = least - off
+        if k is not None and width >= 2 * k:  # k stretches whose best reach a score have k rows that do
+            parts = max(k, min(256, width // 16))
+            best = score[:, : width - width % parts].reshape(len(own), parts, -1).max(axis=2)
+            limit = np.maximum(limit, np.partition(best, parts - k, axis=1)[:, parts - k] - 2 * off)
+        limit = np.nextafter(limit.astype(kind), kind(-np.inf))
+        i, j = np.divmod(np.flatnonzero(score >= np.maximum(limit, np.finfo(kind).min)[:, None]), width)
+        yield i + at, j, score[i, j], off[i]
+
+
+def exact_scores(a: Side, b: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of stated pairs in doubles, rounded to nine places."""
+    out = np.empty(len(i))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for n in range(0, len(i), 65536):
+            rows, columns = a.rows[i[n : n + 65536]].astype(np.float64), b.rows[j[n : n + 65536]].astype(np.float64)
+            out[n : n + 65536] = np.einsum("ij,ij->i", rows, columns)
+        return np.round(out, 9)
+
+
+def found_pairs(a: Side, b: Side, least: float, k: int | None = None, earlier: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score) of the pairs that reach ``least``, exactly; at most ``k`` of a row of ``a``, ties to the smaller id."""
+    for i, j, _, _ in near_misses(a, b, least, k, earlier):
+        score = exact_scores(a, b, i, j)
+        keep = (score >= least) & (score > -np.inf)
+        i, j, score = i[keep], j[keep], score[keep]
+        if k is not None and len(i):
+            order = np.lexsort((b.ids[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            keep = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)])) < k
+            i, j, score = i[keep], j[keep], score[keep]
+        yield i, j, score
+
+
+def _by_tiles(vectors: DataFrame, run: Callable[[Side, Side, list], Iterator[dict]], schema: str, rows_per_block: int | None) -> DataFrame:
+    """``run`` over every two blocks, once for each direction in which rows have earlier ones; its columns as a table.
+
+    A tile is a group of two blocks, so a task holds no more than those; every vector is sent to as many tiles as there are blocks.
+    """
+    n = vectors.count()
+    blocks = max(1, -(-n // rows_per_block) if rows_per_block else max(-(-n // MOST_ROWS), min(BLOCKS, -(-n // 512))))
+    packed = blocked(vectors, blocks)
+    other = F.sequence(F.lit(0), F.lit(blocks - 1))
+    tiles = packed.withColumn("tile", F.explode(F.transform(other, lambda o: F.greatest("block", o) * blocks + F.least("block", o))))
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        names = []
+        if "kinds" in table.column_names:
+            kinds = pa.concat_arrays([c.values.slice(c.offsets[0].as_py(), c.offsets[-1].as_py() - c.offsets[0].as_py()) for c in table["kinds"].chunks])
+            coded = kinds.dictionary_encode(null_encoding="encode")
+            codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        sides, at = [], 0
+        for ids, flat in zip(table["ids"], table["flat"]):
+            ids = ids.values.to_numpy(zero_copy_only=False)
+            rows = flat.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            sides.append(Side(ids, rows, codes[at : at + len(ids)] if names else None))
+            at += len(ids)
+        alone = table["tile"][0].as_py() // blocks == table["tile"][0].as_py() % blocks
+        if not alone and len(sides) == 1:
+            return  # the other block is empty
+        for a, b in [(sides[0], sides[0])] if alone else [(sides[0], sides[1]), (sides[1], sides[0])]:
+            for columns in run(a, b, names):
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return tiles.groupBy("tile").applyInArrow(tile, schema)
+
+
+def pairs_above(vectors: DataFrame, least: float, k: int | None = None, rows_per_block: int | None = None) -> DataFrame:
+    """(id, near, score): earlier ids with a dot product of ``least`` or more, the best ``k`` of each id; with a column ``kind`` also ``same``, whether both have one kind.
+
+    Two blocks meet once, for both directions, a few hundred rows of one against the other at a time; a pair is
+    computed in one direction only, in short floats first, and exactly where that may decide.
+    Only rows that pass leave a task, at most ``k`` of an id if given.
     """
-    n = max(1, -(-vectors.count() // rows_per_block))
-    left = blocked(vectors, n)
-    right = left.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
-    met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).join(right, "other")
-
-    def best(ids: np.ndarray, rows: np.ndarray, others: np.ndarray, columns: np.ndarray) -> Iterator[pd.DataFrame]:
-        """What passes for each of ``rows``."""
-        for at in range(0, len(ids), 512):
-            own = ids[at : at + 512]
-            score = np.round(rows[at : at + 512] @ columns.T, 9)
-            score[(others[None, :] >= own[:, None]) | ~(score >= least)] = -np.inf
-            if k is not None and score.shape[1] > k:
-                score[score < np.partition(score, score.shape[1] - k, axis=1)[:, -k, None]] = -np.inf
-            i, j = np.nonzero(score > -np.inf)
-            yield pd.DataFrame({"id": own[i], "near": others[j], "score": score[i, j]})
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for block, other, ids, flat, ids2, flat2 in zip(part["block"], part["other"], part["ids"], part["flat"], part["ids2"], part["flat2"]):
-                a = np.asarray(flat, np.float64).reshape(len(ids), -1)
-                b = np.asarray(flat2, np.float64).reshape(len(ids2), -1)
-                ids, ids2 = np.asarray(ids), np.asarray(ids2)
-                yield from best(ids, a, ids2, b)
-                if block != other:
-                    yield from best(ids2, b, ids, a)
-
-    found = met.select("block", "other", "ids", "flat", "ids2", "flat2").mapInPandas(run, "id long, near long, score double")
+    kinds = "kind" in vectors.columns
+
+    def run(a: Side, b: Side, names: list) -> Iterator[dict]:
+        known = np.array([x is not None for x in names])
+        for i, j, score in found_pairs(a, b, least, k):
+            more = {"same": (a.codes[i] == b.codes[j]) & known[a.codes[i]]} if kinds else {}
+            yield {"id": pa.array(a.ids[i], pa.int64()), "near": pa.array(b.ids[j], pa.int64()), "score": pa.array(score, pa.float64()), **more}
+
+    found = _by_tiles(vectors, run, "id long, near long, score double" + ", same boolean" * kinds, rows_per_block)
     return found if k is None else top_n(found, ["id"], [F.desc("score"), F.asc("near")], k)
 
 
+def pair_counts(vectors: DataFrame, limits: list[float], rows_per_block: int | None = None) -> DataFrame:
+    """(kind, near_kind, score, n): how many pairs of an id and an earlier one have these kinds and a dot product from the limit ``score`` up to the next one.
+
+    Pairs are counted where two blocks meet, so no row is made for a pair; those below the first limit are not counted.
+    """
+    limits = sorted(limits)
+    kind = dict(vectors.dtypes)["kind"]
+
+    def run(a: Side, b: Side, names: list) -> Iterator[dict]:
+        m, edges = len(names), np.array(limits)
+        total = np.zeros((len(limits) + 1) * m * m, np.int64)
+        for i, j, score, off in near_misses(a, b, limits[0]):
+            zone = np.searchsorted(edges, score, side="right")
+            doubt = np.zeros(len(i), bool)
+            for e in limits:
+                doubt |= ~(np.abs(score - e) > off)
+            zone[doubt] = np.searchsorted(edges, exact_scores(a, b, i[doubt], j[doubt]), side="right")
+            total += np.bincount((zone * m + a.codes[i]) * m + b.codes[j], minlength=len(total))
+        total[: m * m] = 0
+        at = np.flatnonzero(total)
+        column = lambda codes: pa.array([names[c] for c in codes], target)
+        yield {"kind": column(at // m % m), "near_kind": column(at % m), "score": pa.array(edges[at // m // m - 1], pa.float64()), "n": pa.array(total[at], pa.int64())}
+
+    target = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    counted = _by_tiles(vectors, run, f"kind {kind}, near_kind {kind}, score double, n long", rows_per_block)
+    return counted.groupBy("kind", "near_kind", "score").agg(F.sum("n").alias("n"))
+
+
 def grey_zone(score: Column, low: float, high: float) -> Column:
     """Both tails are decided by the score; the middle goes to an oracle."""
     return F.when(score >= high, "match").when(score >= low, "ask").otherwise("no")

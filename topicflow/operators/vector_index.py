@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .dedup import top_n
 from .lineage import cut
-from .similarity import pairs_above
+from .similarity import Side, found_pairs, pairs_above
 
 SAMPLE_ROWS = 1 << 16
 MOST_LISTS = SAMPLE_ROWS // 4
@@ -118,18 +118,8 @@ def search(index: Index, queries: DataFrame, k: int, least: float = -np.inf, pro
     def best(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(rows) and len(asks):
-            rows = rows.sort_values("id")
-            ids, matrix = rows["id"].to_numpy(), _matrix(rows).T
-            for n in range(0, len(asks), 512):
-                some = asks.iloc[n : n + 512]
-                own = some["id"].to_numpy()
-                score = np.round(_matrix(some) @ matrix, 9)
-                allowed = ids[None, :] < own[:, None] if earlier else ids[None, :] != own[:, None]
-                score = np.where(allowed & (score >= least), score, -np.inf)
-                if score.shape[1] > k:  # what ties with the k-th stays until all lists are in
-                    score[score < -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]] = -np.inf
-                i, j = np.nonzero(score > -np.inf)
-                out.append((own[i], ids[j], score[i, j]))
+            b, a = (Side(df["id"].to_numpy(), _matrix(df)) for df in (rows.sort_values("id"), asks.sort_values("id")))
+            out = [(a.ids[i], b.ids[j], score) for i, j, score in found_pairs(a, b, least, k, earlier)]
         found = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pd.DataFrame({"id": found[0], "near": found[1], "score": found[2]}).astype({"id": "int64", "near": "int64", "score": "float64"})
 
