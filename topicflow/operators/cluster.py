@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dedup import top_n
@@ -23,6 +23,16 @@ def _first_topics(ids: DataFrame, links: DataFrame) -> DataFrame:
             return at
 
 
+def match_rule(status: Column, near_status: Column, score: Column, said: Column | None, same: float = 0.72, low: float = 0.65, high: float = 0.85, title_only: float = 0.80) -> Column:
+    """Whether two articles of these gate statuses speak of one event at ``score``; ``said`` is an oracle's answer, None without one.
+
+    Only the four limits matter: a score between two of them decides as the lower one does.
+    """
+    plain = lambda c: F.coalesce(c, F.lit("included")) == "included"
+    loose = score >= title_only if said is None else (score >= high) | ((score >= low) & F.coalesce(said, F.lit(False)))
+    return F.when(plain(status) & plain(near_status), score >= same).otherwise(loose)
+
+
 def matched(candidates: DataFrame, status: DataFrame, answers: DataFrame | None = None, same: float = 0.72, low: float = 0.65, high: float = 0.85, title_only: float = 0.80) -> DataFrame:
     """The candidate pairs (id, near, score) that speak of one event.
 
@@ -30,15 +40,11 @@ def matched(candidates: DataFrame, status: DataFrame, answers: DataFrame | None
     ``low`` on the ``answers`` (id, near, same) of an oracle decide, no answer being no; without an
     oracle ``title_only`` is the limit. ``status`` is (id, gate_status).
     """
-    plain = lambda c: F.coalesce(F.col(c), F.lit("included")) == "included"
     near = status.select(F.col("id").alias("near"), F.col("gate_status").alias("near_status"))
     both = candidates.join(status.select("id", "gate_status"), "id").join(near, "near")
-    if answers is None:
-        loose = F.col("score") >= title_only
-    else:
+    if answers is not None:
         both = both.join(answers.select("id", "near", F.col("same").alias("said")), ["id", "near"], "left")
-        loose = (F.col("score") >= high) | ((F.col("score") >= low) & F.coalesce("said", F.lit(False)))
-    fit = F.when(plain("gate_status") & plain("near_status"), F.col("score") >= same).otherwise(loose)
+    fit = match_rule(F.col("gate_status"), F.col("near_status"), F.col("score"), None if answers is None else F.col("said"), same, low, high, title_only)
     return both.filter(fit & ~F.isnan("score")).select("id", "near", "score")
 
 
