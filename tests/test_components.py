@@ -100,3 +100,20 @@ def test_heat_counts_articles_over_many_stretches(spark):
     want = {t: sum(bool(own[t] & s) for (u, _), s in seen.items() if u != t) for t in own}
     got = entity_heat(df, F.col("near")).collect()
     assert {r["topic_id"]: r["heat"] for r in got} == want and len(got) == len(want)
+
+
+def test_sets_of_entities_meet_topics_in_tiles(spark):
+    from topicflow.operators.scoring import _met_sets
+
+    rng = random.Random(2)
+    own = {t: set(rng.sample("abcdefghij", rng.randint(1, 4))) for t in range(60)}
+    sets = {frozenset(rng.sample("abcdefghijkl", rng.randint(2, 4))): rng.randint(1, 9) for _ in range(80)}
+    mine = spark.createDataFrame([(t, k) for t, keys in own.items() for k in keys], "topic_id long, key_ string")
+    theirs = spark.createDataFrame([(sorted(s), n) for s, n in sets.items()], "keys array<string>, n long")
+    want = {t: sum(n for s, n in sets.items() if s & keys) for t, keys in own.items()}
+    for sizes in ((4096, 16384), (7, 9)):
+        got = defaultdict(int)
+        for r in _met_sets(mine, theirs, *sizes).collect():
+            got[r["topic_id"]] += r["n"]
+        assert dict(got) == want
+    assert _met_sets(mine, theirs.limit(0)).count() == 0

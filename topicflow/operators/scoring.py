@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,27 +48,58 @@ def entity_heat(entities: DataFrame, window: Column) -> DataFrame:
     """(topic_id, heat): other topics' articles in the window that share an entity with the topic.
 
     ``entities`` has topic_id, article_id, entity; keys compare stripped and lower-cased, and a topic's
-    own come from all its articles. Articles in the window are numbered by topic and an entity is bitmaps of its articles, one for
-    each stretch of 32,768 numbers that has some; a topic unites its entities' bitmaps stretch by stretch and
-    counts the bits, its own articles taken off. So an entity in very many articles costs a topic a bit an
-    article, and no row is made for a pair of topic and article.
+    own come from all its articles. Articles in the window with the same set of entities count together. A set of one
+    entity is a number that is added to the topics which have it: a row for each topic and entity, whatever the number of
+    articles. Sets of several are dealt to tiles of topics and sets, where a topic marks the sets that it meets, so that
+    no row is made for a pair of topic and article, and no task holds more than a tile.
     """
     keyed = entities.withColumn("key_", F.lower(F.trim("entity"))).filter(F.col("key_") != "")
     own = keyed.select("topic_id", "key_").distinct()
-    seen = keyed.filter(window).select("topic_id", "article_id", "key_").distinct()
-    articles = seen.select("topic_id", "article_id").distinct()
-    # numbers need to be close together only inside a range
-    numbered = cut(articles.repartitionByRange("topic_id", "article_id").sortWithinPartitions("topic_id", "article_id").withColumn("no_", F.monotonically_increasing_id()))
-    at = numbered.select(F.col("topic_id").alias("t_"), F.col("article_id").alias("a_"), "no_")
-    placed = seen.join(at, F.col("topic_id").eqNullSafe(F.col("t_")) & F.col("article_id").eqNullSafe(F.col("a_")))
-    bits = placed.groupBy("key_", F.bitmap_bucket_number("no_").alias("stretch")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("no_")).alias("bits"))
-    united = own.join(bits, "key_").groupBy("topic_id", "stretch").agg(F.bitmap_or_agg("bits").alias("bits"))
-    met = united.select("topic_id", F.bitmap_count("bits").alias("n"))
-    mine = numbered.select("topic_id", F.lit(-1).cast("long").alias("n"))
-    heat = met.union(mine).groupBy("topic_id").agg(F.sum("n").alias("heat"))
+    seen = keyed.filter(window).groupBy("topic_id", "article_id").agg(F.array_sort(F.collect_set("key_")).alias("keys"))
+    sets = cut(seen.groupBy("topic_id", "keys").agg(F.count("*").alias("n")))
+    weights = sets.groupBy("keys").agg(F.sum("n").alias("n"))
+    single = weights.filter(F.size("keys") == 1).select(F.col("keys")[0].alias("key_"), "n")
+    met = own.join(single, "key_").select("topic_id", "n")
+    several = weights.filter(F.size("keys") > 1)
+    mine = sets.select("topic_id", (-F.col("n")).alias("n"))  # a topic shares an entity with each of its own articles
+    met = met.union(mine).union(_met_sets(own, several))
+    heat = met.groupBy("topic_id").agg(F.sum("n").alias("heat"))
     return own.select("topic_id").distinct().join(heat.withColumnRenamed("topic_id", "t_"), F.col("topic_id").eqNullSafe(F.col("t_")), "left").select("topic_id", F.coalesce("heat", F.lit(0)).alias("heat"))
 
 
+def _met_sets(own: DataFrame, sets: DataFrame, most_topics: int = 4096, most_sets: int = 16384) -> DataFrame:
+    """(topic_id, n): the summed ``n`` of the sets (keys, n) that share a key with the topic's own (topic_id, key_)."""
+    kind = dict(own.dtypes)["topic_id"]
+    wanted = sets.select(F.explode("keys").alias("key_")).distinct()
+    topics = cut(own.join(wanted, "key_", "left_semi").groupBy("topic_id").agg(F.collect_list("key_").alias("keys")))
+    sets = cut(sets)
+    rows, columns = (max(1, -(-df.count() // most)) for df, most in ((topics, most_topics), (sets, most_sets)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = topics.withColumn("row_", F.pmod(F.xxhash64("topic_id"), F.lit(rows))).withColumn("column_", every(columns))
+    right = sets.withColumn("column_", F.pmod(F.xxhash64("keys"), F.lit(columns))).withColumn("row_", every(rows))
+
+    def met(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        place: dict[str, int] = {}
+        at = [[place.setdefault(k, len(place)) for k in keys] for keys in theirs["keys"]]
+        own_at = [[place[k] for k in keys if k in place] for keys in ours["keys"]]
+        out = np.zeros(len(ours), np.int64)
+        n, holders = theirs["n"].to_numpy(), [[] for _ in place]
+        for s, keys in enumerate(at):
+            for k in keys:
+                holders[k].append(s)
+        holders = [np.array(h) for h in holders]
+        hit = np.zeros(len(theirs), bool)
+        for t, keys in enumerate(own_at):
+            hit[:] = False
+            for k in keys:
+                hit[holders[k]] = True
+            out[t] = n[hit].sum()
+        return pd.DataFrame({"topic_id": ours["topic_id"], "n": out})
+
+    tiles = ["row_", "column_"]
+    return left.groupBy(*tiles).cogroup(right.groupBy(*tiles)).applyInPandas(met, f"topic_id {kind}, n long")
+
+
 def trend(counts: Column, base: Column, recent_days: int = 14, base_days: int = 60, smoothing: float = 0.01) -> Column:
     """Recent count x recent rate over base rate."""
     return counts * (counts / recent_days) / (base / base_days + smoothing)
