@@ -156,3 +156,20 @@ def test_false_merges_are_repaired_as_in_one_pass(spark):
     assert {r["topic_id"]: r["representative_title"] for r in done.topics.collect()} == reset and len(reset) > 5
     assert {r["id"]: r["source_ids"] for r in done.generated.collect()} == sources
     assert {r["id"]: (r["topic_id"], r["title"]) for r in done.evicted.collect()} == {k: (t, f"title {k}") for k, t in topic.items() if t == k + 5000}
+
+
+def test_calls_of_a_reranker_share_batches_and_stay_whole(spark):
+    """Many small queries go to Python together; a call's candidates stay together over the edges of Arrow batches."""
+    rows = [(q, str(q), d, "x") for q in range(40) for d in range(q % 11 + 1)] + [(None, "n", d, "x") for d in range(5)]
+    df = spark.createDataFrame(rows, "query_id long, query string, doc_id long, document string").repartition(3)
+    sized = lambda: lambda query, documents: [(k, len(documents)) for k in range(len(documents))]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = models.rerank(df, sized, sized)
+        got = [(r["query_id"], r["score"]) for r in made.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(got, key=str) == sorted([(q, float(q % 11 + 1)) for q, _, _, _ in rows if q is not None], key=str)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    assert models.rerank(df.limit(0), sized, sized).count() == 0

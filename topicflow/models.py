@@ -172,14 +172,35 @@ def rerank(candidates: DataFrame, make_remote: Callable | None, make_local: Call
         except Exception as e:  # noqa: BLE001
             return [None] * len(documents), None, f"{type(e).__name__}: {e}"
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        pdf = pdf.sort_values("doc_id")
-        for n in range(0, len(pdf), most):
-            some = pdf.iloc[n : n + most]
-            found, step, error = scores(some["query"].iloc[0] or "", [d or "" for d in some["document"]])
-            out.append(pd.DataFrame({"query_id": some["query_id"], "doc_id": some["doc_id"], "score": found, "step": step, "error": error}))
-        return pd.concat(out)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for part in parts:  # a call's rows may go over the edge of two Arrow batches
+            left = part if left is None else pd.concat([left, part], ignore_index=True)
+            starts = _starts(left)
+            yield scored(left.iloc[: starts[-1]], starts)
+            left = left.iloc[starts[-1] :]
+        if left is not None:
+            yield scored(left, [*_starts(left), len(left)])
+
+    def scored(rows: pd.DataFrame, starts) -> pd.DataFrame:
+        queries, documents = rows["query"].tolist(), rows["document"].tolist()
+        out: tuple[list, list, list] = ([], [], [])
+        for a, z in zip(starts, starts[1:]):
+            for n in range(a, z, most):
+                some = [d or "" for d in documents[n : min(z, n + most)]]
+                found, step, error = scores(queries[n] or "", some)
+                for column, values in zip(out, (found, [step] * len(some), [error] * len(some))):
+                    column.extend(values)
+        columns = {c: pd.Series(v, dtype=t) for c, v, t in zip(("score", "step", "error"), out, ("float64", object, object))}
+        return pd.DataFrame({"query_id": rows["query_id"].reset_index(drop=True), "doc_id": rows["doc_id"].reset_index(drop=True), **columns})
 
     kinds = dict(candidates.dtypes)
-    return dealt.groupBy("query_id", "part_").applyInPandas(score, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double, step string, error string")
+    calls = dealt.repartition("query_id", "part_").sortWithinPartitions("query_id", "part_", "doc_id")
+    return calls.mapInPandas(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double, step string, error string")
+
+
+def _starts(rows: pd.DataFrame) -> list[int]:
+    """Where the calls of ``rows`` begin, which are in order of query and part; the last one may go on."""
+    ids = rows["query_id"]
+    new = (ids != ids.shift()) & ~(ids.isna() & ids.shift().isna()) | (rows["part_"] != rows["part_"].shift())
+    return new.to_numpy().nonzero()[0].tolist()
