@@ -117,3 +117,23 @@ def test_sets_of_entities_meet_topics_in_tiles(spark):
             got[r["topic_id"]] += r["n"]
         assert dict(got) == want
     assert _met_sets(mine, theirs.limit(0)).count() == 0
+
+
+def test_resolution_in_rounds_takes_few_jobs_and_gives_one_pass(spark):
+    """Every name resembles most before it: decided from the best few, not in a round for each step of the longest chain."""
+    rng = random.Random(8)
+    names = [f"{k:04d}" for k in range(160)]
+    near, rows = defaultdict(list), []
+    for k in range(160):
+        for o in range(k):
+            s, same = rng.randrange(41, 82) / 100, rng.random() < 0.1
+            near[names[k]].append((s, names[o], same))
+            rows.append((names[k], names[o], s, same))
+    df = spark.createDataFrame(rows, "name string, other string, score double, same boolean").repartition(4)
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    spark.sparkContext.setJobGroup("rounds", "resolution in rounds")
+    got = {r["name"]: r["canonical"] for r in cluster.resolve(frame, df, 0.81, 0.4, 3, replay_rows=150).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    spark.sparkContext.setJobGroup("rest", "other tests")
+    assert got == one_pass(names, near, 0.81, 0.4, 3)
+    assert jobs < 800, jobs

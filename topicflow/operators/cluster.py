@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import top_n
@@ -95,34 +95,57 @@ def incremental(ids: DataFrame, candidates: DataFrame, threshold: float, publish
     return tree.join(topics, "tree", "left").select("id", F.coalesce("topic", "tree").alias("topic"))
 
 
-def _in_rounds(names: DataFrame, near: DataFrame, low: float | None, most: int) -> DataFrame:
-    """:func:`resolve` in rounds over all names: a name is decided when it has a sure canonical or all before it that it resembles are decided."""
-    asked = lambda canon: top_n(canon.filter("not sure"), ["name"], [F.desc("score"), F.asc("other")], most).filter("same")
-    state = cut(names.withColumn("role", F.lit(None).cast("string")))
-    while not (open_ := state.filter("role is null").select("name")).isEmpty():
-        seen = near.join(open_, "name", "left_semi").join(state.withColumnRenamed("name", "other"), "other")
-        canon = seen.filter("role = 'canonical'")
-        per = seen.groupBy("name").agg(F.max(F.col("sure") & F.col("role").eqNullSafe("canonical")).alias("hit"), F.count_if(F.col("role").isNull()).alias("waiting"))
-        now = open_.join(per, "name", "left")
-        if low is None:
-            now = now.withColumn("yes", F.lit(False))
-        else:
-            now = now.join(asked(canon).select("name", F.lit(True).alias("yes")).distinct(), "name", "left")
-        member = F.coalesce("hit", F.lit(False)) | ((F.coalesce("waiting", F.lit(0)) == 0) & F.coalesce("yes", F.lit(False)))
-        role = F.when(member, "member").when(F.coalesce("waiting", F.lit(0)) == 0, "canonical")
-        state = cut(state.filter("role is not null").unionByName(now.select("name", role.alias("role"))))
-    canon = near.join(state.filter("role = 'canonical'").select(F.col("name").alias("other")), "other")
+def _open_rows(rows: DataFrame, low: float | None, most: int) -> DataFrame:
+    """``rows`` of undecided names without those that have no more say, with ``place`` among the name's unsure ones.
+
+    Of the unsure ones only those count that fewer than ``most`` canonicals precede, down to the last that the oracle calls the same.
+    """
+    if low is None:
+        return rows.withColumn("place", F.lit(None).cast("int"))
+    order = Window.partitionBy("name", "sure").orderBy(F.desc("score"), F.asc("other"))
+    before = F.coalesce(F.sum(F.col("canon").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("place", F.row_number().over(order)).withColumn("before", before).filter(F.col("sure") | (F.col("before") < most))
+    after = F.max("same").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return placed.withColumn("after", after).filter("sure or after").drop("before", "after")
+
+
+def _in_rounds(names: DataFrame, near: DataFrame, low: float | None, most: int, replay_rows: int) -> DataFrame:
+    """:func:`resolve` in rounds over all names, each decided as soon as what is left open cannot change it; the pairs shrink every round, and the last ``replay_rows`` are replayed in one task.
+
+    A name is a member when a sure canonical is known, or one that the oracle calls the same is of the ``most`` best whatever the open ones become;
+    it is canonical when nothing is left that could make it a member.
+    """
+    rows = cut(_open_rows(near.withColumn("canon", F.lit(False)), low, most))
+    left, decided = names, []
+    while True:
+        asked = F.lit(False) if low is None else ~F.col("sure") & F.col("same") & (F.col("place") <= most)
+        per = rows.groupBy("name").agg(F.max(F.col("canon") & (F.col("sure") | asked)).alias("hit"))
+        state = cut(left.join(per, "name", "left").withColumn("role", F.when(F.col("hit"), "member").when(F.col("hit").isNull(), "canonical")))
+        decided.append(state.filter("role is not null").select("name", "role"))
+        left = state.filter("role is null").select("name")
+        kept = rows.join(left, "name", "left_semi").drop("place")
+        known = decided[-1].select(F.col("name").alias("other"), F.col("role").alias("now"))
+        kept = kept.join(known, "other", "left").filter("now is null or now = 'canonical'")
+        rows = cut(_open_rows(kept.withColumn("canon", F.col("canon") | F.col("now").eqNullSafe("canonical")).drop("now"), low, most))
+        if rows.count() <= replay_rows:
+            break
+    last = rows.withColumn("all_", F.lit(0)).groupBy("all_").applyInPandas(_replayed(low, most), "name string, canonical string")
+    found = left.join(last, "name", "left").select("name", F.when(F.coalesce("canonical", "name") == F.col("name"), "canonical").otherwise("member").alias("role"))
+    for some in decided:
+        found = found.union(some)
+    state = cut(found)
+    canon = near.join(state.filter("role = 'canonical'").select(F.col("name").alias("other")), "other").join(state.filter("role = 'member'").select("name"), "name", "left_semi")
     best = canon.filter("sure").groupBy("name").agg(F.max(F.struct("score", "other"))["other"].alias("best"))
     out = state.join(best, "name", "left")
     said = F.lit(None).cast("string")
     if low is not None:
-        first = asked(canon).groupBy("name").agg(F.min_by("other", F.struct(-F.col("score"), "other")).alias("said"))
+        first = top_n(canon.filter("not sure"), ["name"], [F.desc("score"), F.asc("other")], most).filter("same").groupBy("name").agg(F.min_by("other", F.struct(-F.col("score"), "other")).alias("said"))
         out, said = out.join(first, "name", "left"), F.col("said")
     return out.select("name", F.when(F.col("role") == "canonical", F.col("name")).otherwise(F.coalesce("best", said)).alias("canonical"))
 
 
 def _replayed(low: float | None, most: int):
-    """:func:`resolve` over the pairs of one component, every name after all that it resembles before it."""
+    """:func:`resolve` over at most ``replay_rows`` pairs, every name after all that it resembles before it."""
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[tuple[float, str, bool, bool]]] = {}
@@ -155,33 +178,28 @@ def resolve(names: DataFrame, earlier: DataFrame, sure: float, low: float | None
 
     ``earlier`` (name, other, score[, same]) holds similar pairs, ``other`` before ``name`` in the
     order. The best canonical at ``sure`` is joined; if none, of the ``most`` best canonicals between
-    ``low`` and ``sure`` the first that an oracle calls the ``same``. Names that resemble none of a component have no say in it,
-    so components of the pairs are replayed in order, each inside one task; only those of more than ``replay_rows`` pairs,
-    which no task should hold, go in rounds over all their names, with the same result.
+    ``low`` and ``sure`` the first that an oracle calls the ``same``. Up to ``replay_rows`` pairs are replayed in order in one
+    task; more, which no task should hold, go in rounds over all names until no more are left than that, with the same result.
     """
     known = names.select("name").distinct()
     near = earlier.withColumn("sure", F.col("score") >= sure)
     near = near.filter("sure") if low is None else near.filter(F.col("score") > low)
     near = near.join(known, "name", "left_semi").join(known.withColumnRenamed("name", "other"), "other", "left_semi")
-    near = cut(near.select("name", "other", "score", "sure", F.col("same") if "same" in earlier.columns else F.lit(False).alias("same")))
-    groups = components(near.select(F.col("name").alias("a"), F.col("other").alias("b")))
-    rows = cut(near.join(groups.withColumnRenamed("node", "name"), "name"))
-    sizes = rows.groupBy("root").agg(F.count("*").alias("n"))
-    small = rows.join(sizes.filter(F.col("n") <= replay_rows), "root").groupBy("root").applyInPandas(_replayed(low, most), "name string, canonical string")
-    done = small
-    large = rows.join(sizes.filter(F.col("n") > replay_rows), "root").drop("root", "n")
-    if not large.isEmpty():
-        large = cut(large)
-        own = large.select(F.explode(F.array("name", "other")).alias("name")).distinct()
-        done = small.union(_in_rounds(own, large, low, most))
+    same = F.coalesce("same", F.lit(False)) if "same" in earlier.columns else F.lit(False)
+    near = cut(near.select("name", "other", "score", "sure", same.alias("same")))
+    if near.count() > replay_rows:
+        return _in_rounds(known, near, low, most, replay_rows)
+    done = near.withColumn("all_", F.lit(0)).groupBy("all_").applyInPandas(_replayed(low, most), "name string, canonical string")
     return known.join(done, "name", "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
 
 
 def canonical_names(names: DataFrame, pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(name, canonical): names by falling count join their best canonical at ``threshold`` or become one.
 
-    ``names`` (name, n) is a dictionary, ``pairs`` (name, other, score) its similar pairs, both ways.
+    ``names`` (name, n) is a dictionary, ``pairs`` (name, other, score) its similar pairs, one way or both.
     """
     place = names.select("name", F.struct(-F.col("n"), "name").alias("place"))
-    both = pairs.join(place, "name").join(place.select(F.col("name").alias("other"), F.col("place").alias("before")), "other")
-    return resolve(names, both.filter("before < place").select("name", "other", "score"), threshold)
+    both = pairs.join(place, "name").join(place.select(F.col("name").alias("other"), F.col("place").alias("before")), "other").filter("before <> place")
+    later = F.col("before") < F.col("place")
+    ways = both.select(F.when(later, F.col("name")).otherwise(F.col("other")).alias("name"), F.when(later, F.col("other")).otherwise(F.col("name")).alias("other"), "score")
+    return resolve(names, ways, threshold)

@@ -186,10 +186,9 @@ def graph_triples(spark, sf_dir):
 def entity_resolution(spark, sf_dir):
     """Vectors as entities in order of id; an oracle that knows their labels is asked in the grey zone."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    label = v.select(F.col("id").cast("string").alias("name"), "label")
-    p = similarity.pairs_above(v.drop("label"), 0.3).select(F.col("id").cast("string").alias("name"), F.col("near").cast("string").alias("other"), "score")
-    known = p.join(label, "name").join(label.select(F.col("name").alias("other"), F.col("label").alias("label2")), "other")
-    return cluster.resolve(label.select("name"), known.select("name", "other", "score", (F.col("label") == F.col("label2")).alias("same")), 0.45, 0.3)
+    p = similarity.pairs_above(v.withColumnRenamed("label", "kind"), 0.3)
+    known = p.select(F.col("id").cast("string").alias("name"), F.col("near").cast("string").alias("other"), "score", "same")
+    return cluster.resolve(v.select(F.col("id").cast("string").alias("name")), known, 0.45, 0.3)
 
 
 # selection --------------------------------------------------------------------------------------
