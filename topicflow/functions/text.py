@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import re
 
 import pandas as pd
@@ -126,8 +128,26 @@ def flattened(value: pd.Series) -> pd.Series:
 
 def bag_vector(content: Column, dims: int = 64, chars: int = 2000) -> Column:
     """A stand-in embedding without a model: words hashed to signed places, of length one (zeros for no words)."""
-    words = F.filter(F.split(F.lower(F.left(content, F.lit(chars))), r"\s+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(hashed, lambda h: F.pmod(F.shiftright(h, 1), F.lit(dims)) == d), F.lit(0), lambda a, h: a + 1 - 2 * F.pmod(h, F.lit(2))))
-    unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: F.when(unit(v) == 0, 0.0).otherwise(x / unit(v))))[0]
+
+    @F.pandas_udf("array<double>")
+    def signed(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def hashed(word: str) -> int:
+            if (h := known.get(word)) is None:
+                h = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16)
+            return h
+
+        def vector(words: str | None) -> list[float]:
+            out = [0] * dims
+            for w in (words or "").split(" "):
+                if w:
+                    h = hashed(w)
+                    out[(h >> 1) % dims] += 1 - 2 * (h & 1)
+            size = math.sqrt(sum(x * x for x in out))
+            return [x / size if size else 0.0 for x in out]
+
+        return texts.map(vector)
+
+    # Spark lower-cases and finds the blanks
+    return signed(F.regexp_replace(F.lower(F.left(content, F.lit(chars))), r"\s+", " "))
