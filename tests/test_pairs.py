@@ -4,7 +4,9 @@ import math
 import random
 from collections import Counter
 
+import __spark_entry__ as entry
 import pytest
+from conftest import SF
 from topicflow.operators import similarity
 
 
@@ -50,3 +52,21 @@ def test_counts_of_pairs_by_kind_and_limit(spark, block):
     want = Counter((kind[a], kind[b], max(x for x in limits if x <= max(round(s, 9), x if math.isinf(s) else s))) for a, b, s, _ in plain(exact, limits[0]))
     got = {(r["kind"], r["near_kind"], r["score"]): r["n"] for r in similarity.pair_counts(df, limits, block).collect()}
     assert got == want
+
+
+def test_statistics_of_clusters_make_their_pairs_once(spark, monkeypatch):
+    made, made_of = spark.sparkContext.accumulator(0), similarity.pairs_above
+
+    def counted(*args):
+        def seen(parts):
+            for part in parts:
+                made.add(len(part))
+                yield part
+
+        return made_of(*args).mapInPandas(seen, "id long, near long, score double")
+
+    monkeypatch.setattr(similarity, "pairs_above", counted)
+    got = entry.queries()["cluster_statistics"](spark, SF).collect()
+    once = made.value
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    assert once == made_of(v, 0.35, 5).count() > 0 and len(got) == 1

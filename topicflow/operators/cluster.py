@@ -60,17 +60,18 @@ def first_topics(ids: DataFrame, links: DataFrame) -> DataFrame:
     return _first_topics(ids, links).withColumnRenamed("tree", "topic")
 
 
-def incremental(ids: DataFrame, candidates: DataFrame, threshold: float, published: DataFrame | None = None) -> DataFrame:
+def incremental(ids: DataFrame, candidates: DataFrame, threshold: float, published: DataFrame | None = None, first: DataFrame | None = None) -> DataFrame:
     """(id, topic): ids in order join the topic of their best earlier neighbour at ``threshold``, bridging topics merge.
 
     ``candidates`` (id, near, score) holds each id's best earlier neighbours (``matched`` decides
-    which count). Topics in ``published`` (topic) take members but never merge, in either direction. Best links alone make
+    which count). Topics in ``published`` (topic) take members but never merge, in either direction.
+    ``first`` is :func:`first_topics` of the same links where that is known. Best links alone make
     trees, one for each topic ever begun. Other links that leave a tree merge topics into the one of
     the best link; only the first merge of two trees counts. So what has to be done in order are the
     merges between trees, and only within a component of them: members never meet in one task.
     """
     links = cut(candidates.filter((F.col("score") >= threshold) & ~F.isnan("score")).select("id", "near", "score"))
-    tree = _first_topics(ids, links)
+    tree = _first_topics(ids, links) if first is None else first.withColumnRenamed("topic", "tree")
     to = links.join(tree, "id").join(tree.select(F.col("id").alias("near"), F.col("tree").alias("other")), "near").filter("tree != other")
     if published is not None:
         locked = published.select("topic")

@@ -60,16 +60,28 @@ def near_misses(a: Side, b: Side, least: float, k: int | None = None, earlier: b
         if not earlier:
             score[own[:, None] == b.ids] = -np.inf
         off = error[at : at + step]
-        limit = least - off
-        if k is not None and width >= 2 * k:  # k stretches whose best reach a score have k rows that do
-            parts = max(k, min(256, width // 16))
-            best = score[:, : width - width % parts].reshape(len(own), parts, -1).max(axis=2)
-            limit = np.maximum(limit, np.partition(best, parts - k, axis=1)[:, parts - k] - 2 * off)
-        limit = np.nextafter(limit.astype(kind), kind(-np.inf))
-        i, j = np.divmod(np.flatnonzero(score >= np.maximum(limit, np.finfo(kind).min)[:, None]), width)
+        limit, floor = least - off, np.finfo(kind).min
+        parts = max(k, min(256, width // 16)) if k is not None and width >= 2 * k else 0
+        if not parts:
+            i, j = np.divmod(np.flatnonzero(score >= np.maximum(_below(limit, kind), floor)[:, None]), width)
+            yield i + at, j, score[i, j], off[i]
+            continue
+        whole = width - width % parts  # the k best of the parts' best scores have k rows that reach the least of them
+        dealt = score[:, :whole].reshape(len(own), -1, parts)  # columns dealt to parts in turn
+        best = dealt.max(axis=1)
+        limit = np.maximum(limit, np.partition(best, parts - k, axis=1)[:, parts - k] - 2 * off)
+        limit = np.maximum(_below(limit, kind), floor)
+        row, part = np.nonzero(best >= limit[:, None])
+        hit, turn = np.nonzero(dealt[row, :, part] >= limit[row, None])
+        more, rest = np.nonzero(score[:, whole:] >= limit[:, None])
+        i, j = np.r_[row[hit], more], np.r_[turn * parts + part[hit], rest + whole]
         yield i + at, j, score[i, j], off[i]
 
 
+def _below(limit: np.ndarray, kind: type) -> np.ndarray:
+    return np.nextafter(limit.astype(kind), kind(-np.inf))
+
+
 def exact_scores(a: Side, b: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Dot products of stated pairs in doubles, rounded to nine places."""
     out = np.empty(len(i))
