@@ -137,3 +137,12 @@ def test_resolution_in_rounds_takes_few_jobs_and_gives_one_pass(spark):
     spark.sparkContext.setJobGroup("rest", "other tests")
     assert got == one_pass(names, near, 0.81, 0.4, 3)
     assert jobs < 800, jobs
+
+
+def test_a_cut_table_has_its_own_size_however_many_joins_made_it(spark):
+    from topicflow.operators.lineage import cut
+
+    df = cut(spark.range(20).selectExpr("id", "id AS up"))
+    for _ in range(4):
+        df = cut(df.join(df.selectExpr("id AS up", "up AS next"), "up").selectExpr("id", "next AS up"))
+    assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10**6 and df.count() == 20

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +21,11 @@ _own: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that plans in loops stay short; the session's folder goes when its JVM ends."""
+    """``df`` written to the shared folder and read back, so that plans in loops stay short; the session's folder goes when its JVM ends.
+
+    A table, not a checkpoint: a checkpoint keeps the size that Spark guessed for the plan it was made by, and in a loop of joins
+    the guess is a product of guesses whose digits triple every round, until planning does not end.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
@@ -29,4 +34,6 @@ def cut(df: DataFrame) -> DataFrame:
         _own.add(folder)
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return df.checkpoint()
+    table = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    return df.sparkSession.read.schema(df.schema).parquet(table)
