@@ -59,3 +59,16 @@ def test_null_odd_and_no_vectors(spark):
     none = spark.createDataFrame([], SCHEMA)
     index = vector_index.build(none)
     assert vector_index.search(index, v, 2).count() == 0 and vector_index.search(vector_index.build(v), none, 2).count() == 0
+
+
+def test_tuning_searches_once_and_finds_the_least_probes(spark, monkeypatch):
+    v = spark.createDataFrame(crowds(1500, 20), SCHEMA).cache()
+    index = vector_index.build(v, vector_index.fit(v, lists=12), rows_per_slot=100)
+    asked = v.filter("id % 10 = 0")
+    exact, search, calls = vector_index.exact_for(asked, v, 5), vector_index.search, []
+    got = lambda probes: vector_index.recall(exact, search(index, asked, 5, probes=probes)).first()["recall"]
+    monkeypatch.setattr(vector_index, "search", lambda *args: calls.append(args) or search(*args))
+    probes = vector_index.tuned(index, v, 5, one_in=10)
+    assert len(calls) == 1  # the exact answers
+    grid = [1, 2, 3, 4, 6, 9, 12]
+    assert probes in grid and got(probes) >= 0.95 and (probes == 1 or got(grid[grid.index(probes) - 1]) < 0.95)

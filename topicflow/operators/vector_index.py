@@ -15,12 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dedup import top_n
 from .lineage import cut
-from .similarity import Side, found_pairs, pairs_above
+from .similarity import BLOCKS, MOST_ROWS, Side, found_pairs, pairs_above
 
 SAMPLE_ROWS = 1 << 16
 MOST_LISTS = SAMPLE_ROWS // 4
@@ -108,25 +109,82 @@ def search(index: Index, queries: DataFrame, k: int, least: float = -np.inf, pro
     spark = queries.sparkSession
     if not len(index.centroids):
         return spark.createDataFrame([], "id long, near long, score double")
-    asked = cut(_listed(queries.filter("id is not null and vector is not null"), index.centroids, probes))
-    counts = cut(_slots(asked, index.rows_per_slot, "query_slots").join(index.slots, "list"))  # a row a list
-    places = lambda df, own: df.join(F.broadcast(counts), "list").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"{own[:-5]}_slots")).cast("int"))
-    left = places(index.rows.drop("slot"), "row_slot").withColumn("query_slot", F.explode(F.sequence(F.lit(0), F.col("query_slots") - 1)))
-    right = places(asked, "query_slot").withColumn("row_slot", F.explode(F.sequence(F.lit(0), F.col("row_slots") - 1)))
-    keys = ["list", "row_slot", "query_slot"]
-
-    def best(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+    asked = cut(queries.filter("id is not null and vector is not null").select("id", "vector"))
+    n_rows, n_asked = index.rows.count(), asked.count()
+    bins = max(-(-n_rows // MOST_ROWS), min(BLOCKS, -(-n_rows // 512)), 1)
+    blocks = max(-(-n_asked // MOST_ROWS), 1)
+    first, inside = 0, [[] for _ in range(bins)]  # a list's slots go to bins in turn
+    starts = []
+    for r in index.slots.orderBy("list").collect():  # a row a list
+        starts.append((r["list"], first % bins))
+        for b in range(min(bins, r["row_slots"])):
+            inside[(first + b) % bins].append(r["list"])
+        first += r["row_slots"]
+    start = F.broadcast(spark.createDataFrame(starts, "list int, start int"))
+    rows = index.rows.join(start, "list").select(F.pmod(F.col("start") + F.col("slot"), F.lit(bins)).alias("bin"), "id", "vector", "list")
+    left = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = _probing(asked, index.centroids, probes, inside).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+
+    def best(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(rows) and len(asks):
-            b, a = (Side(df["id"].to_numpy(), _matrix(df)) for df in (rows.sort_values("id"), asks.sort_values("id")))
-            out = [(a.ids[i], b.ids[j], score) for i, j, score in found_pairs(a, b, least, k, earlier)]
-        found = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
-        return pd.DataFrame({"id": found[0], "near": found[1], "score": found[2]}).astype({"id": "int64", "near": "int64", "score": "float64"})
-
-    met = left.select(*keys, "id", "vector").groupBy(*keys).cogroup(right.select(*keys, "id", "vector").groupBy(*keys)).applyInPandas(best, "id long, near long, score double")
+        if mine.num_rows and theirs.num_rows:
+            mine, theirs = mine.sort_by("id"), theirs.sort_by("id")
+            places = inside[mine["bin"][0].as_py()]
+            b_ids, b_rows, lists = mine["id"].to_numpy(), _flat(mine["vector"]), mine["list"].to_numpy()
+            a_ids, a_rows = theirs["id"].to_numpy(), _flat(theirs["vector"])
+            probed = np.unpackbits(np.frombuffer(b"".join(theirs["probed"].to_pylist()), np.uint8).reshape(len(a_ids), -1), axis=1, count=len(places))
+            for n, at in enumerate(places):
+                own, some = np.flatnonzero(probed[:, n]), np.flatnonzero(lists == at)
+                if len(own) and len(some):
+                    a, b = Side(a_ids[own], a_rows[own]), Side(b_ids[some], b_rows[some])
+                    out += [(a.ids[i], b.ids[j], score) for i, j, score in found_pairs(a, b, least, k, earlier)]
+        if not out:
+            return FOUND.empty_table()
+        ids, near, score = (np.concatenate(c) for c in zip(*out))
+        order = np.lexsort((near, -score, ids))
+        ids, near, score = ids[order], near[order], score[order]
+        heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+        keep = np.arange(len(ids)) - np.repeat(heads, np.diff(np.r_[heads, len(ids)])) < k
+        return pa.table([ids[keep], near[keep], score[keep]], schema=FOUND)
+
+    met = left.groupBy("bin", "block").cogroup(right.groupBy("bin", "block")).applyInArrow(best, "id long, near long, score double")
     return top_n(met, ["id"], [F.desc("score"), F.asc("near")], k)
 
 
+FOUND = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("score", pa.float64())])
+
+
+def _flat(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of a matrix; null components become NaN."""
+    flat = pa.concat_arrays(vectors.chunks).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1)
+
+
+def _probing(queries: DataFrame, centroids: np.ndarray, probes: int, inside: list[list[int]]) -> DataFrame:
+    """(id, vector, bin, probed): each query once for each bin with lists that it probes, and a bit for each of the bin's lists."""
+    probes = min(probes, len(centroids))
+    kind = queries.schema["vector"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for k in range(0, len(part), 1024):
+                some = part.iloc[k : k + 1024]
+                own = np.zeros((len(some), len(centroids)), bool)
+                np.put_along_axis(own, _nearest(_matrix(some), centroids)[:, :probes], True, axis=1)
+                for b, lists in enumerate(inside):
+                    bits = own[:, lists]
+                    keep = np.flatnonzero(bits.any(axis=1))
+                    packed = np.packbits(bits[keep], axis=1)
+                    yield pd.DataFrame({"id": some["id"].to_numpy()[keep], "vector": some["vector"].to_numpy()[keep], "bin": np.full(len(keep), b, np.int32), "probed": [x.tobytes() for x in packed]})
+
+    return queries.mapInPandas(run, f"id long, vector {kind}, bin int, probed binary")
+
+
+def _nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Centroids of each vector, nearest first."""
+    return np.argsort(-(_unit(vectors) @ centroids.T), axis=1, kind="stable")
+
+
 def probed_share(index: Index, queries: DataFrame, probes: int) -> DataFrame:
     """One row (pairs, share): pairs of query and row that a search computes, and their share of all."""
     sizes = index.rows.groupBy("list").agg(F.count("*").alias("n"))
@@ -143,15 +201,39 @@ def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def tuned(index: Index, vectors: DataFrame, k: int, least: float = -np.inf, target: float = 0.95, one_in: int = 50) -> int:
-    """Probes (growing by half, or all lists) whose recall over the queries with ids divisible by ``one_in`` reaches ``target``."""
+    """Probes (growing by half, or all lists) whose recall over the queries with ids divisible by ``one_in`` reaches ``target``.
+
+    A search finds an exact pair when it probes the list of its row, so one exact pass and the places of
+    those lists among the query's give the recall of every number of probes.
+    """
+    lists = len(index.centroids)
+    if lists < 2:
+        return 1
     asked = cut(vectors.filter(F.col("id") % one_in == 0))
-    exact = cut(exact_for(asked, vectors, k, least))
-    probes = 1
-    while probes < len(index.centroids):
-        if recall(exact, search(index, asked, k, least, probes)).first()["recall"] >= target:
+    exact = exact_for(asked, vectors, k, least).join(index.rows.select(F.col("id").alias("near"), "list"), "near")
+    counts = exact.select("id", "list").join(_placed(asked, index.centroids), "id").groupBy(F.element_at("places", F.col("list") + 1).alias("place")).agg(F.count("*").alias("n"))
+    found = {r["place"]: r["n"] for r in counts.collect()}  # a row a list
+    probes, whole = 1, sum(found.values())
+    while probes < lists:
+        if sum(n for place, n in found.items() if place < probes) >= target * whole:
             return probes
         probes += max(1, probes // 2)
-    return max(1, len(index.centroids))
+    return lists
+
+
+def _placed(queries: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(id, places): for every list, how many centroids are nearer to the query than its own."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for k in range(0, len(part), 1024):
+                some = part.iloc[k : k + 1024]
+                order = _nearest(_matrix(some), centroids)
+                places = np.empty(order.shape, np.int32)
+                np.put_along_axis(places, order, np.arange(order.shape[1], dtype=np.int32)[None, :], axis=1)
+                yield pd.DataFrame({"id": some["id"].to_numpy(), "places": list(places)})
+
+    return queries.filter("id is not null and vector is not null").select("id", "vector").mapInPandas(run, "id long, places array<int>")
 
 
 def exact_for(queries: DataFrame, vectors: DataFrame, k: int, least: float = -np.inf) -> DataFrame:
