@@ -40,7 +40,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=100_000)  # other stages need memory too
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", one_of_each), ("decontamination", drop_contaminated), ("secrets", hide_secrets), ("packing", pack)]

@@ -161,13 +161,14 @@ def complete(windows: list[list], window: int) -> Iterator[list]:
         now = []
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, max_open: int = 1024) -> DataFrame:
-    """One row per piece: PIECES. A window or a document never crosses a task."""
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, max_open: int = 1024, cached_words: int = 300_000) -> DataFrame:
+    """One row per piece: PIECES. A window or a document never crosses a task; ``cached_words`` trades memory for time only."""
     text_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, rule, count = per_worker(("words", tokenizer), lambda: WordEncoder(tokenizer)), SumOfSquares(window), 0
+        key = ("words", tokenizer, cached_words)
+        encode, rule, count = per_worker(key, lambda: WordEncoder(tokenizer, cached_words)), SumOfSquares(window), 0
         base = TaskContext.get().partitionId() << 32
         opened: dict[int, list[list]] = {}
         out: list[tuple] = []
@@ -192,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, m
             return b
 
         n_open = 0
-        for b in slices(batches):
+        for b in slices(batches, key=key):
             ids_of, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
             for first, part in chunks(texts):
                 for d, ids in zip(ids_of[first:], encode(part)):
