@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import __spark_entry__ as entry
+import numpy as np
 import pytest
 from conftest import SF
 from topicflow.operators import similarity
@@ -54,6 +55,19 @@ def test_counts_of_pairs_by_kind_and_limit(spark, block):
     assert got == want
 
 
+def test_best_pairs_leave_a_task_once_for_several_blocks(spark, monkeypatch):
+    """Rows that leave the tasks grow with the vectors and sets of blocks, not with the blocks; they were 5 a block."""
+    rnd = np.random.default_rng(5)
+    v = rnd.normal(size=(600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vector array<float>")
+    left, best = [], similarity.top_n
+    monkeypatch.setattr(similarity, "top_n", lambda found, *rest: left.append(found) or best(found, *rest))
+    got = {(r["id"], r["near"]) for r in similarity.pairs_above(df, -99.0, 5, 50).collect()}
+    score = np.round(v.astype(np.float64) @ v.T.astype(np.float64), 9)
+    assert got == {(a, b) for a in range(600) for b in sorted(range(a), key=lambda b: (-score[a, b], b))[:5]}
+    assert 0 < left[0].count() <= 600 * 5 * 3  # twelve blocks, four a task
+
+
 def test_statistics_of_clusters_make_their_pairs_once(spark, monkeypatch):
     made, made_of = spark.sparkContext.accumulator(0), similarity.pairs_above
 

@@ -13,14 +13,26 @@ from .dedup import top_n
 
 #: Blocks are at least so many where they keep some rows each, and have at most so many rows.
 BLOCKS, MOST_ROWS = 24, 32768
+#: A block meets so many others in a task, so many of its rows and of theirs at a time (scores stay in a core's cache); best scores are kept for so many parts of the others.
+WIDE, ROWS, COLUMNS, PARTS = 4, 256, 4096, 128
 
 
 def blocked(vectors: DataFrame, blocks: int) -> DataFrame:
-    """One row a block: ids in order, their vectors end to end, and their kinds if they have any."""
-    names = ["id", "vector", *[c for c in vectors.columns if c == "kind"]]
-    rows = vectors.filter("id is not null and vector is not null").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), *names)
-    packed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("r"))
-    return packed.select("block", F.col("r.id").alias("ids"), F.flatten("r.vector").alias("flat"), *[F.col("r.kind").alias("kinds")][: len(names) - 2])
+    """One row a block: ids in order and their vectors end to end, as bytes that are copied whole from then on, and their kinds if they have any."""
+    kind = dict(vectors.dtypes).get("kind")
+    cell = "float" if dict(vectors.dtypes)["vector"] == "array<float>" else "double"
+    id_, vector = F.col("id").cast("long").alias("id"), F.col("vector").cast(f"array<{cell}>").alias("vector")
+    rows = vectors.filter("id is not null and vector is not null").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), id_, vector, *["kind"] * (kind is not None))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        ids = table["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        cells = pa.concat_arrays(table["vector"].chunks).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+        more = {"kinds": pa.array([table["kind"].take(order).to_pylist()], pa.list_(table.schema.field("kind").type))} if kind else {}
+        yield pa.RecordBatch.from_pydict({"block": table["block"][:1].combine_chunks(), "ids": pa.array([ids[order].tobytes()], pa.binary()), "flat": pa.array([cells.tobytes()], pa.binary()), **more})
+
+    return rows.groupBy("block").applyInArrow(pack, "block int, ids binary, flat binary" + f", kinds array<{kind}>" * (kind is not None))
 
 
 class Side:
@@ -43,39 +55,48 @@ def near_misses(a: Side, b: Side, least: float, k: int | None = None, earlier: b
     left, right = a.rows.astype(kind, copy=False), b.rows.astype(kind, copy=False)
     greatest = b.size[np.isfinite(b.size)].max(initial=0.0)
     error = (a.rows.shape[1] + 8) * (2.0**-24 if plain else 2.0**-53) * np.where(np.isfinite(a.size), a.size, 0.0) * greatest + 2e-9
-    step = max(16, min(512, 8_000_000 // max(1, len(b.ids))))
-    for at in range(0, len(a.ids), step):
-        own = a.ids[at : at + step]
+    floor = np.finfo(kind).min
+    for at in range(0, len(a.ids), ROWS):
+        own, off = a.ids[at : at + ROWS], error[at : at + ROWS]
         upto = np.searchsorted(b.ids, own) if earlier else np.full(len(own), len(b.ids))
-        width = int(upto[-1])
-        if not width:
-            continue
-        with np.errstate(over="ignore", invalid="ignore"):
-            score = left[at : at + step] @ right[:width].T
-        if not plain:
-            score[np.isnan(score)] = -np.inf
-        first = int(upto[0])
-        if first < width:
-            score[:, first:][np.arange(first, width) >= upto[:, None]] = -np.inf
-        if not earlier:
-            score[own[:, None] == b.ids] = -np.inf
-        off = error[at : at + step]
-        limit, floor = least - off, np.finfo(kind).min
-        parts = max(k, min(256, width // 16)) if k is not None and width >= 2 * k else 0
-        if not parts:
-            i, j = np.divmod(np.flatnonzero(score >= np.maximum(_below(limit, kind), floor)[:, None]), width)
-            yield i + at, j, score[i, j], off[i]
-            continue
-        whole = width - width % parts  # the k best of the parts' best scores have k rows that reach the least of them
-        dealt = score[:, :whole].reshape(len(own), -1, parts)  # columns dealt to parts in turn
-        best = dealt.max(axis=1)
-        limit = np.maximum(limit, np.partition(best, parts - k, axis=1)[:, parts - k] - 2 * off)
-        limit = np.maximum(_below(limit, kind), floor)
-        row, part = np.nonzero(best >= limit[:, None])
-        hit, turn = np.nonzero(dealt[row, :, part] >= limit[row, None])
-        more, rest = np.nonzero(score[:, whole:] >= limit[:, None])
-        i, j = np.r_[row[hit], more], np.r_[turn * parts + part[hit], rest + whole]
-        yield i + at, j, score[i, j], off[i]
+        first, width = int(upto[0]), int(upto[-1])
+        parts = max(k, min(PARTS, width // 16)) if k is not None and width >= 2 * k else 0
+        limit = np.maximum(_below(least - off, kind), floor)
+        best = np.full((len(own), parts), -np.inf, kind)
+        hits = []
+        chunk = parts * max(1, COLUMNS // parts) if parts else COLUMNS
+        for start in range(0, width, chunk):
+            stop = min(width, start + chunk)
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = left[at : at + ROWS] @ right[start:stop].T
+            if not plain:
+                score[np.isnan(score)] = -np.inf
+            if first < stop:
+                late = max(first, start)
+                score[:, late - start :][np.arange(late, stop) >= upto[:, None]] = -np.inf
+            if not earlier:
+                score[own[:, None] == b.ids[start:stop]] = -np.inf
+            if not parts:
+                i, j = np.divmod(np.flatnonzero(score >= limit[:, None]), stop - start)
+                yield i + at, j + start, score[i, j], off[i]
+                continue
+            whole = (stop - start) - (stop - start) % parts  # the k best of the parts' best scores have k rows that reach the least of them
+            dealt = score[:, :whole].reshape(len(own), -1, parts)  # columns dealt to parts in turn
+            top = dealt.max(axis=1, initial=-np.inf)
+            rise = np.flatnonzero((top >= limit[:, None]).any(axis=1))
+            best[rise] = np.maximum(best[rise], top[rise])
+            reached = np.partition(best[rise], parts - k, axis=1)[:, parts - k] - 2 * off[rise]
+            limit[rise] = np.maximum(limit[rise], _below(reached, kind))
+            row, part = np.nonzero(top[rise] >= limit[rise, None])
+            row = rise[row]
+            hit, turn = np.nonzero(dealt[row, :, part] >= limit[row, None])
+            more, rest = np.nonzero(score[:, whole:] >= limit[:, None])
+            i, j = np.r_[row[hit], more], np.r_[turn * parts + part[hit], rest + whole]
+            hits.append((i, j + start, score[i, j]))
+        if hits:
+            i, j, score = (np.concatenate(x) for x in zip(*hits))
+            last = score >= limit[i]
+            yield i[last] + at, j[last], score[last], off[i[last]]
 
 
 def _below(limit: np.ndarray, kind: type) -> np.ndarray:
@@ -107,44 +128,52 @@ def found_pairs(a: Side, b: Side, least: float, k: int | None = None, earlier: b
         yield i, j, score
 
 
-def _by_tiles(vectors: DataFrame, run: Callable[[Side, Side, list], Iterator[dict]], schema: str, rows_per_block: int | None) -> DataFrame:
-    """``run`` over every two blocks, once for each direction in which rows have earlier ones; its columns as a table.
+def _by_strips(vectors: DataFrame, run: Callable[[Side, Side, list], Iterator[dict]], schema: str, rows_per_block: int | None) -> DataFrame:
+    """``run`` over every block and every ``WIDE`` blocks, rows of the first against earlier ones of the others; its columns as a table.
 
-    A tile is a group of two blocks, so a task holds no more than those; every vector is sent to as many tiles as there are blocks.
+    A strip is a group of a block and ``WIDE`` others, so a task holds no more than those; every vector is sent to as many strips as there are blocks and sets of others.
     """
     n = vectors.count()
-    blocks = max(1, -(-n // rows_per_block) if rows_per_block else max(-(-n // MOST_ROWS), min(BLOCKS, -(-n // 512))))
+    blocks = max(1, -(-n // rows_per_block) if rows_per_block else max(-(-n // MOST_ROWS), min(BLOCKS, -(-n // 1024))))
+    sets = -(-blocks // WIDE)
     packed = blocked(vectors, blocks)
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    tiles = packed.withColumn("tile", F.explode(F.transform(other, lambda o: F.greatest("block", o) * blocks + F.least("block", o))))
+    upto = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    place = lambda block, set_, asks: F.struct((block * sets + set_).alias("strip"), F.lit(asks).alias("asks"))
+    places = F.concat(F.transform(upto(sets), lambda s: place(F.col("block"), s, True)), F.transform(upto(blocks), lambda b: place(b, F.col("block") % sets, False)))
+    strips = packed.withColumn("place", F.explode(places)).select("place.*", *packed.columns)
+    cell = np.float32 if dict(vectors.dtypes)["vector"] == "array<float>" else np.float64
 
-    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        names = []
+        asks = table["asks"].to_numpy()
+        if asks.all() or not asks.any():
+            return  # no rows, or none to meet
+        names, codes = [], None
         if "kinds" in table.column_names:
             kinds = pa.concat_arrays([c.values.slice(c.offsets[0].as_py(), c.offsets[-1].as_py() - c.offsets[0].as_py()) for c in table["kinds"].chunks])
             coded = kinds.dictionary_encode(null_encoding="encode")
             codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        sides, at = [], 0
-        for ids, flat in zip(table["ids"], table["flat"]):
-            ids = ids.values.to_numpy(zero_copy_only=False)
-            rows = flat.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            sides.append(Side(ids, rows, codes[at : at + len(ids)] if names else None))
-            at += len(ids)
-        alone = table["tile"][0].as_py() // blocks == table["tile"][0].as_py() % blocks
-        if not alone and len(sides) == 1:
-            return  # the other block is empty
-        for a, b in [(sides[0], sides[0])] if alone else [(sides[0], sides[1]), (sides[1], sides[0])]:
-            for columns in run(a, b, names):
-                yield pa.RecordBatch.from_pydict(columns)
-
-    return tiles.groupBy("tile").applyInArrow(tile, schema)
+        ids = [np.frombuffer(x.as_buffer(), np.int64) for x in table["ids"]]
+        rows = [np.frombuffer(x.as_buffer(), cell).reshape(len(i), -1) for i, x in zip(ids, table["flat"])]
+        block = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+
+        def side(which: np.ndarray) -> Side:
+            own = np.concatenate([ids[k] for k in which])
+            order = np.argsort(own, kind="stable")
+            kind = codes[np.isin(block, which)][order] if names else None
+            return Side(own[order], np.concatenate([rows[k] for k in which])[order], kind)
+
+        for columns in run(side(np.flatnonzero(asks)), side(np.flatnonzero(~asks)), names):
+            yield pa.RecordBatch.from_pydict(columns)
+
+    # four partitions a strip: most are a task alone, and short tasks even out what their hashes bring together
+    return strips.repartition(4 * blocks * sets, "strip").groupBy("strip").applyInArrow(strip, schema)
 
 
 def pairs_above(vectors: DataFrame, least: float, k: int | None = None, rows_per_block: int | None = None) -> DataFrame:
     """(id, near, score): earlier ids with a dot product of ``least`` or more, the best ``k`` of each id; with a column ``kind`` also ``same``, whether both have one kind.
 
-    Two blocks meet once, for both directions, a few hundred rows of one against the other at a time; a pair is
+    A block meets several others in a task, a few hundred rows against some thousand at a time; a pair is
     computed in one direction only, in short floats first, and exactly where that may decide.
     Only rows that pass leave a task, at most ``k`` of an id if given.
     """
@@ -156,14 +185,14 @@ def pairs_above(vectors: DataFrame, least: float, k: int | None = None, rows_per
             more = {"same": (a.codes[i] == b.codes[j]) & known[a.codes[i]]} if kinds else {}
             yield {"id": pa.array(a.ids[i], pa.int64()), "near": pa.array(b.ids[j], pa.int64()), "score": pa.array(score, pa.float64()), **more}
 
-    found = _by_tiles(vectors, run, "id long, near long, score double" + ", same boolean" * kinds, rows_per_block)
+    found = _by_strips(vectors, run, "id long, near long, score double" + ", same boolean" * kinds, rows_per_block)
     return found if k is None else top_n(found, ["id"], [F.desc("score"), F.asc("near")], k)
 
 
 def pair_counts(vectors: DataFrame, limits: list[float], rows_per_block: int | None = None) -> DataFrame:
     """(kind, near_kind, score, n): how many pairs of an id and an earlier one have these kinds and a dot product from the limit ``score`` up to the next one.
 
-    Pairs are counted where two blocks meet, so no row is made for a pair; those below the first limit are not counted.
+    Pairs are counted where blocks meet, so no row is made for a pair; those below the first limit are not counted.
     """
     limits = sorted(limits)
     kind = dict(vectors.dtypes)["kind"]
@@ -184,7 +213,7 @@ def pair_counts(vectors: DataFrame, limits: list[float], rows_per_block: int | N
         yield {"kind": column(at // m % m), "near_kind": column(at % m), "score": pa.array(edges[at // m // m - 1], pa.float64()), "n": pa.array(total[at], pa.int64())}
 
     target = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    counted = _by_tiles(vectors, run, f"kind {kind}, near_kind {kind}, score double, n long", rows_per_block)
+    counted = _by_strips(vectors, run, f"kind {kind}, near_kind {kind}, score double, n long", rows_per_block)
     return counted.groupBy("kind", "near_kind", "score").agg(F.sum("n").alias("n"))
 
 
