@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicflow.llm import decontam, nearcopies, packing, secrets, toxicity
-from topicflow.llm.common import materialize, table
+from topicflow.llm.common import materialize, removed, scratch, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as kept:  # what a stage wrote on its way goes once its result is written, and so does the result before
+            made, folder = written(stage(spark, docs, sf_dir))
+            kept.append(folder)
+        if last:
+            removed(spark, last)
+        docs, last = made, folder
+    return STAGES[-1][1](spark, docs, sf_dir)

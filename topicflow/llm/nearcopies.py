@@ -7,14 +7,18 @@ probability 0.152, 39 of 256 bits on average with a deviation of 5.7: the radius
 deviations further on (recall 0.9999), that of sets under 32 shingles, whose bits are less even, at
 80. Unrelated contents differ in 128 bits, eight deviations of 8, so next to none is proposed.
 
-Fingerprints meet in tiles (``simhash.tile_pairs``), whose classes are sizes of sets: sets of that
-similarity differ by a fourth in size at most. Within a pair of tiles, blocks are skipped whose
-population counts differ beyond the radius, and the rest is compared by exclusive-or and bit
-counts. First a spanning forest of the proposals is verified, so that a group of n copies costs n
-verifications. Where proposed groups are not yet connected by verified links, their sets go into
-tiles with the fingerprints, and every proposal between parts that are still apart is decided there,
+Fingerprints meet in tiles, whose classes are sizes of sets: sets of that similarity differ by a
+fourth in size at most. A tile goes once to a strip of ``WIDE`` others that it meets and once to the
+strip of each that meets it, and tiles grow with the table, so a row is sent about as often at any
+size (until ``MOST_ROWS`` a tile). Within a pair of tiles rows are sorted by size, blocks are skipped whose sizes
+are over a fourth apart, and the rest is compared by exclusive-or and bit counts; a strip gives a
+spanning forest of its proposals. Proposals never leave their connected group, so the sets of a group are
+brought together and every proposal between parts of it that are still apart is decided there,
 nearest first: by the sets' numbers of shingles in 256 buckets, which bound what they share, then by
-the sets. A pair of tiles gives the links that connect parts, never a row a proposal.
+the sets. Many groups share a task. A group of more than ``GROUP_ROWS`` rows or ``TILE_BYTES`` of sets
+is a crowd: first its forest is verified, so that n copies cost n verifications, and where verified links do
+not connect it, its sets go into tiles with the fingerprints. A pair of tiles gives the links that
+connect parts, never a row a proposal.
 
 Defined results: A-Z is lower-cased, words are split at white space; texts of fewer words than a
 shingle are one shingle; null, empty and blank texts are copies of each other; repeated rows are
@@ -23,22 +27,24 @@ copies; further columns stay as they are.
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, slices, text_batches, text_or_empty
+from .common import batch, materialize, scratch, slices, text_batches, text_or_empty, written
 from .components import components
 from .decontam import Words, shingles
-from .simhash import tile_pairs
 
 WORDS = 4  # of 64 bits
 SEEDS = np.array([pow(0xD1B54A32D192ED03, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 RADIUS, SMALL, SMALL_RADIUS = 62, 32, 80
+#: A tile meets so many others in a task; tiles of fingerprints have rows from the one to the other number, those of sets so many bytes; a larger group is a crowd.
+WIDE, LEAST_ROWS, MOST_ROWS, TILE_BYTES, GROUP_ROWS = 4, 8192, 1 << 18, 1 << 22, 1024
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -86,26 +92,32 @@ def _scanned(docs: DataFrame, size: int) -> DataFrame:
 def proposed(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places (i, j) of rows of ``a`` and ``b`` (none: of a, each pair once) within the radius and near in size, and their differing bits, by blocks."""
     own, b = b is None, a if b is None else b
-    one = lambda x: sum(np.bitwise_count(x[f"f{k}"]).astype(np.int16) for k in range(WORDS))
-    order = [np.argsort(one(x), kind="stable") for x in (a, b)]
-    ones = [one(x)[o] for x, o in zip((a, b), order)]
+    order = [np.argsort(x["n"], kind="stable") for x in (a, b)]
+    sizes = [x["n"][o].astype(np.int64) for x, o in zip((a, b), order)]
+    prints = [[x[f"f{k}"][o] for k in range(WORDS)] for x, o in zip((a, b), order)]
+    mixed, some, more = np.empty(block * block, np.uint64), np.empty(block * block, np.uint8), np.empty(block * block, np.uint8)
     for i in range(0, len(order[0]), block):
-        for j in range(i if own else 0, len(order[1]), block):
-            if max(ones[1][j] - ones[0][i : i + block][-1], ones[0][i] - ones[1][j : j + block][-1]) > SMALL_RADIUS:
+        n = sizes[0][i : i + block]
+        first, last = np.searchsorted(5 * sizes[1], 4 * n[0]), np.searchsorted(4 * sizes[1], 5 * n[-1], side="right")
+        for j in range(i if own else int(first), int(last), block):
+            m = sizes[1][j : j + block]
+            shape = len(n), len(m)
+            bits, far, one = (x[: len(n) * len(m)].reshape(shape) for x in (mixed, some, more))
+            for k in range(WORDS - 1):  # of unrelated prints next to none pass, so few need the last word
+                np.bitwise_xor(prints[0][k][i : i + block, None], prints[1][k][None, j : j + block], out=bits)
+                np.bitwise_count(bits, out=one if k else far)
+                if k:
+                    np.add(far, one, out=far)
+            p, q = np.divmod(np.flatnonzero(far <= (SMALL_RADIUS if min(n[0], m[0]) < SMALL else RADIUS)), shape[1])
+            if own and i == j:
+                p, q = p[p < q], q[p < q]
+            if not len(p):
                 continue
-            x, y = order[0][i : i + block], order[1][j : j + block]
-            bits = np.zeros((len(x), len(y)), np.uint16)
-            for k in range(WORDS):
-                bits += np.bitwise_count(a[f"f{k}"][x, None] ^ b[f"f{k}"][None, y])
-            p, q = np.nonzero(bits <= SMALL_RADIUS)
-            n, m = a["n"][x[p]].astype(np.int64), b["n"][y[q]].astype(np.int64)
-            ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & ((bits[p, q] <= RADIUS) | (np.minimum(n, m) < SMALL))
-            far, p, q = bits[p[ok], q[ok]], x[p[ok]], y[q[ok]]
-            if own:
-                once = (p < q) if i == j else p != q
-                p, q, far = p[once], q[once], far[once]
-            if len(p):
-                yield p, q, far
+            all_ = far[p, q].astype(np.uint16) + np.bitwise_count(prints[0][-1][i + p] ^ prints[1][-1][j + q])
+            least, most = np.minimum(n[p], m[q]), np.maximum(n[p], m[q])
+            ok = (5 * least >= 4 * most) & (all_ <= np.where(least < SMALL, SMALL_RADIUS, RADIUS))
+            if ok.any():
+                yield order[0][i + p[ok]], order[1][j + q[ok]], all_[ok]
 
 
 def _hang(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
@@ -126,35 +138,80 @@ def _class(n: str) -> Column:
     return F.floor(F.log(F.col(n).cast("double")) * (2 / math.log(1.25)))
 
 
-def _columns(x: pa.ListScalar, names: list[str]) -> dict[str, np.ndarray]:
-    got = {c: x.values.field(c).to_numpy(zero_copy_only=False) for c in names}
-    return got | {c: got[c].view(np.uint64) for c in names if c[0] == "f"}
-
-
 PRINT = ["node", "n", *[f"f{k}" for k in range(WORDS)]]
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _proposals(contents: DataFrame, tile_rows: int) -> DataFrame:
-    """(a, b): a spanning forest of the pairs within the radius in each pair of tiles."""
-    pairs = tile_pairs(contents.select(*PRINT), _class("n"), 3, "node", tile_rows)
-    if pairs is None:
-        return contents.sparkSession.createDataFrame([], "a long, b long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for k, own in enumerate(rb["same"].to_pylist()):
-                a = _columns(rb["items"][k], PRINT)
-                b = None if own else _columns(rb["others"][k], PRINT)
-                both = a["node"] if own else np.concatenate([a["node"], b["node"]])
-                label, shift = np.arange(len(both)), 0 if own else len(a["node"])
-                for p, q, _ in proposed(a, b):
-                    _hang(label, p, q + shift)
-                moved = np.flatnonzero(label != np.arange(len(both)))
-                if len(moved):
-                    yield batch(EDGES, [pa.array(both[moved]), pa.array(both[label[moved]])])
-
-    found = pairs.mapInArrow(run, "a long, b long")
+def _tile(row: dict) -> dict:
+    """Columns of a packed tile as arrays; its sets lie end to end."""
+    got = {c: np.frombuffer(row[c], np.int32 if c == "n" else np.uint64 if c[0] == "f" else np.int64) for c in row if c in (*PRINT, "label")}
+    if "s" in row:
+        ends = np.cumsum(got["n"], dtype=np.int64)
+        got["s"] = np.split(np.frombuffer(row["s"], np.uint64), ends[:-1])
+    return got
+
+
+def _strips(rows: DataFrame, columns: list[str], klass: Column, tile_rows: Callable[[int], int], run: Callable[[dict, list[dict], bool], Iterator[tuple[np.ndarray, np.ndarray]]], reach: int = 3) -> DataFrame:
+    """(a, b) that ``run`` finds in ``columns`` of a tile, some others, and whether the tile meets itself there; every pair of tiles once whose classes differ by ``reach`` at most.
+
+    A tile holds about ``tile_rows`` rows of its class. Tiles are numbered by class, so one meets itself and a stretch of those after it.
+    """
+    spark = rows.sparkSession
+    classed = rows.select(klass.cast("long").alias("p"), *columns)
+    counts = {r["p"]: r["count"] for r in classed.groupBy("p").count().collect()}  # a row per class
+    if not counts:
+        return spark.createDataFrame([], "a long, b long")
+    tiles = {p: -(-n // tile_rows(p)) for p, n in counts.items()}
+    kinds = sorted(tiles)
+    first = dict(zip(kinds, np.cumsum([0, *[tiles[p] for p in kinds]]).tolist()))
+    lo = {p: first[kinds[bisect.bisect_left(kinds, p - reach)]] for p in kinds}
+    hi = {p: first[q] + tiles[q] for p in kinds for q in [kinds[bisect.bisect_right(kinds, p + reach) - 1]]}
+    known = spark.createDataFrame([(p, first[p], tiles[p], lo[p], hi[p]) for p in kinds], "p long, first long, tiles long, lo long, hi long")
+    dealt = classed.join(F.broadcast(known), "p").select((F.col("first") + F.pmod(F.xxhash64("node"), F.col("tiles"))).alias("tile"), "lo", "hi", *columns)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        row = {c: [table[c][0].as_py()] for c in ("tile", "lo", "hi")}
+        yield pa.RecordBatch.from_pydict(row | {c: pa.array([b"".join(table[c].to_pylist()) if c == "s" else table[c].to_numpy().tobytes()], pa.binary()) for c in columns})
+
+    packed = dealt.groupBy("tile").applyInArrow(pack, "tile long, lo long, hi long, " + ", ".join(f"{c} binary" for c in columns))
+    place = lambda strip, part, asks: F.struct(strip.alias("strip"), part.cast("long").alias("part"), F.lit(asks).alias("asks"))
+    asks = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - 1 - F.col("tile")) / WIDE)), lambda w: place(F.col("tile"), w, True))
+    met = F.transform(F.when(F.col("lo") < F.col("tile"), F.sequence(F.col("lo"), F.col("tile") - 1)).otherwise(F.array().cast("array<long>")), lambda t: place(t, F.floor((F.col("tile") - t) / WIDE), False))
+    sent = packed.withColumn("place", F.explode(F.concat(asks, met))).select("place.*", *columns)
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ = [r for b in batches for r in b.to_pylist()]
+        own = next(r for r in all_ if r["asks"])
+        for a, b in run(_tile(own), [_tile(r) for r in all_ if not r["asks"]], own["part"] == 0):
+            yield batch(EDGES, [pa.array(a), pa.array(b)])
+
+    # four partitions a strip, up to a number: a strip is seconds of work, whatever its bytes
+    strips = sum(-(-(hi[p] - first[p] - k) // WIDE) for p in kinds for k in range(tiles[p]))
+    return sent.repartition(min(4 * strips, 4096), "strip", "part").groupBy("strip", "part").applyInArrow(strip, "a long, b long")
+
+
+def _proposals(contents: DataFrame, tile_rows: int | None = None) -> DataFrame:
+    """(a, b): a spanning forest of the pairs within the radius in each strip of tiles."""
+    rows = tile_rows or max(LEAST_ROWS, min(MOST_ROWS, -(-contents.count() // 48)))
+
+    def run(a: dict, others: list[dict], own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        both = np.concatenate([a["node"], *[b["node"] for b in others]])
+        label, left = np.arange(len(both)), []
+        starts = np.cumsum([len(x["node"]) for x in (a, *others)]).tolist()
+        for b, shift in [*[(None, 0)] * own, *zip(others, starts)]:
+            for p, q, _ in proposed(a, b):
+                left.append((p, q + shift))
+                if sum(len(x) for x, _ in left) > 1 << 16:
+                    _hang(label, *map(np.concatenate, zip(*left)))
+                    left = []
+        if left:
+            _hang(label, *map(np.concatenate, zip(*left)))
+        moved = np.flatnonzero(label != np.arange(len(both)))
+        if len(moved):
+            yield both[moved], both[label[moved]]
+
+    found = _strips(contents, PRINT, _class("n"), lambda p: rows, run)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -166,27 +223,30 @@ def sketch(own: np.ndarray) -> np.ndarray:
 def connect(a: dict, b: dict | None) -> Iterator[tuple[int, int]]:
     """(node, node) of similarity 4/5 or more that connect all proposed pairs of it between different labels; rows have sets ``s``."""
     other = a if b is None else b
-    sets = [[np.frombuffer(s, np.uint64) for s in x["s"]] for x in (a, other)]
-    bounds = [np.stack([sketch(s) for s in x]) for x in sets]
-    up: dict[int, int] = {}
+    bounds = [np.stack([sketch(s) for s in x["s"]]) for x in (a, other)]
+    names, places = np.unique(np.concatenate([a["label"], other["label"]]), return_inverse=True)
+    label = [places[: len(a["label"])], places[len(a["label"]) :]]
+    up = np.arange(len(names))
 
     def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
+        while (y := up[x]) != x:
+            up[x] = up[y]
             x = y
         return x
 
     for p, q, bits in proposed(a, b):
-        apart = a["label"][p] != other["label"][q]
-        p, q, bits = p[apart], q[apart], bits[apart]
         for k in range(0, len(p), 16384):
-            order = np.argsort(bits[k : k + 16384], kind="stable") + k
-            x, y = p[order], q[order]
+            while not np.array_equal(above := up[up], up):
+                up[:] = above
+            x, y, far = p[k : k + 16384], q[k : k + 16384], bits[k : k + 16384]
+            apart = up[label[0][x]] != up[label[1][y]]
+            order = np.argsort(far[apart], kind="stable")
+            x, y = x[apart][order], y[apart][order]
             most = np.minimum(bounds[0][x], bounds[1][y]).sum(1, dtype=np.int64)
             may = 9 * most >= 4 * (a["n"][x].astype(np.int64) + other["n"][y])
             for i, j in zip(x[may].tolist(), y[may].tolist()):
-                r, t = root(int(a["label"][i])), root(int(other["label"][j]))
-                if r != t and similar(sets[0][i], sets[1][j]):
+                r, t = root(label[0][i]), root(label[1][j])
+                if r != t and similar(a["s"][i], other["s"][j]):
                     up[max(r, t)] = min(r, t)
                     yield int(a["node"][i]), int(other["node"][j])
 
@@ -195,23 +255,18 @@ def similar(s: np.ndarray, t: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(s, t, assume_unique=True)) >= 4 * (len(s) + len(t))
 
 
-def _connected(rows: DataFrame, tile_bytes: int = 1 << 22) -> DataFrame:
-    """(a, b): verified links that connect the labels of ``rows`` (PRINT, label, s) as far as all their proposals do."""
-    names = [*PRINT, "label"]
-    # a class bounds the size of its sets, so a tile's sets have ``tile_bytes``, about
-    pairs = tile_pairs(rows.select(*names, "s"), _class("n"), 3, "node", lambda c: max(8, min(8192, int(tile_bytes / (8 * 1.25 ** ((c + 1) / 2))))))
-    if pairs is None:
-        return rows.sparkSession.createDataFrame([], "a long, b long")
+def _connected(rows: DataFrame, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """(a, b): verified links that connect the labels of ``rows`` (PRINT, label, s, and their crowd's number) as far as all their proposals do."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for k, own in enumerate(rb["same"].to_pylist()):
-                a, b = (_columns(rb[c][k], names) | {"s": rb[c][k].values.field("s").to_pylist()} for c in ("items", "others"))
-                edges = list(connect(a, None if own else b))
-                if edges:
-                    yield batch(EDGES, [list(c) for c in zip(*edges)])
+    def run(a: dict, others: list[dict], own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        edges = [e for b in [*[None] * own, *others] for e in connect(a, b)]
+        if edges:
+            yield tuple(np.array(c, np.int64) for c in zip(*edges))
 
-    return materialize(pairs.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # a crowd has classes of its own, and a class bounds the size of its sets, so a tile's sets have ``tile_bytes``, about
+    size = lambda c: max(8, min(8192, int(tile_bytes / (8 * 1.25 ** ((c % 256 + 1) / 2)))))
+    found = _strips(rows, [*PRINT, "label", "s"], F.col("crowd") * 256 + _class("n"), size, run)
+    return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def _only(docs: DataFrame, wanted: DataFrame, most: int = 1 << 25) -> DataFrame:
@@ -235,10 +290,10 @@ def _only(docs: DataFrame, wanted: DataFrame, most: int = 1 << 25) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _sets(docs: DataFrame, contents: DataFrame, size: int) -> DataFrame:
-    """(node, s): the whole sets of ``contents`` (node, nth)."""
-    rows = _only(docs.select("nth", text_or_empty().alias("text")), contents.select("nth"))
-    schema = pa.schema([("node", pa.int64()), ("s", pa.binary())])
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """(node, s) of ``rows`` (text), their whole sets; with a column ``group`` also that."""
+    more = [c for c in rows.columns if c == "group"]
+    schema = pa.schema([("node", pa.int64()), ("s", pa.binary()), *[(c, pa.int64()) for c in more]])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as h
@@ -246,15 +301,58 @@ def _sets(docs: DataFrame, contents: DataFrame, size: int) -> DataFrame:
         words = Words()
         for b in slices(batches, 200):
             found = [words(_bytes(t)) for t in b["text"]]
-            yield batch(schema, [pa.array(np.array([h(w.tobytes()) for w in found], np.uint64).view(np.int64)), [shingle_set(w, size).tobytes() for w in found]])
+            yield batch(schema, [pa.array(np.array([h(w.tobytes()) for w in found], np.uint64).view(np.int64)), [shingle_set(w, size).tobytes() for w in found], *[b[c] for c in more]])
 
-    return materialize(rows.mapInArrow(sets, "node long, s binary"))
+    return rows.select(text_or_empty().alias("text"), *more).mapInArrow(sets, "node long, s binary" + ", group long" * bool(more))
+
+
+def _grouped(docs: DataFrame, members: DataFrame, most: int = 1 << 25) -> DataFrame:
+    """(text, group) of the rows of ``docs`` that ``members`` (nth, group) names: by ``most`` bytes at most sent to all, so that texts stay where they are; beyond, by a join."""
+    if 16 * members.count() > most:
+        return docs.select("nth", "text").join(members.select("nth", "group"), "nth").select("text", "group")
+    named = members.select("nth", "group").toArrow().sort_by("nth")
+    sent = docs.sparkSession.sparkContext.broadcast([named[c].to_numpy() for c in ("nth", "group")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, group = sent.value
+        for b in batches:
+            nth = b["nth"].to_numpy()
+            at = np.minimum(np.searchsorted(known, nth), len(known) - 1)
+            here = known[at] == nth
+            yield pa.RecordBatch.from_pydict({"text": b["text"].filter(pa.array(here)), "group": pa.array(group[at[here]])})
 
+    return docs.select("nth", text_or_empty().alias("text")).mapInArrow(run, "text string, group long")
 
-def _alike(pairs: DataFrame, contents: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of similarity 4/5 or more, by their whole sets."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    known = _sets(docs, contents.join(ends, "node", "left_semi"), size)
+
+def _in_groups(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(a, b): verified links that connect the rows of each group of ``members`` (nth, group, n) as far as all their proposals do; sets are sent once."""
+    total = members.agg(F.sum(8 * F.col("n").cast("long"))).first()[0]
+    if not total:
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    tasks = max(64, -(-total // TILE_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by("group")
+        nodes, groups, edges = table["node"].to_numpy(), table["group"].to_numpy(), []
+        starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        for k, end in zip(starts.tolist(), [*starts[1:].tolist(), len(groups)]):
+            sets = [np.frombuffer(s, np.uint64) for s in table["s"][k:end].to_pylist()]
+            if len(sets) == 2:
+                edges += [tuple(nodes[k:end].tolist())] if similar(*sets) else []
+                continue
+            prints = np.stack([wide_print(s) for s in sets])
+            own = {"node": nodes[k:end], "label": np.arange(end - k), "n": np.array([len(s) for s in sets], np.int32), "s": sets}
+            edges += connect(own | {f"f{w}": np.ascontiguousarray(prints[:, w]) for w in range(WORDS)}, None)
+        if edges:
+            yield batch(EDGES, [list(c) for c in zip(*edges)])
+
+    rows = _sets(_grouped(docs, members), size).withColumn("task", F.pmod(F.xxhash64("group"), F.lit(tasks)))
+    found = rows.groupBy("task").applyInArrow(run, "a long, b long")
+    return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def _alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of similarity 4/5 or more, by their whole sets (node, s)."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):
@@ -266,25 +364,42 @@ def _alike(pairs: DataFrame, contents: DataFrame, docs: DataFrame, size: int) ->
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "a_s", "b_s").mapInArrow(test, "a long, b long"))
 
 
-def links(docs: DataFrame, scanned: DataFrame, size: int, tile_rows: int = 8192) -> DataFrame:
+def _in_crowds(docs: DataFrame, members: DataFrame, first: DataFrame, size: int) -> DataFrame:
+    """:func:`_in_groups` for groups that no task should hold; ``first`` has their forests."""
+    known = materialize(_sets(_only(docs, members.select("nth")), size))
+    found = _alike(first.join(members.select(F.col("node").alias("a")), "a", "left_semi"), known)
+    # crowds that verified links do not connect
+    label = components(found).withColumnRenamed("root", "label")
+    named = materialize(members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    mixed = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("group").collect()
+    if not mixed:
+        return found
+    numbers = docs.sparkSession.createDataFrame([(r["group"], k) for k, r in enumerate(mixed)], "group long, crowd long")
+    return found.union(_connected(named.join(F.broadcast(numbers), "group").join(known, "node")))
+
+
+def links(docs: DataFrame, scanned: DataFrame, size: int, tile_rows: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b) edges between contents, all of similarity 4/5 or more, that connect all proposed pairs of that similarity."""
     prints = [F.first(f"f{k}").alias(f"f{k}") for k in range(WORDS)]
     contents = materialize(scanned.filter("n > 0").groupBy("node").agg(F.min("nth").alias("nth"), F.first("n").alias("n"), *prints))
     first = materialize(_proposals(contents, tile_rows))
-    found = _alike(first, contents, docs, size)
-    # proposed groups that verified links do not connect
-    group, label = components(first).withColumnRenamed("root", "group"), components(found).withColumnRenamed("root", "label")
-    named = materialize(group.join(label, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label")))
-    mixed = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("group")
-    open_ = materialize(contents.join(named.join(mixed, "group").select("node", "label"), "node"))
-    return found.union(_connected(open_.join(_sets(docs, open_, size), "node")))
+    members = materialize(contents.join(components(first).withColumnRenamed("root", "group"), "node"))
+    crowded = members.groupBy("group").agg(F.count("*").alias("rows"), F.sum(8 * F.col("n").cast("long")).alias("bytes")).filter((F.col("rows") > group_rows) | (F.col("bytes") > TILE_BYTES))
+    crowds = materialize(crowded.select("group"))
+    found = _in_groups(docs, members.join(crowds, "group", "left_anti"), size)
+    if crowds.isEmpty():
+        return found
+    return found.union(_in_crowds(docs, materialize(members.join(crowds, "group", "left_semi")), first, size))
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """``docs`` (nth, doc_id, text, ...) less all but the first row, by doc_id (nulls last), content and nth, of each group of near copies."""
     text_batches(docs.sparkSession)
-    scanned = _scanned(docs, size)
-    nodes = scanned.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "nth")).alias("least"))
-    groups = components(links(docs, scanned, size))
-    whole = nodes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    return _only(docs, whole.select(F.col("least.nth").alias("nth")))
+    with scratch(docs.sparkSession) as kept:
+        scanned = _scanned(docs, size)
+        nodes = scanned.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "nth")).alias("least"))
+        groups = components(links(docs, scanned, size))
+        whole = nodes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+        wanted, folder = written(whole.select(F.col("least.nth").alias("nth")))
+        kept.append(folder)
+    return _only(docs, wanted)
