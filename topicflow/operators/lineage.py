@@ -26,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     A table, not a checkpoint: a checkpoint keeps the size that Spark guessed for the plan it was made by, and in a loop of joins
     the guess is a product of guesses whose digits triple every round, until planning does not end.
     """
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """:func:`cut`, and the table's folder, for :func:`removed`."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
@@ -36,4 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
         path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     table = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(table)
-    return df.sparkSession.read.schema(df.schema).parquet(table)
+    return df.sparkSession.read.schema(df.schema).parquet(table), table
+
+
+def removed(spark: SparkSession, table: str) -> None:
+    """Delete a table of :func:`written` that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cluster, gates, graph, ranks, replies, scoring, selection, similarity, state
+from ..operators import gates, graph, ranks, replies, resolution, scoring, selection, state
 from ..operators.dedup import top_n
 from ..operators.lineage import shared_folder
 from ..sources import landed
@@ -185,10 +185,8 @@ def graph_triples(spark, sf_dir):
 @query()
 def entity_resolution(spark, sf_dir):
     """Vectors as entities in order of id; an oracle that knows their labels is asked in the grey zone."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    p = similarity.pairs_above(v.withColumnRenamed("label", "kind"), 0.3)
-    known = p.select(F.col("id").cast("string").alias("name"), F.col("near").cast("string").alias("other"), "score", "same")
-    return cluster.resolve(v.select(F.col("id").cast("string").alias("name")), known, 0.45, 0.3)
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("place"), F.col("embedding").alias("vector"), F.col("label").alias("kind"))
+    return resolution.canonical_vectors(v, 0.45, 0.3)
 
 
 # selection --------------------------------------------------------------------------------------
