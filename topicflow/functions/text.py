@@ -126,8 +126,8 @@ def flattened(value: pd.Series) -> pd.Series:
     return value.map(read)
 
 
-def bag_vector(content: Column, dims: int = 64, chars: int = 2000) -> Column:
-    """A stand-in embedding without a model: words hashed to signed places, of length one (zeros for no words)."""
+def bag_vector(content: Column, dims: int = 64, chars: int | None = None) -> Column:
+    """A stand-in embedding without a model: words hashed to signed places, of length one (zeros for no words); of the whole text, or its first ``chars``."""
 
     @F.pandas_udf("array<double>")
     def signed(texts: pd.Series) -> pd.Series:
@@ -150,4 +150,4 @@ def bag_vector(content: Column, dims: int = 64, chars: int = 2000) -> Column:
         return texts.map(vector)
 
     # Spark lower-cases and finds the blanks
-    return signed(F.regexp_replace(F.lower(F.left(content, F.lit(chars))), r"\s+", " "))
+    return signed(F.regexp_replace(F.lower(content if chars is None else F.left(content, F.lit(chars))), r"\s+", " "))

@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most ``rows`` rows go to Python at a time in this session: whole texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.substring("source", 4, 9).cast("int")
     d = table(spark, sf_dir, "documents")
